@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import compact, is_digest
-from gristmill.naming import ROW
+from gristmill.naming import ROW, col
 
 COLUMN = "_col"
 
@@ -21,6 +21,15 @@ def cells(df: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str],
     return df.select(*keep, F.stack(*flat).alias(COLUMN, *names))
 
 
+def settled(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """Add costly columns as the output of a generator.
+
+    The optimizer pushes no filter below a generator that makes the filtered column. As plain
+    expressions they would be copied into the filter, once per mention and nested column.
+    """
+    return df.select(*[col(c) for c in df.columns if c not in values], F.stack(F.lit(1), *values.values()).alias(*values))
+
+
 def value_counts(df: DataFrame, values: Mapping[str, Column], fold: bool = False) -> DataFrame:
     """How often each distinct value of each column occurs, and in which row first.
 
@@ -28,16 +37,13 @@ def value_counts(df: DataFrame, values: Mapping[str, Column], fold: bool = False
     texts' length. Counts combine on the map side first: a value that fills a third of
     the table leaves each task as one row. With ``fold``, also the lower-cased key.
     """
-    rows = []
-    for value in values.values():
-        key = compact(value)
-        rows.append([key, F.when(is_digest(key), compact(F.lower(value)))] if fold else [key])
-    names = ["key", "folded"] if fold else ["key"]
-    long = cells(df, rows, names, keep=[ROW]).filter(F.col("key").isNotNull())
-    counted = long.groupBy(COLUMN, *names).agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first_row"))
+    value = F.col("value")
+    long = cells(df, [[v] for v in values.values()], ["value"], keep=[ROW]).filter(value.isNotNull())
+    keys = {"key": compact(value)}
     if fold:
-        counted = counted.withColumn("folded", F.coalesce("folded", F.lower("key")))
-    return counted
+        keys["folded"] = compact(F.lower(value))
+    counted = long.select(COLUMN, ROW, *[k.alias(n) for n, k in keys.items()]).groupBy(COLUMN, *keys)
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first_row"))
 
 
 def spell_out(df: DataFrame, values: Mapping[str, Column], picked: DataFrame) -> DataFrame | None:
@@ -47,9 +53,10 @@ def spell_out(df: DataFrame, values: Mapping[str, Column], picked: DataFrame) ->
     if not wanted:
         return None
     nothing = F.lit(None).cast("string")
-    rows = [[compact(v), v] if i in wanted else [nothing, nothing] for i, v in enumerate(values.values())]
+    rows = [[v] if i in wanted else [nothing] for i, v in enumerate(values.values())]
     texts = (
-        cells(df, rows, ["key", "value"])
+        cells(df, rows, ["value"])
+        .withColumn("key", compact(F.col("value")))
         .filter(is_digest(F.col("key")))
         .join(digests, [COLUMN, "key"])
         .groupBy(COLUMN, "key", "value")

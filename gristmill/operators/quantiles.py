@@ -19,15 +19,24 @@ def exact_quantiles(
     df: DataFrame,
     values: Mapping[str, Column],
     probabilities: Sequence[float],
-    small_rows: int = SMALL_ROWS,
-    small_bracket: int = SMALL_BRACKET,
+    counts: Mapping[str, int] | None = None,
+    small_rows: int | None = None,
+    small_bracket: int | None = None,
 ) -> dict[str, list[float] | None]:
-    """Linearly interpolated quantiles per column; None for a column without values."""
+    """Linearly interpolated quantiles per column; None for a column without values.
+
+    ``counts`` gives the number of values per column if the caller knows it already.
+    """
     if not values:
         return {}
+    small_rows = SMALL_ROWS if small_rows is None else small_rows
+    small_bracket = SMALL_BRACKET if small_bracket is None else small_bracket
     work = df.select(*[v.alias(f"q{i}") for i, v in enumerate(values.values())])
     columns = work.columns
-    counts = work.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    if counts is None:
+        counts = work.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    else:
+        counts = {c: counts[name] for name, c in zip(values, columns)}
     if max(counts.values()) <= small_rows:
         probs = F.array(*[F.lit(p) for p in probabilities])
         row = work.agg(*[F.percentile(c, probs).alias(c) for c in columns]).first()

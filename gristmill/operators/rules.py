@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gristmill.constants import CATEGORY_GROUPS, DATE_LIKE_SHARE, DATE_PARSED_SHARE
 from gristmill.functions import dates, numbers, text
 from gristmill.naming import ROW, IdNames, col, data_columns, is_number, is_text, is_time
-from gristmill.operators.cells import COLUMN, cells, spell_out, value_counts
+from gristmill.operators.cells import COLUMN, cells, settled, spell_out, value_counts
 from gristmill.operators.skew import hot_keys, is_small, lookup
 from gristmill.operators.store import keep
 
@@ -146,6 +146,7 @@ def _decide_text(name: str, facts: dict, parsed: dict | None, is_id: bool) -> Co
     if filled and not is_id and facts["numbers"] == filled and not facts["codes"]:
         whole = facts["whole"] == filled and facts["nulls"] + facts["blank"] == 0
         rules.number_type = "bigint" if whole else "double"
+        rules.changes["converted_to_numeric"] = filled
     return rules
 
 
@@ -155,9 +156,10 @@ def _before_casing(df: DataFrame, columns: Sequence[ColumnRules]) -> DataFrame:
     dated = [c for c in columns if c.date]
     if dated:
         bodies = {f"_body{i}": dates.date_body(col(c.name)) for i, c in enumerate(dated)}
-        df = df.withColumns(bodies)
-        iso = {c.name: dates.iso_text(dates.day_of(F.col(b))) for c, b in zip(dated, bodies)}
-        df = df.withColumns({n: F.coalesce(e, col(n)) for n, e in iso.items()}).drop(*bodies)
+        iso = [F.coalesce(dates.iso_text(dates.day_of(F.col(b))), col(c.name)) for c, b in zip(dated, bodies)]
+        df = settled(df.withColumns(bodies), {f"_iso{i}": e for i, e in enumerate(iso)}).drop(*bodies)
+        df = df.withColumns({c.name: F.col(f"_iso{i}") for i, c in enumerate(dated)})
+        df = df.drop(*[f"_iso{i}" for i in range(len(dated))])
     grouped = [c for c in columns if c.group is not None]
     if grouped:
         spelled = {c.name: text.category(col(c.name), CATEGORY_GROUPS[c.group]) for c in grouped}
@@ -219,16 +221,23 @@ def is_missing(rules: ColumnRules, original: Column, type_name: str) -> Column:
     so this needs the original cell alone and none of the later rules."""
     if rules.kind == "text":
         return original.isNull() | text.is_blank(text.strip(original))
-    if rules.kind == "number":
-        return numbers.no_nan(original, type_name).isNull()
+    if type_name in ("double", "float"):
+        return original.isNull() | F.isnan(original)
     return original.isNull()
 
 
-def apply(df: DataFrame, rules: Rules) -> DataFrame:
-    """The table after the column rules, original cells kept aside in ``_before``."""
+def apply(df: DataFrame, rules: Rules, flags: dict[str, Column] | None = None) -> DataFrame:
+    """The table after the column rules, original cells kept aside in ``_before``.
+
+    ``flags`` are tests on the original cells, added as columns. They are settled, since the
+    optimizer would rewrite a filter on many columns once per combination of column aliases.
+    """
     types = dict(df.dtypes)
     texts = [c for c in rules.columns if c.kind == "text"]
-    out = df.withColumn(BEFORE, F.struct(*[col(c.name) for c in rules.columns]))
+    flags = flags or {}
+    originals = F.struct(*[col(c.name) for c in rules.columns]).alias(BEFORE)
+    out = df.select(*[col(c.name) for c in rules.columns], originals, ROW)
+    out = settled(out, flags) if flags else out
     out = _before_casing(out, texts) if texts else out
     plain = {}
     for c in rules.columns:
@@ -250,4 +259,4 @@ def apply(df: DataFrame, rules: Rules) -> DataFrame:
             out = out.withColumn(c.name, F.coalesce("best", col(c.name))).drop("_key", "best")
     cast = {c.name: numbers.to_number(col(c.name), c.number_type) for c in texts if c.number_type}
     out = out.withColumns(cast) if cast else out
-    return out.select(*[col(c.name) for c in rules.columns], BEFORE, ROW)
+    return out.select(*[col(c.name) for c in rules.columns], BEFORE, ROW, *flags)

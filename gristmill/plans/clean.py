@@ -25,6 +25,7 @@ from gristmill.operators.rows import (
 )
 from gristmill.operators.rules import BEFORE, Rules, apply, decide, is_missing
 
+_EMPTY, _MISSING = "_is_empty", "_is_missing"
 ALL_EMPTY = "All fields empty except the ID"
 
 
@@ -42,23 +43,25 @@ class CleanResult:
         self.names = [c.name for c in rules.columns]
         self.id_column = ids.first(self.names)
         self._spark = df.sparkSession
-        self._applied = apply(df, rules)
         types = dict(df.dtypes)
-        # Tests on the original cells: a scan that only looks for gaps skips the other rules.
-        self._missing = {c.name: is_missing(c, F.col(BEFORE)[c.name], types[c.name]) for c in rules.columns}
+        missing = {c.name: is_missing(c, col(c.name), types[c.name]) for c in rules.columns}
         checked = [n for n in self.names if n != self.id_column] or self.names
-        self._is_empty = every([self._missing[n] for n in checked])
-        self._kept = self._applied.filter(~self._is_empty)
+        flags = {_EMPTY: every([missing[n] for n in checked]), _MISSING: some(list(missing.values()))}
+        self._applied = apply(df, rules, flags)
+        self._kept = self._applied.filter(~F.col(_EMPTY))
+        self._cell_missing = {
+            c.name: is_missing(c, F.col(BEFORE)[c.name], types[c.name]) for c in rules.columns
+        }
 
     @cached_property
     def _counts(self) -> dict[str, int]:
         """Rows in all, empty, with missing values, and nulls per column among the rows kept."""
-        is_kept = ~self._is_empty
+        is_kept = ~F.col(_EMPTY)
         row = self._applied.agg(
             F.count(F.lit(1)).alias("rows"),
             F.count_if(~is_kept).alias("empty"),
-            F.count_if(is_kept & some(list(self._missing.values()))).alias("missing"),
-            *[F.count_if(is_kept & test).alias(f"n{i}") for i, test in enumerate(self._missing.values())],
+            F.count_if(is_kept & F.col(_MISSING)).alias("missing"),
+            *[F.count_if(is_kept & test).alias(f"n{i}") for i, test in enumerate(self._cell_missing.values())],
         ).first()
         return row.asDict()
 
@@ -115,11 +118,11 @@ class CleanResult:
 
     @cached_property
     def empty(self) -> DataFrame:
-        return review(self._applied.filter(self._is_empty), self.names, F.lit(ALL_EMPTY))
+        return review(self._applied.filter(_EMPTY), self.names, F.lit(ALL_EMPTY))
 
     @cached_property
     def missing(self) -> DataFrame:
-        return review(self._kept.filter(some(list(self._missing.values()))), self.names, missing_reason(self._missing))
+        return review(self._kept.filter(_MISSING), self.names, missing_reason(self._cell_missing))
 
     @cached_property
     def duplicates(self) -> DataFrame:
@@ -150,6 +153,11 @@ class CleanResult:
             "final_row_count": self._kept_rows - removed,
         }
 
+    @property
+    def duplicate_members(self) -> int:
+        """Rows in the duplicates table."""
+        return self._repeated.members
+
     @cached_property
     def summary(self) -> DataFrame:
         return self._spark.createDataFrame(list(self.counts.items()), "metric string, value bigint")
