@@ -59,11 +59,12 @@ def compact(c: Column) -> Column:
     Whole texts take part; only the copy that travels through a shuffle is short.
     """
     return F.when(F.octet_length(c) <= KEY_BYTES, c).otherwise(
-        F.concat(F.lit("\u0000"), F.md5(c), F.hex(F.xxhash64(c)))
+        F.concat(F.lit("\u0000"), F.md5(c), F.lpad(F.hex(F.xxhash64(c)), 16, "0"))
     )
 
 
 def is_digest(key: Column) -> Column:
+    """A digest is 49 bytes long, one more than any text that is its own key."""
     return F.octet_length(key) > KEY_BYTES
 
 

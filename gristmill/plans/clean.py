@@ -26,6 +26,15 @@ from gristmill.operators.rows import (
 from gristmill.operators.rules import BEFORE, Rules, apply, decide, is_missing
 
 _EMPTY, _MISSING = "_is_empty", "_is_missing"
+RULE_NAMES = [
+    "blank_like_converted_to_null",
+    "whitespace_trimmed",
+    "dates_standardized",
+    "categories_standardized",
+    "casing_standardized",
+    "converted_to_numeric",
+    "missing_values_filled",
+]
 ALL_EMPTY = "All fields empty except the ID"
 
 
@@ -132,6 +141,11 @@ class CleanResult:
     def conflicts(self) -> DataFrame:
         return self._conflicts.review() if self._conflicts and self._conflicts.count else self._none()
 
+    @cached_property
+    def repaired(self) -> DataFrame:
+        """All rows after the column rules, empty rows and gaps still in."""
+        return self._applied.select(*[col(n) for n in self.names], ROW)
+
     @cached_property
     def filled(self) -> DataFrame:
         """All rows but the empty ones, gaps filled, duplicates still in."""
@@ -165,7 +179,8 @@ class CleanResult:
     @cached_property
     def changes(self) -> list[tuple[str, str, int]]:
         fills = [(n, "missing_values_filled", self.nulls[n]) for n in self.names if n in self.fills]
-        return self.rules.changes() + fills
+        order = {n: i for i, n in enumerate(self.names)}
+        return sorted(self.rules.changes() + fills, key=lambda c: (order[c[0]], RULE_NAMES.index(c[1])))
 
     @cached_property
     def column_report(self) -> DataFrame:

@@ -131,22 +131,20 @@ class ProfileResult:
                     n,
                     self._types[n],
                     nulls,
-                    _rounded(nulls / basics["rows"] * 100, stats.PERCENT_DIGITS),
+                    nulls / basics["rows"] * 100,
                     nulls == basics["rows"],
                     values["unique"],
-                    _rounded(basics.get("mean")),
-                    _rounded(median[0] if median else None),
-                    _rounded(basics.get("min")),
-                    _rounded(basics.get("max")),
+                    basics.get("mean"),
+                    median[0] if median else None,
+                    basics.get("min"),
+                    basics.get("max"),
                     self.blank_like.get(n),
                     extra.get(n),
                 )
             )
-        return self._spark.createDataFrame(records, _COLUMN_SCHEMA)
-
-
-def _rounded(value: float | None, digits: int = stats.STAT_DIGITS) -> float | None:
-    return None if value is None else round(float(value), digits)
+        table = self._spark.createDataFrame(records, _COLUMN_SCHEMA)
+        rounded = {n: F.round(n, stats.STAT_DIGITS) for n in ("mean", "median", "min", "max")}
+        return table.withColumns({**rounded, "null_percent": F.round("null_percent", stats.PERCENT_DIGITS)})
 
 
 def profile(df: DataFrame, id_columns: Iterable[str] | None = None) -> ProfileResult:

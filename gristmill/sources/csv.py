@@ -133,7 +133,8 @@ def read_csv(
         names, has_header = list(names), False
 
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, _BAD])
-    raw = spark.read.csv(
+    # Without pruning, lines are held against the whole schema where few columns are asked for, too.
+    raw = spark.read.option("columnPruning", False).csv(
         path,
         schema=schema,
         header=has_header,
