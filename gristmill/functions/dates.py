@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.constants import DATE_LIKE
@@ -22,23 +24,24 @@ _CLOCK = (
 _DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
 _SEP = "[-/. ]"
 
-# Text shapes and the year-month-day they mean. The "=" marks a text as settled, so that
-# no later shape takes it up again.
-_SHAPES = [
-    (rf"^(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})$", "=$1-$2-$3"),
-    (rf"^(1[3-9]|2\d|3[01]){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}|\d{{1,2}})$", "=$3-$2-$1"),
-    (rf"^(3[2-9]|[4-9]\d){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})$", "=$1-$2-$3"),
-    (rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}|\d{{1,2}})$", "=$3-$1-$2"),
-    (rf"^{_MONTH}\.?[-/ ]*{_DAY}[-/, ]+(\d{{4}}|\d{{2}})$", "=$3-$1-$2"),
-    (rf"^{_DAY}(?: of )?[-/. ]*{_MONTH}\.?[-/,. ]*(\d{{4}}|\d{{2}})$", "=$3-$2-$1"),
-    (rf"^(\d{{4}})[-/ ]{_MONTH}[-/ ]{_DAY}$", "=$1-$2-$3"),
-    (rf"^{_MONTH}\.?[-/, ]+(\d{{4}})$", "=$2-$1-1"),
-    (rf"^(\d{{4}})[-/ ]{_MONTH}$", "=$1-$2-1"),
-    (r"^(\d{4})(\d{2})(\d{2})$", "=$1-$2-$3"),
-    (r"^(\d{4})[-/](\d{1,2})$", "=$1-$2-1"),
-    (r"^(\d{1,2})[-/](\d{4})$", "=$2-$1-1"),
-    (r"^(\d{4})$", "=$1-1-1"),
-    (r"^(\d{4})-?q([1-4])$", "=$1-q$2-1"),
+# Text shapes and the year-month-day they mean.
+_NUMERIC_SHAPES = [
+    (rf"^(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})$", "$1-$2-$3"),
+    (rf"^(1[3-9]|2\d|3[01]){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}|\d{{1,2}})$", "$3-$2-$1"),
+    (rf"^(3[2-9]|[4-9]\d){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})$", "$1-$2-$3"),
+    (rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}|\d{{1,2}})$", "$3-$1-$2"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (r"^(\d{4})[-/](\d{1,2})$", "$1-$2-1"),
+    (r"^(\d{1,2})[-/](\d{4})$", "$2-$1-1"),
+    (r"^(\d{4})$", "$1-1-1"),
+]
+_NAMED_SHAPES = [
+    (rf"^{_DAY}(?: of )?[-/. ]*{_MONTH}\.?[-/,. ]*(\d{{4}}|\d{{2}})$", "$3-$2-$1"),
+    (rf"^{_MONTH}\.?[-/ ]*{_DAY}[-/, ]+(\d{{4}}|\d{{2}})$", "$3-$1-$2"),
+    (rf"^(\d{{4}})[-/ ]{_MONTH}[-/ ]{_DAY}$", "$1-$2-$3"),
+    (rf"^{_MONTH}\.?[-/, ]+(\d{{4}})$", "$2-$1-1"),
+    (rf"^(\d{{4}})[-/ ]{_MONTH}$", "$1-$2-1"),
+    (r"^(\d{4})-?q([1-4])$", "$1-q$2-1"),
 ]
 
 
@@ -46,24 +49,43 @@ def looks_like_date(c: Column) -> Column:
     return c.rlike(DATE_LIKE)
 
 
-def date_body(c: Column) -> Column:
-    """A date text rewritten as =year-month-day, clock time and weekday removed.
+def with_days(df: DataFrame, days: Mapping[str, Column]) -> DataFrame:
+    """Add the calendar date of texts as date columns, null where a text is no date.
 
-    day_of() uses it several times: give it a column of its own, so it is worked out once.
+    Each step is a column of its own, so that it is worked out once however often the next
+    step mentions it. Texts without letters are not held against shapes with month names.
     """
-    body = F.regexp_replace(F.regexp_replace(F.lower(strip(c)), _CLOCK, ""), _WEEKDAY, "")
-    for pattern, meaning in _SHAPES:
-        body = F.regexp_replace(body, pattern, meaning)
-    return body
+    steps = [f"_step{i}" for i in range(len(days))]
+    clock = r"[:m]"
+    df = df.withColumns({s: F.lower(strip(c)) for s, c in zip(steps, days.values())})
+    for prepare in (
+        lambda c: F.when(c.rlike(clock), F.regexp_replace(F.regexp_replace(c, _CLOCK, ""), _WEEKDAY, "")).otherwise(c),
+        _ordered,
+        day_of,
+    ):
+        df = df.withColumns({s: prepare(F.col(s)) for s in steps})
+    return df.withColumnsRenamed(dict(zip(steps, days)))
+
+
+def _ordered(body: Column) -> Column:
+    """A date text as year-month-day; null if it has none of the shapes."""
+
+    def first_of(shapes: list[tuple[str, str]]) -> Column:
+        chain = F
+        for pattern, meaning in shapes:
+            chain = chain.when(body.rlike(pattern), F.regexp_replace(body, pattern, meaning))
+        return chain
+
+    return F.when(body.rlike("[a-z]"), first_of(_NAMED_SHAPES)).otherwise(first_of(_NUMERIC_SHAPES))
 
 
-def day_of(body: Column) -> Column:
-    """The calendar date of a date_body(), or null where it is none."""
+def day_of(ordered: Column) -> Column:
+    """The calendar date of a year-month-day text with a two- or four-digit year."""
 
     def part(number: int) -> Column:
-        return F.split_part(body, F.lit("-"), F.lit(number))
+        return F.split_part(ordered, F.lit("-"), F.lit(number))
 
-    digits, month = F.ltrim(part(1), F.lit("=")), part(2)
+    digits, month = part(1), part(2)
     number = digits.try_cast("int")
     short = F.length(digits) <= 2
     # Two-digit years fall within 50 years of today.
@@ -78,7 +100,7 @@ def day_of(body: Column) -> Column:
     )
     day = F.concat_ws("-", year.cast("string"), month.cast("string"), part(3)).try_cast("date")
     # The years a 64-bit nanosecond clock covers whole.
-    return F.when(body.startswith("=") & year.between(1678, 2261), day)
+    return F.when(year.between(1678, 2261), day)
 
 
 def with_clock(day: Column, c: Column) -> Column:

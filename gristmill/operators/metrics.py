@@ -106,8 +106,7 @@ def date_shares(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
     likely = [n for n, f in facts.items() if f["filled"] and f["date_like"] / f["filled"] >= DATE_LIKE_SHARE]
     if likely:
         long = cells(df, [[col(n)] for n in likely], ["value"]).filter(value.isNotNull())
-        long = long.withColumn("body", dates.date_body(value))
-        parsed = long.groupBy(COLUMN).agg(F.count(dates.day_of(F.col("body"))).alias("parsed"))
+        parsed = dates.with_days(long, {"day": value}).groupBy(COLUMN).agg(F.count("day").alias("parsed"))
         for r in parsed.collect():
             facts[likely[r[COLUMN]]]["parsed"] = r["parsed"]
     for f in facts.values():
@@ -120,8 +119,8 @@ def moments(df: DataFrame, date_column: str) -> DataFrame:
     field = next(f for f in df.schema.fields if f.name == date_column)
     if is_time(field.dataType):
         return df.withColumn("_at", col(date_column).cast("timestamp_ntz"))
-    df = df.withColumn("_body", dates.date_body(col(date_column)))
-    return settled(df, {"_at": dates.with_clock(dates.day_of(F.col("_body")), col(date_column))}).drop("_body")
+    df = dates.with_days(df, {"_day": col(date_column)})
+    return settled(df, {"_at": dates.with_clock(F.col("_day"), col(date_column))}).drop("_day")
 
 
 def date_span(df: DataFrame) -> dict | None:

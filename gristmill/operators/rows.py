@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,21 +16,21 @@ from gristmill.operators.skew import hot_keys, is_small, lookup
 from gristmill.operators.store import keep
 
 
-def every(tests: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, tests)
+def review(df: DataFrame, names: Sequence[str], reason: Column) -> DataFrame:
+    """Rows for a person to look at: the reason, then the cells as they were before cleaning."""
+    return df.select(reason.alias("reason"), *[F.col(BEFORE)[n].alias(n) for n in names], ROW)
 
 
-def some(tests: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+def all_null(names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [col(n).isNull() for n in names])
 
 
-def review(df: DataFrame, names: Sequence[str], reason: Column) -> DataFrame:
-    """Rows for a person to look at: the reason, then the cells as they were before cleaning."""
-    return df.select(reason.alias("reason"), *[F.col(BEFORE)[n].alias(n) for n in names], ROW)
+def any_null(names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [col(n).isNull() for n in names])
 
 
-def missing_reason(missing: Mapping[str, Column]) -> Column:
-    named = F.array_compact(F.array(*[F.when(test, F.lit(n)) for n, test in missing.items()]))
+def missing_reason(names: Sequence[str]) -> Column:
+    named = F.array_compact(F.array(*[F.when(col(n).isNull(), F.lit(n)) for n in names]))
     return F.concat(F.lit("Missing values in: "), F.array_join(named, ", "))
 
 
@@ -46,7 +46,7 @@ class RepeatedRows:
     """
 
     def __init__(self, df: DataFrame, names: Sequence[str], total: int):
-        self.rows = with_row_key(df, names)
+        self.rows = df if KEY[0] in df.columns else with_row_key(df, names)
         counted = self.rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first_row"))
         self.groups = keep(counted.filter("n > 1"))
         self.count, copies = self.groups.agg(F.count(F.lit(1)), F.sum("n")).first()

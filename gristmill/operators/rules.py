@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gristmill.constants import CATEGORY_GROUPS, DATE_LIKE_SHARE, DATE_PARSED_SHARE
 from gristmill.functions import dates, numbers, text
 from gristmill.naming import ROW, IdNames, col, data_columns, is_number, is_text, is_time
-from gristmill.operators.cells import COLUMN, cells, settled, spell_out, value_counts
+from gristmill.operators.cells import COLUMN, cells, spell_out, value_counts
 from gristmill.operators.skew import hot_keys, is_small, lookup
 from gristmill.operators.store import keep
 
@@ -85,8 +85,7 @@ def date_facts(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
     if not names:
         return {}
     long = cells(df, [[text.tidy(col(n))] for n in names], ["value"]).filter("value is not null")
-    long = long.withColumn("body", dates.date_body(F.col("value")))
-    long = long.withColumn("iso", dates.iso_text(dates.day_of(F.col("body"))))
+    long = dates.with_days(long, {"day": F.col("value")}).withColumn("iso", dates.iso_text(F.col("day")))
     rows = (
         long.groupBy(COLUMN)
         .agg(F.count("iso").alias("parsed"), F.count_if(F.col("iso") != F.col("value")).alias("rewritten"))
@@ -155,11 +154,9 @@ def _before_casing(df: DataFrame, columns: Sequence[ColumnRules]) -> DataFrame:
     df = df.withColumns({c.name: text.tidy(col(c.name)) for c in columns})
     dated = [c for c in columns if c.date]
     if dated:
-        bodies = {f"_body{i}": dates.date_body(col(c.name)) for i, c in enumerate(dated)}
-        iso = [F.coalesce(dates.iso_text(dates.day_of(F.col(b))), col(c.name)) for c, b in zip(dated, bodies)]
-        df = settled(df.withColumns(bodies), {f"_iso{i}": e for i, e in enumerate(iso)}).drop(*bodies)
-        df = df.withColumns({c.name: F.col(f"_iso{i}") for i, c in enumerate(dated)})
-        df = df.drop(*[f"_iso{i}" for i in range(len(dated))])
+        days = {f"_day{i}": col(c.name) for i, c in enumerate(dated)}
+        iso = {c.name: F.coalesce(dates.iso_text(F.col(d)), col(c.name)) for c, d in zip(dated, days)}
+        df = dates.with_days(df, days).withColumns(iso).drop(*days)
     grouped = [c for c in columns if c.group is not None]
     if grouped:
         spelled = {c.name: text.category(col(c.name), CATEGORY_GROUPS[c.group]) for c in grouped}
@@ -216,28 +213,12 @@ def spelling_changes(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return keep(changes.join(spelled, [COLUMN, "best_key"]).select(COLUMN, "key", "best", "n"))
 
 
-def is_missing(rules: ColumnRules, original: Column, type_name: str) -> Column:
-    """True where a cell is null after the rules. Only markers and NaN turn into nulls,
-    so this needs the original cell alone and none of the later rules."""
-    if rules.kind == "text":
-        return original.isNull() | text.is_blank(text.strip(original))
-    if type_name in ("double", "float"):
-        return original.isNull() | F.isnan(original)
-    return original.isNull()
-
-
-def apply(df: DataFrame, rules: Rules, flags: dict[str, Column] | None = None) -> DataFrame:
-    """The table after the column rules, original cells kept aside in ``_before``.
-
-    ``flags`` are tests on the original cells, added as columns. They are settled, since the
-    optimizer would rewrite a filter on many columns once per combination of column aliases.
-    """
+def apply(df: DataFrame, rules: Rules) -> DataFrame:
+    """The table after the column rules, original cells kept aside in ``_before``."""
     types = dict(df.dtypes)
     texts = [c for c in rules.columns if c.kind == "text"]
-    flags = flags or {}
     originals = F.struct(*[col(c.name) for c in rules.columns]).alias(BEFORE)
     out = df.select(*[col(c.name) for c in rules.columns], originals, ROW)
-    out = settled(out, flags) if flags else out
     out = _before_casing(out, texts) if texts else out
     plain = {}
     for c in rules.columns:
@@ -259,4 +240,4 @@ def apply(df: DataFrame, rules: Rules, flags: dict[str, Column] | None = None) -
             out = out.withColumn(c.name, F.coalesce("best", col(c.name))).drop("_key", "best")
     cast = {c.name: numbers.to_number(col(c.name), c.number_type) for c in texts if c.number_type}
     out = out.withColumns(cast) if cast else out
-    return out.select(*[col(c.name) for c in rules.columns], BEFORE, ROW, *flags)
+    return out.select(*[col(c.name) for c in rules.columns], BEFORE, ROW)

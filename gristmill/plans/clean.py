@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.constants import TEXT_FILL
+from gristmill.functions.keys import KEY
 from gristmill.naming import ROW, IdNames, col, data_columns, is_number
 from gristmill.operators.order import ensure_row_order
 from gristmill.operators.quantiles import exact_quantiles
 from gristmill.operators.rows import (
     Conflicts,
     RepeatedRows,
+    all_null,
+    any_null,
     drop_repeats,
     duplicate_review,
-    every,
     missing_reason,
     review,
-    some,
+    with_row_key,
 )
-from gristmill.operators.rules import BEFORE, Rules, apply, decide, is_missing
+from gristmill.operators.rules import Rules, apply, decide
+from gristmill.operators.store import keep
 
 _EMPTY, _MISSING = "_is_empty", "_is_missing"
 RULE_NAMES = [
@@ -52,15 +55,22 @@ class CleanResult:
         self.names = [c.name for c in rules.columns]
         self.id_column = ids.first(self.names)
         self._spark = df.sparkSession
-        types = dict(df.dtypes)
-        missing = {c.name: is_missing(c, col(c.name), types[c.name]) for c in rules.columns}
-        checked = [n for n in self.names if n != self.id_column] or self.names
-        flags = {_EMPTY: every([missing[n] for n in checked]), _MISSING: some(list(missing.values()))}
-        self._applied = apply(df, rules, flags)
-        self._kept = self._applied.filter(~F.col(_EMPTY))
-        self._cell_missing = {
-            c.name: is_missing(c, F.col(BEFORE)[c.name], types[c.name]) for c in rules.columns
-        }
+        self._df = df
+        self._checked = [n for n in self.names if n != self.id_column] or self.names
+
+    @cached_property
+    def _applied(self) -> DataFrame:
+        """All rows after the rules, with their originals and row keys, written once.
+
+        The checks below read single columns of the written rows instead of running the rules
+        over the source again, and rows and their order stay the same for all of them.
+        """
+        rows = with_row_key(apply(self._df, self.rules), self.names)
+        return keep(rows.withColumns({_EMPTY: all_null(self._checked), _MISSING: any_null(self.names)}))
+
+    @cached_property
+    def _kept(self) -> DataFrame:
+        return self._applied.filter(~F.col(_EMPTY))
 
     @cached_property
     def _counts(self) -> dict[str, int]:
@@ -68,9 +78,9 @@ class CleanResult:
         is_kept = ~F.col(_EMPTY)
         row = self._applied.agg(
             F.count(F.lit(1)).alias("rows"),
-            F.count_if(~is_kept).alias("empty"),
+            F.count_if(F.col(_EMPTY)).alias("empty"),
             F.count_if(is_kept & F.col(_MISSING)).alias("missing"),
-            *[F.count_if(is_kept & test).alias(f"n{i}") for i, test in enumerate(self._cell_missing.values())],
+            *[F.count_if(is_kept & col(n).isNull()).alias(f"n{i}") for i, n in enumerate(self.names)],
         ).first()
         return row.asDict()
 
@@ -114,7 +124,7 @@ class CleanResult:
         """Equal rows after the fills, which may make more rows equal."""
         if not self.fills:
             return self._repeated
-        return RepeatedRows(self._filled, self.names, self._kept_rows)
+        return RepeatedRows(self._filled.drop(*KEY), self.names, self._kept_rows)
 
     @cached_property
     def _conflicts(self) -> Conflicts | None:
@@ -131,7 +141,7 @@ class CleanResult:
 
     @cached_property
     def missing(self) -> DataFrame:
-        return review(self._kept.filter(_MISSING), self.names, missing_reason(self._cell_missing))
+        return review(self._kept.filter(_MISSING), self.names, missing_reason(self.names))
 
     @cached_property
     def duplicates(self) -> DataFrame:

@@ -58,8 +58,7 @@ def _named_dates(df: DataFrame) -> DataFrame:
     named = [f.name for f in df.schema.fields if is_text(f.dataType) and _is_date_name(f.name)]
     if not named:
         return df
-    work = df.withColumns({f"_body{i}": dates.date_body(col(n)) for i, n in enumerate(named)})
-    work = work.withColumns({f"_day{i}": dates.day_of(F.col(f"_body{i}")) for i in range(len(named))})
+    work = dates.with_days(df, {f"_day{i}": col(n) for i, n in enumerate(named)})
     tests = [F.bool_and(col(n).isNull() | F.col(f"_day{i}").isNotNull()) for i, n in enumerate(named)]
     filled = [F.count(col(n)) > 0 for n in named]
     verdict = work.agg(*[t & f for t, f in zip(tests, filled)]).first()
