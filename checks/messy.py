@@ -79,7 +79,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, order: str | None = None)
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     names = [n for n in ("orders", "customer", "documents") if f"{{{n}}}" in sql]
     sql = sql.replace("{all}", "")
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+    return spark.sql(sql, **{n: dealt_out(table(spark, sf_dir, n)) for n in names})
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """The test files hold one row group each, which one task would read. Real tables have many."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0])
 
 
 def messy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

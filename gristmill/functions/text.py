@@ -20,13 +20,14 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
-def is_blank(stripped: Column) -> Column:
-    """True where an already stripped text is a missing-value marker.
+def short_lower(stripped: Column) -> Column:
+    """A short text in lower case, null if it is too long for a marker or a category."""
+    return F.when(F.octet_length(stripped) <= max(_LONGEST_MARKER, _LONGEST_CATEGORY), F.lower(stripped))
 
-    The length test keeps long texts from being lower-cased just to be turned down.
-    """
-    short = F.octet_length(stripped) <= _LONGEST_MARKER
-    return F.when(short, F.lower(stripped).isin(BLANK_MARKERS)).otherwise(F.lit(False))
+
+def is_blank(stripped: Column) -> Column:
+    """True where an already stripped text is a missing-value marker."""
+    return F.coalesce(short_lower(stripped).isin(BLANK_MARKERS), F.lit(False))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -40,12 +41,14 @@ def tidy(c: Column) -> Column:
 
 def category(stripped: Column, group: dict[str, str]) -> Column:
     """The group's spelling of a value, or null where the value is not in the group."""
-    short = F.octet_length(stripped) <= _LONGEST_CATEGORY
-    chain = None
+    return spelled(short_lower(stripped), group)
+
+
+def spelled(lower: Column, group: dict[str, str]) -> Column:
+    chain = F
     for key, spelling in group.items():
-        hit = F.lower(stripped) == key
-        chain = F.when(hit, spelling) if chain is None else chain.when(hit, spelling)
-    return F.when(short, chain)
+        chain = chain.when(lower == key, spelling)
+    return chain
 
 
 def may_have_case(c: Column) -> Column:

@@ -18,7 +18,8 @@ from gristmill.operators.store import keep
 
 def review(df: DataFrame, names: Sequence[str], reason: Column) -> DataFrame:
     """Rows for a person to look at: the reason, then the cells as they were before cleaning."""
-    return df.select(reason.alias("reason"), *[F.col(BEFORE)[n].alias(n) for n in names], ROW)
+    title = "_reason" if "reason" in [n.lower() for n in names] else "reason"
+    return df.select(reason.alias(title), *[F.col(BEFORE)[n].alias(n) for n in names], ROW)
 
 
 def all_null(names: Sequence[str]) -> Column:
@@ -47,13 +48,13 @@ class RepeatedRows:
 
     def __init__(self, df: DataFrame, names: Sequence[str], total: int):
         self.rows = df if KEY[0] in df.columns else with_row_key(df, names)
-        counted = self.rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first_row"))
-        self.groups = keep(counted.filter("n > 1"))
-        self.count, copies = self.groups.agg(F.count(F.lit(1)), F.sum("n")).first()
+        counted = self.rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.min(ROW).alias("_first"))
+        self.groups = keep(counted.filter("_n > 1"))
+        self.count, copies = self.groups.agg(F.count(F.lit(1)), F.sum("_n")).first()
         self.members = copies or 0
         self.extra = self.members - self.count
         self.small = is_small(self.groups)
-        self.hot = None if self.small else hot_keys(self.groups, KEY, total)
+        self.hot = None if self.small else hot_keys(self.groups, KEY, total, "_n")
 
     def join(self, rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
         return lookup(rows, table, KEY, self.hot, how, small=self.small)
@@ -68,9 +69,9 @@ class RepeatedRows:
 
 def duplicate_review(repeated: RepeatedRows, names: Sequence[str]) -> DataFrame:
     """Every member of every group of equal rows; groups numbered by their first row."""
-    numbered = number_rows(repeated.groups, ["first_row", *KEY], "_group").select(*KEY, "n", "_group")
+    numbered = number_rows(repeated.groups, ["_first", *KEY], "_group").select(*KEY, "_n", "_group")
     rows = repeated.join(repeated.rows, numbered)
-    reason = F.format_string("Exact duplicate - matches %d other row(s) (group %d)", F.col("n") - 1, F.col("_group"))
+    reason = F.format_string("Exact duplicate - matches %d other row(s) (group %d)", F.col("_n") - 1, F.col("_group"))
     return review(rows, names, reason)
 
 
@@ -82,16 +83,16 @@ class Conflicts:
         self._names = names
         self._id_name = id_name
         rows = repeated.rows.withColumn("_id", col(id_name)).filter(F.col("_id").isNotNull())
-        counted = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
-        self._ids = keep(counted.filter("n > 1"))
+        counted = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+        self._ids = keep(counted.filter("_n > 1"))
         small = is_small(self._ids)
-        self._hot = None if small else hot_keys(self._ids, ["_id"], total)
+        self._hot = None if small else hot_keys(self._ids, ["_id"], total, "_n")
         # With few repeated IDs, only their rows go through the shuffle below.
         self._rows = rows
         narrowed = lookup(rows, self._ids.select("_id"), ["_id"], small=True) if small else rows
         self.ids = keep(self._compare(narrowed))
         self._small = is_small(self.ids)
-        self.count = self.ids.agg(F.sum("lone")).first()[0] or 0
+        self.count = self.ids.agg(F.sum("_lone")).first()[0] or 0
 
     def _compare(self, rows: DataFrame) -> DataFrame:
         """Per ID: how many rows have no exact copy, and in which columns those differ.
@@ -103,20 +104,20 @@ class Conflicts:
         distinct = (
             rows.withColumns(cells)
             .groupBy("_id", *KEY)
-            .agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in cells])
+            .agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in cells])
         )
-        lone = {c: F.when(F.col("n") == 1, F.col(c)) for c in cells}
+        lone = {c: F.when(F.col("_n") == 1, F.col(c)) for c in cells}
         per_id = distinct.groupBy("_id").agg(
-            F.sum("n").alias("rows"),
-            F.count_if(F.col("n") == 1).alias("lone"),
+            F.sum("_n").alias("_rows"),
+            F.count_if(F.col("_n") == 1).alias("_lone"),
             *[(F.min(v) != F.max(v)).alias(c) for c, v in lone.items()],
         )
         differing = F.array_compact(F.array(*[F.when(F.col(c), F.lit(n)) for c, n in zip(cells, others)]))
         differs = F.array_join(differing, ", ") if others else F.lit("")
-        return per_id.filter("rows > 1 and lone > 0").select("_id", "lone", differs.alias("_differs"))
+        return per_id.filter("_rows > 1 and _lone > 0").select("_id", "_lone", differs.alias("_differs"))
 
     def review(self) -> DataFrame:
-        rows = lookup(self._rows, self.ids.drop("lone"), ["_id"], self._hot, small=self._small)
+        rows = lookup(self._rows, self.ids.drop("_lone"), ["_id"], self._hot, small=self._small)
         rows = self._repeated.singles(rows)
         reason = F.concat(F.lit(f"Same {self._id_name} as another row, but differs in: "), F.col("_differs"))
         return review(rows, self._names, reason)

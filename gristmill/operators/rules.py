@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.constants import CATEGORY_GROUPS, DATE_LIKE_SHARE, DATE_PARSED_SHARE
+from gristmill.constants import BLANK_MARKERS, CATEGORY_GROUPS, DATE_LIKE_SHARE, DATE_PARSED_SHARE
 from gristmill.functions import dates, numbers, text
 from gristmill.naming import ROW, IdNames, col, data_columns, is_number, is_text, is_time
 from gristmill.operators.cells import COLUMN, cells, spell_out, value_counts
@@ -55,23 +55,26 @@ def text_facts(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
     """Counts that settle all text rules but dates and casing: one scan, one small aggregate."""
     if not names:
         return {}
-    value, stripped = F.col("value"), F.col("stripped")
+    value, stripped, lower, number = (F.col(c) for c in ("value", "stripped", "lower", "number"))
     long = cells(df, [[col(n)] for n in names], ["value"]).withColumn("stripped", text.strip(value))
-    long = long.withColumn("blank", text.is_blank(stripped))
-    filled = value.isNotNull() & ~F.col("blank")
+    long = long.withColumn("lower", text.short_lower(stripped))
+    long = long.withColumn("number", numbers.may_be_number(stripped) & numbers.is_number_text(stripped))
+    blank = F.coalesce(lower.isin(BLANK_MARKERS), F.lit(False))
+    long = long.withColumn("filled", value.isNotNull() & ~blank)
+    filled = F.col("filled")
     facts = {
         "nulls": F.count_if(value.isNull()),
-        "blank": F.count_if(F.col("blank")),
+        "blank": F.count_if(value.isNotNull() & ~filled),
         "filled": F.count_if(filled),
         "trimmed": F.count_if(filled & (value != stripped)),
         "date_like": F.count_if(filled & dates.looks_like_date(stripped)),
-        "numbers": F.count_if(filled & numbers.is_number_text(stripped)),
-        "whole": F.count_if(filled & numbers.is_whole_text(stripped)),
-        "codes": F.count_if(filled & numbers.is_code(stripped)),
+        "numbers": F.count_if(filled & number),
+        "whole": F.count_if(filled & number & numbers.is_whole_text(stripped)),
+        "codes": F.count_if(filled & number & numbers.is_code(stripped)),
         "cased": F.count_if(filled & text.may_have_case(stripped)),
     }
     for i, group in enumerate(CATEGORY_GROUPS):
-        spelled = text.category(stripped, group)
+        spelled = text.spelled(lower, group)
         facts[f"group{i}"] = F.count_if(filled & spelled.isNotNull())
         facts[f"respelled{i}"] = F.count_if(filled & (spelled != stripped))
     rows = long.groupBy(COLUMN).agg(*[e.alias(k) for k, e in facts.items()]).collect()
@@ -185,7 +188,7 @@ def _decide_casing(df: DataFrame, rules: Rules, facts: dict, parsed: dict) -> No
     if not per_column:
         return
     named = F.element_at(F.array(*[F.lit(c.name) for c in open_]), F.col(COLUMN) + 1)
-    rules.spellings = table.select(named.alias("_name"), F.col("key").alias("_key"), "best")
+    rules.spellings = table.select(named.alias("_name"), F.col("key").alias("_key"), F.col("best").alias("_best"))
     rules.spellings_small = is_small(rules.spellings)
     if not rules.spellings_small:
         respelled = [c for c in open_ if c.spellings]
@@ -231,13 +234,13 @@ def apply(df: DataFrame, rules: Rules) -> DataFrame:
     out = out.withColumns(plain) if plain else out
     for c in texts:
         if c.spellings:
-            table = rules.spellings.filter(F.col("_name") == c.name).select("_key", "best")
+            table = rules.spellings.filter(F.col("_name") == c.name).select("_key", "_best")
             hot = rules.hot_values
             if hot is not None:
                 hot = hot.filter(F.col("_name") == c.name).select("_key", "_salts")
             out = out.withColumn("_key", text.compact(col(c.name)))
             out = lookup(out, table, ["_key"], hot, "left", small=rules.spellings_small)
-            out = out.withColumn(c.name, F.coalesce("best", col(c.name))).drop("_key", "best")
+            out = out.withColumn(c.name, F.coalesce("_best", col(c.name))).drop("_key", "_best")
     cast = {c.name: numbers.to_number(col(c.name), c.number_type) for c in texts if c.number_type}
     out = out.withColumns(cast) if cast else out
     return out.select(*[col(c.name) for c in rules.columns], BEFORE, ROW)

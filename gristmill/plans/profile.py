@@ -101,7 +101,7 @@ class ProfileResult:
     @cached_property
     def duplicate_row_examples(self) -> DataFrame:
         """The first rows that have an equal. They belong to the groups seen first."""
-        first = self._repeated.groups.orderBy("first_row").limit(DUPLICATE_ROW_EXAMPLES).select(*KEY)
+        first = self._repeated.groups.orderBy("_first").limit(DUPLICATE_ROW_EXAMPLES).select(*KEY)
         rows = self._repeated.rows.join(F.broadcast(first), KEY, "left_semi")
         return rows.select(*[col(n) for n in self.names], ROW).orderBy(ROW).limit(DUPLICATE_ROW_EXAMPLES)
 
