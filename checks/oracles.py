@@ -397,7 +397,9 @@ def oracle_sql() -> dict[str, str]:
           first AS (SELECT "column", arg_min(k, seen) AS k FROM g GROUP BY 1)
           SELECT "column", spelling FROM s JOIN first USING ("column", k)""",
         "duplicate_values": " UNION ALL ".join(
-            top_sql("events", c, "event_id", "CAST(v AS VARCHAR) AS value", 3, 2) for c in ("event_id", "user_id", "ts")
+            f"""SELECT * FROM ({top_sql("events", c, "event_id", "CAST(v AS VARCHAR) AS value", 3, 2)})
+            WHERE {c in IDS} OR (SELECT count(DISTINCT {c}) >= 0.9 * count({c}) FROM events)"""
+            for c in TABLES["events"]
         ),
         "duplicate_row_examples": f"""WITH {MESSY}, e AS (SELECT *, count(*) OVER (PARTITION BY {CELLS}) AS n FROM m)
           SELECT {CELLS}, row_no FROM e WHERE n > 1 ORDER BY row_no LIMIT 3""",

@@ -71,11 +71,14 @@ def is_digest(key: Column) -> Column:
     return F.octet_length(key) > KEY_BYTES
 
 
-def as_text(c: Column, type_name: str) -> Column:
-    """A cell as text, with booleans as True/False and whole numbers without a fraction."""
+def as_text(c: Column, type_name: str, fraction: str = "") -> Column:
+    """A cell as text: booleans as True/False, whole numbers in plain digits.
+
+    ``fraction`` follows whole numbers of a fractional type.
+    """
     if type_name == "boolean":
         return F.when(c, "True").when(~c, "False")
     if type_name in ("double", "float"):
         whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-        return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+        return F.when(whole, F.concat(c.cast("bigint").cast("string"), F.lit(fraction))).otherwise(c.cast("string"))
     return c.cast("string")

@@ -20,7 +20,7 @@ PERCENT_DIGITS = 2
 def values_of(df: DataFrame, names: Iterable[str]) -> dict[str, Column]:
     """Columns as text, with NaN as null."""
     types = dict(df.dtypes)
-    return {n: text.as_text(numbers.no_nan(col(n), types[n]), types[n]) for n in names}
+    return {n: text.as_text(numbers.no_nan(col(n), types[n]), types[n], ".0") for n in names}
 
 
 def number_stats(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:

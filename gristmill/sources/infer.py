@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.constants import CSV_NULL_TOKENS
 from gristmill.functions import numbers, text
-from gristmill.naming import ROW, col, data_columns, is_text
+from gristmill.naming import col, is_text
 from gristmill.operators.cells import COLUMN, cells
 
 _TRUE = ["True", "TRUE", "true"]
@@ -20,16 +20,15 @@ def default_nulls(df: DataFrame) -> DataFrame:
     return df.select(
         *[
             F.when(~col(n).isin(CSV_NULL_TOKENS), col(n)).alias(n) if is_text(types[n]) else col(n)
-            for n in data_columns(df)
-        ],
-        *[c for c in df.columns if c == ROW],
+            for n in df.columns
+        ]
     )
 
 
 def column_types(df: DataFrame) -> dict[str, str]:
     """The type each text column deserves: bigint, double, boolean or string. One scan."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    names = [n for n in data_columns(df) if is_text(types[n])]
+    names = [n for n, t in types.items() if is_text(t)]
     if not names:
         return {}
     value, stripped = F.col("value"), text.strip(F.col("value"))
