@@ -377,7 +377,7 @@ def group_comparisons_many(spark, sf_dir):
 def date_span(spark, sf_dir):
     spans = []
     for name, column in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"), ("events", "ts")):
-        span = metrics.date_span(metrics.moments(table(spark, sf_dir, name), column))
+        span = metrics.date_span(metrics.daily(metrics.moments(table(spark, sf_dir, name), column), []))
         spans.append((name, span["rows"], span["days"], span["period"]))
     return spark.createDataFrame(spans, "name string, rows bigint, days bigint, period string")
 
@@ -399,8 +399,9 @@ def trend_text_dates(spark, sf_dir):
 
 @query
 def period_averages(spark, sf_dir):
-    placed = metrics.moments(table(spark, sf_dir, "lineitem"), "l_shipdate")
-    found = metrics.period_averages(placed, ["l_quantity", "l_extendedprice"], "month")
+    measures = ["l_quantity", "l_extendedprice"]
+    days = metrics.daily(metrics.moments(table(spark, sf_dir, "lineitem"), "l_shipdate"), measures)
+    found = metrics.period_averages(days, measures, "month")
     return found.select(
         F.date_format("_period", "yyyy-MM-dd").alias("period"),
         F.round("m0", 4).alias("quantity"),

@@ -21,6 +21,7 @@ _CLOCK = (
     r"|([01]?\d|2[0-3]):([0-5]\d)(?::([0-5]\d)(?:[.,](\d+))?)?)"
     r"\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})?$"
 )
+_MAY_HAVE_CLOCK = "[:m]"
 _DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
 _SEP = "[-/. ]"
 
@@ -56,10 +57,9 @@ def with_days(df: DataFrame, days: Mapping[str, Column]) -> DataFrame:
     step mentions it. Texts without letters are not held against shapes with month names.
     """
     steps = [f"_step{i}" for i in range(len(days))]
-    clock = r"[:m]"
     df = df.withColumns({s: F.lower(strip(c)) for s, c in zip(steps, days.values())})
     for prepare in (
-        lambda c: F.when(c.rlike(clock), F.regexp_replace(F.regexp_replace(c, _CLOCK, ""), _WEEKDAY, "")).otherwise(c),
+        lambda c: F.when(c.rlike(_MAY_HAVE_CLOCK), F.regexp_replace(F.regexp_replace(c, _CLOCK, ""), _WEEKDAY, "")).otherwise(c),
         _ordered,
         day_of,
     ):
@@ -124,7 +124,8 @@ def with_clock(day: Column, c: Column) -> Column:
         F.coalesce(minute, F.lit(0)),
         F.coalesce(second, F.lit(0.0)).cast("decimal(18,6)"),
     )
-    return day.cast("timestamp_ntz") + clock
+    midnight = day.cast("timestamp_ntz")
+    return F.when(text.rlike(_MAY_HAVE_CLOCK), midnight + clock).otherwise(midnight)
 
 
 def iso_text(day: Column) -> Column:

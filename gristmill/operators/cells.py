@@ -3,20 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import compact, is_digest
+from gristmill.functions.numbers import no_nan
+from gristmill.functions.text import as_text, compact, is_digest
 from gristmill.naming import ROW, col
 
 COLUMN = "_col"
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
-def cells(df: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+
+def cells(
+    df: DataFrame,
+    rows: Sequence[Sequence[Column]],
+    names: Sequence[str],
+    keep: Sequence[str] = (),
+    numbers: Sequence[int] | None = None,
+) -> DataFrame:
     """One output row per input row and column: its column number and the given values."""
     flat = [F.lit(len(rows))]
-    for number, values in enumerate(rows):
+    for number, values in zip(range(len(rows)) if numbers is None else numbers, rows):
         flat += [F.lit(number), *values]
     return df.select(*keep, F.stack(*flat).alias(COLUMN, *names))
 
@@ -30,32 +40,49 @@ def settled(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     return df.select(*[col(c) for c in df.columns if c not in values], F.stack(F.lit(1), *values.values()).alias(*values))
 
 
-def value_counts(df: DataFrame, values: Mapping[str, Column], fold: bool = False) -> DataFrame:
+def value_counts(df: DataFrame, names: Sequence[str], fold: bool = False) -> DataFrame:
     """How often each distinct value of each column occurs, and in which row first.
 
-    Long texts are counted under their digest, so a shuffle row stays small whatever the
-    texts' length. Counts combine on the map side first: a value that fills a third of
-    the table leaves each task as one row. With ``fold``, also the lower-cased key.
+    Columns of one type are counted together, under the values themselves; only distinct
+    values are turned into text. Long texts are counted under their digest, so a shuffle row
+    stays small whatever the texts' length. Counts combine on the map side first: a value
+    that fills a third of the table leaves each task as one row. ``folded`` is the key of the
+    lower-cased text where ``fold`` asks for it, else the key.
     """
+    kinds = dict(df.dtypes)
+    families: dict[str, list[int]] = {}
+    for number, name in enumerate(names):
+        kind = "bigint" if kinds[name] in _WHOLE else kinds[name]
+        families.setdefault(kind, []).append(number)
+    counted = [_count_family(df, names, numbers, kind, fold) for kind, numbers in families.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def _count_family(df: DataFrame, names: Sequence[str], numbers: list[int], kind: str, fold: bool) -> DataFrame:
     value = F.col("value")
-    long = cells(df, [[v] for v in values.values()], ["value"], keep=[ROW]).filter(value.isNotNull())
-    keys = {"key": compact(value)}
-    if fold:
-        keys["folded"] = compact(F.lower(value))
-    counted = long.select(COLUMN, ROW, *[k.alias(n) for n, k in keys.items()]).groupBy(COLUMN, *keys)
-    return counted.agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first_row"))
+    rows = [[no_nan(col(names[i]), kind).cast(kind)] for i in numbers]
+    long = cells(df, rows, ["value"], keep=[ROW], numbers=numbers).filter(value.isNotNull())
+    if kind == "string":
+        keys = {"key": compact(value)}
+        if fold:
+            keys["folded"] = compact(F.lower(value))
+    else:
+        keys = {"key": value}
+    grouped = long.select(COLUMN, ROW, *[k.alias(n) for n, k in keys.items()]).groupBy(COLUMN, *keys)
+    counted = grouped.agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first_row"))
+    key = F.col("key") if kind == "string" else as_text(F.col("key"), kind, ".0")
+    folded = F.col("folded") if "folded" in keys else key
+    return counted.select(COLUMN, key.alias("key"), folded.alias("folded"), "n", "first_row")
 
 
-def spell_out(df: DataFrame, values: Mapping[str, Column], picked: DataFrame) -> DataFrame | None:
+def spell_out(df: DataFrame, names: Sequence[str], picked: DataFrame) -> DataFrame | None:
     """The whole texts (column, key, value) of picked keys; None if every key is its own text."""
     digests = picked.filter(is_digest(F.col("key"))).select(COLUMN, "key").distinct()
-    wanted = {r[0] for r in digests.select(COLUMN).distinct().collect()}
+    wanted = sorted(r[0] for r in digests.select(COLUMN).distinct().collect())
     if not wanted:
         return None
-    nothing = F.lit(None).cast("string")
-    rows = [[v] if i in wanted else [nothing] for i, v in enumerate(values.values())]
     texts = (
-        cells(df, rows, ["value"])
+        cells(df, [[col(names[i])] for i in wanted], ["value"], numbers=wanted)
         .withColumn("key", compact(F.col("value")))
         .filter(is_digest(F.col("key")))
         .join(digests, [COLUMN, "key"])

@@ -60,8 +60,7 @@ class ColumnValues:
     def __init__(self, df: DataFrame, names: Sequence[str], folded: bool = True):
         self.df = df
         self.names = list(names)
-        self.values = values_of(df, self.names)
-        self.counts = keep(value_counts(df, self.values, fold=folded))
+        self.counts = keep(value_counts(df, self.names, fold=folded))
 
     def _rows(self, df: DataFrame) -> dict[str, dict]:
         return {self.names[r[COLUMN]]: r.asDict() for r in df.collect()}
@@ -81,7 +80,7 @@ class ColumnValues:
 
     def _whole(self, picked: DataFrame) -> DataFrame:
         """Picked keys with their texts."""
-        texts = spell_out(self.df, self.values, picked)
+        texts = spell_out(self.df, self.names, picked)
         if texts is None:
             return picked.withColumn("value", F.col("key"))
         return picked.join(texts, [COLUMN, "key"])
@@ -130,9 +129,8 @@ def repeated_values(values: ColumnValues, facts: Mapping[str, dict], ids: IdName
 
 
 def blank_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(column, blank_like): cells holding a missing-value marker, nulls not counted."""
-    values = values_of(df, names)
-    long = cells(df, [[text.strip(v)] for v in values.values()], ["value"])
+    """(column, blank_like): cells of text columns holding a missing-value marker, nulls not counted."""
+    long = cells(df, [[text.strip(col(n))] for n in names], ["value"])
     counted = long.groupBy(COLUMN).agg(F.count_if(text.is_blank(F.col("value"))).alias("blank_like"))
     named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col(COLUMN) + 1)
     return counted.select(named.alias("column"), "blank_like")

@@ -29,6 +29,7 @@ from gristmill.operators.cells import COLUMN, cells, settled
 from gristmill.operators.columns import as_double, values_of
 from gristmill.operators.quantiles import exact_quantiles
 from gristmill.operators.rules import is_date_text
+from gristmill.operators.store import keep
 
 # Pairs per aggregate, to keep generated code small.
 _PAIRS_AT_ONCE = 50
@@ -123,26 +124,35 @@ def moments(df: DataFrame, date_column: str) -> DataFrame:
     return settled(df, {"_at": dates.with_clock(F.col("_day"), col(date_column))}).drop("_day")
 
 
-def date_span(df: DataFrame) -> dict | None:
+def daily(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Per day: rows, first and last moment, and sum and count of every metric.
+
+    One scan of the table; a calendar has few days, so all that follows is small.
+    """
+    values = [as_double(df, n) for n in metrics]
+    sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(values)]
+    counts = [F.count(v).alias(f"c{i}") for i, v in enumerate(values)]
+    days = df.filter(F.col("_at").isNotNull()).groupBy(F.col("_at").cast("date").alias("_day"))
+    return keep(
+        days.agg(F.count(F.lit(1)).alias("rows"), F.min("_at").alias("start"), F.max("_at").alias("end"), *sums, *counts)
+    )
+
+
+def date_span(days: DataFrame) -> dict | None:
     """First and last moment, valid rows and the period fit for the span; None below two rows."""
-    row = df.agg(F.count("_at").alias("rows"), F.min("_at").alias("start"), F.max("_at").alias("end")).first()
-    if row["rows"] < 2:
+    row = days.agg(F.sum("rows").alias("rows"), F.min("start").alias("start"), F.max("end").alias("end")).first()
+    if not row["rows"] or row["rows"] < 2:
         return None
-    days = (row["end"] - row["start"]).days
-    period = next(label for least, label in PERIODS if days >= least)
-    return {"rows": row["rows"], "start": row["start"], "end": row["end"], "days": days, "period": period}
+    length = (row["end"] - row["start"]).days
+    period = next(label for least, label in PERIODS if length >= least)
+    return {"rows": row["rows"], "start": row["start"], "end": row["end"], "days": length, "period": period}
 
 
-def period_averages(df: DataFrame, metrics: Sequence[str], period: str) -> DataFrame:
-    """(_period, m0, m1, ...): the mean of every metric per day, week, month or year.
-
-    The period is chosen from the span, so there are few hundred periods at most.
-    """
-    return (
-        df.filter(F.col("_at").isNotNull())
-        .groupBy(F.date_trunc(period, "_at").alias("_period"))
-        .agg(*[F.avg(as_double(df, n)).alias(f"m{i}") for i, n in enumerate(metrics)])
-    )
+def period_averages(days: DataFrame, metrics: Sequence[str], period: str) -> DataFrame:
+    """(_period, m0, m1, ...): the mean of every metric per day, week, month or year."""
+    start = F.date_trunc(period, F.col("_day").cast("timestamp_ntz")).alias("_period")
+    means = [F.try_divide(F.sum(f"s{i}"), F.sum(f"c{i}")).alias(f"m{i}") for i in range(len(metrics))]
+    return days.groupBy(start).agg(*means)
 
 
 TREND_SCHEMA = (
@@ -159,11 +169,11 @@ def trends(df: DataFrame, ids: IdNames, dated: Sequence[str] | None = None) -> D
     dated = date_columns(df) if dated is None else list(dated)
     if not dated or not metrics:
         return none
-    placed = moments(df, dated[0])
-    span = date_span(placed)
+    days = daily(moments(df, dated[0]), metrics)
+    span = date_span(days)
     if span is None:
         return none
-    averages = period_averages(placed, metrics, span["period"])
+    averages = period_averages(days, metrics, span["period"])
     ends = averages.agg(
         F.count(F.lit(1)).alias("period_count"),
         F.array(*[F.min_by(f"m{i}", "_period") for i in range(len(metrics))]).alias("first"),

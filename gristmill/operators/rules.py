@@ -180,7 +180,7 @@ def _decide_casing(df: DataFrame, rules: Rules, facts: dict, parsed: dict) -> No
     if not open_:
         return
     staged = _before_casing(df.select(ROW, *[col(c.name) for c in open_]), open_)
-    table = spelling_changes(staged, {c.name: col(c.name) for c in open_})
+    table = spelling_changes(staged, [c.name for c in open_])
     per_column = {r[0]: r[1] for r in table.groupBy(COLUMN).agg(F.sum("n")).collect()}
     for number, c in enumerate(open_):
         c.changes["casing_standardized"] = per_column.get(number, 0)
@@ -193,12 +193,12 @@ def _decide_casing(df: DataFrame, rules: Rules, facts: dict, parsed: dict) -> No
     if not rules.spellings_small:
         respelled = [c for c in open_ if c.spellings]
         named = F.element_at(F.array(*[F.lit(c.name) for c in respelled]), F.col(COLUMN) + 1)
-        counts = value_counts(staged, {c.name: col(c.name) for c in respelled})
+        counts = value_counts(staged, [c.name for c in respelled])
         counts = counts.select(named.alias("_name"), F.col("key").alias("_key"), "n")
         rules.hot_values = hot_keys(counts, ["_name", "_key"], df.count())
 
 
-def spelling_changes(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+def spelling_changes(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(column, key, best, n): keys whose text is respelled as ``best``, in ``n`` cells.
 
     Of the spellings that differ in case only, the most frequent wins; the first in row
@@ -206,10 +206,10 @@ def spelling_changes(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     combining, so its groups hold the spellings of one text and not the rows.
     """
     rivals = Window.partitionBy(COLUMN, "folded").orderBy(F.desc("n"), "first_row")
-    counted = value_counts(df, values, fold=True).withColumn("best_key", F.first("key").over(rivals))
+    counted = value_counts(df, names, fold=True).withColumn("best_key", F.first("key").over(rivals))
     changes = keep(counted.filter("key <> best_key").select(COLUMN, "key", "best_key", "n"))
     best = changes.select(COLUMN, F.col("best_key").alias("key")).distinct()
-    spelled = spell_out(df, values, best)
+    spelled = spell_out(df, names, best)
     if spelled is None:
         return changes.withColumnRenamed("best_key", "best")
     spelled = spelled.select(COLUMN, F.col("key").alias("best_key"), F.col("value").alias("best"))

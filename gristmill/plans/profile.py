@@ -64,7 +64,9 @@ class ProfileResult:
     @cached_property
     def blank_like(self) -> dict[str, int]:
         """Cells of text columns that hold a missing-value marker."""
-        return dict(stats.blank_counts(self._df, self.other).collect()) if self.other else {}
+        texts = [n for n in self.other if self._types[n] == "string"]
+        found = dict(stats.blank_counts(self._df, texts).collect()) if texts else {}
+        return {n: found.get(n, 0) for n in self.other}
 
     @cached_property
     def _values(self) -> stats.ColumnValues:
