@@ -2,6 +2,7 @@
 
 from gristmill.naming import is_id_name, nested_to_text
 from gristmill.operators.order import with_row_order
+from gristmill.operators.store import clear_kept_tables
 from gristmill.plans.analyze import analyze
 from gristmill.plans.clean import clean
 from gristmill.plans.gather import gather
@@ -20,6 +21,7 @@ from gristmill.sources.tables import (
 __all__ = [
     "analyze",
     "clean",
+    "clear_kept_tables",
     "discover",
     "gather",
     "is_id_name",

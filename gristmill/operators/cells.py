@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from gristmill.functions.numbers import no_nan
 from gristmill.functions.text import as_text, compact, is_digest
 from gristmill.naming import ROW, col
+from gristmill.operators.skew import is_small
+from gristmill.operators.store import keep
 
 COLUMN = "_col"
 
@@ -21,14 +23,14 @@ def cells(
     df: DataFrame,
     rows: Sequence[Sequence[Column]],
     names: Sequence[str],
-    keep: Sequence[str] = (),
+    carried: Sequence[str] = (),
     numbers: Sequence[int] | None = None,
 ) -> DataFrame:
     """One output row per input row and column: its column number and the given values."""
     flat = [F.lit(len(rows))]
     for number, values in zip(range(len(rows)) if numbers is None else numbers, rows):
         flat += [F.lit(number), *values]
-    return df.select(*keep, F.stack(*flat).alias(COLUMN, *names))
+    return df.select(*carried, F.stack(*flat).alias(COLUMN, *names))
 
 
 def settled(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
@@ -61,7 +63,7 @@ def value_counts(df: DataFrame, names: Sequence[str], fold: bool = False) -> Dat
 def _count_family(df: DataFrame, names: Sequence[str], numbers: list[int], kind: str, fold: bool) -> DataFrame:
     value = F.col("value")
     rows = [[no_nan(col(names[i]), kind).cast(kind)] for i in numbers]
-    long = cells(df, rows, ["value"], keep=[ROW], numbers=numbers).filter(value.isNotNull())
+    long = cells(df, rows, ["value"], carried=[ROW], numbers=numbers).filter(value.isNotNull())
     if kind == "string":
         keys = {"key": compact(value)}
         if fold:
@@ -77,18 +79,21 @@ def _count_family(df: DataFrame, names: Sequence[str], numbers: list[int], kind:
 
 def spell_out(df: DataFrame, names: Sequence[str], picked: DataFrame) -> DataFrame | None:
     """The whole texts (column, key, value) of picked keys; None if every key is its own text."""
-    digests = picked.filter(is_digest(F.col("key"))).select(COLUMN, "key").distinct()
+    digests = keep(picked.filter(is_digest(F.col("key"))).select(COLUMN, "key").distinct())
     wanted = sorted(r[0] for r in digests.select(COLUMN).distinct().collect())
     if not wanted:
         return None
-    texts = (
-        cells(df, [[col(names[i])] for i in wanted], ["value"], numbers=wanted)
-        .withColumn("key", compact(F.col("value")))
-        .filter(is_digest(F.col("key")))
-        .join(digests, [COLUMN, "key"])
-        .groupBy(COLUMN, "key", "value")
-        .agg(F.count(F.lit(1)))
-        .select(COLUMN, "key", "value")
-    )
+    texts = cells(df, [[col(names[i])] for i in wanted], ["value"], numbers=wanted)
+    texts = texts.withColumn("key", compact(F.col("value"))).filter(is_digest(F.col("key")))
+    if is_small(digests):
+        found = _distinct(texts.join(F.broadcast(digests), [COLUMN, "key"]))
+    else:
+        # Copies are merged before the join, so that no frequent text fills a task.
+        found = _distinct(texts).join(digests, [COLUMN, "key"])
     short = picked.filter(~is_digest(F.col("key"))).select(COLUMN, "key", F.col("key").alias("value"))
-    return texts.unionByName(short.distinct())
+    return found.unionByName(short.distinct())
+
+
+def _distinct(texts: DataFrame) -> DataFrame:
+    """Each (column, key, value) once, merged on the map side by hash."""
+    return texts.groupBy(COLUMN, "key", "value").agg(F.count(F.lit(1))).select(COLUMN, "key", "value")

@@ -109,7 +109,11 @@ class FullJoin:
     def result(self) -> DataFrame:
         joined = self._tables[0]
         for step, right in enumerate(self._tables[1:], start=1):
-            joined = self._step(joined, right, step, self._hot(step))
+            hot = self._hot(step)
+            joined = self._step(joined, right, step, hot)
+            if hot is not None and step + 1 < len(self._tables):
+                # The next step reads its left side several times.
+                joined = keep(joined)
         return joined.select(*[F.col(KEY).alias(n) if n == self.key_name else col(n) for n in self._out])
 
     def _step(self, left: DataFrame, right: DataFrame, step: int, hot: DataFrame | None) -> DataFrame:

@@ -230,7 +230,7 @@ def group_averages(df: DataFrame, groups: Sequence[str], metrics: Sequence[str])
     """
     work = df.withColumns({f"_m{i}": as_double(df, n) for i, n in enumerate(metrics)})
     kept = [f"_m{i}" for i in range(len(metrics))]
-    long = cells(work, [[v] for v in values_of(df, groups).values()], ["group"], keep=kept)
+    long = cells(work, [[v] for v in values_of(df, groups).values()], ["group"], carried=kept)
     averages = long.filter("group is not null").groupBy(COLUMN, "group").agg(*[F.avg(m).alias(m) for m in kept])
     stacked = F.stack(F.lit(len(kept)), *[x for i, m in enumerate(kept) for x in (F.lit(i), F.col(m))])
     return (
@@ -313,7 +313,7 @@ class Outliers:
             return self._df.sparkSession.createDataFrame([], "column string, rank bigint, value double")
         names = list(self.bounds)
         rows = [[F.when(self._outside(n, self._values[n]), self._values[n])] for n in names]
-        outside = cells(self._df, rows, ["value"], keep=[ROW]).filter("value is not null")
+        outside = cells(self._df, rows, ["value"], carried=[ROW]).filter("value is not null")
         order = Window.partitionBy(COLUMN).orderBy(ROW, "value")
         first = outside.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= OUTLIER_EXAMPLES)
         return first.select(

@@ -100,23 +100,35 @@ def _values_at(work: DataFrame, ranks: list, counts: dict, small_bracket: int) -
                 del open_[t]
             continue
 
+        # Ranks looked for in the same interval share one sketch.
+        intervals: dict[tuple, list] = {}
+        for (c, rank), (low, high, _, _) in open_.items():
+            intervals.setdefault((c, low, high), []).append(rank)
         sketches = []
-        for i, ((c, rank), (low, high, below, upto)) in enumerate(open_.items()):
-            share, margin = (rank - below) / (upto - below), 2 / _ACCURACY
-            around = F.array(F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin)))
-            sketches.append(
-                F.percentile_approx(F.when(inside(c, low, high), F.col(c)), around, _ACCURACY).alias(f"s{i}")
-            )
-        bounds = list(work.agg(*sketches).first())
-
+        for i, ((c, low, high), inner) in enumerate(intervals.items()):
+            around = []
+            for rank in inner:
+                _, _, below, upto = open_[c, rank]
+                share, margin = (rank - below) / (upto - below), 2 / _ACCURACY
+                around += [F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin))]
+            value = F.when(inside(c, low, high), F.col(c))
+            sketches.append(F.percentile_approx(value, F.array(*around), _ACCURACY).alias(f"s{i}"))
+        bounds = {}
+        for ((c, _, _), inner), found_at in zip(intervals.items(), work.agg(*sketches).first()):
+            for j, rank in enumerate(inner):
+                bounds[c, rank] = (found_at[2 * j], found_at[2 * j + 1])
+
+        tests = sorted({(c, bound) for (c, _), pair in bounds.items() for bound in pair})
         tallies = []
-        for ((c, _), (a, z)) in zip(open_, bounds):
-            for bound in (a, z):
-                tallies += [F.count_if(F.col(c) < F.lit(bound)), F.count_if(F.col(c) <= F.lit(bound))]
-        tally = list(work.agg(*[t.alias(f"t{i}") for i, t in enumerate(tallies)]).first())
-
-        for i, ((t, (low, high, below, upto)), (a, z)) in enumerate(zip(list(open_.items()), bounds)):
-            under_a, upto_a, under_z, upto_z = tally[4 * i : 4 * i + 4]
+        for i, (c, bound) in enumerate(tests):
+            tallies.append(F.count_if(F.col(c) < F.lit(bound)).alias(f"u{i}"))
+            tallies.append(F.count_if(F.col(c) <= F.lit(bound)).alias(f"t{i}"))
+        row = list(work.agg(*tallies).first())
+        tally = {test: row[2 * i : 2 * i + 2] for i, test in enumerate(tests)}
+
+        for t, (a, z) in bounds.items():
+            low, high, below, upto = open_[t]
+            (under_a, upto_a), (under_z, upto_z) = tally[t[0], a], tally[t[0], z]
             rank = t[1]
             if under_a <= rank < upto_a or under_z <= rank < upto_z:
                 found[t] = a if rank < upto_a else z

@@ -85,14 +85,15 @@ class Conflicts:
         rows = repeated.rows.withColumn("_id", col(id_name)).filter(F.col("_id").isNotNull())
         counted = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
         self._ids = keep(counted.filter("_n > 1"))
-        small = is_small(self._ids)
-        self._hot = None if small else hot_keys(self._ids, ["_id"], total, "_n")
         # With few repeated IDs, only their rows go through the shuffle below.
         self._rows = rows
-        narrowed = lookup(rows, self._ids.select("_id"), ["_id"], small=True) if small else rows
+        few = is_small(self._ids)
+        narrowed = lookup(rows, self._ids.select("_id"), ["_id"], small=True) if few else rows
         self.ids = keep(self._compare(narrowed))
-        self._small = is_small(self.ids)
         self.count = self.ids.agg(F.sum("_lone")).first()[0] or 0
+        self._small = is_small(self.ids)
+        # Every ID with many rows is among the repeated ones, whether it has conflicts or not.
+        self._hot = None if self._small else hot_keys(self._ids, ["_id"], total, "_n")
 
     def _compare(self, rows: DataFrame) -> DataFrame:
         """Per ID: how many rows have no exact copy, and in which columns those differ.

@@ -20,13 +20,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/gristmill-{spark.sparkContext.applicationId}"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder once and read it from there.
 
-    The written copy outlives lost executors, ends the lineage, and has a known size,
-    so Spark broadcasts it in later joins only when it is below the broadcast threshold.
+    The written copy outlives lost executors and ends the lineage. Its rows stay the same for
+    every job that reads it, and its size can be measured.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/gristmill/{uuid.uuid4().hex}"
+    path = f"{_session_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_kept_tables(spark: SparkSession) -> None:
+    """Delete the tables this session has kept. Results that read them can no longer be used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

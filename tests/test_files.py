@@ -150,3 +150,13 @@ def test_gathered_tables_are_written(spark, tmp_path):
     assert set(g.write_gather(g.gather({"a": a, "b": a}), str(tmp_path / "one"))) == {"gathered"}
     b = spark.createDataFrame([(9,)], "z int")
     assert set(g.write_gather(g.gather({"a.csv": a, "b.csv": b}), str(tmp_path / "two"))) == {"a", "b"}
+
+
+def test_kept_tables_can_be_cleared(spark):
+    from gristmill.operators.store import keep
+
+    kept = keep(spark.range(3).toDF("n"))
+    assert kept.count() == 3
+    g.clear_kept_tables(spark)
+    with pytest.raises(Exception):
+        kept.count()
