@@ -76,10 +76,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, order: str | None = None)
     return df if order is None else with_row_order(df, order)
 
 
-def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, sql: str, deal: bool = False) -> DataFrame:
     names = [n for n in ("orders", "customer", "documents") if f"{{{n}}}" in sql]
     sql = sql.replace("{all}", "")
-    return spark.sql(sql, **{n: dealt_out(table(spark, sf_dir, n)) for n in names})
+    tables = {n: table(spark, sf_dir, n) for n in names}
+    return spark.sql(sql, **{n: dealt_out(t) if deal else t for n, t in tables.items()})
 
 
 def dealt_out(df: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def dealt_out(df: DataFrame) -> DataFrame:
 
 
 def messy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = derived(spark, sf_dir, MESSY_ORDERS)
+    df = derived(spark, sf_dir, MESSY_ORDERS, deal=True)
     return with_row_order(df, "order_id * 10 + copy_no").drop("copy_no")
 
 

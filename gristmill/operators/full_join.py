@@ -15,6 +15,7 @@ from gristmill.operators import skew
 from gristmill.operators.store import keep
 
 KEY = "_key"
+SALT = "_salt"
 
 
 def common_type(kinds: Sequence[T.DataType]) -> str:
@@ -28,14 +29,13 @@ def common_type(kinds: Sequence[T.DataType]) -> str:
     return "string"
 
 
-def key_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-
-
 class FullJoin:
     """Tables folded left to right with null-safe full outer joins on one key.
 
-    Before any table is joined, the rows per key are counted, map-side combined. The counts
+    The rows per key are counted first, map-side combined. The counted keys, each of them once,
+    then serve as the left side of a chain of left joins, which gives the same rows as full
+    outer joins: every table is shuffled once at most, the growing result never again, and
+    Spark may broadcast a small table, which a full outer join does not allow. The counts also
     give the exact size of every step and name the keys too hot for one task.
     """
 
@@ -63,7 +63,7 @@ class FullJoin:
                     taken.add(new.lower())
                     self._out.append(new)
                 renamed.append(col(n).alias(new))
-            self._tables.append(table.select(as_key.alias(KEY), *renamed, col(ROW).alias(f"_row{i}")))
+            self._tables.append(table.select(as_key.alias(KEY), *renamed, ROW))
 
     @cached_property
     def _counts(self) -> DataFrame:
@@ -71,7 +71,8 @@ class FullJoin:
         parts = []
         for i, t in enumerate(self._tables):
             zeros = [F.lit(0).cast("bigint").alias(f"n{j}") for j in range(len(self._tables)) if j != i]
-            parts.append(key_counts(t).select(KEY, F.col("n").alias(f"n{i}"), *zeros))
+            counted = t.groupBy(KEY).agg(F.count(F.lit(1)).alias(f"n{i}"))
+            parts.append(counted.select(KEY, f"n{i}", *zeros))
         sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(self._tables))]
         return keep(reduce(DataFrame.unionByName, parts).groupBy(KEY).agg(*sums))
 
@@ -92,86 +93,55 @@ class FullJoin:
         """Exact row count after each join."""
         return self._sizes[1:]
 
-    def _hot(self, step: int) -> DataFrame | None:
-        """Keys with many rows on one side of a step: rows left and right, and salts."""
-        left, right = self._rows(step - 1), F.col(f"n{step}")
-        total = self._sizes[step - 1] + (self._counts.agg(F.sum(f"n{step}")).first()[0] or 0)
-        limit = max(skew.HOT_ROWS, total * skew.HOT_SHARE)
-        hot = self._counts.filter((left >= limit) | (right >= limit)).select(
-            KEY,
-            left.alias("_left"),
-            right.alias("_right"),
-            F.ceil(F.greatest(left, right) / F.lit(limit)).cast("int").alias("_salts"),
+    @cached_property
+    def _hot(self) -> DataFrame | None:
+        """Keys with many rows in a table: that table's number and the salts to deal its rows out to."""
+        width = len(self._tables)
+        most = F.greatest(*[F.col(f"n{i}") for i in range(width)])
+        total = self._counts.agg(*[F.sum(f"n{i}") for i in range(width)]).first()
+        limit = max(skew.HOT_ROWS, sum(n or 0 for n in total) * skew.HOT_SHARE)
+        owner = F.array_position(F.array(*[F.col(f"n{i}") for i in range(width)]), most) - 1
+        hot = self._counts.filter(most >= limit).select(
+            F.col(KEY).alias("_hot_key"),
+            owner.cast("int").alias("_owner"),
+            F.ceil(most / F.lit(limit)).cast("int").alias("_salts"),
         )
         hot = keep(hot)
-        return None if hot.isEmpty() else hot
+        return None if hot.isEmpty() else F.broadcast(hot)
+
+    def _salted(self, number: int) -> DataFrame:
+        """A table with the salts of its rows: dealt out in the hot key's longest table,
+        repeated under every salt in the others, 0 for all other keys."""
+        table = self._tables[number]
+        marked = table.join(self._hot, F.col(KEY).eqNullSafe(F.col("_hot_key")), "left")
+        dealt = F.array(F.pmod(F.xxhash64(ROW), F.col("_salts")).cast("int"))
+        every = F.sequence(F.lit(0), F.col("_salts") - 1)
+        salts = (
+            F.when(F.col("_owner").isNull(), F.array(F.lit(0)))
+            .when(F.col("_owner") == number, dealt)
+            .otherwise(every)
+        )
+        marked = marked.withColumn(SALT, F.explode(salts)).withColumn(f"_in{number}", F.lit(True))
+        return marked.drop("_hot_key", "_salts", "_owner")
+
+    def _spine(self) -> DataFrame:
+        """Every key once, a hot key once per salt."""
+        keys = self._counts.select(KEY).join(self._hot, F.col(KEY).eqNullSafe(F.col("_hot_key")), "left")
+        salts = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+        return keys.select(KEY, "_owner", F.explode(salts).alias(SALT))
 
     def result(self) -> DataFrame:
-        joined = self._tables[0]
-        for step, right in enumerate(self._tables[1:], start=1):
-            hot = self._hot(step)
-            joined = self._step(joined, right, step, hot)
-            if hot is not None and step + 1 < len(self._tables):
-                # The next step reads its left side several times.
-                joined = keep(joined)
+        numbers_ = range(len(self._tables))
+        if self._hot is None:
+            tables, joined, keys = self._tables, self._counts.select(KEY), [KEY]
+        else:
+            tables, joined, keys = [self._salted(i) for i in numbers_], self._spine(), [KEY, SALT]
+        for table in tables:
+            right = table.drop(ROW).withColumnsRenamed({k: f"{k}_right" for k in keys})
+            same = [F.col(k).eqNullSafe(F.col(f"{k}_right")) for k in keys]
+            joined = joined.join(right, reduce(lambda a, b: a & b, same), "left").drop(*[f"{k}_right" for k in keys])
+        if self._hot is not None:
+            # A salt that no row of the hot key's longest table fell on stands for nothing.
+            there = F.array(*[F.col(f"_in{i}") for i in numbers_])
+            joined = joined.filter(F.col("_owner").isNull() | F.get(there, F.col("_owner")).isNotNull())
         return joined.select(*[F.col(KEY).alias(n) if n == self.key_name else col(n) for n in self._out])
-
-    def _step(self, left: DataFrame, right: DataFrame, step: int, hot: DataFrame | None) -> DataFrame:
-        if hot is None:
-            return _full_outer(left, right)
-        hot = F.broadcast(hot)
-        both = hot.filter("_left > 0 and _right > 0")
-        cool = _full_outer(_without(left, hot), _without(right, hot))
-        # A hot key on one side only has nothing to meet: its rows pass without a shuffle.
-        alone_left = _only(left, hot.filter("_right = 0"))
-        alone_right = _only(right, hot.filter("_left = 0"))
-        # A hot key on both sides: the longer side is dealt out over salts, the shorter repeated.
-        long_left = both.filter("_left >= _right")
-        long_right = both.filter("_left < _right")
-        rows_left = F.xxhash64(*[F.col(f"_row{i}") for i in range(step)])
-        rows_right = F.xxhash64(F.col(f"_row{step}"))
-        met = [
-            _inner(_dealt(left, long_left, rows_left), _repeated(right, long_left)),
-            _inner(_repeated(left, long_right), _dealt(right, long_right, rows_right)),
-        ]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [cool, alone_left, alone_right, *met])
-
-
-def _aside(df: DataFrame, *more: str) -> DataFrame:
-    """The right side of a join, its key columns renamed."""
-    return df.withColumnsRenamed({c: f"{c}_right" for c in (KEY, *more)})
-
-
-def _full_outer(left: DataFrame, right: DataFrame) -> DataFrame:
-    right = _aside(right)
-    met = left.join(right, F.col(KEY).eqNullSafe(F.col(f"{KEY}_right")), "full_outer")
-    return met.withColumn(KEY, F.coalesce(KEY, f"{KEY}_right")).drop(f"{KEY}_right")
-
-
-def _inner(left: DataFrame, right: DataFrame) -> DataFrame:
-    right = _aside(right, "_salt")
-    same = F.col(KEY).eqNullSafe(F.col(f"{KEY}_right")) & (F.col("_salt") == F.col("_salt_right"))
-    return left.join(right, same, "inner").drop(f"{KEY}_right", "_salt", "_salt_right")
-
-
-def _marked(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    keys = F.broadcast(_aside(keys.select(KEY, "_salts")))
-    return df.join(keys, F.col(KEY).eqNullSafe(F.col(f"{KEY}_right")), how)
-
-
-def _without(df: DataFrame, keys: DataFrame) -> DataFrame:
-    return _marked(df, keys, "left_anti")
-
-
-def _only(df: DataFrame, keys: DataFrame) -> DataFrame:
-    return _marked(df, keys, "left_semi")
-
-
-def _dealt(df: DataFrame, keys: DataFrame, spread: Column) -> DataFrame:
-    salted = _marked(df, keys, "inner").withColumn("_salt", F.pmod(spread, F.col("_salts")).cast("int"))
-    return salted.drop("_salts", f"{KEY}_right")
-
-
-def _repeated(df: DataFrame, keys: DataFrame) -> DataFrame:
-    salts = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
-    return _marked(df, keys, "inner").withColumn("_salt", salts).drop("_salts", f"{KEY}_right")

@@ -62,12 +62,8 @@ def overlap_scores(tables: Sequence[DataFrame], columns: Sequence[str]) -> DataF
     parts = []
     for number, table in enumerate(tables):
         names = [column_named(table, c) for c in columns]
-        rows = []
-        for name in names:
-            value = _join_text(table, name)
-            keys = row_key([value]).values()
-            rows.append([F.when(value.isNotNull(), k) for k in keys])
-        long = cells(table, rows, KEY).filter(F.col(KEY[0]).isNotNull())
+        long = cells(table, [[_join_text(table, n)] for n in names], ["value"]).filter(F.col("value").isNotNull())
+        long = long.select(COLUMN, *[k.alias(n) for n, k in row_key([F.col("value")]).items()])
         parts.append(long.withColumn("_in", F.lit(1 << number).cast("bigint")))
     values = reduce(DataFrame.unionByName, parts).groupBy(COLUMN, *KEY).agg(F.bit_or("_in").alias("_in"))
     tests = []
