@@ -13,6 +13,7 @@ from gristmill.sources.tables import (
     read_json,
     read_parquet,
     read_table,
+    read_tables,
     write_clean,
     write_gather,
     write_table,
@@ -31,6 +32,7 @@ __all__ = [
     "read_json",
     "read_parquet",
     "read_table",
+    "read_tables",
     "with_row_order",
     "write_clean",
     "write_gather",

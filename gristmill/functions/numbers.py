@@ -9,7 +9,7 @@ from gristmill.constants import LEADING_ZERO
 
 # try_cast alone would also take "1d" and "1f".
 NUMBER = r"^(?i)[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?)$"
-WHOLE = r"^[+-]?\d{1,18}$"
+WHOLE = r"^[+-]?\d+$"
 
 
 def may_be_number(stripped: Column) -> Column:
@@ -23,7 +23,13 @@ def is_number_text(stripped: Column) -> Column:
 
 
 def is_whole_text(stripped: Column) -> Column:
-    return stripped.rlike(WHOLE)
+    """Whole numbers that a bigint holds."""
+    return stripped.rlike(WHOLE) & stripped.try_cast("bigint").isNotNull()
+
+
+def is_long_digits(stripped: Column) -> Column:
+    """Digits beyond a bigint, which a number would not keep exactly."""
+    return stripped.rlike(WHOLE) & stripped.try_cast("bigint").isNull()
 
 
 def is_code(stripped: Column) -> Column:

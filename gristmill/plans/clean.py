@@ -182,6 +182,10 @@ class CleanResult:
         """Rows in the duplicates table."""
         return self._repeated.members
 
+    @property
+    def warning(self) -> str | None:
+        return None if self._counts["rows"] else "The table has columns but no rows - nothing to clean."
+
     @cached_property
     def summary(self) -> DataFrame:
         return self._spark.createDataFrame(list(self.counts.items()), "metric string, value bigint")

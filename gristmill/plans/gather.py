@@ -15,6 +15,7 @@ from gristmill.naming import col, data_columns, match_name
 from gristmill.operators.cells import COLUMN, cells
 from gristmill.operators.full_join import FullJoin
 from gristmill.operators.order import ensure_row_order
+from gristmill.sources.csv import CsvTable
 
 KEPT_APART = (
     "No column with enough matching values was found in all tables, "
@@ -97,7 +98,14 @@ class GatherResult:
     ``fanout`` has one (step, name, rows) row per join, known before any join runs.
     """
 
-    def __init__(self, tables: Mapping[str, DataFrame], key: str | None, score: float, max_fanout: int | None):
+    def __init__(
+        self,
+        tables: Mapping[str, DataFrame],
+        key: str | None,
+        score: float,
+        max_fanout: int | None,
+        files: Mapping[str, CsvTable],
+    ):
         self._spark = next(iter(tables.values())).sparkSession
         self._inputs = dict(tables)
         self.key = key
@@ -105,12 +113,23 @@ class GatherResult:
         self.mode = "apart" if key is None else "joined"
         self.reason = KEPT_APART if key is None else None
         self._max_fanout = max_fanout
+        self._files = files
 
     @cached_property
     def rows_per_input(self) -> DataFrame:
         counts = [(i, n, t.count()) for i, (n, t) in enumerate(self._inputs.items())]
         return self._spark.createDataFrame([(n, c) for _, n, c in counts], "name string, rows bigint")
 
+    @cached_property
+    def file_notes(self) -> DataFrame:
+        """One row per CSV input that was not read as it stands."""
+        notes = [(n, *f.notes) for n, f in self._files.items()]
+        schema = (
+            "name string, malformed_rows_skipped bigint, malformed_row_numbers array<bigint>, "
+            "encoding_note string, duplicate_column_names array<string>"
+        )
+        return self._spark.createDataFrame([n for n in notes if any(n[1:])], schema)
+
     @cached_property
     def tables(self) -> dict[str, DataFrame] | None:
         if self.mode == "joined":
@@ -156,16 +175,17 @@ class GatherResult:
 
 
 def gather(
-    tables: Mapping[str, DataFrame],
+    tables: Mapping[str, DataFrame | CsvTable],
     min_overlap: float = MIN_KEY_OVERLAP,
     max_fanout: int | None = None,
 ) -> GatherResult:
-    """Combine two or more named tables, in order.
+    """Combine two or more named tables, in order; CSV tables bring their notes along.
 
     ``max_fanout`` refuses a join that would give more rows; the count is known beforehand.
     """
     if len(tables) < 2:
         raise ValueError("gather needs at least two tables")
-    ordered = {n: ensure_row_order(t) for n, t in tables.items()}
+    files = {n: t for n, t in tables.items() if isinstance(t, CsvTable)}
+    ordered = {n: ensure_row_order(t.df if n in files else t) for n, t in tables.items()}
     key, score = choose_key(list(ordered.values()), min_overlap)
-    return GatherResult(ordered, key, score, max_fanout)
+    return GatherResult(ordered, key, score, max_fanout, files)

@@ -93,6 +93,12 @@ class CsvTable:
     def malformed_count(self) -> int:
         return self.malformed.count()
 
+    @property
+    def notes(self) -> tuple[int, list[int], str | None, list[str]]:
+        """Lines left out, the first of their numbers, encoding note, repeated column names."""
+        count = self.malformed_count
+        return count, self.malformed_line_numbers if count else [], self.encoding_note, self.duplicate_names
+
     @cached_property
     def malformed_line_numbers(self) -> list[int]:
         """The first line numbers, as listed in a report."""

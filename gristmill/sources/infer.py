@@ -40,7 +40,7 @@ def column_types(df: DataFrame) -> dict[str, str]:
             F.count(value).alias("filled"),
             F.count_if(numbers.is_number_text(stripped)).alias("numbers"),
             F.count_if(numbers.is_whole_text(stripped)).alias("whole"),
-            F.count_if(numbers.is_code(stripped)).alias("codes"),
+            F.count_if(numbers.is_code(stripped) | numbers.is_long_digits(stripped)).alias("codes"),
             F.count_if(value.isin(_TRUE + _FALSE)).alias("flags"),
         )
         .collect()
@@ -58,7 +58,10 @@ def column_types(df: DataFrame) -> dict[str, str]:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Cast every text column whose cells all read as numbers or flags. Codes stay text."""
+    """Cast every text column whose cells all read as numbers or flags.
+
+    Codes stay text: leading zeros, and digits too many for a whole number.
+    """
     kinds = column_types(df)
     columns = []
     for name in df.columns:

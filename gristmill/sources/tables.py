@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +84,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | CsvTable:
     raise ValueError(f"Unsupported file type {kind!r}. Supported: {', '.join(EXTENSIONS)}.")
 
 
+def read_tables(spark: SparkSession, paths: Sequence[str]) -> dict[str, DataFrame | CsvTable]:
+    """Two or more files by their names, or all data files of one folder, ready for gather()."""
+    paths = list(paths)
+    if len(paths) == 1 and extension(paths[0]) not in EXTENSIONS:
+        paths = discover(spark, paths[0])
+    if len(paths) < 2:
+        raise ValueError(f"gather needs at least two files to combine and found {len(paths)}")
+    return {os.path.basename(p.rstrip("/")): read_table(spark, p) for p in paths}
+
+
 def discover(spark: SparkSession, folder: str) -> list[str]:
     """Paths of the data files directly inside a folder, sorted by name, hidden ones left out."""
     listed = (

@@ -94,7 +94,8 @@ def test_header_only(spark, tmp_path):
     table = read(spark, tmp_path, "a,b,c\n")
     assert table.df.count() == 0
     assert g.profile(table.df).warning
-    assert g.clean(table.df).counts["final_row_count"] == 0
+    result = g.clean(table.df)
+    assert result.counts["final_row_count"] == 0 and result.warning
 
 
 def test_line_breaks_in_quotes(spark, tmp_path):
@@ -160,3 +161,21 @@ def test_kept_tables_can_be_cleared(spark):
     g.clear_kept_tables(spark)
     with pytest.raises(Exception):
         kept.count()
+
+
+def test_long_digits_stay_text(spark, tmp_path):
+    table = read(spark, tmp_path, "a,b\n99999999999999999999999,9223372036854775807\n1,2\n")
+    assert [k for _, k in table.df.dtypes[:2]] == ["string", "bigint"]
+
+
+def test_a_folder_is_gathered_with_notes(spark, tmp_path):
+    write(tmp_path / "sales.csv", "order_id,amount\n1,5\n2,6\n3,7,8\n")
+    write(tmp_path / "cost.json", '[{"order_id": 1, "cost": 2}, {"order_id": 2, "cost": 3}]')
+    tables = g.read_tables(spark, [str(tmp_path)])
+    assert list(tables) == ["cost.json", "sales.csv"]
+    result = g.gather(tables)
+    assert sorted(map(tuple, result.joined.collect())) == [(1, 2, 5), (2, 3, 6)]
+    (note,) = result.file_notes.collect()
+    assert tuple(note) == ("sales.csv", 1, [4], None, [])
+    with pytest.raises(ValueError, match="at least two"):
+        g.read_tables(spark, [str(tmp_path / "sales.csv")])
