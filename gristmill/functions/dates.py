@@ -50,23 +50,24 @@ def looks_like_date(c: Column) -> Column:
     return c.rlike(DATE_LIKE)
 
 
-def with_days(df: DataFrame, days: Mapping[str, Column]) -> DataFrame:
-    """Add the calendar date of texts as date columns, null where a text is no date.
+def with_days(df: DataFrame, days: Mapping[str, Column], iso: bool = False) -> DataFrame:
+    """Add the calendar day of texts, null where a text is no date: a date, or with ``iso`` as yyyy-MM-dd.
 
     Each step is a column of its own, so that it is worked out once however often the next
     step mentions it. Texts without letters are not held against shapes with month names.
     """
     steps = [f"_step{i}" for i in range(len(days))]
     df = df.withColumns({s: F.lower(strip(c)) for s, c in zip(steps, days.values())})
-    for prepare in (
-        lambda c: F.when(c.rlike(_MAY_HAVE_CLOCK), F.regexp_replace(F.regexp_replace(c, _CLOCK, ""), _WEEKDAY, "")).otherwise(c),
-        _ordered,
-        day_of,
-    ):
+    for prepare in (_without_clock, _ordered, lambda c: F.split(c, "-"), _padded, _checked_text if iso else _checked):
         df = df.withColumns({s: prepare(F.col(s)) for s in steps})
     return df.withColumnsRenamed(dict(zip(steps, days)))
 
 
+def _without_clock(text: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(text, _CLOCK, ""), _WEEKDAY, "")
+    return F.when(text.rlike(_MAY_HAVE_CLOCK), plain).otherwise(text)
+
+
 def _ordered(body: Column) -> Column:
     """A date text as year-month-day; null if it has none of the shapes."""
 
@@ -79,28 +80,33 @@ def _ordered(body: Column) -> Column:
     return F.when(body.rlike("[a-z]"), first_of(_NAMED_SHAPES)).otherwise(first_of(_NUMERIC_SHAPES))
 
 
-def day_of(ordered: Column) -> Column:
-    """The calendar date of a year-month-day text with a two- or four-digit year."""
-
-    def part(number: int) -> Column:
-        return F.split_part(ordered, F.lit("-"), F.lit(number))
-
-    digits, month = part(1), part(2)
-    number = digits.try_cast("int")
-    short = F.length(digits) <= 2
+def _padded(parts: Column) -> Column:
+    """Year, month and day as yyyy-MM-dd; years have two or four digits, months may have names."""
+    digits, month, day = (F.get(parts, i) for i in range(3))
     # Two-digit years fall within 50 years of today.
     pivot = F.year(F.current_date()) + 50 - 2000
-    year = F.when(short & (number >= pivot), number + 1900).when(short, number + 2000).otherwise(number)
-    named = F.floor((F.instr(F.lit(_MONTHS), F.substring(month, 1, 3)) + 2) / 3)
+    century = F.when(digits.try_cast("int") >= pivot, "19").otherwise("20")
+    year = F.when(F.length(digits) == 4, digits).otherwise(F.concat(century, F.lpad(digits, 2, "0")))
+    named = F.floor((F.instr(F.lit(_MONTHS), F.substring(month, 1, 3)) + 2) / 3).cast("string")
     month = (
-        F.when(month.rlike("^[a-p]"), named)
-        .when(month.startswith("q"), F.substring(month, 2, 1).try_cast("int") * 3 - 2)
-        .when(month.rlike("^[r-z]"), named)
-        .otherwise(month.try_cast("int"))
+        F.when(month.rlike(r"^\d"), month)
+        .when(month.startswith("q"), (F.substring(month, 2, 1).try_cast("int") * 3 - 2).cast("string"))
+        .otherwise(named)
     )
-    day = F.concat_ws("-", year.cast("string"), month.cast("string"), part(3)).try_cast("date")
-    # The years a 64-bit nanosecond clock covers whole.
-    return F.when(year.between(1678, 2261), day)
+    return F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+
+
+def _covered(padded: Column) -> Column:
+    """The years a 64-bit nanosecond clock covers whole."""
+    return padded.between("1678-01-01", "2261-12-31")
+
+
+def _checked(padded: Column) -> Column:
+    return F.when(_covered(padded), padded.try_cast("date"))
+
+
+def _checked_text(padded: Column) -> Column:
+    return F.when(_covered(padded) & padded.try_cast("date").isNotNull(), padded)
 
 
 def with_clock(day: Column, c: Column) -> Column:
@@ -129,4 +135,4 @@ def with_clock(day: Column, c: Column) -> Column:
 
 
 def iso_text(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM-dd")
+    return day.cast("date").cast("string")

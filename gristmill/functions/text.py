@@ -53,7 +53,7 @@ def spelled(lower: Column, group: dict[str, str]) -> Column:
 
 def may_have_case(c: Column) -> Column:
     """False only where a text surely has one spelling: no ASCII letter, nothing beyond ASCII."""
-    return c.rlike(r"[A-Za-z[^\x00-\x7F]]")
+    return c.rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")
 
 
 def compact(c: Column) -> Column:

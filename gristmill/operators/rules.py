@@ -88,7 +88,7 @@ def date_facts(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
     if not names:
         return {}
     long = cells(df, [[text.tidy(col(n))] for n in names], ["value"]).filter("value is not null")
-    long = dates.with_days(long, {"day": F.col("value")}).withColumn("iso", dates.iso_text(F.col("day")))
+    long = dates.with_days(long, {"iso": F.col("value")}, iso=True)
     rows = (
         long.groupBy(COLUMN)
         .agg(F.count("iso").alias("parsed"), F.count_if(F.col("iso") != F.col("value")).alias("rewritten"))
@@ -158,8 +158,8 @@ def _before_casing(df: DataFrame, columns: Sequence[ColumnRules]) -> DataFrame:
     dated = [c for c in columns if c.date]
     if dated:
         days = {f"_day{i}": col(c.name) for i, c in enumerate(dated)}
-        iso = {c.name: F.coalesce(dates.iso_text(F.col(d)), col(c.name)) for c, d in zip(dated, days)}
-        df = dates.with_days(df, days).withColumns(iso).drop(*days)
+        iso = {c.name: F.coalesce(F.col(d), col(c.name)) for c, d in zip(dated, days)}
+        df = dates.with_days(df, days, iso=True).withColumns(iso).drop(*days)
     grouped = [c for c in columns if c.group is not None]
     if grouped:
         spelled = {c.name: text.category(col(c.name), CATEGORY_GROUPS[c.group]) for c in grouped}

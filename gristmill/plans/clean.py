@@ -153,8 +153,9 @@ class CleanResult:
 
     @cached_property
     def repaired(self) -> DataFrame:
-        """All rows after the column rules, empty rows and gaps still in."""
-        return self._applied.select(*[col(n) for n in self.names], ROW)
+        """All rows after the column rules, empty rows and gaps still in. Written rows are read if there are any."""
+        rows = self._applied if "_applied" in self.__dict__ else apply(self._df, self.rules)
+        return rows.select(*[col(n) for n in self.names], ROW)
 
     @cached_property
     def filled(self) -> DataFrame:
