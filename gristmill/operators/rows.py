@@ -12,7 +12,7 @@ from gristmill.functions.keys import KEY, row_key
 from gristmill.naming import ROW, col
 from gristmill.operators.order import number_rows
 from gristmill.operators.rules import BEFORE
-from gristmill.operators.skew import hot_keys, is_small, lookup
+from gristmill.operators.skew import byte_size, fits, hot_keys, is_small, lookup
 from gristmill.operators.store import keep
 
 
@@ -50,10 +50,10 @@ class RepeatedRows:
         self.rows = df if KEY[0] in df.columns else with_row_key(df, names)
         counted = self.rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.min(ROW).alias("_first"))
         self.groups = keep(counted.filter("_n > 1"))
-        self.count, copies = self.groups.agg(F.count(F.lit(1)), F.sum("_n")).first()
-        self.members = copies or 0
+        measures = (F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0)), byte_size(self.groups))
+        self.count, self.members, size = self.groups.agg(*measures).first()
         self.extra = self.members - self.count
-        self.small = is_small(self.groups)
+        self.small = fits(size)
         self.hot = None if self.small else hot_keys(self.groups, KEY, total, "_n")
 
     def join(self, rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
@@ -90,8 +90,8 @@ class Conflicts:
         few = is_small(self._ids)
         narrowed = lookup(rows, self._ids.select("_id"), ["_id"], small=True) if few else rows
         self.ids = keep(self._compare(narrowed))
-        self.count = self.ids.agg(F.sum("_lone")).first()[0] or 0
-        self._small = is_small(self.ids)
+        self.count, size = self.ids.agg(F.coalesce(F.sum("_lone"), F.lit(0)), byte_size(self.ids)).first()
+        self._small = fits(size)
         # Every ID with many rows is among the repeated ones, whether it has conflicts or not.
         self._hot = None if self._small else hot_keys(self._ids, ["_id"], total, "_n")
 

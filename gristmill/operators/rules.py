@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from gristmill.constants import BLANK_MARKERS, CATEGORY_GROUPS, DATE_LIKE_SHARE, DATE_PARSED_SHARE
 from gristmill.functions import dates, numbers, text
+from gristmill.functions.text import is_digest
 from gristmill.naming import ROW, IdNames, col, data_columns, is_number, is_text, is_time
 from gristmill.operators.cells import COLUMN, cells, spell_out, value_counts
-from gristmill.operators.skew import hot_keys, is_small, lookup
+from gristmill.operators.skew import byte_size, fits, hot_keys, lookup
 from gristmill.operators.store import keep
 
 BEFORE = "_before"
@@ -180,40 +181,48 @@ def _decide_casing(df: DataFrame, rules: Rules, facts: dict, parsed: dict) -> No
     if not open_:
         return
     staged = _before_casing(df.select(ROW, *[col(c.name) for c in open_]), open_)
-    table = spelling_changes(staged, [c.name for c in open_])
-    per_column = {r[0]: r[1] for r in table.groupBy(COLUMN).agg(F.sum("n")).collect()}
+    names = [c.name for c in open_]
+    table = spelling_changes(staged, names)
+    measures = (F.sum("n").alias("n"), F.bool_or(is_digest(F.col("best"))).alias("long"), byte_size(table).alias("size"))
+    found = {r[COLUMN]: r for r in table.groupBy(COLUMN).agg(*measures).collect()}
     for number, c in enumerate(open_):
-        c.changes["casing_standardized"] = per_column.get(number, 0)
-        c.spellings = number in per_column
-    if not per_column:
+        c.changes["casing_standardized"] = found[number]["n"] if number in found else 0
+        c.spellings = number in found
+    if not found:
         return
-    named = F.element_at(F.array(*[F.lit(c.name) for c in open_]), F.col(COLUMN) + 1)
+    size = sum(r["size"] for r in found.values())
+    if any(r["long"] for r in found.values()):
+        table = whole_spellings(staged, names, table)
+        size = table.agg(byte_size(table)).first()[0]
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col(COLUMN) + 1)
     rules.spellings = table.select(named.alias("_name"), F.col("key").alias("_key"), F.col("best").alias("_best"))
-    rules.spellings_small = is_small(rules.spellings)
+    rules.spellings_small = fits(size)
     if not rules.spellings_small:
-        respelled = [c for c in open_ if c.spellings]
-        named = F.element_at(F.array(*[F.lit(c.name) for c in respelled]), F.col(COLUMN) + 1)
-        counts = value_counts(staged, [c.name for c in respelled])
-        counts = counts.select(named.alias("_name"), F.col("key").alias("_key"), "n")
+        respelled = [c.name for c in open_ if c.spellings]
+        named = F.element_at(F.array(*[F.lit(n) for n in respelled]), F.col(COLUMN) + 1)
+        counts = value_counts(staged, respelled).select(named.alias("_name"), F.col("key").alias("_key"), "n")
         rules.hot_values = hot_keys(counts, ["_name", "_key"], df.count())
 
 
 def spelling_changes(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(column, key, best, n): keys whose text is respelled as ``best``, in ``n`` cells.
+    """(column, key, best, n): keys whose text is respelled as the text of key ``best``, in ``n`` cells.
 
     Of the spellings that differ in case only, the most frequent wins; the first in row
     order on a tie. The window runs over distinct values, already counted with map-side
     combining, so its groups hold the spellings of one text and not the rows.
     """
     rivals = Window.partitionBy(COLUMN, "folded").orderBy(F.desc("n"), "first_row")
-    counted = value_counts(df, names, fold=True).withColumn("best_key", F.first("key").over(rivals))
-    changes = keep(counted.filter("key <> best_key").select(COLUMN, "key", "best_key", "n"))
-    best = changes.select(COLUMN, F.col("best_key").alias("key")).distinct()
-    spelled = spell_out(df, names, best)
-    if spelled is None:
-        return changes.withColumnRenamed("best_key", "best")
-    spelled = spelled.select(COLUMN, F.col("key").alias("best_key"), F.col("value").alias("best"))
-    return keep(changes.join(spelled, [COLUMN, "best_key"]).select(COLUMN, "key", "best", "n"))
+    counted = value_counts(df, names, fold=True).withColumn("best", F.first("key").over(rivals))
+    return keep(counted.filter("key <> best").select(COLUMN, "key", "best", "n"))
+
+
+def whole_spellings(df: DataFrame, names: Sequence[str], changes: DataFrame) -> DataFrame:
+    """Spelling changes with the whole texts in place of digests."""
+    best = changes.select(COLUMN, F.col("best").alias("key")).distinct()
+    texts = spell_out(df, names, best)
+    spelled = texts.select(COLUMN, F.col("key").alias("best"), F.col("value").alias("_text"))
+    joined = changes.join(spelled, [COLUMN, "best"])
+    return keep(joined.select(COLUMN, "key", F.col("_text").alias("best"), "n"))
 
 
 def apply(df: DataFrame, rules: Rules) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.naming import ROW, col
@@ -19,13 +19,21 @@ HOT_SHARE = 1e-5
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def is_small(table: DataFrame) -> bool:
-    """Measure a written table: may it be broadcast?"""
+def byte_size(table: DataFrame) -> Column:
+    """An aggregate: the bytes a table's rows hold."""
     size = F.lit(0)
     for name, kind in table.dtypes:
         size = size + (F.coalesce(F.octet_length(col(name)), F.lit(0)) if kind == "string" else F.lit(8))
-    measured = table.agg(F.sum(size.cast("bigint"))).first()[0]
-    return (measured or 0) <= BROADCAST_BYTES
+    return F.coalesce(F.sum(size.cast("bigint")), F.lit(0))
+
+
+def fits(size: int) -> bool:
+    return size <= BROADCAST_BYTES
+
+
+def is_small(table: DataFrame) -> bool:
+    """Measure a written table: may it be broadcast?"""
+    return fits(table.agg(byte_size(table)).first()[0])
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], total: int, n: str = "n") -> DataFrame | None:

@@ -98,7 +98,8 @@ class CleanResult:
         types = {f.name: f.dataType for f in self._kept.schema.fields}
         gaps = [n for n in self.names if 0 < self.nulls[n] < self._kept_rows]
         numeric = [n for n in gaps if is_number(types[n])]
-        medians = exact_quantiles(self._kept, {n: col(n).cast("double") for n in numeric}, [0.5])
+        filled = {n: self._kept_rows - self.nulls[n] for n in numeric}
+        medians = exact_quantiles(self._kept, {n: col(n).cast("double") for n in numeric}, [0.5], filled)
         fills = {n: TEXT_FILL for n in gaps if isinstance(types[n], T.StringType)}
         fills.update({n: m[0] for n, m in medians.items() if m})
         return fills
