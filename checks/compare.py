@@ -15,6 +15,9 @@ TABLES = (
 ).split()
 
 
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def duckdb_connection(sf_dir: str):
     import duckdb
 
@@ -45,6 +48,10 @@ def differences(spark, con, sf_dir: str, name: str) -> str | None:
     theirs = same_rows(names, cursor.fetchall())
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} against {sorted(names)}"
+    kinds = dict(df.dtypes)
+    odd = {d[0]: (kinds[d[0]], str(d[1])) for d in cursor.description if SAME_TYPE.get(kinds[d[0]]) != str(d[1]).upper()}
+    if odd:
+        return f"types {odd}"
     if mine != theirs:
         here = [r for r in mine if r not in set(theirs)][:3]
         there = [r for r in theirs if r not in set(mine)][:3]

@@ -455,7 +455,7 @@ def oracle_sql() -> dict[str, str]:
         "gather_two": """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, source, n_chars, quality, toxic
           FROM documents d FULL JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id""",
         "gather_three": f"{THREE} SELECT * FROM ocs",
-        "gather_fanout": f"""{THREE} SELECT 1 AS step, 'customers' AS name, (SELECT count(*) FROM oc) AS rows
+        "gather_fanout": f"""{THREE} SELECT CAST(1 AS BIGINT) AS step, 'customers' AS name, (SELECT count(*) FROM oc) AS rows
           UNION ALL SELECT 2, 'segments', (SELECT count(*) FROM ocs)""",
         "gather_rows": """SELECT 'orders' AS name, (SELECT count(*) FROM orders) AS rows UNION ALL
           SELECT 'customers', (SELECT count(*) FROM customer) UNION ALL SELECT 'segments', (SELECT count(*) FROM customer)""",

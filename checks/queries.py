@@ -18,6 +18,7 @@ from checks.messy import (
     KEYED_ORDERS,
     KEYED_SEGMENTS,
     PLAIN_TEXTS,
+    dealt_out,
     derived,
     messy_orders,
     table,
@@ -114,7 +115,7 @@ def standardize_casing(spark, sf_dir):
 @query
 def casing_first_seen(spark, sf_dir):
     """Spellings of whole texts that occur equally often: the first one in row order stays."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
     twice = docs.withColumn("copy", F.lit(0)).unionByName(
         docs.select("doc_id", loud(F.col("text")).alias("text"), F.lit(1).alias("copy"))
     )
@@ -203,7 +204,7 @@ def clean_summary(spark, sf_dir):
 @query
 def duplicate_documents(spark, sf_dir):
     """Exact copies among whole document texts, casing and outer whitespace aside."""
-    df = table(spark, sf_dir, "documents", "doc_id").select("text", "lang", ROW)
+    df = dealt_out(table(spark, sf_dir, "documents", "doc_id").select(ROW, "text", "lang"))
     return g.clean(df).duplicates.select("reason", F.md5("text").alias("digest"), F.col(ROW).alias("row_no"))
 
 

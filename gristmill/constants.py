@@ -27,6 +27,10 @@ DATE_LIKE = (
 )
 LEADING_ZERO = r"^-?0\d"
 
+# Names of identifiers, by the word "id" or by a camel-case ending.
+ID_WORD = r"(?i)(?:^|[\s_\-.])id(?:[\s_\-.]|$)"
+ID_CAMEL_END = r"[a-z](?:Id|ID)$"
+
 DATE_LIKE_SHARE = 0.5
 DATE_PARSED_SHARE = 0.9
 

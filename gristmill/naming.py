@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill.constants import ID_CAMEL_END, ID_WORD
+
 ROW = "_row"
 
-_ID_TOKEN_BREAK = re.compile(r"[\s_\-.]+")
-_ID_CAMEL_END = re.compile(r"[a-z](Id|ID)$")
+_ID_PATTERNS = [re.compile(ID_WORD), re.compile(ID_CAMEL_END)]
 
 
 def col(name: str) -> Column:
@@ -48,8 +49,7 @@ def nested_to_text(df: DataFrame) -> DataFrame:
 
 def is_id_name(name: str) -> bool:
     """True for id, order_id, "Order ID", customerID; false for width, valid, paid."""
-    text = str(name).strip()
-    return "id" in _ID_TOKEN_BREAK.split(text.lower()) or bool(_ID_CAMEL_END.search(text))
+    return any(p.search(str(name).strip()) for p in _ID_PATTERNS)
 
 
 class IdNames:

@@ -186,7 +186,7 @@ class CleanResult:
 
     @property
     def warning(self) -> str | None:
-        return None if self._counts["rows"] else "The table has columns but no rows - nothing to clean."
+        return None if self._counts["rows"] else "The table has no rows to clean."
 
     @cached_property
     def summary(self) -> DataFrame:

@@ -40,9 +40,8 @@ def shared_columns(tables: Sequence[DataFrame]) -> list[str]:
     """Columns every table has, spelled and ordered as in the first table."""
     if not tables:
         return []
-    common = set.intersection(*[{match_name(n) for n in data_columns(t)} for t in tables])
-    spelled = {match_name(n): n for n in data_columns(tables[0])}
-    return [n for m, n in spelled.items() if m in common]
+    others = [{match_name(n) for n in data_columns(t)} for t in tables[1:]]
+    return [n for n in data_columns(tables[0]) if all(match_name(n) in names for names in others)]
 
 
 def _join_text(df: DataFrame, name: str) -> Column:

@@ -17,7 +17,7 @@ from gristmill.operators.order import ensure_row_order
 from gristmill.operators.quantiles import exact_quantiles
 from gristmill.operators.rows import RepeatedRows
 
-EMPTY_WARNING = "The table has columns but no rows."
+EMPTY_WARNING = "The table has no rows to profile."
 
 _COLUMN_SCHEMA = (
     "column string, dtype string, null_count bigint, null_percent double, all_values_null boolean, "

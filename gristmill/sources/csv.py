@@ -15,10 +15,8 @@ from gristmill.naming import col
 from gristmill.operators.order import with_row_order
 from gristmill.sources.infer import default_nulls, infer_types
 
-NO_DATA = "This file has no columns or rows - there is no data to read."
-LATIN_NOTE = (
-    "The file is not valid UTF-8 and was read as ISO-8859-1. Some special characters may not display correctly."
-)
+NO_DATA = "There is nothing to read: the input has neither columns nor rows."
+LATIN_NOTE = "Some bytes are not UTF-8, so the input was read as ISO-8859-1. Check special characters."
 _BAD = "_bad"
 _QUOTED = r'(^|,)"(?:[^"]|"")*"'
 
@@ -31,13 +29,8 @@ def field_count(line: Column) -> Column:
 
 def repeated_names(header: str) -> list[str]:
     """Names that occur more than once in a raw header line, in order of their second occurrence."""
-    seen: dict[str, int] = {}
-    found = []
-    for name in header.strip().split(","):
-        seen[name] = seen.get(name, 0) + 1
-        if seen[name] == 2:
-            found.append(name)
-    return found
+    names = header.strip().split(",")
+    return [n for i, n in enumerate(names) if names[:i].count(n) == 1]
 
 
 def distinct_names(names: Sequence[str]) -> list[str]:

@@ -90,7 +90,7 @@ def read_tables(spark: SparkSession, paths: Sequence[str]) -> dict[str, DataFram
     if len(paths) == 1 and extension(paths[0]) not in EXTENSIONS:
         paths = discover(spark, paths[0])
     if len(paths) < 2:
-        raise ValueError(f"gather needs at least two files to combine and found {len(paths)}")
+        raise ValueError(f"at least two files are needed, found {len(paths)}")
     return {os.path.basename(p.rstrip("/")): read_table(spark, p) for p in paths}
 
 

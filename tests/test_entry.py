@@ -40,3 +40,11 @@ def test_query_equals_sql(spark, con, name):
     from checks.compare import differences
 
     assert differences(spark, con, SF_DIR, name) is None
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+def test_plan_has_no_python_and_no_pairing_of_all_rows(spark, name):
+    plan = spark_entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    for node in ("BatchEvalPython", "ArrowEvalPython", "InPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert node not in plan

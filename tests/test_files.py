@@ -86,7 +86,7 @@ def test_repeated_names(spark, tmp_path):
 
 def test_no_data(spark, tmp_path):
     for text in ("", "\n", "\n\n"):
-        with pytest.raises(ValueError, match="no columns or rows"):
+        with pytest.raises(ValueError, match="nothing to read"):
             read(spark, tmp_path, text)
 
 

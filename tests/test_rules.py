@@ -60,6 +60,14 @@ def test_casing_of_long_texts(rule):
     assert counts["casing_standardized"] == 1
 
 
+def test_casing_of_frequent_long_texts_in_large_tables(rule, tiny_limits):
+    a, b = "Ode to " + "very " * 50 + "long texts", "Other " + "very " * 50 + "long texts"
+    values = [a] * 30 + [a.upper()] * 12 + [b.upper()] + [b] + ["x", "X", "X"] + ["y"] * 20
+    out, counts = rule(values)
+    assert out == [a] * 42 + [b.upper()] * 2 + ["X"] * 3 + ["y"] * 20
+    assert counts["casing_standardized"] == 14
+
+
 def test_casing_applies_to_id_columns(rule):
     out, _ = rule(["ab1", "AB1", "AB1"], "item_id")
     assert out == ["AB1"] * 3
