@@ -380,6 +380,19 @@ def oracle_sql() -> dict[str, str]:
         "csv_latin_text": f"""SELECT doc_id, md5(CASE WHEN body IN {in_list(CSV_NULL_TOKENS)} THEN NULL
           ELSE {strip('body')} END) AS digest, TRUE AS noted FROM ({plain})""",
         "read_json": "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier",
+        "write_formats": " UNION ALL ".join(
+            f"SELECT '{f}' AS format, count(c_name) AS rows, round(sum(c_acctbal), 2) AS balance FROM customer"
+            for f in ("csv", "json", "parquet")
+        ),
+        "gather_folder": """SELECT coalesce(c_custkey, o_custkey) AS cust_id, c_name, count(o_orderkey) AS orders,
+          'cust_id' AS join_key FROM customer FULL JOIN orders ON c_custkey IS NOT DISTINCT FROM o_custkey GROUP BY 1, 2""",
+        "id_columns": " UNION ALL ".join(
+            f"""SELECT '{t}' AS name, '{c}' AS "column", count({c}) AS filled, count(DISTINCT {c}) AS distinct_values FROM {t}"""
+            for t, c in (
+                ("events", "event_id"), ("events", "user_id"), ("documents", "doc_id"), ("labels", "doc_id"),
+                ("pages", "page_id"), ("embeddings", "vec_id"), ("benchmark", "item_id"), ("conversations", "conv_id"),
+            )
+        ),
         **profiles,
         "profile_messy": f"WITH {MESSY} {profile_sql('m', MESSY_KINDS, IDS)}",
         "profile_table": f"""WITH {MESSY} SELECT 'row_count' AS metric, count(*) AS value FROM m

@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -263,6 +264,19 @@ def csv_latin_text(spark, sf_dir):
     return read.df.select("doc_id", F.md5(text.strip(F.col("body"))).alias("digest"), noted)
 
 
+@query
+def write_formats(spark, sf_dir):
+    """A cleaned table written in every format and read back."""
+    cleaned = g.clean(table(spark, sf_dir, "customer", "c_custkey")).cleaned
+    folder, parts = scratch(spark), []
+    for fmt in ("csv", "json", "parquet"):
+        path = g.write_table(cleaned, f"{folder}/customer.{fmt}")
+        back = spark.read.option("header", True).format(fmt).load(path)
+        balance = F.round(F.sum(F.col("c_acctbal").cast("double")), 2).alias("balance")
+        parts.append(back.agg(F.lit(fmt).alias("format"), F.count("c_name").alias("rows"), balance))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def read_json(spark, sf_dir):
     path = scratch(spark)
@@ -271,6 +285,31 @@ def read_json(spark, sf_dir):
     return g.read_json(spark, path, lines=True).drop(ROW)
 
 
+@query
+def gather_folder(spark, sf_dir):
+    """Tables found in a folder, of different file types, joined on the key they share."""
+    folder = scratch(spark)
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust_id"), "c_name")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cust_id"), "o_orderkey")
+    customers.write.json(f"{folder}/customers.jsonl")
+    orders.write.parquet(f"{folder}/orders.parquet")
+    result = g.gather(g.read_tables(spark, [folder]))
+    counted = result.joined.groupBy("cust_id", "c_name").agg(F.count("o_orderkey").alias("orders"))
+    return counted.select("cust_id", "c_name", "orders", F.lit(result.key).alias("join_key"))
+
+
+@query
+def id_columns(spark, sf_dir):
+    """Columns whose names say they identify something, and how well they do over all rows."""
+    parts = []
+    for name in ("events", "documents", "labels", "pages", "embeddings", "benchmark", "conversations", "orders"):
+        df = table(spark, sf_dir, name)
+        for c in (c for c in df.columns if g.is_id_name(c)):
+            counts = (F.count(c).alias("filled"), F.count_distinct(c).alias("distinct_values"))
+            parts.append(df.agg(F.lit(name).alias("name"), F.lit(c).alias("column"), *counts))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # Profile
 
 PROFILED = {

@@ -16,6 +16,9 @@ from gristmill.operators.store import keep
 STAT_DIGITS = 4
 PERCENT_DIGITS = 2
 
+# Columns per aggregate, to keep generated code small. Columnar files are read once all the same.
+_COLUMNS_AT_ONCE = 50
+
 
 def values_of(df: DataFrame, names: Iterable[str]) -> dict[str, Column]:
     """Columns as text, with NaN as null."""
@@ -25,11 +28,17 @@ def values_of(df: DataFrame, names: Iterable[str]) -> dict[str, Column]:
 
 def number_stats(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
     """Null count of every column, and mean, min, max where the column is a number or a flag."""
+    found = {}
+    for start in range(0, len(names), _COLUMNS_AT_ONCE):
+        found.update(_number_stats(df, names[start : start + _COLUMNS_AT_ONCE]))
+    return found
+
+
+def _number_stats(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
     types = dict(df.dtypes)
     stats = [F.count(F.lit(1)).alias("rows")]
     for i, n in enumerate(names):
-        value = numbers.no_nan(col(n), types[n])
-        stats.append(F.count(value).alias(f"c{i}"))
+        stats.append(F.count(numbers.no_nan(col(n), types[n])).alias(f"c{i}"))
         number = as_double(df, n)
         if number is not None:
             stats += [F.avg(number).alias(f"a{i}"), F.min(number).alias(f"l{i}"), F.max(number).alias(f"h{i}")]

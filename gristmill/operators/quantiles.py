@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 1_000_000
 # Values of one column sorted inside one task at the end of the narrowing.
 SMALL_BRACKET = 50_000
+# Values of all columns held in one task at once; columnar files are read once all the same.
+_VALUES_AT_ONCE = 5_000_000
+_RANKS_AT_ONCE = 20
 _ACCURACY = 10_000
 
 
@@ -39,8 +42,10 @@ def exact_quantiles(
         counts = {c: counts[name] for name, c in zip(values, columns)}
     if max(counts.values()) <= small_rows:
         probs = F.array(*[F.lit(p) for p in probabilities])
-        row = work.agg(*[F.percentile(c, probs).alias(c) for c in columns]).first()
-        found = {c: row[c] for c in columns}
+        found = {}
+        for block in _blocks(columns, counts, _VALUES_AT_ONCE):
+            row = work.agg(*[F.percentile(c, probs).alias(c) for c in block]).first()
+            found.update({c: row[c] for c in block})
     else:
         ranks = {
             (c, r): None
@@ -54,6 +59,19 @@ def exact_quantiles(
     return {name: found[c] for name, c in zip(values, columns)}
 
 
+def _blocks(columns: Sequence[str], sizes: Mapping[str, int], limit: int) -> list[list[str]]:
+    """Columns in blocks whose sizes add up to a limit at most; a column of its own may exceed it."""
+    blocks: list[list[str]] = []
+    room = -1
+    for c in columns:
+        if room < sizes[c]:
+            blocks.append([])
+            room = limit
+        blocks[-1].append(c)
+        room -= sizes[c]
+    return blocks
+
+
 def _interpolate(c: str, n: int, probabilities: Sequence[float], values_at: dict) -> list[float] | None:
     if n == 0:
         return None
@@ -86,6 +104,7 @@ def _values_at(work: DataFrame, ranks: list, counts: dict, small_bracket: int) -
 
     while open_:
         done = {t: s for t, s in open_.items() if s[3] - s[2] <= small_bracket}
+        done = dict(list(done.items())[:_RANKS_AT_ONCE])
         if done:
             row = work.agg(
                 *[

@@ -95,18 +95,18 @@ def read_tables(spark: SparkSession, paths: Sequence[str]) -> dict[str, DataFram
 
 
 def discover(spark: SparkSession, folder: str) -> list[str]:
-    """Paths of the data files directly inside a folder, sorted by name, hidden ones left out."""
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
-    )
+    """Paths of the data files directly inside a folder, sorted by name, hidden ones left out.
+
+    A folder such as orders.parquet, as Spark writes it, counts as one data file.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
-    inside = F.regexp_replace("path", r"^[a-z0-9]+:/*|/[^/]+$", "") == root
-    wanted = F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).isin(EXTENSIONS)
-    rows = listed.filter(inside & wanted & ~F.col("name").startswith(".")).collect()
-    return [r["path"] for r in sorted(rows, key=lambda r: r["name"])]
+    below = F.regexp_replace("path", r"^[a-z0-9]+:/*", "")
+    name = F.split_part(F.expr("substring(below, length(root) + 2)"), F.lit("/"), F.lit(1))
+    found = listed.select("path", below.alias("below"), F.lit(root).alias("root")).select("path", name.alias("name"))
+    wanted = F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).isin(EXTENSIONS) & ~F.col("name").startswith(".")
+    names = sorted(r["name"] for r in found.filter(wanted).select("name").distinct().collect())
+    return [f"{folder.rstrip('/')}/{n}" for n in names]
 
 
 def write_table(df: DataFrame, path: str, fmt: str | None = None, ordered: bool = False) -> str:

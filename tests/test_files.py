@@ -129,8 +129,10 @@ def test_discover(spark, tmp_path):
         write(tmp_path / name, "x\n")
     (tmp_path / "sub").mkdir()
     write(tmp_path / "sub" / "e.csv", "x\n")
+    spark.range(3).write.parquet(str(tmp_path / "e.parquet"))
     found = g.discover(spark, str(tmp_path))
-    assert [p.rsplit("/", 1)[1] for p in found] == ["a.JSON", "b.csv", "d.Parquet"]
+    assert [p.rsplit("/", 1)[1] for p in found] == ["a.JSON", "b.csv", "d.Parquet", "e.parquet"]
+    assert g.discover(spark, f"file:{tmp_path}/")[0] == f"file:{tmp_path}/a.JSON"
 
 
 def test_written_results(spark, frame, tmp_path):

@@ -76,3 +76,15 @@ def test_large_table_ways_give_the_same(frame, rows_of, tiny_limits):
 def test_table_without_rows(spark):
     result = g.profile(spark.createDataFrame([], "a int, b string"))
     assert result.warning and result.row_count == 0 and result.columns.count() == 0
+
+
+def test_wide_tables(spark):
+    from pyspark.sql import functions as F
+
+    columns = [(F.col("id") * k).alias(f"n{k}") for k in range(70)] + [F.concat(F.lit(f"t{k}"), "id").alias(f"t{k}") for k in range(40)]
+    df = spark.range(30).select(*columns)
+    found = by_column(g.profile(df).columns)
+    assert len(found) == 110
+    assert found["n69"]["median"] == 14.5 * 69 and found["n69"]["max"] == 29 * 69
+    assert found["t39"]["unique_count"] == 30
+    assert g.clean(df).counts["final_row_count"] == 30
