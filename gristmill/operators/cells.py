@@ -67,13 +67,14 @@ def _count_family(df: DataFrame, names: Sequence[str], numbers: list[int], kind:
     if kind == "string":
         keys = {"key": compact(value)}
         if fold:
-            keys["folded"] = compact(F.lower(value))
+            # Only where it differs from the key, to keep shuffle rows short.
+            keys["folded"] = F.when(F.lower(value) != value, compact(F.lower(value)))
     else:
         keys = {"key": value}
     grouped = long.select(COLUMN, ROW, *[k.alias(n) for n, k in keys.items()]).groupBy(COLUMN, *keys)
     counted = grouped.agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first_row"))
     key = F.col("key") if kind == "string" else as_text(F.col("key"), kind, ".0")
-    folded = F.col("folded") if "folded" in keys else key
+    folded = F.coalesce("folded", key) if "folded" in keys else key
     return counted.select(COLUMN, key.alias("key"), folded.alias("folded"), "n", "first_row")
 
 
