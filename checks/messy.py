@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill import with_row_order
+from gristmill.operators.store import keep
 
 # Every kind of mess on top of all orders. copy_no tells the copies of an order apart.
 MESSY_ORDERS = """
@@ -76,11 +77,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, order: str | None = None)
     return df if order is None else with_row_order(df, order)
 
 
-def derived(spark: SparkSession, sf_dir: str, sql: str, deal: bool = False) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     names = [n for n in ("orders", "customer", "documents") if f"{{{n}}}" in sql]
     sql = sql.replace("{all}", "")
-    tables = {n: table(spark, sf_dir, n) for n in names}
-    return spark.sql(sql, **{n: dealt_out(t) if deal else t for n, t in tables.items()})
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def dealt_out(df: DataFrame) -> DataFrame:
@@ -90,7 +90,8 @@ def dealt_out(df: DataFrame) -> DataFrame:
 
 
 def messy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = derived(spark, sf_dir, MESSY_ORDERS, deal=True)
+    """The untidy orders as a stored table: written once, then read like any other input."""
+    df = keep(dealt_out(derived(spark, sf_dir, MESSY_ORDERS)))
     return with_row_order(df, "order_id * 10 + copy_no").drop("copy_no")
 
 
