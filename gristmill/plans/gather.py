@@ -22,8 +22,8 @@ KEPT_APART = (
     "so the tables were kept apart instead of being joined on a doubtful key."
 )
 
-# One bit of a whole number per table.
-_MAX_TABLES = 62
+# Tables that share a whole number, one bit each.
+_BITS = 62
 
 
 def stem(name: str) -> str:
@@ -57,20 +57,26 @@ def overlap_scores(tables: Sequence[DataFrame], columns: Sequence[str]) -> DataF
     bit per table it occurs in, combined on the map side, so neither long texts nor frequent
     values weigh on the shuffle.
     """
-    if len(tables) > _MAX_TABLES:
-        raise ValueError(f"at most {_MAX_TABLES} tables can be compared at once")
+    words = range(-(-len(tables) // _BITS))
+
+    def bits(number: int) -> list[Column]:
+        """Whole numbers with the one bit set that stands for a table."""
+        return [F.lit(1 << number % _BITS if w == number // _BITS else 0).cast("bigint") for w in words]
+
     parts = []
     for number, table in enumerate(tables):
         names = [column_named(table, c) for c in columns]
         long = cells(table, [[_join_text(table, n)] for n in names], ["value"]).filter(F.col("value").isNotNull())
         long = long.select(COLUMN, *[k.alias(n) for n, k in row_key([F.col("value")]).items()])
-        parts.append(long.withColumn("_in", F.lit(1 << number).cast("bigint")))
-    values = reduce(DataFrame.unionByName, parts).groupBy(COLUMN, *KEY).agg(F.bit_or("_in").alias("_in"))
+        parts.append(long.withColumns({f"_in{w}": bit for w, bit in zip(words, bits(number))}))
+    found_in = [F.bit_or(f"_in{w}").alias(f"_in{w}") for w in words]
+    values = reduce(DataFrame.unionByName, parts).groupBy(COLUMN, *KEY).agg(*found_in)
     tests = []
     for number in range(len(tables)):
-        bit = F.lit(1 << number).cast("bigint")
-        here = F.col("_in").bitwiseAND(bit) != 0
-        tests += [F.count_if(here).alias(f"all{number}"), F.count_if(here & (F.col("_in") != bit)).alias(f"met{number}")]
+        own = bits(number)
+        here = F.col(f"_in{number // _BITS}").bitwiseAND(own[number // _BITS]) != 0
+        elsewhere = reduce(lambda x, y: x | y, [F.col(f"_in{w}") != own[w] for w in words])
+        tests += [F.count_if(here).alias(f"all{number}"), F.count_if(here & elsewhere).alias(f"met{number}")]
     tallied = values.groupBy(COLUMN).agg(*tests)
     shares = [F.try_divide(F.col(f"met{i}"), F.col(f"all{i}")) for i in range(len(tables))]
     # A table without any value leaves its share, and with it the sum, null: no overlap.

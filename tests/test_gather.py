@@ -34,6 +34,11 @@ def test_overlap_with_any_other_table(spark):
     assert scores([a, b, c])["k"] == pytest.approx((1 + 0.5 + 0.5) / 3)
 
 
+def test_overlap_of_more_tables_than_a_whole_number_has_bits(spark):
+    tables = [spark.range(i, i + 2).toDF("k") for i in range(70)]
+    assert scores(tables)["k"] == pytest.approx((68 * 1 + 2 * 0.5) / 70)
+
+
 def test_a_table_without_values_means_no_overlap(spark):
     a = spark.createDataFrame([(1,)], "k int")
     assert scores([a, spark.createDataFrame([(None,)], "k int")])["k"] == 0.0
