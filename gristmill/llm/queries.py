@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import common, decontaminate, language, minhash, packing, secret_scan, sharding, toxicity
+from gristmill.llm import common, decontaminate, language, minhash, packing, secret_scan, sharding, topk, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -53,6 +53,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = _table(spark, sf_dir, "embeddings")
+    return topk.top_products(embeddings, embeddings["vec_id"] % 50 == 0)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -79,12 +84,26 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_toxicity, op3_secrets, op4_packing, op8_decontamination, op9_language, op10_minhash)
+    found = (op1_sharding, op2_toxicity, op3_secrets, op4_packing, op5_topk, op8_decontamination, op9_language, op10_minhash)
     return {f.__name__: f for f in found}
 
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TOPK = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.rid <> c.rid AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 _DECONTAMINATION = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -135,4 +154,4 @@ JOIN (SELECT reach.x AS rid, min(e.doc_id) AS component_id FROM reach JOIN d e O
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": _DECONTAMINATION, "op10_minhash": _MINHASH}
+    return {"op5_topk": _TOPK, "op8_decontamination": _DECONTAMINATION, "op10_minhash": _MINHASH}
