@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import common, decontaminate, extract, language, minhash, packing, secret_scan, sharding, topk, toxicity
+from gristmill.llm import common, decontaminate, extract, language, linededup, minhash, packing, secret_scan, sharding, topk, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -64,6 +64,11 @@ def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_cut", "text")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -90,7 +95,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_toxicity, op3_secrets, op4_packing, op5_topk, op6_extraction, op8_decontamination, op9_language, op10_minhash)
+    found = (op1_sharding, op2_toxicity, op3_secrets, op4_packing, op5_topk, op6_extraction, op7_line_dedup, op8_decontamination, op9_language, op10_minhash)
     return {f.__name__: f for f in found}
 
 
