@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -149,18 +150,24 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a local session may do without the setting."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[[^,]*\])?$", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gristmill-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
 def stable(df: DataFrame) -> DataFrame:
     """The same rows from the folder in spark.checkpoint.dir, without their lineage.
 
     Several jobs may read them, and they outlive lost executors. Spark deletes the files with their
     last reader where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gristmill-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -263,3 +270,40 @@ def marked(marks: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Which places of a bitmap are set."""
     pos = pos.astype(np.int64)
     return (marks[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1 == 1
+
+
+def split_rows(docs: DataFrame, marks: np.ndarray, bits: int, **more: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows whose hash `sub` (one of more) is not marked in a bitmap of 2^bits places, and those where it is.
+
+    Both have the rows of docs whole, as the struct `row`, and the columns of more: no name of docs can clash.
+    """
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+    def where(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sub = np.asarray(batch.column("sub")).view(np.uint64)
+                yield batch.filter(pa.array(marked(shared.value, sub >> np.uint64(64 - bits)) == wanted))
+
+        return run
+
+    return own.mapInArrow(where(False), own.schema), own.mapInArrow(where(True), own.schema)
+
+
+KEY_BITS = 25
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose id and text are in dropped (doc_id, key of the text); null ids match null ids.
+
+    Only rows that may be in dropped are shuffled, as a bitmap of fixed size tells.
+    """
+    sub = F.xxhash64("doc_id", "key")
+    dropped = stable(dropped.select("doc_id", "key").distinct())
+    marks = bitmap(dropped.select(F.shiftrightunsigned(sub, 64 - KEY_BITS).alias("pos")), KEY_BITS)
+    key, own_id = text_key(docs[text_col].cast("string")), docs[id_col].cast("long")
+    rest, maybe = split_rows(docs, marks, KEY_BITS, own_id=own_id, own_key=key, sub=F.xxhash64(own_id, key))
+    kept = maybe.join(dropped, maybe["own_id"].eqNullSafe(dropped["doc_id"]) & (maybe["own_key"] == dropped["key"]), "left_anti")
+    return rest.select("row.*").unionByName(kept.select("row.*"))

@@ -21,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from gristmill.llm.common import NOT_SPACE, bitmap, marked, mix, slices, span_hashes, stable, text_key, texts, word_spans
+from gristmill.llm.common import KEY_BITS, NOT_SPACE, bitmap, marked, mix, slices, span_hashes, split_rows, stable, text_key, texts, word_spans
 
 #: A run of fewer words is left alone.
 MIN_WORDS = 50
 FILTER_BITS = 27
-KEY_BITS = 25
 _LAST = (1 << 63) - 1
 
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
@@ -281,35 +280,21 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
         runs.select("sub", F.col("id").alias("first"), "runs", F.lit(False).alias("whole"))
         .unionByName(copies.select(F.xxhash64("text_key").alias("sub"), F.col("id").alias("first"), F.lit(None).cast("array<struct<pos: int, n: int>>").alias("runs"), F.lit(True).alias("whole")))
         .groupBy("sub")
-        .agg(F.min("first").alias("_first"), F.first("runs", ignorenulls=True).alias("_runs"), F.max("whole").alias("_copied"))
+        .agg(F.min("first").alias("first"), F.first("runs", ignorenulls=True).alias("runs"), F.max("whole").alias("copied"))
     )
-    changed = stable(changed.withColumnRenamed("sub", "_sub"))
-    marks = bitmap(changed.select(F.shiftrightunsigned("_sub", 64 - KEY_BITS).alias("pos")), KEY_BITS)
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
-    keep = [c for c in docs.columns if c != "n_cut"]
-    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("_own"), F.xxhash64(key).alias("_sub"))
-    place = own.columns.index("_sub")
-
-    def touched(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sub = np.asarray(batch.column(place)).view(np.uint64)
-                yield batch.filter(pa.array(marked(shared.value, sub >> np.uint64(64 - KEY_BITS)) == wanted))
-
-        return run
-
-    same = own.mapInArrow(touched(False), own.schema).drop("_own", "_sub").withColumn("n_cut", F.lit(0))
-    maybe = own.mapInArrow(touched(True), own.schema).join(changed, "_sub", "left")
-    out_schema = maybe.schema
-    text_at = maybe.columns.index(text_col)
+    changed = stable(changed)
+    marks = bitmap(changed.select(F.shiftrightunsigned("sub", 64 - KEY_BITS).alias("pos")), KEY_BITS)
+    own_id = F.coalesce(docs[id_col].cast("long"), F.lit(_LAST))
+    same, maybe = split_rows(docs.drop("n_cut"), marks, KEY_BITS, own=own_id, sub=F.xxhash64(key), text=docs[text_col].cast("string"))
+    maybe = maybe.join(changed, "sub", "left").select("row", "own", "text", "first", "runs", "copied")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own_, first, runs_, copied = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_own", "_first", "_runs", "_copied"))
+            own, first, runs_, copied = (batch.column(c).to_pylist() for c in ("own", "first", "runs", "copied"))
             new, n_cut = [], []
-            for i, text in enumerate(map(pa.StringScalar.as_py, batch.column(text_at))):
+            for i, text in enumerate(map(pa.StringScalar.as_py, batch.column("text"))):
                 n = 0
-                if text and copied[i] and own_[i] != first[i]:
+                if text and copied[i] and own[i] != first[i]:
                     data_ = np.frombuffer(text.encode(), np.uint8)
                     _, _, words, _ = lines(data_, np.array([0, len(data_)]))
                     if words.sum() >= min_words:
@@ -318,8 +303,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
                     text, n = cut_text(text, runs_[i])
                 new.append(text)
                 n_cut.append(n)
-            arrays = [pa.array(new, pa.string()) if j == text_at else batch.column(j) for j in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_cut, pa.int32())], [*batch.schema.names, "n_cut"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string()), pa.array(n_cut, pa.int32())], ["row", "text", "n_cut"])
 
-    schema = StructType([*out_schema.fields, StructField("n_cut", IntegerType())])
-    return same.unionByName(maybe.mapInArrow(cut, schema).drop("_own", "_sub", "_first", "_runs", "_copied"))
+    fields = {f.name: f for f in maybe.schema.fields}
+    done = maybe.mapInArrow(cut, StructType([fields["row"], fields["text"], StructField("n_cut", IntegerType())]))
+    done = done.withColumn("row", F.col("row").withField(f"`{text_col}`", F.col("text")))
+    return same.select("row.*", F.lit(0).alias("n_cut")).unionByName(done.select("row.*", "n_cut"))

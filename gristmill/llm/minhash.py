@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import (
-    LOWER, NOT_SPACE, bitmap, binary_rows, in_order, marked, mix, shingle_hashes, slices, sorted_groups, span_hashes, stable, text_key, texts, word_spans,
+    LOWER, NOT_SPACE, bitmap, binary_rows, in_order, marked, mix, shingle_hashes, slices, sorted_groups, span_hashes, split_rows, stable, text_key, texts, without, word_spans,
 )
 from gristmill.llm.components import components
 
@@ -329,3 +329,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATC
         F.col("n").alias("n_shingles"),
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, whole, with one document of each near-duplicate group: that of the smallest id.
+
+    Of rows that repeat an id and a text, one stays, whatever their other columns are.
+    """
+    found = stable(near_duplicates(docs, id_col=id_col, text_col=text_col))
+    dropped = found.where(~F.col("kept")).select("doc_id", F.col("text_key").alias("key"))
+    kept = without(docs, dropped, id_col, text_col)
+    many = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    marks = bitmap(many.select(F.shiftrightunsigned(F.xxhash64("doc_id", "text_key"), 64 - FILTER_BITS).alias("pos")), FILTER_BITS)
+    if not marks.any():
+        return kept
+    key, own_id = text_key(kept[text_col].cast("string")), kept[id_col].cast("long")
+    once, maybe = split_rows(kept, marks, FILTER_BITS, own_id=own_id, own_key=key, sub=F.xxhash64(own_id, key))
+    first = maybe.groupBy("own_id", "own_key").agg(F.first("row").alias("row"))
+    return once.select("row.*").unionByName(first.select("row.*"))
