@@ -85,7 +85,7 @@ def occurrences(docs: DataFrame, shingles: DataFrame, marks: np.ndarray, widths:
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text")):
                 *_, found = _shingles(data, offsets, widths)
-                keys = np.concatenate([k[marked(shared.value, _places(k))] for _, _, k in found])
+                keys = np.concatenate([np.zeros(0, np.uint64), *[k[marked(shared.value, _places(k))] for _, _, k in found]])
                 if len(keys):
                     keys, n = np.unique(keys, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["hash", "n"])

@@ -1,0 +1,49 @@
+"""Line runs by comparing all pairs of places, for small tables."""
+
+import collections
+
+import numpy as np
+
+from gristmill.llm.linededup import lines
+
+
+def cut(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    begin, ids, words, _ = lines(data, np.array([0, len(data)]))
+    return list(begin), list(ids), list(words), len(data)
+
+
+def expected(rows, min_words):
+    """(id, text) of each row without later copies of runs."""
+    last = 1 << 62
+    first = {}
+    for i, t in sorted(((last if i is None else i, t) for i, t in rows if t), key=lambda r: r[0]):
+        first.setdefault(t, i)
+    docs = sorted(((i, t) for t, i in first.items()), key=lambda r: r[0])
+    assert len({i for i, _ in docs if i != last}) == len([1 for i, _ in docs if i != last]), "ids of texts must differ here"
+    parts = [cut(t) for _, t in docs]
+    where = collections.defaultdict(list)
+    for d, (_, ids, _, _) in enumerate(parts):
+        for p, x in enumerate(ids):
+            where[x].append((d, p))
+    out = {}
+    for d, (begin, ids, words, n) in enumerate(parts):
+        drop = [False] * len(ids)
+        for p in range(len(ids)):
+            for e, q in where[ids[p]]:
+                if (e, q) >= (d, p):
+                    break
+                other, k = parts[e][1], 0
+                while p + k < len(ids) and q + k < len(other) and ids[p + k] == other[q + k]:
+                    k += 1
+                if sum(words[p : p + k]) >= min_words:
+                    drop[p : p + k] = [True] * k
+        edges, data = [*begin, n], docs[d][1].encode()
+        out[docs[d][1]] = (data[: edges[0]] + b"".join(data[edges[j] : edges[j + 1]] for j in range(len(ids)) if not drop[j])).decode()
+    result = []
+    for i, t in rows:
+        if t and (last if i is None else i) != first[t]:
+            result.append((i, "" if sum(cut(t)[2]) >= min_words else t))
+        else:
+            result.append((i, out[t] if t else t))
+    return result

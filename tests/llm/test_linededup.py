@@ -1,0 +1,56 @@
+import random
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+from brute_lines import cut, expected  # noqa: E402
+
+from gristmill.llm import linededup  # noqa: E402
+
+
+def sentence(rng, words):
+    return " ".join([f"W{rng.randrange(300)}", *[f"v{rng.randrange(300)}" for _ in range(words - 1)]]) + "."
+
+
+def test_lines_end_at_breaks_sentences_and_capitals():
+    text = "one two. three\nfour Five six! Étoile x"
+    begin, _, words, _ = cut(text)
+    data = text.encode()
+    assert [data[a:b].decode() for a, b in zip(begin, [*begin[1:], len(data)], strict=True)] == ["one two. ", "three\n", "four ", "Five six! ", "Étoile x"]
+    assert words == [2, 1, 1, 2, 2]
+
+
+@pytest.mark.parametrize(("seed", "min_words"), [(1, 50), (2, 12), (3, 5)])
+def test_equals_brute_force(documents, seed, min_words):
+    rng = random.Random(seed)
+    passages = [[sentence(rng, rng.choice([1, 2, 5, 14, 30])) for _ in range(rng.randrange(2, 30))] for _ in range(8)]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p))
+            parts += p[a : a + rng.randrange(1, 25)] if rng.random() < 0.6 else [sentence(rng, rng.randrange(1, 12))]
+        rows.append((i, rng.choice([" ", "\n"]).join(parts)))
+    rows += [(100 + i, rows[i][1]) for i in range(4)] + [(None, rows[5][1]), (None, None), (200, ""), (201, None), (202, "short"), (203, "short"), rows[7]]
+    rows.append((300, "\n".join([sentence(rng, 3)] * 400)))  # one line again and again in a long text
+    table = documents(rows)
+    found = linededup.dedup_lines(table, min_words)
+    assert found.columns == [*table.columns, "n_cut"]
+    key = repr
+    assert sorted(((r.doc_id, r.text) for r in found.collect()), key=key) == sorted(expected(rows, min_words), key=key)
+
+
+def test_pasted_passage_goes(documents):
+    rng = random.Random(9)
+    passage = " ".join(sentence(rng, 9) for _ in range(7))
+    rows = [(i, f"{sentence(rng, 8)} own{i} v2 {passage} v3 {sentence(rng, 6)}") for i in range(5)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(documents(rows)).collect()}
+    assert passage in got[0]
+    assert all(f"own{i} v2" in got[i] and passage[10:60] not in got[i] for i in range(1, 5))
+
+
+def test_empty(documents):
+    assert linededup.dedup_lines(documents([])).count() == 0
