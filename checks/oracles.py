@@ -12,9 +12,26 @@ from checks.messy import (
     PLAIN_TEXTS,
     for_duckdb,
 )
-from gristmill.constants import BLANK_MARKERS, CATEGORY_GROUPS, CSV_NULL_TOKENS, DATE_LIKE
-from gristmill.functions.text import WHITESPACE
 
+# Written out here, not taken from the library, so that a wrong value there is seen.
+BLANK_MARKERS = "|n/a|n.a.|#n/a|na|null|none|nil|-|--|?|\\n|nan|unknown|missing".split("|")
+CSV_NULL_TOKENS = (
+    "|#N/A|#N/A N/A|#NA|-1.#IND|-1.#QNAN|-NaN|-nan|1.#IND|1.#QNAN|<NA>|N/A|NA|NULL|NaN|None|n/a|nan|null"
+).split("|")
+CATEGORY_GROUPS = [
+    {"m": "Male", "male": "Male", "f": "Female", "female": "Female"},
+    {"y": "Yes", "yes": "Yes", "n": "No", "no": "No"},
+    {"true": "True", "t": "True", "false": "False", "f": "False"},
+]
+DATE_LIKE = (
+    r"(?i)\d{1,4}[-/]\d{1,2}[-/]\d{1,4}|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b"
+)
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+HELPER_NAMES = ["_id", "_key", "_before", "_k1", "_n", "_at", "_salt", "_best", "_first", "_day", "_m0"]
 LOW = "abcdefghijklmnopqrstuvwxyz"
 ROW_NO = "order_id * 10 + copy_no"
 
@@ -321,7 +338,8 @@ def oracle_sql() -> dict[str, str]:
     dated = for_duckdb(DATED_ORDERS)
     texts = {
         "a": "SELECT doc_id, text, lang FROM documents",
-        "b": f"SELECT doc_id, concat(' ', {loud}) AS text, 'en' AS lang FROM documents WHERE lang = 'en'",
+        "b": f"""SELECT CASE WHEN doc_id % 3 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, lang,
+          CASE WHEN doc_id % 3 = 0 THEN concat('* ', text) ELSE concat(' ', {loud}) END AS text FROM documents""",
     }
     plain = for_duckdb(PLAIN_TEXTS)
     return {
@@ -465,7 +483,7 @@ def oracle_sql() -> dict[str, str]:
         "gather_summary": f"""SELECT 'joined' AS mode, 'cust_id' AS join_column,
           round((SELECT score FROM ({overlap_sql(KEYED, [('cust_id', ['cust_id', 'cust_id', 'Cust_ID'])])})), 3) AS overlap_score,
           (SELECT count(*) FROM ({THREE} SELECT * FROM ocs)) AS final_row_count""",
-        "gather_two": """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, source, n_chars, quality, toxic
+        "gather_two": """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, text, lang, source, n_chars, quality, toxic
           FROM documents d FULL JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id""",
         "gather_three": f"{THREE} SELECT * FROM ocs",
         "gather_fanout": f"""{THREE} SELECT CAST(1 AS BIGINT) AS step, 'customers' AS name, (SELECT count(*) FROM oc) AS rows
@@ -474,4 +492,54 @@ def oracle_sql() -> dict[str, str]:
           SELECT 'customers', (SELECT count(*) FROM customer) UNION ALL SELECT 'segments', (SELECT count(*) FROM customer)""",
         "gather_apart": """SELECT 'apart' AS mode, 'orders' AS name, (SELECT count(*) FROM orders) AS rows UNION ALL
           SELECT 'apart', 'part', (SELECT count(*) FROM part)""",
+        "whole_numbers_with_gaps": """SELECT o_orderkey AS row_no,
+          CASE WHEN o_orderkey % 17 <> 0 THEN 9007199254740993 + o_orderkey END AS big,
+          (SELECT count(*) FROM orders) AS final_rows FROM orders""",
+        "fill_decimals": """WITH b AS (SELECT c_custkey, CASE WHEN c_custkey % 10 <> 3
+            THEN CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS DECIMAL(12, 0)) END AS balance FROM customer)
+          SELECT c_custkey AS row_no, coalesce(CAST(balance AS DOUBLE),
+            (SELECT quantile_cont(CAST(balance AS DOUBLE), 0.5) FROM b)) AS balance FROM b""",
+        "conflicts_with_helper_names": f"""SELECT o_orderkey * 10 + c AS row_no,
+          'Same order_id as another row, but differs in: {', '.join(HELPER_NAMES)}' AS reason, o_orderkey AS order_id,
+          {', '.join(f"concat('{n} ', c) AS {n}" for n in HELPER_NAMES)}
+          FROM orders, (VALUES (0), (1)) AS v(c) WHERE o_orderkey % 101 = 0""",
+        "gather_mixed_keys": """SELECT coalesce(c_custkey, o_custkey) AS cust_id, orders, c_name, nation
+          FROM (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1) o FULL JOIN
+            (SELECT c_custkey, c_name, CASE WHEN c_custkey % 20 <> 0 THEN c_nationkey END AS nation FROM customer) c
+            ON o_custkey = c_custkey""",
+        "gather_dates": """SELECT strftime(coalesce(o.day, l.day), '%Y-%m-%d') AS day, orders, lines
+          FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders GROUP BY 1) o FULL JOIN
+            (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS lines FROM lineitem GROUP BY 1) l
+            ON o.day IS NOT DISTINCT FROM l.day""",
+        "gather_decimals": """SELECT o_orderkey AS order_no, o_totalprice,
+          CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus FROM orders""",
+        "csv_with_headers": """SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 <> 2 THEN c_mktsegment END AS c_mktsegment
+          FROM customer""",
+        "profile_csv": """WITH t AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 <> 2 THEN c_mktsegment END AS c_mktsegment
+            FROM customer)
+          SELECT 'c_custkey' AS "column", 'bigint' AS dtype, 0::BIGINT AS null_count, count(DISTINCT c_custkey) AS unique_count FROM t
+          UNION ALL SELECT 'c_name', 'string', 0, count(DISTINCT c_name) FROM t
+          UNION ALL SELECT 'c_mktsegment', 'string', count(*) - count(c_mktsegment), count(DISTINCT c_mktsegment) FROM t""",
+        "csv_repeated_names": """SELECT c_custkey AS cust_no, c_name AS label, c_mktsegment AS label_1, 'label' AS repeated
+          FROM customer""",
+        "csv_malformed_places": f"""SELECT part, line_number, line FROM (SELECT CAST(k % 4 AS INTEGER) AS part, k, line,
+            row_number() OVER (PARTITION BY k % 4 ORDER BY k) AS line_number FROM ({_LINES}))
+          WHERE k % 50 = 5 AND k % 33 <> 4""",
+        "first_seen_over_files": """SELECT c_custkey,
+            CASE WHEN c_custkey % 10 = 0 THEN lower(c_name) ELSE c_name END AS c_name FROM customer
+          UNION ALL SELECT c_custkey, lower(c_name) FROM customer WHERE c_custkey % 10 = 0""",
+        "read_json_array": """SELECT s_suppkey, s_name, s_acctbal, CAST(s_nationkey AS BIGINT) AS s_nationkey,
+          's_suppkey,s_name,s_acctbal,s_nationkey' AS names FROM supplier""",
+        "correlations_many": pearson(
+            "lineitem",
+            {c: c for c in ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")}
+            | {
+                "charge": "l_extendedprice * (1 - l_discount)", "unit": "l_extendedprice / l_quantity",
+                "half": "CASE WHEN l_orderkey % 2 = 0 THEN l_quantity + l_tax END", "squared": "l_quantity * l_quantity",
+                "rest": "l_quantity - l_linenumber", "price_tax": "l_extendedprice * l_tax",
+            },
+        ),
+        "written_gather": f"SELECT 'gathered' AS name, count(*) AS rows FROM ({THREE} SELECT * FROM ocs)",
+        "gather_file_notes": f"""SELECT 'customers.csv' AS name, count(*) AS malformed_rows_skipped,
+          CAST(NULL AS VARCHAR) AS encoding_note FROM ({_LINES}) WHERE k % 50 = 5 AND k % 33 <> 4""",
     }

@@ -488,7 +488,7 @@ def analyze_all(spark, sf_dir):
 
 def _labelled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
-        "documents": table(spark, sf_dir, "documents", "doc_id").drop("text"),
+        "documents": table(spark, sf_dir, "documents", "doc_id"),
         "labels": table(spark, sf_dir, "labels", "doc_id"),
     }
 
@@ -512,9 +512,10 @@ def shared_overlap(spark, sf_dir):
 def text_overlap(spark, sf_dir):
     """Overlap of long texts, case and outer whitespace aside."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    other = docs.filter("lang = 'en'").select(
-        "doc_id", F.concat(F.lit(" "), loud(F.col("text"))).alias("TEXT"), F.lit("en").alias("lang")
-    )
+    # Every third document has another id and text than in the first table.
+    changed = F.col("doc_id") % 3 == 0
+    body = F.when(changed, F.concat(F.lit("* "), "text")).otherwise(F.concat(F.lit(" "), loud(F.col("text"))))
+    other = docs.select(F.when(changed, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id"), body.alias("TEXT"), "lang")
     found = overlap_scores([docs, other], shared_columns([docs, other]))
     return found.select("column", F.round("score", 4).alias("score"))
 
@@ -556,3 +557,180 @@ def gather_apart(spark, sf_dir):
         for n, t in result.tables.items()
     ]
     return counted[0].unionByName(counted[1])
+
+
+# Lost digits, clashing names, files of several headers
+
+
+@query
+def whole_numbers_with_gaps(spark, sf_dir):
+    """Whole numbers beyond 2^53 with gaps keep every digit, and no row is taken for a copy of another."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey")
+    big = F.when(F.col("o_orderkey") % 17 != 0, (F.col("o_orderkey") + F.lit(9007199254740993)).cast("string"))
+    result = g.clean(orders.select(big.alias("big"), F.col("o_orderkey").alias("order_no"), ROW))
+    final = result.counts["final_row_count"]
+    return numbered(result.repaired, "big").withColumn("final_rows", F.lit(final).cast("bigint"))
+
+
+@query
+def fill_decimals(spark, sf_dir):
+    """The median of decimals keeps its fraction."""
+    balance = F.when(F.col("c_custkey") % 10 != 3, F.col("c_acctbal").cast("decimal(12,2)").cast("decimal(12,0)"))
+    customers = table(spark, sf_dir, "customer", "c_custkey").select("c_custkey", balance.alias("balance"), ROW)
+    return numbered(g.clean(customers).filled, F.col("balance").cast("double").alias("balance"))
+
+
+HELPER_NAMES = ["_id", "_key", "_before", "_k1", "_n", "_at", "_salt", "_best", "_first", "_day", "_m0"]
+
+
+@query
+def conflicts_with_helper_names(spark, sf_dir):
+    """Columns named as helper columns might be are data like any other."""
+    orders = table(spark, sf_dir, "orders")
+    copies = F.explode(F.when(F.col("o_orderkey") % 101 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = orders.select("o_orderkey", copies.alias("copy"))
+    cells = [F.concat(F.lit(f"{n} "), F.col("copy").cast("string")).alias(n) for n in HELPER_NAMES]
+    df = rows.select(F.col("o_orderkey").alias("order_id"), *cells, (F.col("o_orderkey") * 10 + F.col("copy")).alias(ROW))
+    found = g.clean(df).conflicts
+    return numbered(found, "reason", "order_id", *HELPER_NAMES)
+
+
+@query
+def gather_mixed_keys(spark, sf_dir):
+    """A whole number, a decimal and a double with gaps are one key where their values are equal."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("cust_id")).agg(F.count(F.lit(1)).alias("orders"))
+    customers = table(spark, sf_dir, "customer")
+    named = customers.select(F.col("c_custkey").cast("decimal(20,2)").alias("cust_id"), "c_name")
+    gap = F.when(F.col("c_custkey") % 20 != 0, F.col("c_custkey").cast("double"))
+    parts = customers.select(gap.alias("cust_id"), F.col("c_nationkey").alias("nation")).filter("cust_id is not null")
+    joined = g.gather({"orders": orders, "customers": named, "nations": parts}).joined
+    return joined.select(F.col("cust_id").cast("bigint").alias("cust_id"), "orders", "c_name", "nation")
+
+
+@query
+def gather_dates(spark, sf_dir):
+    """A date and its midnight are one key."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("orders"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("day"))
+    joined = g.gather({"orders": orders, "lines": lines.agg(F.count(F.lit(1)).alias("lines"))}).joined
+    return joined.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "orders", "lines")
+
+
+@query
+def gather_decimals(spark, sf_dir):
+    """Decimals of different precision keep all digits: neighbours beyond 2^53 stay apart."""
+    wide = F.lit("12345678901234567890").cast("decimal(20,0)")
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + wide).cast("decimal(22,0)").alias("item_id"), "o_totalprice")
+    other = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0")
+    other = other.select((F.col("o_orderkey") + wide).cast("decimal(24,2)").alias("item_id"), "o_orderstatus")
+    joined = g.gather({"orders": orders, "status": other}).joined
+    return joined.select((F.col("item_id") - wide).cast("bigint").alias("order_no"), "o_totalprice", "o_orderstatus")
+
+
+def _with_headers(spark: SparkSession, sf_dir: str):
+    """All customers in three files, each with a header of its own."""
+    folder, customers = scratch(spark), table(spark, sf_dir, "customer")
+    headers = (["c_custkey", "c_name", "c_mktsegment"], ["c_mktsegment", "c_custkey", "c_name"], ["c_name", "c_custkey"])
+    paths = []
+    for i, names in enumerate(headers):
+        part = customers.filter(F.col("c_custkey") % 3 == i).select(*names)
+        paths.append(f"{folder}/{i}.csv")
+        part.write.csv(paths[-1], header=True)
+    return g.read_csv(spark, paths)
+
+
+@query
+def csv_with_headers(spark, sf_dir):
+    return _with_headers(spark, sf_dir).df.drop(ROW)
+
+
+@query
+def profile_csv(spark, sf_dir):
+    """A CSV table goes to profile as it was read."""
+    found = g.profile(_with_headers(spark, sf_dir))
+    return found.columns.select("column", "dtype", "null_count", "unique_count")
+
+
+@query
+def csv_repeated_names(spark, sf_dir):
+    """A name that occurs twice in the header is made distinct, and reported."""
+    path = scratch(spark)
+    customers = table(spark, sf_dir, "customer").select(F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment").alias("line"))
+    # One file for each part of the customers, the header first.
+    parts = customers.withColumn("part", F.pmod(F.xxhash64("line"), F.lit(4)))
+    headers = spark.range(4).select(F.lit("cust_no,label,label").alias("line"), F.col("id").alias("part"))
+    rows = headers.withColumn("at", F.lit(0)).unionByName(parts.withColumn("at", F.lit(1)))
+    rows.repartition(4, "part").sortWithinPartitions("part", "at").drop("at").write.partitionBy("part").text(path)
+    read = g.read_csv(spark, [f"{path}/part={i}" for i in range(4)])
+    names = F.lit(",".join(read.duplicate_names)).alias("repeated")
+    return read.df.select("cust_no", "label", F.col("`label.1`").alias("label_1"), names)
+
+
+@query
+def csv_malformed_places(spark, sf_dir):
+    """File and line of the lines with too many fields."""
+    path = scratch(spark)
+    lines = derived(spark, sf_dir, CUSTOMER_LINES).select("k", "line", F.pmod("k", F.lit(4)).alias("part"))
+    lines.repartition(4, "part").sortWithinPartitions("part", "k").drop("k").write.partitionBy("part").text(path)
+    read = g.read_csv(spark, [f"{path}/part={i}" for i in range(4)], names=CUSTOMER_FIELDS)
+    part = F.regexp_extract("file", r"part=(\d)", 1).cast("int").alias("part")
+    return read.malformed.select(part, F.col("line_number").cast("bigint").alias("line_number"), "line")
+
+
+@query
+def first_seen_over_files(spark, sf_dir):
+    """The first of several files is the smallest; its spelling is the first seen all the same."""
+    folder, customers = scratch(spark), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    few = F.col("c_custkey") % 10 == 0
+    customers.filter(few).withColumn("c_name", F.lower("c_name")).coalesce(1).write.csv(f"{folder}/a.csv", header=True)
+    customers.write.csv(f"{folder}/b.csv", header=True)
+    repaired = g.clean(g.read_csv(spark, [f"{folder}/a.csv", f"{folder}/b.csv"]), ["c_custkey"]).repaired
+    return repaired.select("c_custkey", "c_name")
+
+
+@query
+def read_json_array(spark, sf_dir):
+    """Files that hold an array of records each; columns come in the order of the first record."""
+    path = scratch(spark)
+    record = F.to_json(F.struct("s_suppkey", "s_name", "s_acctbal", "s_nationkey"))
+    grouped = table(spark, sf_dir, "supplier").groupBy(F.pmod("s_suppkey", F.lit(8)).alias("part"))
+    arrays = grouped.agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ",\n"), F.lit("]")).alias("value"))
+    arrays.repartition(8, "part").write.partitionBy("part").text(path)
+    read = g.read_json(spark, [f"{path}/part={i}" for i in range(8)])
+    names = F.lit(",".join(c for c in read.columns if c != ROW)).alias("names")
+    return read.select("s_suppkey", "s_name", "s_acctbal", "s_nationkey", names)
+
+
+@query
+def correlations_many(spark, sf_dir):
+    """More pairs than are listed."""
+    lines = table(spark, sf_dir, "lineitem")
+    more = {
+        "charge": F.col("l_extendedprice") * (1 - F.col("l_discount")),
+        "unit": F.col("l_extendedprice") / F.col("l_quantity"),
+        "half": F.when(F.col("l_orderkey") % 2 == 0, F.col("l_quantity") + F.col("l_tax")),
+        "squared": F.col("l_quantity") * F.col("l_quantity"),
+        "rest": F.col("l_quantity") - F.col("l_linenumber"),
+        "price_tax": F.col("l_extendedprice") * F.col("l_tax"),
+    }
+    return g.analyze(lines.withColumns(more), LINE_IDS).correlations
+
+
+@query
+def written_gather(spark, sf_dir):
+    """What gather writes, counted after reading it back."""
+    written = g.write_gather(g.gather(_keyed(spark, sf_dir)), scratch(spark))
+    parts = [
+        spark.read.parquet(path).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
+        for name, path in written.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def gather_file_notes(spark, sf_dir):
+    """What was noticed while CSV inputs were read, of inputs with something to tell."""
+    customers = _customer_csv(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cust_no"), "o_totalprice")
+    notes = g.gather({"customers.csv": customers, "orders": orders}).file_notes
+    return notes.select("name", "malformed_rows_skipped", "encoding_note")

@@ -22,15 +22,13 @@ _CLOCK = (
     r"\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})?$"
 )
 _MAY_HAVE_CLOCK = "[:m]"
+# The year that two-digit years lie around; None is the year of the run. Set it for runs that must repeat.
+PIVOT_YEAR: int | None = None
 _DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
 _SEP = "[-/. ]"
 
 # Text shapes and the year-month-day they mean.
 _NUMERIC_SHAPES = [
-    (rf"^(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})$", "$1-$2-$3"),
-    (rf"^(1[3-9]|2\d|3[01]){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}|\d{{1,2}})$", "$3-$2-$1"),
-    (rf"^(3[2-9]|[4-9]\d){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})$", "$1-$2-$3"),
-    (rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}|\d{{1,2}})$", "$3-$1-$2"),
     (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
     (r"^(\d{4})[-/](\d{1,2})$", "$1-$2-1"),
     (r"^(\d{1,2})[-/](\d{4})$", "$2-$1-1"),
@@ -56,9 +54,9 @@ def with_days(df: DataFrame, days: Mapping[str, Column], iso: bool = False) -> D
     Each step is a column of its own, so that it is worked out once however often the next
     step mentions it. Texts without letters are not held against shapes with month names.
     """
-    steps = [f"_step{i}" for i in range(len(days))]
+    steps = [f"_gm_step{i}" for i in range(len(days))]
     df = df.withColumns({s: F.lower(strip(c)) for s, c in zip(steps, days.values())})
-    for prepare in (_without_clock, _ordered, lambda c: F.split(c, "-"), _padded, _checked_text if iso else _checked):
+    for prepare in (_without_clock, _split, _ordered, lambda c: F.split(c, "-"), _padded, _checked_text if iso else _checked):
         df = df.withColumns({s: prepare(F.col(s)) for s in steps})
     return df.withColumnsRenamed(dict(zip(steps, days)))
 
@@ -68,8 +66,32 @@ def _without_clock(text: Column) -> Column:
     return F.when(text.rlike(_MAY_HAVE_CLOCK), plain).otherwise(text)
 
 
-def _ordered(body: Column) -> Column:
-    """A date text as year-month-day; null if it has none of the shapes."""
+def _split(body: Column) -> Column:
+    """A date text and its parts between separators, if these are digits."""
+    digits = F.translate(body, "0123456789-/. ", "") == ""
+    return F.struct(body.alias("body"), F.when(digits, F.split(body, _SEP)).alias("parts"))
+
+
+def _three_numbers(parts: Column) -> Column:
+    """Three numbers as year-month-day: a long one is the year, else the month comes first unless it cannot be one."""
+    a, b, c = (F.get(parts, i) for i in range(3))
+    first = a.try_cast("int")
+    short = [F.length(x).between(1, 2) for x in (a, b, c)]
+    year_first = F.concat_ws("-", a, b, c)
+    return F.when(
+        short[1],
+        F.when((F.length(a) == 4) & short[2], year_first).when(
+            short[0] & (short[2] | (F.length(c) == 4)),
+            F.when(first.between(13, 31), F.concat_ws("-", c, b, a))
+            .when((first >= 32) & short[2], year_first)
+            .otherwise(F.concat_ws("-", c, a, b)),
+        ),
+    )
+
+
+def _ordered(text: Column) -> Column:
+    """A split date text as year-month-day; null if it has none of the shapes."""
+    body, parts = text["body"], text["parts"]
 
     def first_of(shapes: list[tuple[str, str]]) -> Column:
         chain = F
@@ -77,14 +99,15 @@ def _ordered(body: Column) -> Column:
             chain = chain.when(body.rlike(pattern), F.regexp_replace(body, pattern, meaning))
         return chain
 
-    return F.when(body.rlike("[a-z]"), first_of(_NAMED_SHAPES)).otherwise(first_of(_NUMERIC_SHAPES))
+    numbers = F.when(F.size(parts) == 3, _three_numbers(parts)).otherwise(first_of(_NUMERIC_SHAPES))
+    return F.when(parts.isNotNull(), numbers).otherwise(first_of(_NAMED_SHAPES))
 
 
 def _padded(parts: Column) -> Column:
     """Year, month and day as yyyy-MM-dd; years have two or four digits, months may have names."""
     digits, month, day = (F.get(parts, i) for i in range(3))
-    # Two-digit years fall within 50 years of today.
-    pivot = F.year(F.current_date()) + 50 - 2000
+    # Two-digit years fall within 50 years of today, or of a fixed year.
+    pivot = F.year(F.current_date()) + 50 - 2000 if PIVOT_YEAR is None else F.lit(PIVOT_YEAR + 50 - 2000)
     century = F.when(digits.try_cast("int") >= pivot, "19").otherwise("20")
     year = F.when(F.length(digits) == 4, digits).otherwise(F.concat(century, F.lpad(digits, 2, "0")))
     named = F.floor((F.instr(F.lit(_MONTHS), F.substring(month, 1, 3)) + 2) / 3).cast("string")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-KEY = ["_k1", "_k2"]
+KEY = ["_gm_k1", "_gm_k2"]
 
 
 def row_key(columns: Sequence[Column]) -> dict[str, Column]:

@@ -71,6 +71,16 @@ def is_digest(key: Column) -> Column:
     return F.octet_length(key) > KEY_BYTES
 
 
+def key_text(c: Column, type_name: str) -> Column:
+    """A key as text, alike for equal values of different types: 1 and 1.00, a date and its midnight."""
+    if type_name.startswith("decimal"):
+        plain = F.when(c != 0, c.cast("string")).otherwise("0")
+        return F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    if type_name.startswith("timestamp"):
+        return F.regexp_replace(c.cast("string"), r" 00:00:00$", "")
+    return as_text(c, type_name)
+
+
 def as_text(c: Column, type_name: str, fraction: str = "") -> Column:
     """A cell as text: booleans as True/False, whole numbers in plain digits.
 
@@ -79,6 +89,6 @@ def as_text(c: Column, type_name: str, fraction: str = "") -> Column:
     if type_name == "boolean":
         return F.when(c, "True").when(~c, "False")
     if type_name in ("double", "float"):
-        whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
+        whole = (c == F.floor(c)) & (F.abs(c) <= float(1 << 53))
         return F.when(whole, F.concat(c.cast("bigint").cast("string"), F.lit(fraction))).otherwise(c.cast("string"))
     return c.cast("string")

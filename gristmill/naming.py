@@ -13,6 +13,9 @@ from gristmill.constants import ID_CAMEL_END, ID_WORD
 
 ROW = "_row"
 
+# Helper columns begin with this; tables with such a column are refused, so no helper hides a column.
+RESERVED = "_gm_"
+
 _ID_PATTERNS = [re.compile(ID_WORD), re.compile(ID_CAMEL_END)]
 
 
@@ -22,11 +25,13 @@ def col(name: str) -> Column:
 
 
 def data_columns(df: DataFrame) -> list[str]:
-    """Every column but the row order key. Nested columns are refused."""
+    """Every column but the row order key. Nested columns and names with the helpers' prefix are refused."""
     names = []
     for field in df.schema.fields:
         if field.name == ROW:
             continue
+        if field.name.lower().startswith(RESERVED):
+            raise ValueError(f"column {field.name!r}: names with {RESERVED!r} are taken by helper columns")
         if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
             raise TypeError(
                 f"column {field.name!r} is {field.dataType.simpleString()}; "

@@ -14,7 +14,7 @@ from gristmill.naming import ROW, col
 from gristmill.operators.skew import is_small
 from gristmill.operators.store import keep
 
-COLUMN = "_col"
+COLUMN = "_gm_col"
 
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions import numbers, text
-from gristmill.naming import ROW, col, data_columns, is_number
+from gristmill.naming import ROW, col, data_columns, is_number, is_time
 from gristmill.operators import skew
 from gristmill.operators.store import keep
 
-KEY = "_key"
-SALT = "_salt"
+KEY = "_gm_key"
+SALT = "_gm_salt"
 
 
 def common_type(kinds: Sequence[T.DataType]) -> str:
@@ -24,8 +24,16 @@ def common_type(kinds: Sequence[T.DataType]) -> str:
         return kinds[0].simpleString()
     if all(isinstance(k, T.IntegralType) for k in kinds):
         return "bigint"
+    if all(isinstance(k, (T.IntegralType, T.DecimalType)) for k in kinds):
+        scale = max(getattr(k, "scale", 0) for k in kinds)
+        whole = max(k.precision - k.scale if isinstance(k, T.DecimalType) else 19 for k in kinds)
+        if whole + scale <= 38:
+            return f"decimal({whole + scale},{scale})"
+        return "string"
     if all(is_number(k) for k in kinds):
         return "double"
+    if all(is_time(k) for k in kinds):
+        return "timestamp_ntz"
     return "string"
 
 
@@ -49,7 +57,7 @@ class FullJoin:
         self._tables = []
         for i, (name, table, key) in enumerate(zip(names, tables, keys)):
             value = numbers.no_nan(col(key), kinds[i].simpleString())
-            as_key = text.as_text(value, kinds[i].simpleString()) if kind == "string" else value.cast(kind)
+            as_key = text.key_text(value, kinds[i].simpleString()) if kind == "string" else value.cast(kind)
             renamed = []
             for n in data_columns(table):
                 if n == key:
@@ -102,33 +110,36 @@ class FullJoin:
         limit = max(skew.HOT_ROWS, sum(n or 0 for n in total) * skew.HOT_SHARE)
         owner = F.array_position(F.array(*[F.col(f"n{i}") for i in range(width)]), most) - 1
         hot = self._counts.filter(most >= limit).select(
-            F.col(KEY).alias("_hot_key"),
-            owner.cast("int").alias("_owner"),
-            F.ceil(most / F.lit(limit)).cast("int").alias("_salts"),
+            F.col(KEY).alias("_gm_hot_key"),
+            owner.cast("int").alias("_gm_owner"),
+            F.ceil(most / F.lit(limit)).cast("int").alias("_gm_salts"),
         )
         hot = keep(hot)
         return None if hot.isEmpty() else F.broadcast(hot)
 
     def _salted(self, number: int) -> DataFrame:
         """A table with the salts of its rows: dealt out in the hot key's longest table,
-        repeated under every salt in the others, 0 for all other keys."""
-        table = self._tables[number]
-        marked = table.join(self._hot, F.col(KEY).eqNullSafe(F.col("_hot_key")), "left")
-        dealt = F.array(F.pmod(F.xxhash64(ROW), F.col("_salts")).cast("int"))
-        every = F.sequence(F.lit(0), F.col("_salts") - 1)
+        repeated under every salt in the others, 0 for all other keys.
+
+        The table is written once, so that a task that is run again deals its rows alike.
+        """
+        table = keep(self._tables[number])
+        marked = table.join(self._hot, F.col(KEY).eqNullSafe(F.col("_gm_hot_key")), "left")
+        dealt = F.array(F.pmod(F.xxhash64(ROW), F.col("_gm_salts")).cast("int"))
+        every = F.sequence(F.lit(0), F.col("_gm_salts") - 1)
         salts = (
-            F.when(F.col("_owner").isNull(), F.array(F.lit(0)))
-            .when(F.col("_owner") == number, dealt)
+            F.when(F.col("_gm_owner").isNull(), F.array(F.lit(0)))
+            .when(F.col("_gm_owner") == number, dealt)
             .otherwise(every)
         )
-        marked = marked.withColumn(SALT, F.explode(salts)).withColumn(f"_in{number}", F.lit(True))
-        return marked.drop("_hot_key", "_salts", "_owner")
+        marked = marked.withColumn(SALT, F.explode(salts)).withColumn(f"_gm_in{number}", F.lit(True))
+        return marked.drop("_gm_hot_key", "_gm_salts", "_gm_owner")
 
     def _spine(self) -> DataFrame:
         """Every key once, a hot key once per salt."""
-        keys = self._counts.select(KEY).join(self._hot, F.col(KEY).eqNullSafe(F.col("_hot_key")), "left")
-        salts = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-        return keys.select(KEY, "_owner", F.explode(salts).alias(SALT))
+        keys = self._counts.select(KEY).join(self._hot, F.col(KEY).eqNullSafe(F.col("_gm_hot_key")), "left")
+        salts = F.sequence(F.lit(0), F.coalesce(F.col("_gm_salts"), F.lit(1)) - 1)
+        return keys.select(KEY, "_gm_owner", F.explode(salts).alias(SALT))
 
     def result(self) -> DataFrame:
         numbers_ = range(len(self._tables))
@@ -142,6 +153,6 @@ class FullJoin:
             joined = joined.join(right, reduce(lambda a, b: a & b, same), "left").drop(*[f"{k}_right" for k in keys])
         if self._hot is not None:
             # A salt that no row of the hot key's longest table fell on stands for nothing.
-            there = F.array(*[F.col(f"_in{i}") for i in numbers_])
-            joined = joined.filter(F.col("_owner").isNull() | F.get(there, F.col("_owner")).isNotNull())
+            there = F.array(*[F.col(f"_gm_in{i}") for i in numbers_])
+            joined = joined.filter(F.col("_gm_owner").isNull() | F.get(there, F.col("_gm_owner")).isNotNull())
         return joined.select(*[F.col(KEY).alias(n) if n == self.key_name else col(n) for n in self._out])

@@ -45,17 +45,17 @@ def numbered_names(names: Sequence[str], number: Column) -> Column:
 def correlations(df: DataFrame, ids: IdNames, listed: int | None = CORRELATIONS_LISTED) -> DataFrame:
     """(column_a, column_b, correlation, strength) of the most correlated pairs of metrics.
 
-    Each pair uses the rows where both values are present. One map-side combined aggregate
-    per block of pairs; a pair with a constant column has no correlation and is left out.
+    Each pair uses the rows where both values are present. One scan: each row gives its pairs of values, and
+    each task combines them to one row per pair. A pair with a constant column has no correlation and is left out.
     """
     names = metric_columns(df, ids)
     work = df.select(*[as_double(df, n).alias(f"m{i}") for i, n in enumerate(names)])
     pairs = list(combinations(range(len(names)), 2))
-    found = []
-    for start in range(0, len(pairs), _PAIRS_AT_ONCE):
-        block = pairs[start : start + _PAIRS_AT_ONCE]
-        row = work.agg(*[_pearson(f"m{i}", f"m{j}").alias(f"r{i}_{j}") for i, j in block]).first()
-        found += [(i, j, names[i], names[j], r) for (i, j), r in zip(block, row) if r is not None]
+    if len(pairs) <= _PAIRS_AT_ONCE:
+        row = work.agg(*[_pearson(f"m{i}", f"m{j}").alias(f"r{i}_{j}") for i, j in pairs]).first() if pairs else ()
+        found = [(i, j, names[i], names[j], r) for (i, j), r in zip(pairs, row) if r is not None]
+    else:
+        found = [(i, j, names[i], names[j], r) for i, j, r in _all_pairs(work) if r is not None]
     table = df.sparkSession.createDataFrame(found, "i int, j int, column_a string, column_b string, r double")
     ordered = table.select(
         "column_a",
@@ -68,6 +68,20 @@ def correlations(df: DataFrame, ids: IdNames, listed: int | None = CORRELATIONS_
     return (ordered.limit(listed) if listed else ordered).drop("i", "j")
 
 
+def _all_pairs(work: DataFrame) -> list[tuple[int, int, float | None]]:
+    """The correlation of every two columns, without an expression per pair.
+
+    Values are exploded with those behind them, as (i, j, x, y) where both are there.
+    """
+    values = F.array(*[F.col(c) for c in work.columns])
+    first = work.select(values.alias("v")).select("v", F.posexplode("v").alias("i", "x")).filter("x is not null and i + 1 < size(v)")
+    rest = F.slice("v", F.col("i") + 2, F.size("v"))
+    both = first.select("i", "x", F.posexplode(rest).alias("k", "y")).filter("y is not null")
+    per_pair = both.groupBy("i", (F.col("i") + F.col("k") + 1).alias("j"))
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    return [tuple(row) for row in per_pair.agg(r.alias("r")).collect()]
+
+
 def _pearson(a: str, b: str) -> Column:
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
@@ -119,9 +133,9 @@ def moments(df: DataFrame, date_column: str) -> DataFrame:
     """The table with the moment of each row in ``_at``."""
     field = next(f for f in df.schema.fields if f.name == date_column)
     if is_time(field.dataType):
-        return df.withColumn("_at", col(date_column).cast("timestamp_ntz"))
-    df = dates.with_days(df, {"_day": col(date_column)})
-    return settled(df, {"_at": dates.with_clock(F.col("_day"), col(date_column))}).drop("_day")
+        return df.withColumn("_gm_at", col(date_column).cast("timestamp_ntz"))
+    df = dates.with_days(df, {"_gm_day": col(date_column)})
+    return settled(df, {"_gm_at": dates.with_clock(F.col("_gm_day"), col(date_column))}).drop("_gm_day")
 
 
 def daily(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -132,9 +146,9 @@ def daily(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     values = [as_double(df, n) for n in metrics]
     sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(values)]
     counts = [F.count(v).alias(f"c{i}") for i, v in enumerate(values)]
-    days = df.filter(F.col("_at").isNotNull()).groupBy(F.col("_at").cast("date").alias("_day"))
+    days = df.filter(F.col("_gm_at").isNotNull()).groupBy(F.col("_gm_at").cast("date").alias("_gm_day"))
     return keep(
-        days.agg(F.count(F.lit(1)).alias("rows"), F.min("_at").alias("start"), F.max("_at").alias("end"), *sums, *counts)
+        days.agg(F.count(F.lit(1)).alias("rows"), F.min("_gm_at").alias("start"), F.max("_gm_at").alias("end"), *sums, *counts)
     )
 
 
@@ -150,7 +164,7 @@ def date_span(days: DataFrame) -> dict | None:
 
 def period_averages(days: DataFrame, metrics: Sequence[str], period: str) -> DataFrame:
     """(_period, m0, m1, ...): the mean of every metric per day, week, month or year."""
-    start = F.date_trunc(period, F.col("_day").cast("timestamp_ntz")).alias("_period")
+    start = F.date_trunc(period, F.col("_gm_day").cast("timestamp_ntz")).alias("_gm_period")
     means = [F.try_divide(F.sum(f"s{i}"), F.sum(f"c{i}")).alias(f"m{i}") for i in range(len(metrics))]
     return days.groupBy(start).agg(*means)
 
@@ -176,15 +190,15 @@ def trends(df: DataFrame, ids: IdNames, dated: Sequence[str] | None = None) -> D
     averages = period_averages(days, metrics, span["period"])
     ends = averages.agg(
         F.count(F.lit(1)).alias("period_count"),
-        F.array(*[F.min_by(f"m{i}", "_period") for i in range(len(metrics))]).alias("first"),
-        F.array(*[F.max_by(f"m{i}", "_period") for i in range(len(metrics))]).alias("last"),
+        F.array(*[F.min_by(f"m{i}", "_gm_period") for i in range(len(metrics))]).alias("first"),
+        F.array(*[F.max_by(f"m{i}", "_gm_period") for i in range(len(metrics))]).alias("last"),
     ).filter("period_count >= 2")
-    ends = ends.select("period_count", F.posexplode(F.arrays_zip("first", "last")).alias("_i", "_ends"))
-    first, last = F.col("_ends.first"), F.col("_ends.last")
+    ends = ends.select("period_count", F.posexplode(F.arrays_zip("first", "last")).alias("_gm_i", "_gm_ends"))
+    first, last = F.col("_gm_ends.first"), F.col("_gm_ends.last")
     change = F.when(first != 0, F.round(F.try_divide(last - first, F.abs(first)) * 100, 2))
     direction = F.when(last > first, "increasing").when(last < first, "decreasing").otherwise("flat")
     return ends.filter(first.isNotNull() & last.isNotNull()).select(
-        numbered_names(metrics, F.col("_i")).alias("column"),
+        numbered_names(metrics, F.col("_gm_i")).alias("column"),
         F.lit(dated[0]).alias("date_column"),
         F.lit(span["period"]).alias("period"),
         "period_count",
@@ -228,13 +242,13 @@ def group_averages(df: DataFrame, groups: Sequence[str], metrics: Sequence[str])
 
     All grouping columns share one scan and one map-side combined aggregate.
     """
-    work = df.withColumns({f"_m{i}": as_double(df, n) for i, n in enumerate(metrics)})
-    kept = [f"_m{i}" for i in range(len(metrics))]
+    work = df.withColumns({f"_gm_m{i}": as_double(df, n) for i, n in enumerate(metrics)})
+    kept = [f"_gm_m{i}" for i in range(len(metrics))]
     long = cells(work, [[v] for v in values_of(df, groups).values()], ["group"], carried=kept)
     averages = long.filter("group is not null").groupBy(COLUMN, "group").agg(*[F.avg(m).alias(m) for m in kept])
     stacked = F.stack(F.lit(len(kept)), *[x for i, m in enumerate(kept) for x in (F.lit(i), F.col(m))])
     return (
-        averages.select(F.col(COLUMN).alias("_group_by"), "group", stacked.alias("_metric", "average"))
+        averages.select(F.col(COLUMN).alias("_gm_group_by"), "group", stacked.alias("_gm_metric", "average"))
         .filter("average is not null")
     )
 
@@ -249,7 +263,7 @@ def group_comparisons(df: DataFrame, ids: IdNames) -> DataFrame:
     schema = "group_by string, metric string, rank bigint, `group` string, average double, is_highest boolean, is_lowest boolean"
     if not groups:
         return df.sparkSession.createDataFrame([], schema)
-    pair = Window.partitionBy("_group_by", "_metric")
+    pair = Window.partitionBy("_gm_group_by", "_gm_metric")
     ranked = (
         group_averages(df, groups, metrics)
         .withColumn("rank", F.row_number().over(pair.orderBy(F.desc("average"), "group")).cast("bigint"))
@@ -257,8 +271,8 @@ def group_comparisons(df: DataFrame, ids: IdNames) -> DataFrame:
         .filter((F.col("groups") >= 2) & ((F.col("rank") <= GROUPS_LISTED) | (F.col("rank") == F.col("groups"))))
     )
     return ranked.select(
-        numbered_names(groups, F.col("_group_by")).alias("group_by"),
-        numbered_names(metrics, F.col("_metric")).alias("metric"),
+        numbered_names(groups, F.col("_gm_group_by")).alias("group_by"),
+        numbered_names(metrics, F.col("_gm_metric")).alias("metric"),
         "rank",
         "group",
         F.round("average", 4).alias("average"),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.naming import ROW
+from gristmill.naming import ROW, col
 from gristmill.operators.store import keep
 
 # monotonically_increasing_id() puts the partition above bit 33 and the position below.
@@ -21,6 +21,25 @@ def with_row_order(df: DataFrame, order: str | Column | None = None) -> DataFram
     return df.withColumn(ROW, order.cast("bigint"))
 
 
+def with_file_order(files: DataFrame) -> DataFrame:
+    """Rows just read from files, in the order of the files' paths and of the places in them.
+
+    Spark packs files into partitions by size, so the order of the scan is not that of the files. Rows are numbered
+    within their file split; splits, few against the rows, are added up in order.
+    """
+    if len(files.inputFiles()) < 2:
+        return with_row_order(files)
+    columns = [col(c) for c in files.columns]
+    path, start = F.col("_metadata.file_path").alias("_gm_path"), F.col("_metadata.file_block_start").alias("_gm_start")
+    placed = files.select(*columns, path, start, F.monotonically_increasing_id().alias("_gm_at"))
+    splits = placed.groupBy("_gm_path", "_gm_start").agg(F.count(F.lit(1)).alias("_gm_n"), F.min("_gm_at").alias("_gm_first"))
+    before = Window.orderBy("_gm_path", "_gm_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("_gm_before", F.coalesce(F.sum("_gm_n").over(before), F.lit(0))).drop("_gm_n")
+    joined = placed.join(offsets, ["_gm_path", "_gm_start"])
+    order = F.col("_gm_before") + F.col("_gm_at") - F.col("_gm_first")
+    return joined.select(*columns, order.alias(ROW))
+
+
 def ensure_row_order(df: DataFrame) -> DataFrame:
     return df if ROW in df.columns else with_row_order(df)
 
@@ -33,20 +52,20 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """
     spark = df.sparkSession
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = keep(ranged.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", _POSITION_BITS)
-    sizes = sorted(tuple(r) for r in placed.groupBy(part.alias("_part")).count().collect())
+    placed = keep(ranged.withColumn("_gm_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_gm_at", _POSITION_BITS)
+    sizes = sorted(tuple(r) for r in placed.groupBy(part.alias("_gm_part")).count().collect())
     offsets, total = [], 0
     for number, size in sizes:
         offsets.append((number, total))
         total += size
     if not offsets:
-        return placed.withColumn(name, F.lit(0).cast("bigint")).drop("_at")
-    table = spark.createDataFrame(offsets, f"_part bigint, _before bigint")
-    position = F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+        return placed.withColumn(name, F.lit(0).cast("bigint")).drop("_gm_at")
+    table = spark.createDataFrame(offsets, f"_gm_part bigint, _gm_before bigint")
+    position = F.col("_gm_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     return (
-        placed.withColumn("_part", part.cast("bigint"))
-        .join(F.broadcast(table), "_part")
-        .withColumn(name, F.col("_before") + position + 1)
-        .drop("_part", "_at", "_before")
+        placed.withColumn("_gm_part", part.cast("bigint"))
+        .join(F.broadcast(table), "_gm_part")
+        .withColumn(name, F.col("_gm_before") + position + 1)
+        .drop("_gm_part", "_gm_at", "_gm_before")
     )

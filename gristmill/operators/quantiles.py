@@ -78,8 +78,10 @@ def _interpolate(c: str, n: int, probabilities: Sequence[float], values_at: dict
     result = []
     for p in probabilities:
         at = p * (n - 1)
-        low, high = (float(values_at[c, r]) for r in (math.floor(at), math.ceil(at)))
-        result.append(low + (high - low) * (at - math.floor(at)) if low != high else low)
+        below, above = math.floor(at), math.ceil(at)
+        low, high = float(values_at[c, below]), float(values_at[c, above])
+        # The terms and their order are those of percentile(), so both ways agree in the last digit.
+        result.append((above - at) * low + (at - below) * high if low != high else low)
     return result
 
 

@@ -18,7 +18,9 @@ from gristmill.operators.store import keep
 
 def review(df: DataFrame, names: Sequence[str], reason: Column) -> DataFrame:
     """Rows for a person to look at: the reason, then the cells as they were before cleaning."""
-    title = "_reason" if "reason" in [n.lower() for n in names] else "reason"
+    title, taken = "reason", {n.lower() for n in names}
+    while title in taken:
+        title = f"_{title}"
     return df.select(reason.alias(title), *[F.col(BEFORE)[n].alias(n) for n in names], ROW)
 
 
@@ -48,13 +50,13 @@ class RepeatedRows:
 
     def __init__(self, df: DataFrame, names: Sequence[str], total: int):
         self.rows = df if KEY[0] in df.columns else with_row_key(df, names)
-        counted = self.rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.min(ROW).alias("_first"))
-        self.groups = keep(counted.filter("_n > 1"))
-        measures = (F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0)), byte_size(self.groups))
+        counted = self.rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_gm_n"), F.min(ROW).alias("_gm_first"))
+        self.groups = keep(counted.filter("_gm_n > 1"))
+        measures = (F.count(F.lit(1)), F.coalesce(F.sum("_gm_n"), F.lit(0)), byte_size(self.groups))
         self.count, self.members, size = self.groups.agg(*measures).first()
         self.extra = self.members - self.count
         self.small = fits(size)
-        self.hot = None if self.small else hot_keys(self.groups, KEY, total, "_n")
+        self.hot = None if self.small else hot_keys(self.groups, KEY, total, "_gm_n")
 
     def join(self, rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
         return lookup(rows, table, KEY, self.hot, how, small=self.small)
@@ -63,15 +65,15 @@ class RepeatedRows:
         """Rows that have no equal."""
         if not self.count:
             return rows
-        marked = self.join(rows, self.groups.select(*KEY, F.lit(True).alias("_repeated")), "left")
-        return marked.filter(F.col("_repeated").isNull()).drop("_repeated")
+        marked = self.join(rows, self.groups.select(*KEY, F.lit(True).alias("_gm_repeated")), "left")
+        return marked.filter(F.col("_gm_repeated").isNull()).drop("_gm_repeated")
 
 
 def duplicate_review(repeated: RepeatedRows, names: Sequence[str]) -> DataFrame:
     """Every member of every group of equal rows; groups numbered by their first row."""
-    numbered = number_rows(repeated.groups, ["_first", *KEY], "_group").select(*KEY, "_n", "_group")
+    numbered = number_rows(repeated.groups, ["_gm_first", *KEY], "_gm_group").select(*KEY, "_gm_n", "_gm_group")
     rows = repeated.join(repeated.rows, numbered)
-    reason = F.format_string("Exact duplicate - matches %d other row(s) (group %d)", F.col("_n") - 1, F.col("_group"))
+    reason = F.format_string("Exact duplicate - matches %d other row(s) (group %d)", F.col("_gm_n") - 1, F.col("_gm_group"))
     return review(rows, names, reason)
 
 
@@ -82,18 +84,18 @@ class Conflicts:
         self._repeated = repeated
         self._names = names
         self._id_name = id_name
-        rows = repeated.rows.withColumn("_id", col(id_name)).filter(F.col("_id").isNotNull())
-        counted = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
-        self._ids = keep(counted.filter("_n > 1"))
+        rows = repeated.rows.withColumn("_gm_id", col(id_name)).filter(F.col("_gm_id").isNotNull())
+        counted = rows.groupBy("_gm_id").agg(F.count(F.lit(1)).alias("_gm_n"))
+        self._ids = keep(counted.filter("_gm_n > 1"))
         # With few repeated IDs, only their rows go through the shuffle below.
         self._rows = rows
         few = is_small(self._ids)
-        narrowed = lookup(rows, self._ids.select("_id"), ["_id"], small=True) if few else rows
+        narrowed = lookup(rows, self._ids.select("_gm_id"), ["_gm_id"], small=True) if few else rows
         self.ids = keep(self._compare(narrowed))
-        self.count, size = self.ids.agg(F.coalesce(F.sum("_lone"), F.lit(0)), byte_size(self.ids)).first()
+        self.count, size = self.ids.agg(F.coalesce(F.sum("_gm_lone"), F.lit(0)), byte_size(self.ids)).first()
         self._small = fits(size)
         # Every ID with many rows is among the repeated ones, whether it has conflicts or not.
-        self._hot = None if self._small else hot_keys(self._ids, ["_id"], total, "_n")
+        self._hot = None if self._small else hot_keys(self._ids, ["_gm_id"], total, "_gm_n")
 
     def _compare(self, rows: DataFrame) -> DataFrame:
         """Per ID: how many rows have no exact copy, and in which columns those differ.
@@ -101,26 +103,26 @@ class Conflicts:
         Cells are compared by 64-bit hash, so all partial results are fixed-width numbers.
         """
         others = [n for n in self._names if n != self._id_name]
-        cells = {f"_h{i}": F.xxhash64(col(n).isNull(), col(n)) for i, n in enumerate(others)}
+        cells = {f"_gm_h{i}": F.xxhash64(col(n).isNull(), col(n)) for i, n in enumerate(others)}
         distinct = (
             rows.withColumns(cells)
-            .groupBy("_id", *KEY)
-            .agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in cells])
+            .groupBy("_gm_id", *KEY)
+            .agg(F.count(F.lit(1)).alias("_gm_n"), *[F.min(c).alias(c) for c in cells])
         )
-        lone = {c: F.when(F.col("_n") == 1, F.col(c)) for c in cells}
-        per_id = distinct.groupBy("_id").agg(
-            F.sum("_n").alias("_rows"),
-            F.count_if(F.col("_n") == 1).alias("_lone"),
+        lone = {c: F.when(F.col("_gm_n") == 1, F.col(c)) for c in cells}
+        per_id = distinct.groupBy("_gm_id").agg(
+            F.sum("_gm_n").alias("_gm_rows"),
+            F.count_if(F.col("_gm_n") == 1).alias("_gm_lone"),
             *[(F.min(v) != F.max(v)).alias(c) for c, v in lone.items()],
         )
         differing = F.array_compact(F.array(*[F.when(F.col(c), F.lit(n)) for c, n in zip(cells, others)]))
         differs = F.array_join(differing, ", ") if others else F.lit("")
-        return per_id.filter("_rows > 1 and _lone > 0").select("_id", "_lone", differs.alias("_differs"))
+        return per_id.filter("_gm_rows > 1 and _gm_lone > 0").select("_gm_id", "_gm_lone", differs.alias("_gm_differs"))
 
     def review(self) -> DataFrame:
-        rows = lookup(self._rows, self.ids.drop("_lone"), ["_id"], self._hot, small=self._small)
+        rows = lookup(self._rows, self.ids.drop("_gm_lone"), ["_gm_id"], self._hot, small=self._small)
         rows = self._repeated.singles(rows)
-        reason = F.concat(F.lit(f"Same {self._id_name} as another row, but differs in: "), F.col("_differs"))
+        reason = F.concat(F.lit(f"Same {self._id_name} as another row, but differs in: "), F.col("_gm_differs"))
         return review(rows, self._names, reason)
 
 

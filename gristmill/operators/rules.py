@@ -20,7 +20,7 @@ from gristmill.operators.cells import COLUMN, cells, spell_out, value_counts
 from gristmill.operators.skew import byte_size, fits, hot_keys, lookup
 from gristmill.operators.store import keep
 
-BEFORE = "_before"
+BEFORE = "_gm_before"
 
 
 @dataclass
@@ -147,8 +147,7 @@ def _decide_text(name: str, facts: dict, parsed: dict | None, is_id: bool) -> Co
             rules.changes["categories_standardized"] = facts[f"respelled{i}"]
             break
     if filled and not is_id and facts["numbers"] == filled and not facts["codes"]:
-        whole = facts["whole"] == filled and facts["nulls"] + facts["blank"] == 0
-        rules.number_type = "bigint" if whole else "double"
+        rules.number_type = "bigint" if facts["whole"] == filled else "double"
         rules.changes["converted_to_numeric"] = filled
     return rules
 
@@ -158,7 +157,7 @@ def _before_casing(df: DataFrame, columns: Sequence[ColumnRules]) -> DataFrame:
     df = df.withColumns({c.name: text.tidy(col(c.name)) for c in columns})
     dated = [c for c in columns if c.date]
     if dated:
-        days = {f"_day{i}": col(c.name) for i, c in enumerate(dated)}
+        days = {f"_gm_day{i}": col(c.name) for i, c in enumerate(dated)}
         iso = {c.name: F.coalesce(F.col(d), col(c.name)) for c, d in zip(dated, days)}
         df = dates.with_days(df, days, iso=True).withColumns(iso).drop(*days)
     grouped = [c for c in columns if c.group is not None]
@@ -195,13 +194,13 @@ def _decide_casing(df: DataFrame, rules: Rules, facts: dict, parsed: dict) -> No
         table = whole_spellings(staged, names, table)
         size = table.agg(byte_size(table)).first()[0]
     named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col(COLUMN) + 1)
-    rules.spellings = table.select(named.alias("_name"), F.col("key").alias("_key"), F.col("best").alias("_best"))
+    rules.spellings = table.select(named.alias("_gm_name"), F.col("key").alias("_gm_key"), F.col("best").alias("_gm_best"))
     rules.spellings_small = fits(size)
     if not rules.spellings_small:
         respelled = [c.name for c in open_ if c.spellings]
         named = F.element_at(F.array(*[F.lit(n) for n in respelled]), F.col(COLUMN) + 1)
-        counts = value_counts(staged, respelled).select(named.alias("_name"), F.col("key").alias("_key"), "n")
-        rules.hot_values = hot_keys(counts, ["_name", "_key"], df.count())
+        counts = value_counts(staged, respelled).select(named.alias("_gm_name"), F.col("key").alias("_gm_key"), "n")
+        rules.hot_values = hot_keys(counts, ["_gm_name", "_gm_key"], df.count())
 
 
 def spelling_changes(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -220,9 +219,9 @@ def whole_spellings(df: DataFrame, names: Sequence[str], changes: DataFrame) ->
     """Spelling changes with the whole texts in place of digests."""
     best = changes.select(COLUMN, F.col("best").alias("key")).distinct()
     texts = spell_out(df, names, best)
-    spelled = texts.select(COLUMN, F.col("key").alias("best"), F.col("value").alias("_text"))
+    spelled = texts.select(COLUMN, F.col("key").alias("best"), F.col("value").alias("_gm_text"))
     joined = changes.join(spelled, [COLUMN, "best"])
-    return keep(joined.select(COLUMN, "key", F.col("_text").alias("best"), "n"))
+    return keep(joined.select(COLUMN, "key", F.col("_gm_text").alias("best"), "n"))
 
 
 def apply(df: DataFrame, rules: Rules) -> DataFrame:
@@ -243,13 +242,13 @@ def apply(df: DataFrame, rules: Rules) -> DataFrame:
     out = out.withColumns(plain) if plain else out
     for c in texts:
         if c.spellings:
-            table = rules.spellings.filter(F.col("_name") == c.name).select("_key", "_best")
+            table = rules.spellings.filter(F.col("_gm_name") == c.name).select("_gm_key", "_gm_best")
             hot = rules.hot_values
             if hot is not None:
-                hot = hot.filter(F.col("_name") == c.name).select("_key", "_salts")
-            out = out.withColumn("_key", text.compact(col(c.name)))
-            out = lookup(out, table, ["_key"], hot, "left", small=rules.spellings_small)
-            out = out.withColumn(c.name, F.coalesce("_best", col(c.name))).drop("_key", "_best")
+                hot = hot.filter(F.col("_gm_name") == c.name).select("_gm_key", "_gm_salts")
+            out = out.withColumn("_gm_key", text.compact(col(c.name)))
+            out = lookup(out, table, ["_gm_key"], hot, "left", small=rules.spellings_small)
+            out = out.withColumn(c.name, F.coalesce("_gm_best", col(c.name))).drop("_gm_key", "_gm_best")
     cast = {c.name: numbers.to_number(col(c.name), c.number_type) for c in texts if c.number_type}
     out = out.withColumns(cast) if cast else out
     return out.select(*[col(c.name) for c in rules.columns], BEFORE, ROW)

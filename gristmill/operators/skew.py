@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.naming import ROW, col
+from gristmill.naming import col
 from gristmill.operators.store import keep
 
 # A key is hot from this many rows on, or from this share of all rows if that is more.
@@ -15,6 +16,9 @@ from gristmill.operators.store import keep
 HOT_ROWS = 200_000
 HOT_SHARE = 1e-5
 
+# Rows with a null key match nothing; they are dealt out to so many salts.
+NULL_SALTS = 200
+
 # A table is broadcast only after its size was measured to be within this.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -40,7 +44,7 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], total: int, n: str = "n") -
     """From counted keys, the few hot ones with the number of salts each needs."""
     limit = max(HOT_ROWS, total * HOT_SHARE)
     salts = F.ceil(F.col(n) / F.lit(limit)).cast("int")
-    hot = keep(counts.filter(F.col(n) >= limit).select(*[col(k) for k in keys], salts.alias("_salts")))
+    hot = keep(counts.filter(F.col(n) >= limit).select(*[col(k) for k in keys], salts.alias("_gm_salts")))
     return None if hot.isEmpty() else hot
 
 
@@ -50,23 +54,30 @@ def lookup(
     keys: Sequence[str],
     hot: DataFrame | None = None,
     how: str = "inner",
-    spread: str = ROW,
     small: bool = False,
 ) -> DataFrame:
     """Join rows to a table that has each key once. Null keys match nothing.
 
     A table measured as small is broadcast. Otherwise the rows of a hot key are spread over
     several salts, and the table's row for that key is repeated once per salt, so no task
-    receives the whole key.
+    receives the whole key. Null keys are spread, too, in a left join. The salt is a hash of the
+    whole row, the same whenever a task is run again.
     """
     keys = list(keys)
     if small:
         return rows.join(F.broadcast(table), keys, how)
-    if hot is None:
+    if hot is None and how == "inner":
         return rows.join(table, keys, how)
+    content = F.xxhash64(*[col(c) for c in rows.columns])
+    no_key = reduce(lambda a, b: a | b, [col(k).isNull() for k in keys])
+    if hot is None:
+        null_salt = F.when(no_key, F.pmod(content, F.lit(NULL_SALTS))).otherwise(F.lit(0)).cast("int")
+        salted_rows = rows.withColumn("_gm_salt", null_salt)
+        return salted_rows.join(table.withColumn("_gm_salt", F.lit(0)), [*keys, "_gm_salt"], how).drop("_gm_salt")
     hot = F.broadcast(hot)
-    salt = F.pmod(F.xxhash64(col(spread)), F.coalesce(F.col("_salts"), F.lit(1)))
-    every_salt = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    salted_rows = rows.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
-    salted_table = table.join(hot, keys, "left").withColumn("_salt", every_salt).drop("_salts")
-    return salted_rows.join(salted_table, [*keys, "_salt"], how).drop("_salt")
+    salts = F.when(no_key, F.lit(NULL_SALTS)).otherwise(F.coalesce(F.col("_gm_salts"), F.lit(1)))
+    salt = F.pmod(content, salts)
+    every_salt = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_gm_salts"), F.lit(1)) - 1))
+    salted_rows = rows.join(hot, keys, "left").withColumn("_gm_salt", salt.cast("int")).drop("_gm_salts")
+    salted_table = table.join(hot, keys, "left").withColumn("_gm_salt", every_salt).drop("_gm_salts")
+    return salted_rows.join(salted_table, [*keys, "_gm_salt"], how).drop("_gm_salt")

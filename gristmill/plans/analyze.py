@@ -11,11 +11,14 @@ from gristmill.naming import IdNames
 from gristmill.operators import metrics
 from gristmill.operators.order import ensure_row_order
 from gristmill.plans.profile import ProfileResult
+from gristmill.sources.csv import CsvTable, table_and_notes
 
 
 class AnalysisResult:
     """What analyze finds in the table as it is, not cleaned. Parts are worked out on demand."""
 
+    file_notes: DataFrame | None = None
+
     def __init__(self, df: DataFrame, ids: IdNames):
         self._df = df
         self._ids = ids
@@ -50,6 +53,9 @@ class AnalysisResult:
         return self._outliers.examples()
 
 
-def analyze(df: DataFrame, id_columns: Iterable[str] | None = None) -> AnalysisResult:
+def analyze(df: DataFrame | CsvTable, id_columns: Iterable[str] | None = None) -> AnalysisResult:
     """Analyze a table. ``id_columns`` names the identifiers, else column names decide."""
-    return AnalysisResult(ensure_row_order(df), IdNames(id_columns))
+    df, notes = table_and_notes(df)
+    result = AnalysisResult(ensure_row_order(df), IdNames(id_columns))
+    result.file_notes = result.profile.file_notes = notes
+    return result

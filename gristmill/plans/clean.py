@@ -27,8 +27,9 @@ from gristmill.operators.rows import (
 )
 from gristmill.operators.rules import Rules, apply, decide
 from gristmill.operators.store import keep
+from gristmill.sources.csv import CsvTable, table_and_notes
 
-_EMPTY, _MISSING = "_is_empty", "_is_missing"
+_EMPTY, _MISSING = "_gm_is_empty", "_gm_is_missing"
 RULE_NAMES = [
     "blank_like_converted_to_null",
     "whitespace_trimmed",
@@ -47,9 +48,12 @@ class CleanResult:
     ``cleaned`` holds the final rows; ``duplicates``, ``conflicts``, ``missing`` and ``empty``
     hold rows for review with a ``reason`` and the cells as they were. ``summary`` has one
     (metric, value) row per count, ``column_report`` one (column, metric, value) row per
-    column and rule that changed cells. All tables carry the row order in ``_row``.
+    column and rule that changed cells. All tables carry the row order in ``_row``. ``file_notes``
+    tells what was noticed while a CSV input was read; it is None for other inputs.
     """
 
+    file_notes: DataFrame | None = None
+
     def __init__(self, df: DataFrame, rules: Rules, ids: IdNames):
         self.rules = rules
         self.names = [c.name for c in rules.columns]
@@ -104,15 +108,34 @@ class CleanResult:
         fills.update({n: m[0] for n, m in medians.items() if m})
         return fills
 
+    @cached_property
+    def _beyond_double(self) -> set[str]:
+        """Whole-number columns to fill that hold numbers a double does not keep exactly."""
+        types = {f.name: f.dataType for f in self._kept.schema.fields}
+        whole = [n for n in self.fills if isinstance(types[n], T.LongType)]
+        if not whole:
+            return set()
+        limit = 1 << 53
+        row = self._kept.agg(*[F.bool_or((col(n) > limit) | (col(n) < -limit)) for n in whole]).first()
+        return {n for n, beyond in zip(whole, row) if beyond}
+
+    def _filled_type(self, name: str, kind: T.DataType) -> T.DataType:
+        """The type of a filled column. A median may have a fraction: whole numbers turn double, or decimal
+        where a double would lose digits; decimals get one more place."""
+        if isinstance(kind, T.IntegralType):
+            return T.DecimalType(20, 1) if name in self._beyond_double else T.DoubleType()
+        if isinstance(kind, T.DecimalType):
+            roomy = kind.precision < 38
+            return T.DecimalType(kind.precision + 1, kind.scale + 1) if roomy else kind
+        return kind
+
     @cached_property
     def _filled(self) -> DataFrame:
         types = {f.name: f.dataType for f in self._kept.schema.fields}
         columns = {}
         for name, value in self.fills.items():
-            # A median may have a fraction, so a whole-number column with gaps turns double.
-            as_double = isinstance(types[name], T.IntegralType)
-            base = col(name).cast("double") if as_double else col(name)
-            columns[name] = F.coalesce(base, F.lit(value).cast("double" if as_double else types[name]))
+            kind = self._filled_type(name, types[name])
+            columns[name] = F.coalesce(col(name).cast(kind), F.lit(value).cast(kind))
         return self._kept.withColumns(columns) if columns else self._kept
 
     @cached_property
@@ -203,15 +226,18 @@ class CleanResult:
         return self._spark.createDataFrame(self.changes, "column string, metric string, value bigint")
 
 
-def clean(df: DataFrame, id_columns: Iterable[str] | None = None, keep_timestamps: bool = False) -> CleanResult:
+def clean(df: DataFrame | CsvTable, id_columns: Iterable[str] | None = None, keep_timestamps: bool = False) -> CleanResult:
     """Clean a table.
 
     ``id_columns`` names the identifiers, else column names decide. ``keep_timestamps`` leaves
     date and time columns typed instead of writing them as yyyy-MM-dd text. Row order is the
     ``_row`` column if there is one (see with_row_order), else the order of the scan.
     """
+    df, notes = table_and_notes(df)
     df = ensure_row_order(df)
     if not data_columns(df):
         raise ValueError("the table has no columns")
     ids = IdNames(id_columns)
-    return CleanResult(df, decide(df, ids, keep_timestamps), ids)
+    result = CleanResult(df, decide(df, ids, keep_timestamps), ids)
+    result.file_notes = notes
+    return result

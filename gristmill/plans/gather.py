@@ -15,7 +15,7 @@ from gristmill.naming import col, data_columns, match_name
 from gristmill.operators.cells import COLUMN, cells
 from gristmill.operators.full_join import FullJoin
 from gristmill.operators.order import ensure_row_order
-from gristmill.sources.csv import CsvTable
+from gristmill.sources.csv import CsvTable, file_notes
 
 KEPT_APART = (
     "No column with enough matching values was found in all tables, "
@@ -47,7 +47,7 @@ def shared_columns(tables: Sequence[DataFrame]) -> list[str]:
 def _join_text(df: DataFrame, name: str) -> Column:
     """A key value as compared for overlap: text, trimmed, lower-cased."""
     kind = dict(df.dtypes)[name]
-    return F.lower(text.strip(text.as_text(numbers.no_nan(col(name), kind), kind)))
+    return F.lower(text.strip(text.key_text(numbers.no_nan(col(name), kind), kind)))
 
 
 def overlap_scores(tables: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
@@ -68,14 +68,14 @@ def overlap_scores(tables: Sequence[DataFrame], columns: Sequence[str]) -> DataF
         names = [column_named(table, c) for c in columns]
         long = cells(table, [[_join_text(table, n)] for n in names], ["value"]).filter(F.col("value").isNotNull())
         long = long.select(COLUMN, *[k.alias(n) for n, k in row_key([F.col("value")]).items()])
-        parts.append(long.withColumns({f"_in{w}": bit for w, bit in zip(words, bits(number))}))
-    found_in = [F.bit_or(f"_in{w}").alias(f"_in{w}") for w in words]
+        parts.append(long.withColumns({f"_gm_in{w}": bit for w, bit in zip(words, bits(number))}))
+    found_in = [F.bit_or(f"_gm_in{w}").alias(f"_gm_in{w}") for w in words]
     values = reduce(DataFrame.unionByName, parts).groupBy(COLUMN, *KEY).agg(*found_in)
     tests = []
     for number in range(len(tables)):
         own = bits(number)
-        here = F.col(f"_in{number // _BITS}").bitwiseAND(own[number // _BITS]) != 0
-        elsewhere = reduce(lambda x, y: x | y, [F.col(f"_in{w}") != own[w] for w in words])
+        here = F.col(f"_gm_in{number // _BITS}").bitwiseAND(own[number // _BITS]) != 0
+        elsewhere = reduce(lambda x, y: x | y, [F.col(f"_gm_in{w}") != own[w] for w in words])
         tests += [F.count_if(here).alias(f"all{number}"), F.count_if(here & elsewhere).alias(f"met{number}")]
     tallied = values.groupBy(COLUMN).agg(*tests)
     shares = [F.try_divide(F.col(f"met{i}"), F.col(f"all{i}")) for i in range(len(tables))]
@@ -128,12 +128,7 @@ class GatherResult:
     @cached_property
     def file_notes(self) -> DataFrame:
         """One row per CSV input that was not read as it stands."""
-        notes = [(n, *f.notes) for n, f in self._files.items()]
-        schema = (
-            "name string, malformed_rows_skipped bigint, malformed_row_numbers array<bigint>, "
-            "encoding_note string, duplicate_column_names array<string>"
-        )
-        return self._spark.createDataFrame([n for n in notes if any(n[1:])], schema)
+        return file_notes(self._spark, self._files)
 
     @cached_property
     def tables(self) -> dict[str, DataFrame] | None:

@@ -16,6 +16,7 @@ from gristmill.operators import columns as stats
 from gristmill.operators.order import ensure_row_order
 from gristmill.operators.quantiles import exact_quantiles
 from gristmill.operators.rows import RepeatedRows
+from gristmill.sources.csv import CsvTable, table_and_notes
 
 EMPTY_WARNING = "The table has no rows to profile."
 
@@ -31,9 +32,11 @@ class ProfileResult:
 
     ``table`` (metric, value): rows, columns and repeated rows. ``columns``: one row per column.
     ``top_values``, ``casing_examples``, ``duplicate_values`` and ``duplicate_row_examples``
-    hold the examples behind the counts.
+    hold the examples behind the counts. ``file_notes`` tells what was noticed in a CSV input, else it is None.
     """
 
+    file_notes: DataFrame | None = None
+
     def __init__(self, df: DataFrame, ids: IdNames):
         self._spark = df.sparkSession
         types = dict(df.dtypes)
@@ -103,7 +106,7 @@ class ProfileResult:
     @cached_property
     def duplicate_row_examples(self) -> DataFrame:
         """The first rows that have an equal. They belong to the groups seen first."""
-        first = self._repeated.groups.orderBy("_first").limit(DUPLICATE_ROW_EXAMPLES).select(*KEY)
+        first = self._repeated.groups.orderBy("_gm_first").limit(DUPLICATE_ROW_EXAMPLES).select(*KEY)
         rows = self._repeated.rows.join(F.broadcast(first), KEY, "left_semi")
         return rows.select(*[col(n) for n in self.names], ROW).orderBy(ROW).limit(DUPLICATE_ROW_EXAMPLES)
 
@@ -149,6 +152,9 @@ class ProfileResult:
         return table.withColumns({**rounded, "null_percent": F.round("null_percent", stats.PERCENT_DIGITS)})
 
 
-def profile(df: DataFrame, id_columns: Iterable[str] | None = None) -> ProfileResult:
+def profile(df: DataFrame | CsvTable, id_columns: Iterable[str] | None = None) -> ProfileResult:
     """Profile a table. ``id_columns`` names the identifiers, else column names decide."""
-    return ProfileResult(ensure_row_order(df), IdNames(id_columns))
+    df, notes = table_and_notes(df)
+    result = ProfileResult(ensure_row_order(df), IdNames(id_columns))
+    result.file_notes = notes
+    return result

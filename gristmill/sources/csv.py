@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.constants import MALFORMED_LISTED
-from gristmill.naming import col
-from gristmill.operators.order import with_row_order
+from gristmill.naming import ROW, col
+from gristmill.operators.order import with_file_order
+from gristmill.operators.store import keep
 from gristmill.sources.infer import default_nulls, infer_types
 
 NO_DATA = "There is nothing to read: the input has neither columns nor rows."
 LATIN_NOTE = "Some bytes are not UTF-8, so the input was read as ISO-8859-1. Check special characters."
-_BAD = "_bad"
+_BAD = "_gm_bad"
+# Rows of the files of one header have numbers below 2 to this power; the header's number is above.
+_GROUP_BITS = 48
 _QUOTED = r'(^|,)"(?:[^"]|"")*"'
 
 
@@ -47,40 +50,53 @@ def distinct_names(names: Sequence[str]) -> list[str]:
     return result
 
 
+@dataclass
+class CsvPart:
+    """Files with equal header lines: their lines or, where a record may span lines, the records set aside."""
+
+    lines: DataFrame | None
+    set_aside: DataFrame | None
+    fields: int
+    has_header: bool
+
+    def malformed(self) -> DataFrame:
+        if self.lines is None:
+            return self.set_aside.select("file", F.lit(None).cast("bigint").alias("line_number"), "line")
+        spots = self.lines.select(
+            "line",
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("_gm_start"),
+            F.monotonically_increasing_id().alias("_gm_at"),
+        )
+        splits = spots.groupBy("file", "_gm_start").agg(F.count(F.lit(1)).alias("_gm_n"), F.min("_gm_at").alias("_gm_first"))
+        before = Window.partitionBy("file").orderBy("_gm_start").rowsBetween(Window.unboundedPreceding, -1)
+        splits = splits.withColumn("_gm_before", F.coalesce(F.sum("_gm_n").over(before), F.lit(0))).drop("_gm_n")
+        long = spots.filter(field_count(F.col("line")) > self.fields)
+        number = F.col("_gm_before") + F.col("_gm_at") - F.col("_gm_first") + 1
+        placed = long.join(splits, ["file", "_gm_start"]).withColumn("line_number", number)
+        if self.has_header:
+            placed = placed.filter("line_number > 1")
+        return placed.select("file", "line_number", "line")
+
+
 @dataclass
 class CsvTable:
-    """A CSV file as a table, with what was noticed while reading it."""
+    """CSV files as a table, with what was noticed while reading them."""
 
     df: DataFrame
     duplicate_names: list[str]
     encoding_note: str | None
-    _lines: DataFrame
-    _fields: int
-    _has_header: bool
+    _parts: list[CsvPart]
 
     @cached_property
     def malformed(self) -> DataFrame:
         """(file, line_number, line) of every line left out for having too many fields.
 
         Line numbers start at 1 in each file and count the header and blank lines. Lines are
-        numbered inside each file split, splits of a file are then added up in order.
+        numbered inside each file split, splits of a file are then added up in order. Where records
+        may span lines, ``line`` is the whole record and has no number.
         """
-        spots = self._lines.select(
-            "line",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_at"),
-        )
-        splits = spots.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-        before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-        splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-        long = spots.filter(field_count(F.col("line")) > self._fields)
-        placed = long.join(splits, ["file", "_start"]).withColumn(
-            "line_number", F.col("_before") + F.col("_at") - F.col("_first") + 1
-        )
-        if self._has_header:
-            placed = placed.filter("line_number > 1")
-        return placed.select("file", "line_number", "line")
+        return reduce(DataFrame.unionByName, [p.malformed() for p in self._parts])
 
     @cached_property
     def malformed_count(self) -> int:
@@ -95,10 +111,51 @@ class CsvTable:
     @cached_property
     def malformed_line_numbers(self) -> list[int]:
         """The first line numbers, as listed in a report."""
-        first = self.malformed.orderBy("file", "line_number").limit(MALFORMED_LISTED)
+        numbered = self.malformed.filter("line_number is not null")
+        first = numbered.orderBy("file", "line_number").limit(MALFORMED_LISTED)
         return [r["line_number"] for r in first.collect()]
 
 
+def file_notes(spark: SparkSession, files: Mapping[str, CsvTable]) -> DataFrame:
+    """One row per CSV input that was not read as it stands."""
+    schema = (
+        "name string, malformed_rows_skipped bigint, malformed_row_numbers array<bigint>, "
+        "encoding_note string, duplicate_column_names array<string>"
+    )
+    notes = [(n, *t.notes) for n, t in files.items()]
+    return spark.createDataFrame([r for r in notes if any(r[1:])], schema)
+
+
+def table_and_notes(table: DataFrame | CsvTable) -> tuple[DataFrame, DataFrame | None]:
+    """A table to work on, and notes about its file if it came as CSV.
+
+    A CSV input is written once as Parquet: its text is parsed once, however many passes follow.
+    """
+    if not isinstance(table, CsvTable):
+        return table, None
+    return keep(table.df), file_notes(table.df.sparkSession, {"": table}).drop("name")
+
+
+def _headers(lines: DataFrame) -> list[tuple[str, list[str]]]:
+    """The different header lines, in the order of the first file of each, with the files that have them.
+
+    A header is the first line of a file that is not blank. File names reach the driver only if there are several headers.
+    """
+    spots = lines.filter(F.length(F.trim("line")) > 0).select(
+        F.regexp_replace("line", "^\ufeff", "").alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_gm_at"),
+    )
+    per_file = spots.groupBy("file").agg(F.min_by("line", "_gm_at").alias("header"))
+    found = per_file.groupBy("header").agg(F.min("file").alias("first")).orderBy("first").collect()
+    if len(found) < 2:
+        return [(r["header"], []) for r in found]
+    files: dict[str, list[str]] = {r["header"]: [] for r in found}
+    for r in per_file.orderBy("file").collect():
+        files[r["header"]].append(r["file"])
+    return list(files.items())
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -108,6 +165,8 @@ def read_csv(
 ) -> CsvTable:
     """Read CSV files with a header line each, or with given ``names`` and no header.
 
+    Files may have different headers: their columns are matched by name, and a column that a file lacks is null.
+
     Bytes that are not UTF-8 anywhere make the whole input ISO-8859-1. Lines with too many
     fields are set aside, lines with too few are filled with nulls. ``multi_line`` allows line
     breaks inside quotes; such files cannot be split among tasks. ``infer=False`` keeps text.
@@ -116,38 +175,54 @@ def read_csv(
     if lines.filter(F.length("value") > 0).isEmpty():
         raise ValueError(NO_DATA)
     latin = not lines.filter(~F.is_valid_utf8("value")).isEmpty()
-    line = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if latin else F.col("value")
-    lines = lines.select(line.alias("line"), "_metadata")
-
-    repeated: list[str] = []
-    if names is None:
-        header = lines.filter(F.length(F.trim("line")) > 0).first()
-        if header is None:
+    encoding = "ISO-8859-1" if latin else "UTF-8"
+    if names is not None:
+        groups = [(list(names), path)]
+        repeated: list[str] = []
+    else:
+        headers = _headers(_decoded(lines, latin))
+        if not headers:
             raise ValueError(NO_DATA)
-        text = header["line"].lstrip("﻿")
-        repeated = repeated_names(text)
-        names = distinct_names(next(csv.reader([text])))
-        has_header = True
+        repeated = list(dict.fromkeys(n for text, _ in headers for n in repeated_names(text)))
+        groups = [(distinct_names(next(csv.reader([text]))), files or path) for text, files in headers]
+
+    tables, parts = [], []
+    for own_names, files in groups:
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*own_names, _BAD])
+        # Without pruning, lines are held against the whole schema where few columns are asked for, too.
+        raw = spark.read.option("columnPruning", False).csv(
+            files,
+            schema=schema,
+            header=names is None,
+            mode="PERMISSIVE",
+            columnNameOfCorruptRecord=_BAD,
+            quote='"',
+            escape='"',
+            encoding=encoding,
+            multiLine=multi_line,
+        )
+        # The reader marks short lines as well as long ones. It refuses to deliver the marked text
+        # alone, hence the empty piece of the first column.
+        marked = F.concat_ws("", F.col(_BAD), F.left(col(own_names[0]), F.lit(0)))
+        whole = F.col(_BAD).isNull() | (field_count(marked) <= len(own_names))
+        tables.append((raw, whole))
+        aside = raw.filter(~whole).select(F.col("_metadata.file_path").alias("file"), marked.alias("line")) if multi_line else None
+        part_lines = None if multi_line else _decoded(spark.read.text(files), latin)
+        parts.append(CsvPart(part_lines, aside, len(own_names), names is None))
+    if len(tables) == 1:
+        raw, whole = tables[0]
+        df = with_file_order(raw).filter(whole).drop(_BAD)
     else:
-        names, has_header = list(names), False
-
-    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, _BAD])
-    # Without pruning, lines are held against the whole schema where few columns are asked for, too.
-    raw = spark.read.option("columnPruning", False).csv(
-        path,
-        schema=schema,
-        header=has_header,
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord=_BAD,
-        quote='"',
-        escape='"',
-        encoding="ISO-8859-1" if latin else "UTF-8",
-        multiLine=multi_line,
-    )
-    # The reader marks short lines as well as long ones. It refuses to deliver the marked text
-    # alone, hence the empty piece of the first column.
-    marked = F.concat_ws("", F.col(_BAD), F.left(col(names[0]), F.lit(0)))
-    whole = F.col(_BAD).isNull() | (field_count(marked) <= len(names))
-    df = default_nulls(raw.filter(whole).drop(_BAD))
+        # Files of one header follow each other; within them, rows are in the order of files and lines.
+        ordered = [with_file_order(raw).filter(whole).drop(_BAD) for raw, whole in tables]
+        numbered = [t.withColumn(ROW, F.col(ROW) + (i << _GROUP_BITS)) for i, t in enumerate(ordered)]
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
+        df = df.select(*[col(c) for c in df.columns if c != ROW], ROW)
+    df = default_nulls(df)
     df = infer_types(df) if infer else df
-    return CsvTable(with_row_order(df), repeated, LATIN_NOTE if latin else None, lines, len(names), has_header)
+    return CsvTable(df, repeated, LATIN_NOTE if latin else None, parts)
+
+
+def _decoded(lines: DataFrame, latin: bool) -> DataFrame:
+    line = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if latin else F.col("value")
+    return lines.select(line.alias("line"), "_metadata")

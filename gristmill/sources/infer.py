@@ -26,7 +26,10 @@ def default_nulls(df: DataFrame) -> DataFrame:
 
 
 def column_types(df: DataFrame) -> dict[str, str]:
-    """The type each text column deserves: bigint, double, boolean or string. One scan."""
+    """The type each text column deserves: bigint, double, boolean or string. One scan.
+
+    Whole numbers stay whole numbers with gaps among them, so no digit is lost.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
     names = [n for n, t in types.items() if is_text(t)]
     if not names:
@@ -36,7 +39,6 @@ def column_types(df: DataFrame) -> dict[str, str]:
         cells(df, [[col(n)] for n in names], ["value"])
         .groupBy(COLUMN)
         .agg(
-            F.count_if(value.isNull()).alias("nulls"),
             F.count(value).alias("filled"),
             F.count_if(numbers.is_number_text(stripped)).alias("numbers"),
             F.count_if(numbers.is_whole_text(stripped)).alias("whole"),
@@ -51,7 +53,7 @@ def column_types(df: DataFrame) -> dict[str, str]:
             continue
         name = names[f[COLUMN]]
         if f["numbers"] == f["filled"] and not f["codes"]:
-            found[name] = "bigint" if f["whole"] == f["filled"] and not f["nulls"] else "double"
+            found[name] = "bigint" if f["whole"] == f["filled"] else "double"
         elif f["flags"] == f["filled"]:
             found[name] = "boolean"
     return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping, Sequence
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import dates
 from gristmill.naming import ROW, col, is_text
-from gristmill.operators.order import with_row_order
+from gristmill.operators.order import with_file_order, with_row_order
 from gristmill.plans.clean import CleanResult
 from gristmill.plans.gather import GatherResult
 from gristmill.sources.csv import NO_DATA, CsvTable, read_csv
@@ -28,7 +29,7 @@ def extension(path: str) -> str:
     return os.path.splitext(path.rstrip("/"))[1].lower()
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
     """Read an array of records, or with ``lines`` one record per line, which splits among tasks.
 
     Columns come in the order of the first record. Text that holds numbers only becomes
@@ -37,18 +38,26 @@ def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     df = spark.read.json(path, multiLine=not lines)
     if not df.columns:
         raise ValueError(NO_DATA)
-    if lines:
-        first = spark.read.text(path).filter(F.length(F.trim("value")) > 0).limit(1)
-    else:
-        first = spark.read.text(path, wholetext=True).limit(1)
-        first = first.select(F.coalesce(F.get_json_object("value", "$[0]"), "value").alias("value"))
-    keys = first.select(F.json_object_keys("value")).first()[0] or []
+    keys = _first_record_names(spark, path)
     ordered = [k for k in keys if k in df.columns]
     ordered += [c for c in df.columns if c not in ordered]
     df = df.select(*[col(c) for c in ordered])
     return with_row_order(_named_dates(infer_types(df)))
 
 
+def _first_record_names(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Names of the first record, in their order. Files are read in pieces up to a closing brace, and few of them."""
+    pieces = spark.read.text(path, lineSep="}")
+    for n in (16, 4_096):
+        head = "}".join(r["value"] for r in pieces.limit(n).collect()) + "}"
+        try:
+            record, _ = json.JSONDecoder().raw_decode(head[max(0, head.find("{")) :])
+        except ValueError:
+            continue
+        return list(record) if isinstance(record, dict) else []
+    return []
+
+
 def _is_date_name(name: str) -> bool:
     lower = name.lower()
     return lower.endswith(_DATE_NAME_ENDS) or lower.startswith(_DATE_NAME_STARTS) or lower in _DATE_NAMES
@@ -58,16 +67,16 @@ def _named_dates(df: DataFrame) -> DataFrame:
     named = [f.name for f in df.schema.fields if is_text(f.dataType) and _is_date_name(f.name)]
     if not named:
         return df
-    work = dates.with_days(df, {f"_day{i}": col(n) for i, n in enumerate(named)})
-    tests = [F.bool_and(col(n).isNull() | F.col(f"_day{i}").isNotNull()) for i, n in enumerate(named)]
+    work = dates.with_days(df, {f"_gm_day{i}": col(n) for i, n in enumerate(named)})
+    tests = [F.bool_and(col(n).isNull() | F.col(f"_gm_day{i}").isNotNull()) for i, n in enumerate(named)]
     filled = [F.count(col(n)) > 0 for n in named]
     verdict = work.agg(*[t & f for t, f in zip(tests, filled)]).first()
-    moments = {n: dates.with_clock(F.col(f"_day{i}"), col(n)) for i, n in enumerate(named) if verdict[i]}
+    moments = {n: dates.with_clock(F.col(f"_gm_day{i}"), col(n)) for i, n in enumerate(named) if verdict[i]}
     return work.withColumns(moments).select(*[col(c) for c in df.columns]) if moments else df
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return with_row_order(spark.read.parquet(path))
+    return with_file_order(spark.read.parquet(path))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | CsvTable:

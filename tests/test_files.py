@@ -22,10 +22,10 @@ def test_types_and_null_tokens(spark, tmp_path):
     text = "n,f,code,word,flag,gap\n1,1.5,007,a,True,1\n2,N/A,008,-,False,\n3, 2 ,009,null,TRUE,3\n"
     table = read(spark, tmp_path, text)
     assert table.df.dtypes[:-1] == [
-        ("n", "bigint"), ("f", "double"), ("code", "string"), ("word", "string"), ("flag", "boolean"), ("gap", "double"),
+        ("n", "bigint"), ("f", "double"), ("code", "string"), ("word", "string"), ("flag", "boolean"), ("gap", "bigint"),
     ]
     assert data(table) == [
-        (1, 1.5, "007", "a", True, 1.0), (2, None, "008", "-", False, None), (3, 2.0, "009", None, True, 3.0),
+        (1, 1.5, "007", "a", True, 1), (2, None, "008", "-", False, None), (3, 2.0, "009", None, True, 3),
     ]
 
 
