@@ -240,7 +240,7 @@ def bounded_sample(rows: DataFrame, per_class: int, most_bytes: int) -> list[tup
 def bitmap(positions: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of 2^bits places from a table with one column `pos`, of 0 to 2^bits - 1.
 
-    It arrives in pieces of 8 KB, so its size depends on bits alone, not on the rows.
+    It arrives in pieces of 8 KB, 2^(bits - 16) of them, so its size depends on bits alone, not on the rows.
     """
     places = positions.select(F.shiftright("pos", 16).cast("int").alias("part"), F.col("pos").bitwiseAND(0xFFFF).cast("int").alias("bit"))
 
@@ -261,7 +261,7 @@ def bitmap(positions: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "marks": [np.packbits(marks).tobytes()]})
 
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in in_order(places.distinct(), "part").mapInArrow(run, "part int, marks binary").toLocalIterator():
+    for r in in_order(places.distinct(), "part").mapInArrow(run, "part int, marks binary").collect():
         out[r["part"] << 13 : (r["part"] + 1) << 13] |= np.frombuffer(r["marks"], np.uint8)
     return out
 
