@@ -443,7 +443,7 @@ def period_averages(spark, sf_dir):
     days = metrics.daily(metrics.moments(table(spark, sf_dir, "lineitem"), "l_shipdate"), measures)
     found = metrics.period_averages(days, measures, "month")
     return found.select(
-        F.date_format("_period", "yyyy-MM-dd").alias("period"),
+        F.date_format("_gm_period", "yyyy-MM-dd").alias("period"),
         F.round("m0", 4).alias("quantity"),
         F.round("m1", 4).alias("price"),
     )

@@ -31,6 +31,7 @@ LEADING_ZERO = r"^-?0\d"
 ID_WORD = r"(?i)(?:^|[\s_\-.])id(?:[\s_\-.]|$)"
 ID_CAMEL_END = r"[a-z](?:Id|ID)$"
 
+# Shares, limits and lengths of lists that decide results, and the text that fills gaps.
 DATE_LIKE_SHARE = 0.5
 DATE_PARSED_SHARE = 0.9
 
@@ -58,6 +59,21 @@ OUTLIER_MIN_ROWS = 5
 OUTLIER_FENCE = 1.5
 OUTLIER_EXAMPLES = 5
 
+# Rule names, reasons and their wording in reports.
+RULE_NAMES = [
+    "blank_like_converted_to_null",
+    "whitespace_trimmed",
+    "dates_standardized",
+    "categories_standardized",
+    "casing_standardized",
+    "converted_to_numeric",
+    "missing_values_filled",
+]
+ALL_EMPTY = "All fields empty except the ID"
+MISSING_REASON = "Missing values in: "
+DUPLICATE_REASON = "Exact duplicate - matches %d other row(s) (group %d)"
+CONFLICT_REASON = "Same {id} as another row, but differs in: "
+
 # Shortest span in days for each period, longest first.
 PERIODS = [(730, "year"), (90, "month"), (14, "week"), (0, "day")]
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.constants import CONFLICT_REASON, DUPLICATE_REASON, MISSING_REASON
 from gristmill.functions.keys import KEY, row_key
 from gristmill.naming import ROW, col
 from gristmill.operators.order import number_rows
@@ -34,7 +35,7 @@ def any_null(names: Sequence[str]) -> Column:
 
 def missing_reason(names: Sequence[str]) -> Column:
     named = F.array_compact(F.array(*[F.when(col(n).isNull(), F.lit(n)) for n in names]))
-    return F.concat(F.lit("Missing values in: "), F.array_join(named, ", "))
+    return F.concat(F.lit(MISSING_REASON), F.array_join(named, ", "))
 
 
 def with_row_key(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -73,7 +74,7 @@ def duplicate_review(repeated: RepeatedRows, names: Sequence[str]) -> DataFrame:
     """Every member of every group of equal rows; groups numbered by their first row."""
     numbered = number_rows(repeated.groups, ["_gm_first", *KEY], "_gm_group").select(*KEY, "_gm_n", "_gm_group")
     rows = repeated.join(repeated.rows, numbered)
-    reason = F.format_string("Exact duplicate - matches %d other row(s) (group %d)", F.col("_gm_n") - 1, F.col("_gm_group"))
+    reason = F.format_string(DUPLICATE_REASON, F.col("_gm_n") - 1, F.col("_gm_group"))
     return review(rows, names, reason)
 
 
@@ -122,7 +123,7 @@ class Conflicts:
     def review(self) -> DataFrame:
         rows = lookup(self._rows, self.ids.drop("_gm_lone"), ["_gm_id"], self._hot, small=self._small)
         rows = self._repeated.singles(rows)
-        reason = F.concat(F.lit(f"Same {self._id_name} as another row, but differs in: "), F.col("_gm_differs"))
+        reason = F.concat(F.lit(CONFLICT_REASON.replace("{id}", self._id_name)), F.col("_gm_differs"))
         return review(rows, self._names, reason)
 
 

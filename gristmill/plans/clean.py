@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.constants import TEXT_FILL
+from gristmill.constants import ALL_EMPTY, RULE_NAMES, TEXT_FILL
 from gristmill.functions.keys import KEY
 from gristmill.naming import ROW, IdNames, col, data_columns, is_number
 from gristmill.operators.order import ensure_row_order
@@ -30,16 +30,6 @@ from gristmill.operators.store import keep
 from gristmill.sources.csv import CsvTable, table_and_notes
 
 _EMPTY, _MISSING = "_gm_is_empty", "_gm_is_missing"
-RULE_NAMES = [
-    "blank_like_converted_to_null",
-    "whitespace_trimmed",
-    "dates_standardized",
-    "categories_standardized",
-    "casing_standardized",
-    "converted_to_numeric",
-    "missing_values_filled",
-]
-ALL_EMPTY = "All fields empty except the ID"
 
 
 class CleanResult:

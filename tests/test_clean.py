@@ -195,3 +195,19 @@ def test_large_table_ways_give_the_same(spark, monkeypatch):
     assert everything(df) == expected
     monkeypatch.setattr(skew, "HOT_ROWS", 5)
     assert everything(df) == expected
+
+
+def test_columns_named_like_helpers(spark):
+    """Every operation leaves columns alone that are named as helpers might be."""
+    names = ["_id", "_key", "_before", "_k1", "_k2", "_n", "_at", "_salt", "_best", "_first", "_day", "_m0", "_group", "_name", "reason"]
+    rows = [(1, *[f"{n} a" for n in names], 1.5), (1, *[f"{n} b" for n in names], 2.5), (2, *["x"] * len(names), None)]
+    df = spark.createDataFrame(rows, "order_id int, " + ", ".join(f"`{n}` string" for n in names) + ", v double")
+    result = g.clean(df)
+    assert result.cleaned.columns == [*df.columns, "_row"]
+    conflicts = result.conflicts.collect()
+    assert [r["_reason"] for r in conflicts] == [f"Same order_id as another row, but differs in: {', '.join([*names, 'v'])}"] * 2
+    assert sorted(r["_id"] for r in conflicts) == ["_id a", "_id b"]
+    assert g.profile(df).columns.count() == len(df.columns)
+    assert g.analyze(df).outliers.count() == 0
+    other = df.select("order_id", "_key", "_salt")
+    assert g.gather({"a": df, "b": other}).joined.count() >= 3

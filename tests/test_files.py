@@ -181,3 +181,52 @@ def test_a_folder_is_gathered_with_notes(spark, tmp_path):
     assert tuple(note) == ("sales.csv", 1, [4], None, [])
     with pytest.raises(ValueError, match="at least two"):
         g.read_tables(spark, [str(tmp_path / "sales.csv")])
+
+
+def test_files_of_different_headers_are_matched_by_name(spark, tmp_path):
+    a = write(tmp_path / "a.csv", "no,tree,park\n1,oak,North Park\n")
+    b = write(tmp_path / "b.csv", "park,no,tree\nMill Lane,2,elm\n")
+    c = write(tmp_path / "c.csv", "tree,no\nash,3\n")
+    table = g.read_csv(spark, [a, b, c])
+    assert table.df.columns == ["no", "tree", "park", "_row"]
+    assert data(table) == [(1, "oak", "North Park"), (2, "elm", "Mill Lane"), (3, "ash", None)]
+
+
+def test_rows_of_files_come_in_the_order_of_their_paths(spark, tmp_path):
+    small = write(tmp_path / "part-0.csv", "k,v\n1,white pine\n")
+    large = write(tmp_path / "part-1.csv", "k,v\n" + "".join(f"{i},{'x' * 200}\n" for i in range(2, 400)) + "400,White Pine\n")
+    table = g.read_csv(spark, [large, small])
+    assert data(table)[0] == (1, "white pine")
+    repaired = {r["k"]: r["v"] for r in g.clean(table, ["k"]).repaired.collect()}
+    assert repaired[400] == "white pine"
+
+
+def test_long_records_that_span_lines_are_listed_whole(spark, tmp_path):
+    text = 'a,b\n"first\nline",1\n"one\ntwo, three",4,5\nlast,6\n'
+    table = read(spark, tmp_path, text, multi_line=True)
+    assert data(table) == [("first\nline", 1), ("last", 6)]
+    assert table.malformed_count == 1 and table.malformed_line_numbers == []
+    assert table.malformed.first()["line_number"] is None
+
+
+def test_csv_tables_go_straight_to_every_operation(spark, tmp_path):
+    path = write(tmp_path / "trees.csv", "no,tree,tree\n1,oak,a\n2, elm ,b\n3,ash,c,d\n")
+    table = g.read_table(spark, path)
+    cleaned = g.clean(table, ["no"])
+    assert [r["tree"] for r in cleaned.cleaned.orderBy("_row").collect()] == ["oak", "elm"]
+    note = cleaned.file_notes.first()
+    assert note["malformed_rows_skipped"] == 1 and note["malformed_row_numbers"] == [4]
+    assert note["duplicate_column_names"] == ["tree"]
+    assert g.profile(table).row_count == 2 and g.profile(table).file_notes.count() == 1
+    assert g.analyze(table).file_notes.count() == 1
+    assert g.clean(table.df).file_notes is None
+
+
+def test_a_header_alone_gives_a_table_without_rows(spark, tmp_path):
+    result = g.clean(read(spark, tmp_path, "a,b,c\n"))
+    assert result.cleaned.count() == 0 and result.warning
+
+
+def test_helper_names_are_refused(spark):
+    with pytest.raises(ValueError, match="_gm_"):
+        g.clean(spark.createDataFrame([(1,)], "_gm_key int"))

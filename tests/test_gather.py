@@ -135,3 +135,19 @@ def test_hot_keys_join_as_any_other(spark, tiny_limits):
     expected = brute_force([a, b, c])
     assert Counter(map(tuple, result.joined.collect())) == expected
     assert [r["rows"] for r in result.fanout.collect()] == [sum(brute_force([a, b]).values()), sum(expected.values())]
+
+
+def test_keys_of_different_types(spark):
+    from decimal import Decimal
+
+    a = spark.createDataFrame([(Decimal(12345678901234567890),), (Decimal(12345678901234567891),)], "k decimal(20,0)")
+    b = spark.createDataFrame([(Decimal("12345678901234567891.00"), "x")], "k decimal(24,2), v string")
+    joined = g.gather({"a": a, "b": b}).joined.collect()
+    assert sorted((int(r["k"]), r["v"]) for r in joined) == [(12345678901234567890, None), (12345678901234567891, "x")]
+    whole = spark.createDataFrame([(1234567890123456,)], "k long")
+    double = spark.createDataFrame([(1234567890123456.0,), (None,)], "k double")
+    assert scores([whole, double])["k"] == 1.0
+    days = spark.sql("SELECT DATE'2024-01-05' AS d UNION ALL SELECT DATE'2024-01-06'")
+    moments = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-05 00:00:00' AS d, 7 AS n")
+    assert scores([days, moments])["d"] == 0.75
+    assert g.gather({"a": days, "b": moments}).joined.count() == 2

@@ -42,3 +42,11 @@ def test_small_tables_take_the_short_way(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (10,), (None,)], "v int")
     assert exact_quantiles(df, {"v": F.col("v")}, [0.25, 0.5, 0.75]) == {"v": [1.75, 2.5, 4.75]}
     assert exact_quantiles(df, {}, [0.5]) == {}
+
+
+def test_both_ways_agree_to_the_last_digit(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(float(v),) for v in rng.normal(20, 9, 1_004).round(3)], "v double").repartition(3)
+    probabilities = [i / 100 for i in range(100)]
+    small = exact_quantiles(df, {"v": F.col("v")}, probabilities, small_rows=10_000)["v"]
+    assert narrowed(df, ["v"], probabilities)["v"] == small
