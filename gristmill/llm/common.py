@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -167,8 +168,14 @@ def stable(df: DataFrame) -> DataFrame:
     Several jobs may read them, and they outlive lost executors. Spark deletes the files with their
     last reader where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint()
+    # Jobs in many rounds leave shuffle files and checkpoints that nobody reads any more. Spark removes
+    # them once the driver has collected what referred to them.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return kept
 
 
 def repeated(df: DataFrame, n: str) -> DataFrame:
