@@ -8,23 +8,28 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import stable
 
 
+def _small_star(pairs: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours, joined to the smallest of these."""
+    root = pairs.groupBy("a").agg(F.min("b").alias("m"))
+    others = pairs.join(root, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return others.unionByName(root.select("a", F.col("m").alias("b"))).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Per linked node its root, the smallest node it reaches. links has columns a and b; returns node, root.
 
     Each round joins every node's larger neighbours, then its smaller ones, to the smallest; the links become stars
-    in a number of rounds that grows with the logarithm of the longest path. Nulls and self-links are left out.
+    in a number of rounds that grows with the logarithm of the longest path. A first pass over smaller neighbours
+    leaves about one link per node, however many links there were. Nulls and self-links are left out.
     """
     pairs = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = stable(pairs.distinct())
+    pairs = stable(_small_star(pairs.distinct()))
     before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(root, "a")
-        small = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(root.select("a", F.col("m").alias("b")))
-        pairs = stable(small.distinct())
+        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        pairs = stable(_small_star(large.distinct()))
         now = pairs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if now == before or not now["n"]:
             break
