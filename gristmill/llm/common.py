@@ -213,35 +213,43 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def bounded_sample(rows: DataFrame, per_class: int, most_bytes: int) -> list[tuple[str, object]]:
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def labelled(docs: DataFrame, text: Column, label: Column) -> DataFrame:
+    """label, h and n (hash and bytes) of the texts of docs: all that choosing a sample needs."""
+    return docs.select(label.alias("label"), text_hash(text).alias("h"), F.octet_length(text).alias("n"))
+
+
+def bounded_sample(rows: DataFrame, texts_: DataFrame, per_class: int, most_bytes: int) -> list[tuple[str, object]]:
     """Pairs (text, label) for fitting: at most per_class different texts of each label and most_bytes in all.
 
-    rows has text and label; nulls are left out. Texts are chosen by their hash, so the sample is the same in
-    every run, and copies count once. It is bounded by the two parameters and the number of labels.
+    rows has label, h and n as labelled() gives them, texts_ a column text; nulls are left out. Texts are chosen by
+    their hash, so the sample is the same in every run, and copies count once. It is bounded by the two parameters
+    and the number of labels.
     """
-    rows = rows.where(F.col("text").isNotNull() & F.col("label").isNotNull()).select("text", "label")
+    rows = rows.where(F.col("n").isNotNull() & F.col("label").isNotNull())
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not sizes:
         return []
     rate = F.create_map(*[x for label, n in sizes.items() for x in (F.lit(label), F.lit(min(1.0, 1.3 * per_class / n + 50 / n)))])
-    hashed = rows.withColumn("h", F.xxhash64("text"))
     uniform = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
-    hashed = hashed.where(uniform < rate[F.col("label")])
-    found = hashed.select("label", "h", F.octet_length("text").alias("n")).distinct().collect()
-    chosen, share = [], most_bytes / len(sizes)
+    found = rows.where(uniform < rate[F.col("label")]).select("label", "h", "n").distinct().collect()
+    chosen: dict[int, list] = {}
     for label in sizes:
-        total, last = 0, None
+        total = 0
         for i, r in enumerate(sorted((r["h"] % (1 << 64), r["h"], r["n"]) for r in found if r["label"] == label)):
             total += r[2]
-            if i and (i >= per_class or total > share):
+            if i and (i >= per_class or total > most_bytes / len(sizes)):
                 break
-            chosen.append((label, r[1]))
+            chosen.setdefault(r[1], []).append(label)
     if not chosen:
         return []
-    picked = rows.sparkSession.createDataFrame(chosen, hashed.select("label", "h").schema)
-    # Both sides are bounded: the chosen hashes by the parameters.
-    got = hashed.join(F.broadcast(picked), ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text"))
-    return [(r["text"], r["label"]) for r in sorted(got.collect(), key=lambda r: (str(r["label"]), r["h"]))]
+    wanted = texts_.sparkSession.createDataFrame([(h,) for h in chosen], "h long")
+    # As many rows at most as the parameters allow.
+    got = texts_.select("text", text_hash(F.col("text")).alias("h")).join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("text").alias("text"))
+    return sorted(((r["text"], label) for r in got.collect() for label in chosen[r["h"]]), key=lambda p: (str(p[1]), p[0]))
 
 
 def bitmap(positions: DataFrame, bits: int) -> np.ndarray:

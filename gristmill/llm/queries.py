@@ -33,9 +33,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fitted_toxicity(spark: SparkSession, documents: DataFrame, sf_dir: str) -> toxicity.Model:
     """A classifier from labelled documents outside the held-out fold."""
-    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    rows = documents.select("doc_id", "text").where(remainder(F.col("doc_id"), 5) != 0).join(labels, "doc_id")
-    return toxicity.fit(common.bounded_sample(rows, toxicity.SAMPLE_ROWS, toxicity.SAMPLE_BYTES))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    learned = documents.where(remainder(F.col("doc_id"), 5) != 0)
+    hashed = common.labelled(learned, F.col("text"), F.col("doc_id")).withColumnRenamed("label", "doc_id")
+    rows = hashed.join(labels, "doc_id").select(F.col("toxic").alias("label"), "h", "n")
+    return toxicity.fit(common.bounded_sample(rows, learned, toxicity.SAMPLE_ROWS, toxicity.SAMPLE_BYTES))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +85,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    learned = documents.where(remainder(F.col("doc_id"), 4) != 2).select("text", F.col("lang").alias("label"))
-    model = language.fit(common.bounded_sample(learned, language.SAMPLE_ROWS, language.SAMPLE_BYTES))
+    learned = documents.where(remainder(F.col("doc_id"), 4) != 2)
+    rows = common.labelled(learned, F.col("text"), F.col("lang"))
+    model = language.fit(common.bounded_sample(rows, learned, language.SAMPLE_ROWS, language.SAMPLE_BYTES))
     found = language.identify(documents, model, more={"held_out": remainder(documents["doc_id"], 4) == 2})
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 

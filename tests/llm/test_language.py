@@ -31,8 +31,12 @@ def test_nothing_learned(documents):
 
 def test_sample_is_bounded(spark):
     rows = [("copy", "a")] * 300 + [(f"t{i}", "a") for i in range(400)] + [(f"u{i}", "b") for i in range(5)] + [(None, "a"), ("x", None)]
-    got = common.bounded_sample(spark.createDataFrame(rows, "text string, label string"), 50, 10_000)
+    def sample_of(rows, per_class, most_bytes):
+        df = spark.createDataFrame(rows, "text string, label string")
+        return common.bounded_sample(common.labelled(df, df["text"], df["label"]), df, per_class, most_bytes)
+
+    got = sample_of(rows, 50, 10_000)
     assert sum(v == "a" for _, v in got) == 50 and sum(v == "b" for _, v in got) == 5
     assert len(set(got)) == len(got)
-    assert sum(len(t) for t, _ in common.bounded_sample(spark.createDataFrame(rows, "text string, label string"), 50, 60)) <= 60
-    assert common.bounded_sample(spark.createDataFrame([], "text string, label string"), 50, 60) == []
+    assert sum(len(t) for t, _ in sample_of(rows, 50, 60)) <= 60
+    assert sample_of([], 50, 60) == []
