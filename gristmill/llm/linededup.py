@@ -244,7 +244,8 @@ def later_copies(sequences_: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
         every = every.unionByName(level.select("id", "sub", F.lit(k + 1).alias("level"), "pos", "r", F.lit(0).alias("w")))
     suffixes = stable(intervals(every, min_words))
     first = suffixes.groupBy("u", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "sub", "pos")).alias("first")).where("n > 1").drop("n")
-    later = suffixes.join(first, ["u", "a", "b"]).where(F.struct("id", "sub", "pos") != F.col("first"))
+    # Written first, so that the join shuffles both sides itself and Spark can split an interval of many suffixes.
+    later = suffixes.join(stable(first), ["u", "a", "b"]).where(F.struct("id", "sub", "pos") != F.col("first"))
     return later.groupBy("id", "sub", "pos").agg(F.max("u").alias("n")).groupBy("id", "sub").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
 
 
