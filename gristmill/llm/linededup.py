@@ -150,17 +150,27 @@ def candidates(sequences_: DataFrame, marks: np.ndarray, min_words: int) -> Data
     return sequences_.select("id", "sub", "ids", "words").mapInArrow(run, "id long, sub long, pos int, r long, w int, top int")
 
 
-def by_text(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of each text together, in order of position."""
-    return rows.groupBy("id", "sub").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
-
-
-def _flat(batch: pa.RecordBatch, fields: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    column = batch.column("rows")
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    owner = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(column)))
-    values = column.flatten()
-    return owner, {f: np.asarray(values.field(f)) for f in fields}
+def by_text(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows of each text next to each other, in an order."""
+    return rows.repartition("id", "sub").sortWithinPartitions("id", "sub", *order)
+
+
+def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """Sorted rows cut only between texts: the number of each row's text in the cut, and the columns."""
+    rest: dict[str, np.ndarray] = {}
+    for batch in batches:
+        columns = {n: np.asarray(batch.column(n)) for n in batch.schema.names}
+        if rest:
+            columns = {n: np.concatenate([rest[n], c]) for n, c in columns.items()}
+        new = (np.diff(columns["id"]) != 0) | (np.diff(columns["sub"]) != 0)
+        cuts = np.flatnonzero(new) + 1
+        last = int(cuts[-1]) if len(cuts) else 0
+        if last:
+            yield np.cumsum(np.concatenate([[0], new[: last - 1]])).astype(np.int64), {n: c[:last] for n, c in columns.items()}
+        rest = {n: c[last:] for n, c in columns.items()}
+    if rest and len(rest["id"]):
+        new = (np.diff(rest["id"]) != 0) | (np.diff(rest["sub"]) != 0)
+        yield np.cumsum(np.concatenate([[0], new])).astype(np.int64), rest
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -176,16 +186,14 @@ def doubled(rows: DataFrame, level: int) -> DataFrame:
     step = 1 << level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, f = _flat(batch, ["pos", "r", "top"])
-            keys = owner.astype(np.int64) << 32 | f["pos"]
+        for owner, f in whole_texts(batches):
+            keys = owner << 32 | f["pos"]
             other = _find(keys, keys + step)
             ok = np.flatnonzero((other >= 0) & (f["top"] > level))
-            own = owner[ok]
-            arrays = [np.asarray(batch.column("id"))[own], np.asarray(batch.column("sub"))[own], f["pos"][ok], f["r"][ok], f["r"][other[ok]], f["top"][ok]]
+            arrays = [f["id"][ok], f["sub"][ok], f["pos"][ok], f["r"][ok], f["r"][other[ok]], f["top"][ok]]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["id", "sub", "pos", "r", "r2", "top"])
 
-    pairs = stable(by_text(rows.where(F.col("top") >= level), ["pos", "r", "top"]).mapInArrow(run, "id long, sub long, pos int, r long, r2 long, top int"))
+    pairs = stable(by_text(rows.where(F.col("top") >= level), "pos").mapInArrow(run, "id long, sub long, pos int, r long, r2 long, top int"))
     several = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r", "r2")
     # Numbers that follow the order of the pairs: the partitions are ranges, numbered in order.
     ranked = stable(several.repartitionByRange("r", "r2").sortWithinPartitions("r", "r2").withColumn("rank", F.monotonically_increasing_id()))
@@ -196,15 +204,14 @@ def intervals(levels: DataFrame, min_words: int) -> DataFrame:
     """For rows of all levels (id, sub, level, pos, r, w): u, a, b (an LCP interval), id, sub, pos (a suffix in it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, f = _flat(batch, ["level", "pos", "r", "w"])
+        for owner, f in whole_texts(batches):
             level = f["level"]
             base = level == 0
             text, pos, w = owner[base], f["pos"][base].astype(np.int64), f["w"][base].astype(np.int64)
             if not len(pos):
                 continue
-            key = text.astype(np.int64) << 32 | pos
-            every_key = owner.astype(np.int64) << 32 | f["pos"]
+            key = text << 32 | pos
+            every_key = owner << 32 | f["pos"]
             by_level = [np.flatnonzero(level == k) for k in range(int(level.max()) + 1)]
             ranks = {}
             for k, rows in enumerate(by_level):
@@ -227,11 +234,12 @@ def intervals(levels: DataFrame, min_words: int) -> DataFrame:
                 both = (x >= 0) & (y >= 0)
                 a[pick[both]], b[pick[both]] = r[x[both]], r[y[both]]
                 found[pick[both]] = True
-            i, own = i[found], text[i[found]]
-            arrays = [u[found].astype(np.int32), a[found], b[found], np.asarray(batch.column("id"))[own], np.asarray(batch.column("sub"))[own], pos[i].astype(np.int32)]
+            i = i[found]
+            row = np.flatnonzero(base)[i]
+            arrays = [u[found].astype(np.int32), a[found], b[found], f["id"][row], f["sub"][row], pos[i].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["u", "a", "b", "id", "sub", "pos"])
 
-    return by_text(levels, ["level", "pos", "r", "w"]).mapInArrow(run, "u int, a long, b long, id long, sub long, pos int")
+    return by_text(levels, "pos", "level").mapInArrow(run, "u int, a long, b long, id long, sub long, pos int")
 
 
 def later_copies(sequences_: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
