@@ -18,8 +18,8 @@ DIMENSIONS = 1 << 13
 #: Languages and centroids per language: the model's size does not depend on the data.
 CENTROIDS = 4
 #: The model is fitted on a sample of so many rows per language and so many bytes in all, at most.
-SAMPLE_ROWS = 1_500
-SAMPLE_BYTES = 16_000_000
+SAMPLE_ROWS = 1_000
+SAMPLE_BYTES = 12_000_000
 #: A text further from its centroid than all but this share of its language's sample is rejected.
 REJECTED_SHARE = 0.001
 
@@ -90,10 +90,14 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS, seed: int =
     languages = sorted({lang for _, lang in samples})
     if not languages:
         return Model([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
-    counts = np.array([gram_counts(np.frombuffer(t.encode(), np.uint8)) for t, _ in samples], np.float32)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    v = weighted(counts, idf).astype(np.float32)
-    del counts
+    v = np.empty((len(samples), DIMENSIONS), np.float32)  # one table, weighted in place: the driver holds no copy
+    found_in = np.zeros(DIMENSIONS, np.int64)
+    for i, (t, _) in enumerate(samples):
+        v[i] = gram_counts(np.frombuffer(t.encode(), np.uint8))
+        found_in += v[i] > 0
+    idf = np.log((1 + len(v)) / (1 + found_in)).astype(np.float32) + 1
+    for i in range(len(v)):
+        v[i] = weighted(v[i], idf)
     labels = np.array([languages.index(lang) for _, lang in samples])
     rng = np.random.default_rng(seed)
     found = [_clusters(v[labels == j], centroids, rng) for j in range(len(languages))]
