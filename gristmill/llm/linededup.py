@@ -13,7 +13,7 @@ without its first line, since all longer runs are unions of these.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -269,19 +269,21 @@ def cut_text(text: str, runs: list[dict]) -> tuple[str, int]:
     return b"".join(kept).decode(), int(drop.sum())
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of docs, the text without later copies of runs of at least min_words words; and n_cut, the lines cut.
+def _size(text: str) -> tuple[int, int]:
+    """Words and lines of a text."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    _, _, words, _ = lines(data, np.array([0, len(data)]))
+    return int(words.sum()), len(words)
 
-    Texts are in the order of their ids, nulls last, then of a hash of the text. A text whose id is not the smallest
-    with that text is a copy as a whole and becomes empty if it has min_words words. Rows that repeat an id and a text
-    are one text, each gets the same result. Null texts stay null. Columns of docs named n_cut are replaced.
-    """
+
+Cut = Callable[[str, list[dict]], tuple[str, int]]
+
+
+def without_runs(docs: DataFrame, runs: DataFrame, cut_runs: Cut, size: Callable[[str], tuple[int, int]], min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """docs without the given runs (id, sub, runs) and without later whole copies of at least min_words words; and n_cut."""
     key = text_key(docs[text_col].cast("string"))
     data = texts(docs, id_col, text_col, key.alias("text_key"))
     ordered = F.coalesce(F.col("doc_id"), F.lit(_LAST))
-    all_sequences = sequences(data).groupBy("text_key").agg(F.min(ordered).alias("id"), F.first("ids").alias("ids"), F.first("words").alias("words"))
-    distinct = stable(all_sequences.withColumn("sub", F.xxhash64("text_key")))
-    runs = stable(later_copies(distinct, min_words))
     # Whole copies: rows whose id is not the first with their text.
     keys = data.select(ordered.alias("own"), "text_key").distinct()
     copies = keys.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("id")).where("n > 1").select("text_key", "id")
@@ -304,12 +306,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
             for i, text in enumerate(map(pa.StringScalar.as_py, batch.column("text"))):
                 n = 0
                 if text and copied[i] and own[i] != first[i]:
-                    data_ = np.frombuffer(text.encode(), np.uint8)
-                    _, _, words, _ = lines(data_, np.array([0, len(data_)]))
-                    if words.sum() >= min_words:
-                        text, n = "", len(words)
+                    n_words, n_lines = size(text)
+                    if n_words >= min_words:
+                        text, n = "", n_lines
                 elif text and runs_[i]:
-                    text, n = cut_text(text, runs_[i])
+                    text, n = cut_runs(text, runs_[i])
                 new.append(text)
                 n_cut.append(n)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string()), pa.array(n_cut, pa.int32())], ["row", "text", "n_cut"])
@@ -318,3 +319,19 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     done = maybe.mapInArrow(cut, StructType([fields["row"], fields["text"], StructField("n_cut", IntegerType())]))
     done = done.withColumn("row", F.col("row").withField(f"`{text_col}`", F.col("text")))
     return same.select("row.*", F.lit(0).alias("n_cut")).unionByName(done.select("row.*", "n_cut"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of docs, the text without later copies of runs of at least min_words words; and n_cut, the lines cut.
+
+    Texts are in the order of their ids, nulls last, then of a hash of the text. A text whose id is not the smallest
+    with that text is a copy as a whole and becomes empty if it has min_words words. Rows that repeat an id and a text
+    are one text, each gets the same result. Null texts stay null. Columns of docs named n_cut are replaced.
+    """
+    key = text_key(docs[text_col].cast("string"))
+    data = texts(docs, id_col, text_col, key.alias("text_key"))
+    ordered = F.coalesce(F.col("doc_id"), F.lit(_LAST))
+    all_sequences = sequences(data).groupBy("text_key").agg(F.min(ordered).alias("id"), F.first("ids").alias("ids"), F.first("words").alias("words"))
+    distinct = stable(all_sequences.withColumn("sub", F.xxhash64("text_key")))
+    runs = stable(later_copies(distinct, min_words))
+    return without_runs(docs, runs, cut_text, _size, min_words, id_col, text_col)

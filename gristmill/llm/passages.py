@@ -1,0 +1,190 @@
+"""Passages of MIN_WORDS words and more that occur a second time, cut from all but their first place.
+
+A place is cut if it lies in a window of MIN_WORDS words that also begins at an earlier place: longer passages are unions
+of such windows, so they may start and end anywhere, inside a line as well. A window's anchor is the smallest hash of
+its runs of half as many words. Equal windows have equal anchors, and neighbours mostly share theirs, so anchors are few;
+only windows whose anchor occurs at several places become rows and are compared, by 64-bit hashes of all their words.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gristmill.llm.common import KEY_BITS, NOT_SPACE, bitmap, marked, mix, slices, span_hashes, stable, text_key, texts, word_spans
+from gristmill.llm.linededup import FILTER_BITS, MIN_WORDS, _FACTOR, _LAST, _UNFACTOR, lines, without_runs
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a slice, and the first word of each text (one more entry).
+
+    Words are parted by white space. Han, kana, Thai and Lao have none, so each of their characters is a word.
+    """
+    starts, ends, at = word_spans(data, offsets, NOT_SPACE)
+    wide = (data >= 0xE3) & (data <= 0xE9)
+    thai = data[:-1] == 0xE0
+    wide[:-1] |= thai & (data[1:] >= 0xB8) & (data[1:] <= 0xBB)
+    if not wide.any():
+        return starts, ends, at
+    own = np.flatnonzero(wide)
+    after = own + 3
+    after = after[after < len(data)]
+    starts = np.union1d(starts, np.concatenate([own, after[NOT_SPACE[data[after]]]]))
+    ends = np.union1d(ends, np.concatenate([own + 3, own[(own > 0) & NOT_SPACE[data[own - 1]]]]))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def _sliding(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
+    """The smallest or largest of each n values in a row."""
+    have = 1
+    while 2 * have <= n:
+        x = of(x[:-have], x[have:])
+        have *= 2
+    return of(x[: len(x) - (n - have)], x[n - have :]) if n > have else x
+
+
+class Windows(NamedTuple):
+    """Of a slice: the windows' first words, their hashes and anchors; the anchors, once for each place they occur at."""
+
+    first: np.ndarray
+    hashes: np.ndarray
+    anchors: np.ndarray
+    places: np.ndarray
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, min_words: int, hashed: bool = True) -> tuple[np.ndarray, Windows]:
+    """The first word of each text of a slice (one more entry), and the windows of its texts."""
+    starts, ends, at = words(data, offsets)
+    n = len(starts)
+    none = np.zeros(0, np.uint64)
+    if n < min_words:
+        return at, Windows(np.zeros(0, np.int64), none, none, none)
+    factors = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _FACTOR)]), dtype=np.uint64)
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _UNFACTOR)]), dtype=np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(span_hashes(data, starts, ends) * factors, dtype=np.uint64)])
+
+    def runs(k: int) -> np.ndarray:
+        return mix((sums[k:] - sums[:-k]) * back[: n - k + 1])
+
+    part = (min_words + 1) // 2
+    width = min_words - part + 1
+    parts = runs(part)
+    smallest = _sliding(parts, width, np.minimum)
+    inside = np.zeros(n, bool)
+    size = np.diff(at)
+    for a, b in zip(at[:-1][size >= min_words].tolist(), at[1:][size >= min_words].tolist(), strict=True):
+        inside[a : b - min_words + 1] = True
+    inside = inside[: len(smallest)]
+    first = np.flatnonzero(inside)
+    pad = np.zeros(width - 1, np.uint64)
+    # A run is an anchor if it is the smallest of some window that holds it: no window's smallest is larger than it.
+    places = parts[_sliding(np.concatenate([pad, np.where(inside, smallest, np.uint64(0)), pad]), width, np.maximum) == parts]
+    # Smallest hashes are all small: mixed once more, they fill the range again.
+    return at, Windows(first, runs(min_words)[first] if hashed else none, mix(smallest[first]), mix(places))
+
+
+def _searched(batches: Iterator[pa.RecordBatch], copied: np.ndarray, wanted: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of the texts that may have copies, or of the others: ids, subs, bytes and offsets."""
+    for batch in batches:
+        batch = batch.filter(pa.array(marked(copied, np.asarray(batch.column("sub")).view(np.uint64) >> np.uint64(64 - KEY_BITS)) == wanted))
+        ids, subs = np.asarray(batch.column("id")), np.asarray(batch.column("sub"))
+        for top, end, data, offsets in slices(batch.column("text")):
+            yield ids[top:end], subs[top:end], data, offsets
+
+
+def _repeated_anchors(docs: DataFrame, copies: DataFrame, copied: Broadcast, min_words: int) -> np.ndarray:
+    """A bitmap of fixed size that holds all anchors that occur at two places, and others by chance."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, data, offsets in _searched(batches, copied.value, False):
+            found, n = np.unique(windows(data, offsets, min_words, hashed=False)[1].places, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
+
+    def of_copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, subs, data, offsets in _searched(batches, copied.value, True):
+            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                found, n = np.unique(windows(data[a:b], np.array([0, b - a]), min_words, hashed=False)[1].places, return_counts=True)
+                arrays = [found.view(np.int64), n.astype(np.int32), np.full(len(n), ids[i]), np.full(len(n), subs[i])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["h", "n", "id", "sub"])
+
+    rows = docs.mapInArrow(of_copied, "h long, n int, id long, sub long").join(copies, ["id", "sub"], "left_anti").select("h", "n")
+    counted = docs.mapInArrow(once, "h long, n int").unionByName(rows).groupBy("h").agg(F.sum("n").alias("n"))
+    return bitmap(counted.where("n > 1").select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("pos")), FILTER_BITS)
+
+
+def later_copies(docs: DataFrame, copies: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """For texts (id, sub, text): id, sub, runs (array of first word and number of words) to cut.
+
+    Those in copies (id, sub) are left out: by their rows, not their texts, and only where a bitmap of fixed size says
+    that a text may have copies.
+    """
+    context = docs.sparkSession.sparkContext
+    copied = context.broadcast(bitmap(copies.select(F.shiftrightunsigned("sub", 64 - KEY_BITS).alias("pos")), KEY_BITS))
+    marks = context.broadcast(_repeated_anchors(docs, copies, copied, min_words))  # of fixed size
+
+    def run(wanted: bool):
+        def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, subs, data, offsets in _searched(batches, copied.value, wanted):
+                at, found = windows(data, offsets, min_words)
+                pick = np.flatnonzero(marked(marks.value, found.anchors >> np.uint64(64 - FILTER_BITS)))
+                if len(pick):
+                    text = np.searchsorted(at, found.first[pick], "right") - 1
+                    arrays = [found.hashes[pick].view(np.int64), ids[text], subs[text], (found.first[pick] - at[text]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["h", "id", "sub", "pos"])
+
+        return docs.mapInArrow(found_in, "h long, id long, sub long, pos int")
+
+    rows = stable(run(False).unionByName(run(True).join(copies, ["id", "sub"], "left_anti")))
+    first = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "sub", "pos")).alias("first")).where("n > 1").drop("n")
+    # Written first, so that the join shuffles both sides itself and Spark can split a window of many places.
+    later = rows.join(stable(first), "h").where(F.struct("id", "sub", "pos") != F.col("first"))
+    cut = F.struct("pos", F.lit(min_words).alias("n"))
+    return later.groupBy("id", "sub").agg(F.collect_list(cut).alias("runs"))
+
+
+def cut_text(text: str, runs: list[dict]) -> tuple[str, int]:
+    """A text without the given runs of words, and how many lines lose words by that."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    offsets = np.array([0, len(data)])
+    starts, _, _ = words(data, offsets)
+    change = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(change, [r["pos"] for r in runs], 1)
+    np.add.at(change, [r["pos"] + r["n"] for r in runs], -1)
+    drop = np.cumsum(change[:-1]) > 0
+    edges = np.concatenate([starts, [len(data)]])
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], drop, [False]]).astype(np.int8)))
+    turns = edges[turns].tolist()  # from, to, from, to, ...
+    kept = [data[a:b].tobytes() for a, b in zip([0, *turns[1::2]], [*turns[::2], len(data)], strict=True)]
+    touched = np.searchsorted(lines(data, offsets)[0], starts[drop], "right")
+    return b"".join(kept).decode(), len(np.unique(touched))
+
+
+def size(text: str) -> tuple[int, int]:
+    """Words and lines of a text."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    offsets = np.array([0, len(data)])
+    return len(words(data, offsets)[0]), len(lines(data, offsets)[0])
+
+
+def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of docs, the text without later copies of passages of at least min_words words; and n_cut.
+
+    n_cut counts the lines that lost words. Texts are in the order of their ids, nulls last, then of a hash of the text.
+    Rows that repeat an id and a text are one text, each gets the same result. Null texts stay null. Columns of docs
+    named n_cut are replaced.
+    """
+    data = texts(docs, id_col, text_col, text_key(docs[text_col].cast("string")).alias("key"))
+    ordered = F.coalesce(F.col("doc_id"), F.lit(_LAST))
+    # Whole copies are told by their text alone: only the first of each text is searched.
+    keys = data.select(ordered.alias("own"), "key").distinct()
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("id")).where("n > 1").drop("n")
+    copies = stable(keys.join(stable(several), "key").where("own != id").select(F.col("own").alias("id"), F.xxhash64("key").alias("sub")))
+    searched = data.where("text is not null").select(ordered.alias("id"), F.xxhash64("key").alias("sub"), "text")
+    runs = stable(later_copies(searched, copies, min_words))
+    return without_runs(docs, runs, cut_text, size, min_words, id_col, text_col)

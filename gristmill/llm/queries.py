@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import common, decontaminate, extract, language, linededup, minhash, packing, secret_scan, sharding, topk, toxicity
+from gristmill.llm import common, decontaminate, extract, language, minhash, packing, passages, secret_scan, sharding, topk, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -67,7 +67,7 @@ def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = passages.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_cut", "text")
 
 
