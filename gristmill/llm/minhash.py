@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ PERCENT = 85
 COORDINATES = 64
 #: Two sets of similarity 0.85 agree in fewer than 38 of 64 coordinates with a probability below one in ten million.
 MATCHES = 38
+#: For other thresholds, a pair that just meets it is missed at most with this probability.
+MISSED = 1e-7
 #: Rows, and shingles in all, of a block.
 BLOCK_ROWS = 256
 BLOCK_SHINGLES = 200_000
@@ -36,6 +39,17 @@ BLOCK_SHINGLES = 200_000
 COUNTER_BITS = 16
 FILTER_BITS = 25
 
+
+def matches_for(percent: int) -> int:
+    """The most agreeing coordinates that two sets of this similarity fall short of with probability MISSED at most."""
+    p, missed = percent / 100, 0.0
+    for m in range(COORDINATES + 1):
+        missed += comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if missed > MISSED:
+            return m
+    return COORDINATES
+
+
 _rng = np.random.default_rng(20_240_229)
 _FACTORS = _rng.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _rng.integers(0, 1 << 63, COORDINATES, np.uint64)
@@ -295,7 +309,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return computed.groupBy("key").agg(F.first("value").alias("value"))  # copies of a text have one set
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, text_key, n_shingles, component_id (the smallest doc_id it is linked to, by any path), kept.
 
     Words are parted by white space, A-Z in lower case. Null, empty and blank texts are linked with nothing and keep
@@ -303,6 +317,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATC
     of the smallest id in it, or null, and they are not kept unless they stand alone. Rows that repeat an id and a
     text are answered each.
     """
+    if matches is None:
+        matches = MATCHES if percent == PERCENT else matches_for(percent)
     data = texts(docs, id_col, text_col, text_key(docs[text_col].cast("string")).alias("text_key"))
     rows = stable(signatures(data))
     classes = stable(
@@ -331,12 +347,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATC
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, whole, with one document of each near-duplicate group: that of the smallest id.
 
     Of rows that repeat an id and a text, one stays, whatever their other columns are.
     """
-    found = stable(near_duplicates(docs, id_col=id_col, text_col=text_col))
+    found = stable(near_duplicates(docs, percent, id_col=id_col, text_col=text_col))
     dropped = found.where(~F.col("kept")).select("doc_id", F.col("text_key").alias("key"))
     kept = without(docs, dropped, id_col, text_col)
     many = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
