@@ -18,8 +18,8 @@ DIMENSIONS = 1 << 13
 #: Languages and centroids per language: the model's size does not depend on the data.
 CENTROIDS = 4
 #: The model is fitted on a sample of so many rows per language and so many bytes in all, at most.
-SAMPLE_ROWS = 1_000
-SAMPLE_BYTES = 12_000_000
+SAMPLE_ROWS = 1_500
+SAMPLE_BYTES = 16_000_000
 #: A text further from its centroid than all but this share of its language's sample is rejected.
 REJECTED_SHARE = 0.001
 
@@ -90,23 +90,29 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS, seed: int =
     languages = sorted({lang for _, lang in samples})
     if not languages:
         return Model([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
-    v = np.empty((len(samples), DIMENSIONS), np.float32)  # one table, weighted in place: the driver holds no copy
+    rows = []  # only the n-grams that occur: the driver never holds the table of all texts
     found_in = np.zeros(DIMENSIONS, np.int64)
-    for i, (t, _) in enumerate(samples):
-        v[i] = gram_counts(np.frombuffer(t.encode(), np.uint8))
-        found_in += v[i] > 0
-    idf = np.log((1 + len(v)) / (1 + found_in)).astype(np.float32) + 1
-    for i in range(len(v)):
-        v[i] = weighted(v[i], idf)
-    labels = np.array([languages.index(lang) for _, lang in samples])
+    for t, _ in samples:
+        counts = gram_counts(np.frombuffer(t.encode(), np.uint8))
+        some = np.flatnonzero(counts)
+        found_in[some] += 1
+        rows.append((some.astype(np.uint16), counts[some].astype(np.float32)))
+    idf = np.log((1 + len(rows)) / (1 + found_in)).astype(np.float32) + 1
     rng = np.random.default_rng(seed)
-    found = [_clusters(v[labels == j], centroids, rng) for j in range(len(languages))]
+    found, least = [], []
+    for lang in languages:
+        own = [r for r, (_, of) in zip(rows, samples, strict=True) if of == lang]
+        v = np.zeros((len(own), DIMENSIONS), np.float32)
+        for i, (some, counts) in enumerate(own):
+            v[i, some] = counts
+            v[i] = weighted(v[i], idf)
+        found.append(_clusters(v, centroids, rng))
+        best = (v @ found[-1].astype(np.float32).T).max(axis=1)
+        least.append(np.quantile(best.astype(float), REJECTED_SHARE))
+        del v
     c = np.concatenate(found).astype(np.float32)
     language_of = np.repeat(np.arange(len(languages)), [len(x) for x in found])
-    near = v @ c.T
-    best = np.array([near[labels == j][:, language_of == j].max(axis=1) for j in range(len(languages))], dtype=object)
-    least = np.array([np.quantile(b.astype(float), REJECTED_SHARE) for b in best])
-    return Model(languages, idf, c, language_of, least)
+    return Model(languages, idf, c, language_of, np.array(least))
 
 
 def predict(model: Model, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
