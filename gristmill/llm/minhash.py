@@ -28,7 +28,7 @@ SHINGLE = 5
 #: Links are pairs with 100 * intersection >= PERCENT * union.
 PERCENT = 85
 COORDINATES = 64
-#: Two sets of similarity 0.85 agree in fewer than 38 of 64 coordinates with a probability below one in ten million.
+#: Two sets of similarity 0.85 agree in fewer than 38 of 64 coordinates with a probability below 1.6e-7; such a link is missed.
 MATCHES = 38
 #: For other thresholds, a pair that just meets it is missed at most with this probability.
 MISSED = 1e-7

@@ -1,3 +1,4 @@
+import inspect
 from math import comb
 
 import corpus_pipeline
@@ -12,6 +13,13 @@ def test_stage_links_from_eighty_percent_on(spark, documents):
     assert sorted(r.doc_id for r in minhash.one_of_each(docs).collect()) == [1, 2, 3, 4]
 
 
+def test_stated_miss_of_the_query():
+    bound = 1.6e-7
+    text = f"probability below {bound:.1e}".replace("e-07", "e-7")
+    assert sum(comb(64, k) * 0.85**k * 0.15 ** (64 - k) for k in range(minhash.MATCHES)) < bound
+    assert text in inspect.getsource(minhash)
+
+
 def test_matches_keep_the_stated_bound():
     def missed(percent, matches):
         p = percent / 100
