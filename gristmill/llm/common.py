@@ -227,23 +227,30 @@ def bounded_sample(rows: DataFrame, texts_: DataFrame, per_class: int, most_byte
 
     rows has label, h and n as labelled() gives them, texts_ a column text; nulls are left out. Texts are chosen by
     their hash, so the sample is the same in every run, and copies count once. It is bounded by the two parameters
-    and the number of labels.
+    and the number of labels. A text that no longer fits into its label's share of bytes is passed over; a label without
+    any text that fits is learned from its shortest.
     """
     rows = rows.where(F.col("n").isNotNull() & F.col("label").isNotNull())
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if not sizes:
+    shortest = {r["label"]: r["one"] for r in rows.groupBy("label").agg(F.min(F.struct("n", "h")).alias("one")).collect()}
+    if not shortest:
         return []
-    rate = F.create_map(*[x for label, n in sizes.items() for x in (F.lit(label), F.lit(min(1.0, 1.3 * per_class / n + 50 / n)))])
-    uniform = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
-    found = rows.where(uniform < rate[F.col("label")]).select("label", "h", "n").distinct().collect()
+    share = most_bytes / len(shortest)
+    fitting = rows.where(F.col("n") <= share).select("label", "h", "n").distinct()
+    sizes = {r["label"]: r["count"] for r in fitting.groupBy("label").count().collect()}
     chosen: dict[int, list] = {}
+    for label in shortest.keys() - sizes.keys():
+        chosen.setdefault(shortest[label]["h"], []).append(label)
+    found = []
+    if sizes:
+        rate = F.create_map(*[x for label, n in sizes.items() for x in (F.lit(label), F.lit(min(1.0, 1.3 * per_class / n + 50 / n)))])
+        uniform = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
+        found = fitting.where(uniform < rate[F.col("label")]).collect()
     for label in sizes:
-        total = 0
-        for i, r in enumerate(sorted((r["h"] % (1 << 64), r["h"], r["n"]) for r in found if r["label"] == label)):
-            total += r[2]
-            if i and (i >= per_class or total > most_bytes / len(sizes)):
-                break
-            chosen.setdefault(r[1], []).append(label)
+        total = count = 0
+        for _, h, n in sorted((r["h"] % (1 << 64), r["h"], r["n"]) for r in found if r["label"] == label):
+            if count < per_class and total + n <= share:  # one that does not fit is passed over
+                total, count = total + n, count + 1
+                chosen.setdefault(h, []).append(label)
     if not chosen:
         return []
     wanted = texts_.sparkSession.createDataFrame([(h,) for h in chosen], "h long")
