@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import common, decontaminate, extract, language, minhash, packing, passages, secret_scan, sharding, topk, toxicity
+from gristmill.llm import common, decontaminate, extract, fim, language, minhash, packing, passages, periodic, quality, secret_scan, sharding, topk, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -97,8 +100,70 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.clean(_table(spark, sf_dir, "documents"))
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select(*base, "n_lines", "n_punctuation", "n_navigation", "n_boilerplate", "lost_chars")
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the texts, by crc32 of the id, with a tail of words repeated as the query's contract says."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            drawn = [zlib.crc32(b"" if i is None else b"%d" % i) for i in ids]
+            for top, end, data, offsets in common.slices(batch.column("text")):
+                out = []
+                for a, b, h in zip(offsets[:-1].tolist(), offsets[1:].tolist(), drawn[top:end], strict=True):
+                    raw = data[a:b].tobytes()
+                    if h % 10 == 0 and (words := raw.split()):
+                        n, g = len(words), h // 10
+                        first = g % n
+                        period = 1 + (n - first) // (3 + g % 8)
+                        tail = words[first : first + period]
+                        raw = b" ".join(words[:first] + (tail * -(-(n - first) // period))[: n - first])
+                    out.append(raw)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(top, end - top), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+
+    return common.texts(docs, "doc_id", "text").mapInArrow(run, "doc_id long, text string")
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_periodic_tails(_table(spark, sf_dir, "documents")))
+    # Ties go to the smallest start, then period.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    found = found.withColumn("longest", longest)
+    longest = F.col("longest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-longest["start"]).alias("start"),
+        longest["length"].alias("length"),
+        (-longest["period"]).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_sharding, op2_toxicity, op3_secrets, op4_packing, op5_topk, op6_extraction, op7_line_dedup, op8_decontamination, op9_language, op10_minhash)
+    found += op11_quality, op12_periodic, op13_fill_in_middle
     return {f.__name__: f for f in found}
 
 
@@ -166,6 +231,71 @@ FROM d LEFT JOIN n USING (rid)
 JOIN (SELECT reach.x AS rid, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.rid = reach.y GROUP BY reach.x) c USING (rid)
 """
 
+_PHRASES = "|".join(quality.PHRASES)
+_MARKS = "[" + re.sub(r"([\]\[\\])", r"\\\1", quality.SENTENCE_MARKS).replace("'", "''") + "]"
+_SEPARATORS = ", ".join(f"'{s}'" for s in quality.SEPARATORS)
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+_QUALITY = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents
+), l AS (
+  SELECT rid, i, line, regexp_extract_all(line, {_WORDS}) AS w, row_number() OVER (PARTITION BY rid, line ORDER BY i) > 1 AS later
+  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)
+), m AS (
+  SELECT *, length(array_to_string(w, '')) AS chars,
+    len(list_filter(w, lambda x: regexp_matches(x, '[!?]$'))) AS shouted, len(list_filter(w, lambda x: x IN ({_SEPARATORS}))) AS parted,
+    length(line) - length(regexp_replace(line, '[{quality.SYMBOLS}]', '', 'g')) AS symbols
+  FROM l WHERE len(w) > 0
+), f AS (
+  SELECT *, NOT regexp_matches(w[-1], '{_MARKS}$') AND chars < {quality.FRAGMENT} OR len(w) >= 5 AND 100 * shouted >= {quality.SHOUTED} * len(w) AS punctuation,
+    parted >= 3 AND 100 * parted >= {quality.SEPARATED} * len(w) AS navigation,
+    later OR 100 * symbols >= {quality.SYMBOLIC} * chars OR regexp_matches({_LOWER.format("line")}, '{_PHRASES}') AS boilerplate
+  FROM m
+), of_lines AS (
+  SELECT rid, count(*) AS n_lines, count(*) FILTER (later) AS n_dup_lines, count(*) FILTER (punctuation) AS n_punctuation,
+    count(*) FILTER (navigation) AS n_navigation, count(*) FILTER (boilerplate) AS n_boilerplate,
+    sum(chars) FILTER (punctuation OR navigation OR boilerplate) AS lost
+  FROM f GROUP BY rid
+), g AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), r AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY rid
+), a AS (
+  SELECT rid, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[{quality.SYMBOLS}]', '', 'g')) AS n_symbols, coalesce(r.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN r USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+  coalesce(n_punctuation, 0) AS n_punctuation, coalesce(n_navigation, 0) AS n_navigation, coalesce(n_boilerplate, 0) AS n_boilerplate,
+  coalesce(lost, 0)::BIGINT AS lost_chars, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT base_failed AND 100 * coalesce(lost, 0) <= {quality.LOST} * word_chars AS kept
+FROM a LEFT JOIN of_lines USING (rid)
+"""
+
+_FILL_IN_MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), c AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (n + 1) AS c1, ('0x' || h[9:16])::BIGINT % (n + 1) AS c2,
+    t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 AS plain,
+    ('0x' || h[25:32])::BIGINT % 100 < 20 AS swapped
+  FROM d
+), p AS (
+  SELECT doc_id, t, n, CASE WHEN plain THEN 'plain' WHEN swapped THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:least(c1, c2)], '') AS a, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+    array_to_string(u[greatest(c1, c2) + 1:n], '') AS z
+  FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m WHEN 'spm' THEN '<S>' || z || '<P>' || a || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": _TOPK, "op8_decontamination": _DECONTAMINATION, "op10_minhash": _MINHASH}
+    return {"op5_topk": _TOPK, "op8_decontamination": _DECONTAMINATION, "op10_minhash": _MINHASH, "op11_quality": _QUALITY, "op13_fill_in_middle": _FILL_IN_MIDDLE}

@@ -20,7 +20,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 def test_all_are_registered():
     names = set(spark_entry.queries())
     assert set(queries.queries()) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
 
 
 @needs_data
