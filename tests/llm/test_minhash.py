@@ -13,7 +13,7 @@ def sets(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute(rows):
+def brute(rows, percent=85):
     shingles = [sets(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -25,7 +25,7 @@ def brute(rows):
     for i, a in enumerate(shingles):
         for j in range(i):
             b = shingles[j]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 root[find(i)] = find(j)
     smallest = {}
     for i, (doc, _) in enumerate(rows):

@@ -5,9 +5,9 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-from brute_lines import expected  # noqa: E402
 from test_decontaminate import brute as brute_contamination  # noqa: E402
 from test_minhash import brute as brute_components  # noqa: E402
+from test_passages import brute as brute_passages  # noqa: E402
 
 import __spark_entry__ as spark_entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
@@ -52,8 +52,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
     clean = {r.doc_id for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").where("toxic = 0").collect()}
     first = {i for i, _ in rows[0]}
     assert len(toxic & first) <= 0.2 * len(toxic) and len(clean - first) <= 0.05 * len(clean)
-    assert sorted(rows[1]) == sorted((i, t) for i, t in expected(rows[0], 50) if t.strip() or not dict(rows[0])[i].strip())
-    kept = {i for i, _, component in brute_components(rows[1]) if i == component}
+    assert sorted(rows[1]) == sorted((i, t) for i, t in brute_passages(rows[0], 50) if t.strip() or not dict(rows[0])[i].strip())
+    kept = {i for i, _, component in brute_components(rows[1], corpus_pipeline.NEAR_PERCENT) if i == component}
     assert sorted(rows[2]) == sorted((i, t) for i, t in rows[1] if i in kept)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     bad = {r[0] for r in brute_contamination(rows[2], items) if r[-1]}
