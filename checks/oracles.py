@@ -402,8 +402,9 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT '{f}' AS format, count(c_name) AS rows, round(sum(c_acctbal), 2) AS balance FROM customer"
             for f in ("csv", "json", "parquet")
         ),
-        "gather_folder": """SELECT coalesce(c_custkey, o_custkey) AS cust_id, c_name, count(o_orderkey) AS orders,
-          'cust_id' AS join_key FROM customer FULL JOIN orders ON c_custkey IS NOT DISTINCT FROM o_custkey GROUP BY 1, 2""",
+        "gather_folder": """SELECT coalesce(c_custkey, o_custkey) AS cust_id, c_name, c_mktsegment, count(o_orderkey) AS orders,
+          sum(o_totalprice) AS total, max(c_acctbal) AS balance, 'cust_id' AS join_key
+          FROM customer FULL JOIN orders ON c_custkey IS NOT DISTINCT FROM o_custkey GROUP BY 1, 2, 3""",
         "id_columns": " UNION ALL ".join(
             f"""SELECT '{t}' AS name, '{c}' AS "column", count({c}) AS filled, count(DISTINCT {c}) AS distinct_values FROM {t}"""
             for t, c in (
@@ -540,6 +541,9 @@ def oracle_sql() -> dict[str, str]:
             },
         ),
         "written_gather": f"SELECT 'gathered' AS name, count(*) AS rows FROM ({THREE} SELECT * FROM ocs)",
+        "gather_ordered": f"""{THREE} SELECT cust_id, CAST(total - rows + 1 AS BIGINT) AS first_place, CAST(total AS BIGINT) AS last_place, rows,
+          (SELECT count(*) FROM ocs WHERE cust_id IS NULL) AS null_key_rows
+          FROM (SELECT cust_id, count(*) AS rows, sum(count(*)) OVER (ORDER BY cust_id NULLS LAST) AS total FROM ocs GROUP BY cust_id)""",
         "gather_file_notes": f"""SELECT 'customers.csv' AS name, count(*) AS malformed_rows_skipped,
           CAST(NULL AS VARCHAR) AS encoding_note FROM ({_LINES}) WHERE k % 50 = 5 AND k % 33 <> 4""",
     }

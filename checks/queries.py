@@ -28,6 +28,7 @@ from gristmill.constants import CATEGORY_GROUPS
 from gristmill.functions import text
 from gristmill.naming import ROW, IdNames
 from gristmill.operators import metrics
+from gristmill.operators.order import number_rows
 from gristmill.operators.store import shared_folder
 from gristmill.plans.gather import overlap_scores, shared_columns
 
@@ -289,13 +290,12 @@ def read_json(spark, sf_dir):
 def gather_folder(spark, sf_dir):
     """Tables found in a folder, of different file types, joined on the key they share."""
     folder = scratch(spark)
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust_id"), "c_name")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cust_id"), "o_orderkey")
-    customers.write.json(f"{folder}/customers.jsonl")
-    orders.write.parquet(f"{folder}/orders.parquet")
+    table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "cust_id").drop(ROW).write.json(f"{folder}/customers.jsonl")
+    table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "cust_id").drop(ROW).write.parquet(f"{folder}/orders.parquet")
     result = g.gather(g.read_tables(spark, [folder]))
-    counted = result.joined.groupBy("cust_id", "c_name").agg(F.count("o_orderkey").alias("orders"))
-    return counted.select("cust_id", "c_name", "orders", F.lit(result.key).alias("join_key"))
+    sums = (F.count("o_orderkey").alias("orders"), F.sum("o_totalprice").alias("total"), F.max("c_acctbal").alias("balance"))
+    counted = result.joined.groupBy("cust_id", "c_name", "c_mktsegment").agg(*sums)
+    return counted.withColumn("join_key", F.lit(result.key))
 
 
 @query
@@ -727,6 +727,17 @@ def written_gather(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query
+def gather_ordered(spark, sf_dir):
+    """The places at which the rows of each key stand in the files that gather writes in key order."""
+    result = g.gather(_keyed(spark, sf_dir))
+    written = g.write_gather(result, scratch(spark), ordered=True)
+    read = g.read_parquet(spark, written["gathered"])
+    places = number_rows(read, [ROW], "place").groupBy("cust_id")
+    counted = places.agg(F.min("place").alias("first_place"), F.max("place").alias("last_place"), F.count(F.lit(1)).alias("rows"))
+    return counted.withColumn("null_key_rows", F.lit(result.summary.first()["null_key_rows"]))
+
+
 @query
 def gather_file_notes(spark, sf_dir):
     """What was noticed while CSV inputs were read, of inputs with something to tell."""

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions import numbers, text
 from gristmill.naming import ROW, col, data_columns, is_number, is_time
 from gristmill.operators import skew
+from gristmill.operators.order import POSITION_BITS
 from gristmill.operators.store import keep
 
 KEY = "_gm_key"
@@ -97,6 +98,12 @@ class FullJoin:
         sums = [F.sum(self._rows(i).cast("decimal(38,0)")) for i in range(len(self._tables))]
         return [int(s or 0) for s in self._counts.agg(*sums).first()]
 
+    @cached_property
+    def null_key_rows(self) -> int:
+        """Rows of the result whose key is null: null keys meet null keys."""
+        rows = self._rows(len(self._tables) - 1).cast("decimal(38,0)")
+        return int(self._counts.filter(F.col(KEY).isNull()).agg(F.sum(rows)).first()[0] or 0)
+
     def rows_after(self) -> list[int]:
         """Exact row count after each join."""
         return self._sizes[1:]
@@ -137,22 +144,59 @@ class FullJoin:
 
     def _spine(self) -> DataFrame:
         """Every key once, a hot key once per salt."""
-        keys = self._counts.select(KEY).join(self._hot, F.col(KEY).eqNullSafe(F.col("_gm_hot_key")), "left")
+        keys = self._counts.join(self._hot, F.col(KEY).eqNullSafe(F.col("_gm_hot_key")), "left").drop("_gm_hot_key")
         salts = F.sequence(F.lit(0), F.coalesce(F.col("_gm_salts"), F.lit(1)) - 1)
-        return keys.select(KEY, "_gm_owner", F.explode(salts).alias(SALT))
+        return keys.withColumn(SALT, F.explode(salts))
+
+    def _placed(self, spine: DataFrame, parts: int) -> DataFrame:
+        """Keys, or keys and salts, with the output partition of their rows: ranges of keys with about as many rows each.
 
-    def result(self) -> DataFrame:
+        The rows that every key gives are known, so neither the join nor a sample of it has to run for this. Keys are
+        ranged and sorted alone; a running total is taken within each range, and the driver sees one sum per range.
+        """
+        salts = F.coalesce(F.col("_gm_salts"), F.lit(1)) if "_gm_salts" in spine.columns else F.lit(1)
+        rows = (self._rows(len(self._tables) - 1) / salts).alias("_gm_rows")
+        order = [F.col(KEY).asc_nulls_last(), *([F.col(SALT)] if SALT in spine.columns else [])]
+        ranged = spine.withColumn("_gm_rows", rows).repartitionByRange(*order).sortWithinPartitions(*order)
+        placed = keep(ranged.withColumn("_gm_at", F.monotonically_increasing_id()))
+        part = F.shiftright("_gm_at", POSITION_BITS)
+        sums = placed.groupBy(part.alias("part")).agg(F.sum("_gm_rows").alias("rows")).orderBy("part").collect()
+        before, total = [], 0.0
+        for r in sums:
+            before.append((r["part"], total))
+            total += r["rows"]
+        start = placed.sparkSession.createDataFrame(before, "_gm_range bigint, _gm_start double")
+        running = F.sum("_gm_rows").over(Window.partitionBy("_gm_range").orderBy("_gm_at")) - F.col("_gm_rows")
+        place = F.floor((F.col("_gm_start") + running) * F.lit(parts) / F.lit(max(total, 1.0)))
+        summed = placed.withColumn("_gm_range", part).join(F.broadcast(start), "_gm_range")
+        return summed.withColumn("_gm_part", F.least(place, F.lit(parts - 1)).cast("int")).drop("_gm_range", "_gm_start", "_gm_rows", "_gm_at")
+
+    def result(self, ordered: bool = False) -> DataFrame:
+        """The joined rows; ``ordered`` puts them in the order of their keys, null last.
+
+        Then partitions, and with them written files, follow each other in key order, and a hot key's salts may lie in
+        several. Rows of a key and salt are in the order of the first table's rows, then of the second's, and so on.
+        """
         numbers_ = range(len(self._tables))
         if self._hot is None:
-            tables, joined, keys = self._tables, self._counts.select(KEY), [KEY]
+            tables, joined, keys = self._tables, self._counts, [KEY]
         else:
             tables, joined, keys = [self._salted(i) for i in numbers_], self._spine(), [KEY, SALT]
-        for table in tables:
-            right = table.drop(ROW).withColumnsRenamed({k: f"{k}_right" for k in keys})
+        places = [f"_gm_row{i}" for i in numbers_] if ordered else []
+        parts = int(self._counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if ordered:
+            joined = self._placed(joined, parts)
+        joined = joined.drop("_gm_salts", *[f"n{i}" for i in numbers_])
+        for i, table in enumerate(tables):
+            table = table.withColumnRenamed(ROW, f"_gm_row{i}") if ordered else table.drop(ROW)
+            right = table.withColumnsRenamed({k: f"{k}_right" for k in keys})
             same = [F.col(k).eqNullSafe(F.col(f"{k}_right")) for k in keys]
             joined = joined.join(right, reduce(lambda a, b: a & b, same), "left").drop(*[f"{k}_right" for k in keys])
         if self._hot is not None:
             # A salt that no row of the hot key's longest table fell on stands for nothing.
             there = F.array(*[F.col(f"_gm_in{i}") for i in numbers_])
             joined = joined.filter(F.col("_gm_owner").isNull() | F.get(there, F.col("_gm_owner")).isNotNull())
+        if ordered:
+            inner = [F.col(c).asc_nulls_last() for c in [*keys, *places]]
+            joined = joined.repartitionById(parts, F.col("_gm_part")).sortWithinPartitions(*inner)
         return joined.select(*[F.col(KEY).alias(n) if n == self.key_name else col(n) for n in self._out])

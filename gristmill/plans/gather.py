@@ -100,7 +100,8 @@ class GatherResult:
     """Tables joined on one key (``mode`` "joined"), or kept apart (``mode`` "apart").
 
     ``joined`` is the combined table or None; ``tables`` the separate ones by name or None.
-    ``fanout`` has one (step, name, rows) row per join, known before any join runs.
+    ``joined_in_order`` has the same rows in the order of their keys. ``fanout`` has one (step, name, rows) row per join,
+    known before any join runs.
     """
 
     def __init__(
@@ -156,22 +157,32 @@ class GatherResult:
         steps = [(i + 1, n, rows) for i, (n, rows) in enumerate(zip(list(self._inputs)[1:], self._join.rows_after()))]
         return self._spark.createDataFrame(steps, "step bigint, name string, rows bigint")
 
-    @cached_property
-    def joined(self) -> DataFrame | None:
-        if self.mode == "apart":
-            return None
+    def _checked(self) -> FullJoin:
         if self._max_fanout is not None:
             largest = max(self._join.rows_after())
             if largest > self._max_fanout:
                 raise ValueError(f"the join would give {largest} rows, more than the {self._max_fanout} allowed")
-        return self._join.result()
+        return self._join
+
+    @cached_property
+    def joined(self) -> DataFrame | None:
+        return None if self.mode == "apart" else self._checked().result()
+
+    @cached_property
+    def joined_in_order(self) -> DataFrame | None:
+        """The joined rows in the order of their keys, null keys last, in balanced ranges of keys."""
+        return None if self.mode == "apart" else self._checked().result(ordered=True)
 
     @cached_property
     def summary(self) -> DataFrame:
-        """(mode, join_column, overlap_score, final_row_count) in one row."""
-        rows = None if self.mode == "apart" else self._join.rows_after()[-1]
-        schema = "mode string, join_column string, overlap_score double, final_row_count bigint, reason string"
-        return self._spark.createDataFrame([(self.mode, self.key, self.score, rows, self.reason)], schema)
+        """(mode, join_column, overlap_score, final_row_count, null_key_rows, reason) in one row.
+
+        ``null_key_rows`` of the result have a null key: every row without a key meets every other table's such rows.
+        """
+        joined = self.mode == "joined"
+        rows, without_key = (self._join.rows_after()[-1], self._join.null_key_rows) if joined else (None, None)
+        schema = "mode string, join_column string, overlap_score double, final_row_count bigint, null_key_rows bigint, reason string"
+        return self._spark.createDataFrame([(self.mode, self.key, self.score, rows, without_key, self.reason)], schema)
 
 
 def gather(

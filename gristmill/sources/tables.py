@@ -76,7 +76,7 @@ def _named_dates(df: DataFrame) -> DataFrame:
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return with_file_order(spark.read.parquet(path))
+    return with_file_order(spark.read.parquet(path), row_index=True)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | CsvTable:
@@ -145,7 +145,11 @@ def write_clean(result: CleanResult, folder: str, fmt: str = "parquet", ordered:
     return {n: write_table(df, f"{folder}/{n}.{fmt}", fmt, ordered) for n, df in written.items()}
 
 
-def write_gather(result: GatherResult, folder: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write the joined table, or each table under its own name."""
-    tables: Mapping[str, DataFrame] = result.tables or {"gathered": result.joined}
-    return {n: write_table(df, f"{folder}/{n}.{fmt}", fmt) for n, df in tables.items()}
+def write_gather(result: GatherResult, folder: str, fmt: str = "parquet", ordered: bool = False) -> dict[str, str]:
+    """Write the joined table, or each table under its own name.
+
+    ``ordered`` writes the joined rows in the order of their keys, over files that follow each other, and tables kept
+    apart in their row order.
+    """
+    tables: Mapping[str, DataFrame] = result.tables or {"gathered": result.joined_in_order if ordered else result.joined}
+    return {n: write_table(df, f"{folder}/{n}.{fmt}", fmt, ordered) for n, df in tables.items()}
