@@ -526,6 +526,16 @@ def oracle_sql() -> dict[str, str]:
         "csv_malformed_places": f"""SELECT part, line_number, line FROM (SELECT CAST(k % 4 AS INTEGER) AS part, k, line,
             row_number() OVER (PARTITION BY k % 4 ORDER BY k) AS line_number FROM ({_LINES}))
           WHERE k % 50 = 5 AND k % 33 <> 4""",
+        "csv_line_breaks": "SELECT doc_id, md5(coalesce(text, '')) AS digest, lang, source, n_chars FROM documents",
+        "csv_record_numbers": """SELECT part, record_number, line, (SELECT count(*) FROM customer WHERE c_custkey % 50 <> 5) AS rows FROM (
+            SELECT c_custkey, CAST(c_custkey % 4 AS INTEGER) AS part, row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey) AS record_number,
+              concat(c_custkey, ',"', c_name, CASE WHEN c_custkey % 3 = 0 THEN concat(chr(10), '5"" pipe,', chr(10)) ELSE ' 5"" ' END, '",', c_mktsegment,
+                CASE WHEN c_custkey % 50 = 5 THEN concat(',"one', chr(10), 'more"') ELSE '' END) AS line FROM customer)
+          WHERE c_custkey % 50 = 5""",
+        "json_one_array": """SELECT o_orderkey, o_totalprice, o_custkey AS no, o_orderstatus AS status,
+          concat('}{"', o_orderpriority, ']', chr(92)) AS note FROM orders""",
+        "csv_no_rows": """SELECT count(*) AS rows, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS names, true AS warned,
+          CAST(0 AS BIGINT) AS profiled FROM customer WHERE false""",
         "first_seen_over_files": """SELECT c_custkey,
             CASE WHEN c_custkey % 10 = 0 THEN lower(c_name) ELSE c_name END AS c_name FROM customer
           UNION ALL SELECT c_custkey, lower(c_name) FROM customer WHERE c_custkey % 10 = 0""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,19 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/checks/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the time of a block."""
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # Column rules
 
 
@@ -677,6 +691,59 @@ def csv_malformed_places(spark, sf_dir):
     return read.malformed.select(part, F.col("line_number").cast("bigint").alias("line_number"), "line")
 
 
+@query
+def csv_line_breaks(spark, sf_dir):
+    """Whole documents as CSV: their line breaks are inside quotes, and many tasks read each file."""
+    path = scratch(spark)
+    documents = table(spark, sf_dir, "documents")
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"', "quoteAll": True}
+    documents.coalesce(2).write.options(**kept).csv(path, header=True)
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "1m"}):
+        read = g.read_csv(spark, path, multi_line=True).df
+        return read.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "lang", "source", "n_chars")
+
+
+@query
+def csv_record_numbers(spark, sf_dir):
+    """File and number of the records with too many fields, where records span lines."""
+    path = scratch(spark)
+    record = F.expr("""concat(c_custkey, ',"', c_name, if(c_custkey % 3 = 0, '\n5"" pipe,\n', ' 5"" '), '",', c_mktsegment,
+      if(c_custkey % 50 = 5, ',"one\nmore"', ''))""")
+    records = table(spark, sf_dir, "customer").select("c_custkey", record.alias("line"), F.pmod("c_custkey", F.lit(4)).alias("part"))
+    records.repartition(4, "part").sortWithinPartitions("part", "c_custkey").drop("c_custkey").write.partitionBy("part").text(path)
+    read = g.read_csv(spark, [f"{path}/part={i}" for i in range(4)], names=["no", "name", "segment"], multi_line=True)
+    part = F.regexp_extract("file", r"part=(\d)", 1).cast("int").alias("part")
+    return read.malformed.select(part, F.col("line_number").cast("bigint").alias("record_number"), "line", F.lit(read.df.count()).alias("rows"))
+
+
+@query
+def json_one_array(spark, sf_dir):
+    """All orders as one array in one file, with braces in texts and nested records; many tasks read it."""
+    path = scratch(spark)
+    note = F.concat(F.lit('}{"'), "o_orderpriority", F.lit("]\\"))
+    nested = F.struct(F.col("o_custkey").alias("no"), F.array(F.struct(F.col("o_orderstatus").alias("status"), note.alias("note"))).alias("notes"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", nested.alias("customer"))
+    array = orders.agg(F.sort_array(F.collect_list(F.to_json(F.struct(*orders.columns)))).alias("records"))
+    array.select(F.concat(F.lit("["), F.array_join("records", ",\n "), F.lit("]")).alias("value")).write.text(path)
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "1m"}):
+        read = g.read_json(spark, path)
+        first = F.get("customer.notes", F.lit(0))
+        return read.select("o_orderkey", "o_totalprice", "customer.no", first["status"].alias("status"), first["note"].alias("note"))
+
+
+@query
+def csv_no_rows(spark, sf_dir):
+    """Files with nothing but the header of a table: no rows, all columns, and every operation says so."""
+    path = scratch(spark)
+    customers = table(spark, sf_dir, "customer")
+    spark.createDataFrame([(",".join(customers.columns),)], "line string").coalesce(1).write.text(path)
+    read = g.read_csv(spark, path)
+    cleaned, profiled_ = g.clean(read), g.profile(read)
+    counts = cleaned.cleaned.agg(F.count(F.lit(1)).alias("rows"))
+    warned = F.lit(bool(cleaned.warning and profiled_.warning)).alias("warned")
+    return counts.select("rows", F.lit(",".join(c for c in read.df.columns if c != ROW)).alias("names"), warned, F.lit(profiled_.row_count).alias("profiled"))
+
+
 @query
 def first_seen_over_files(spark, sf_dir):
     """The first of several files is the smallest; its spelling is the first seen all the same."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from gristmill.constants import MALFORMED_LISTED
 from gristmill.naming import ROW, col
-from gristmill.operators.order import with_file_order
+from gristmill.operators import skew
+from gristmill.operators.order import PLACE_BITS, with_file_order
 from gristmill.operators.store import keep
+from gristmill.sources import records
 from gristmill.sources.infer import default_nulls, infer_types
 
 NO_DATA = "There is nothing to read: the input has neither columns nor rows."
@@ -21,7 +24,8 @@ LATIN_NOTE = "Some bytes are not UTF-8, so the input was read as ISO-8859-1. Che
 _BAD = "_gm_bad"
 # Rows of the files of one header have numbers below 2 to this power; the header's number is above.
 _GROUP_BITS = 48
-_QUOTED = r'(^|,)"(?:[^"]|"")*"'
+# Possessive, so that long fields do not nest matches.
+_QUOTED = r'(^|,)"[^"]*+(?:""[^"]*+)*+"'
 
 
 def field_count(line: Column) -> Column:
@@ -52,7 +56,7 @@ def distinct_names(names: Sequence[str]) -> list[str]:
 
 @dataclass
 class CsvPart:
-    """Files with equal header lines: their lines or, where a record may span lines, the records set aside."""
+    """Files with equal header lines: their lines or, where records span lines, the records set aside."""
 
     lines: DataFrame | None
     set_aside: DataFrame | None
@@ -61,7 +65,7 @@ class CsvPart:
 
     def malformed(self) -> DataFrame:
         if self.lines is None:
-            return self.set_aside.select("file", F.lit(None).cast("bigint").alias("line_number"), "line")
+            return self.set_aside
         spots = self.lines.select(
             "line",
             F.col("_metadata.file_path").alias("file"),
@@ -94,7 +98,7 @@ class CsvTable:
 
         Line numbers start at 1 in each file and count the header and blank lines. Lines are
         numbered inside each file split, splits of a file are then added up in order. Where records
-        may span lines, ``line`` is the whole record and has no number.
+        span lines, ``line`` is the whole record and records are numbered.
         """
         return reduce(DataFrame.unionByName, [p.malformed() for p in self._parts])
 
@@ -111,8 +115,7 @@ class CsvTable:
     @cached_property
     def malformed_line_numbers(self) -> list[int]:
         """The first line numbers, as listed in a report."""
-        numbered = self.malformed.filter("line_number is not null")
-        first = numbered.orderBy("file", "line_number").limit(MALFORMED_LISTED)
+        first = self.malformed.orderBy("file", "line_number").limit(MALFORMED_LISTED)
         return [r["line_number"] for r in first.collect()]
 
 
@@ -169,13 +172,18 @@ def read_csv(
 
     Bytes that are not UTF-8 anywhere make the whole input ISO-8859-1. Lines with too many
     fields are set aside, lines with too few are filled with nulls. ``multi_line`` allows line
-    breaks inside quotes; such files cannot be split among tasks. ``infer=False`` keeps text.
+    breaks inside quotes; such files are split among tasks, too. A quote that is never closed is
+    an error then. ``infer=False`` keeps text.
     """
     lines = spark.read.text(path)
     if lines.filter(F.length("value") > 0).isEmpty():
         raise ValueError(NO_DATA)
     latin = not lines.filter(~F.is_valid_utf8("value")).isEmpty()
-    encoding = "ISO-8859-1" if latin else "UTF-8"
+    if multi_line:
+        pieces = records.pieces(spark, path, "\n")
+        pieces = pieces.withColumn("value", _as_text("value", latin))
+        if records.csv_spans_lines(pieces):
+            return _read_records(records.csv_records(pieces), names, latin, infer)
     if names is not None:
         groups = [(list(names), path)]
         repeated: list[str] = []
@@ -188,27 +196,23 @@ def read_csv(
 
     tables, parts = [], []
     for own_names, files in groups:
-        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*own_names, _BAD])
         # Without pruning, lines are held against the whole schema where few columns are asked for, too.
         raw = spark.read.option("columnPruning", False).csv(
             files,
-            schema=schema,
+            schema=_schema(own_names),
             header=names is None,
             mode="PERMISSIVE",
             columnNameOfCorruptRecord=_BAD,
             quote='"',
             escape='"',
-            encoding=encoding,
-            multiLine=multi_line,
+            encoding="ISO-8859-1" if latin else "UTF-8",
         )
         # The reader marks short lines as well as long ones. It refuses to deliver the marked text
         # alone, hence the empty piece of the first column.
         marked = F.concat_ws("", F.col(_BAD), F.left(col(own_names[0]), F.lit(0)))
         whole = F.col(_BAD).isNull() | (field_count(marked) <= len(own_names))
         tables.append((raw, whole))
-        aside = raw.filter(~whole).select(F.col("_metadata.file_path").alias("file"), marked.alias("line")) if multi_line else None
-        part_lines = None if multi_line else _decoded(spark.read.text(files), latin)
-        parts.append(CsvPart(part_lines, aside, len(own_names), names is None))
+        parts.append(CsvPart(_decoded(spark.read.text(files), latin), None, len(own_names), names is None))
     if len(tables) == 1:
         raw, whole = tables[0]
         df = with_file_order(raw).filter(whole).drop(_BAD)
@@ -216,13 +220,57 @@ def read_csv(
         # Files of one header follow each other; within them, rows are in the order of files and lines.
         ordered = [with_file_order(raw).filter(whole).drop(_BAD) for raw, whole in tables]
         numbered = [t.withColumn(ROW, F.col(ROW) + (i << _GROUP_BITS)) for i, t in enumerate(ordered)]
-        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
-        df = df.select(*[col(c) for c in df.columns if c != ROW], ROW)
+        df = _by_name(numbered)
+    return _table(df, repeated, latin, parts, infer)
+
+
+def _read_records(found: DataFrame, names: Sequence[str] | None, latin: bool, infer: bool) -> CsvTable:
+    """A table from records (file, record_number, record); their number and that of their file are the row order."""
+    found = found.filter(F.length(F.trim("record")) > 0)
+    if names is not None:
+        per_file = found.groupBy("file").agg(F.lit(0).alias("number"), F.lit("").alias("header"))
+    else:
+        per_file = found.groupBy("file").agg(F.min("record_number").alias("number"), F.min_by("record", "record_number").alias("header"))
+        per_file = per_file.withColumn("header", F.regexp_replace("header", "^\ufeff", ""))
+    per_file = keep(per_file)
+    headers = [r["header"] for r in per_file.groupBy("header").agg(F.min("file").alias("first")).orderBy("first").collect()]
+    # Files of one header follow each other.
+    firsts = F.min("file").over(Window.partitionBy("header"))
+    ranked = per_file.withColumn("first", firsts).withColumn("rank", F.row_number().over(Window.orderBy("first", "file")))
+    ranked = keep(ranked.select("file", "number", "header", "rank"))
+    placed = found.join(F.broadcast(ranked) if skew.is_small(ranked) else ranked, "file").filter(F.col("record_number") > F.col("number"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD, "quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\n"}
+    tables, parts = [], []
+    for header in headers:
+        own_names = list(names) if names is not None else distinct_names(next(csv.reader(io.StringIO(header, newline=""))))
+        own = placed.filter(F.col("header") == header) if len(headers) > 1 else placed
+        too_long = field_count(F.col("record")) > len(own_names)
+        cells = F.from_csv("record", _schema(own_names), options).alias("cells")
+        row = (F.shiftleft("rank", PLACE_BITS) + F.col("record_number")).alias(ROW)
+        tables.append(own.filter(~too_long).select(cells, row).select("cells.*", ROW).drop(_BAD))
+        aside = own.filter(too_long).select("file", F.col("record_number").alias("line_number"), F.col("record").alias("line"))
+        parts.append(CsvPart(None, aside, len(own_names), names is None))
+    repeated = [] if names is not None else list(dict.fromkeys(n for text in headers for n in repeated_names(text)))
+    return _table(tables[0] if len(tables) == 1 else _by_name(tables), repeated, latin, parts, infer)
+
+
+def _schema(names: Sequence[str]) -> str:
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, _BAD])
+
+
+def _by_name(tables: Sequence[DataFrame]) -> DataFrame:
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return df.select(*[col(c) for c in df.columns if c != ROW], ROW)
+
+
+def _table(df: DataFrame, repeated: list[str], latin: bool, parts: list[CsvPart], infer: bool) -> CsvTable:
     df = default_nulls(df)
-    df = infer_types(df) if infer else df
-    return CsvTable(df, repeated, LATIN_NOTE if latin else None, parts)
+    return CsvTable(infer_types(df) if infer else df, repeated, LATIN_NOTE if latin else None, parts)
+
+
+def _as_text(value: str, latin: bool) -> Column:
+    return F.decode(F.col(value).cast("binary"), "ISO-8859-1") if latin else F.col(value)
 
 
 def _decoded(lines: DataFrame, latin: bool) -> DataFrame:
-    line = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if latin else F.col("value")
-    return lines.select(line.alias("line"), "_metadata")
+    return lines.select(_as_text("value", latin).alias("line"), "_metadata")

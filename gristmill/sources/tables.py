@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Mapping, Sequence
 
@@ -11,9 +10,10 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import dates
 from gristmill.naming import ROW, col, is_text
-from gristmill.operators.order import with_file_order, with_row_order
+from gristmill.operators.order import PLACE_BITS, with_file_order, with_row_order
 from gristmill.plans.clean import CleanResult
 from gristmill.plans.gather import GatherResult
+from gristmill.sources import records
 from gristmill.sources.csv import NO_DATA, CsvTable, read_csv
 from gristmill.sources.infer import infer_types
 
@@ -30,32 +30,35 @@ def extension(path: str) -> str:
 
 
 def read_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
-    """Read an array of records, or with ``lines`` one record per line, which splits among tasks.
+    """Read an array of records, or with ``lines`` one record per line; both are split among tasks.
 
     Columns come in the order of the first record. Text that holds numbers only becomes
-    numbers; columns named like dates become timestamps if all their texts are dates.
+    numbers; columns named like dates become timestamps if all their texts are dates. A file
+    that holds one record and no array is read by one task.
     """
-    df = spark.read.json(path, multiLine=not lines)
-    if not df.columns:
+    found = None if lines else records.json_array_records(spark, path)
+    if found is not None:
+        # Types are inferred as for any JSON input; the reader takes texts on the JVM's side only.
+        texts = getattr(found.select("record")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        schema = DataFrame(spark._jsparkSession.read().json(texts), spark).schema
+        placed = found.join(records.file_ranks(found), "file")
+        row = (F.shiftleft("rank", PLACE_BITS) + F.col("record_number")).alias(ROW)
+        df = placed.select(F.from_json("record", schema).alias("cells"), row).select("cells.*", ROW)
+        first = placed.orderBy("rank", "record_number").select("record")
+    else:
+        df = spark.read.json(path, multiLine=not lines)
+        texts_ = spark.read.text(path, wholetext=not lines)
+        first = texts_.filter(F.length(F.trim("value")) > 0).select(F.col("value").alias("record"))
+    names = [c for c in df.columns if c != ROW]
+    if not names:
         raise ValueError(NO_DATA)
-    keys = _first_record_names(spark, path)
-    ordered = [k for k in keys if k in df.columns]
-    ordered += [c for c in df.columns if c not in ordered]
-    df = df.select(*[col(c) for c in ordered])
-    return with_row_order(_named_dates(infer_types(df)))
-
-
-def _first_record_names(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """Names of the first record, in their order. Files are read in pieces up to a closing brace, and few of them."""
-    pieces = spark.read.text(path, lineSep="}")
-    for n in (16, 4_096):
-        head = "}".join(r["value"] for r in pieces.limit(n).collect()) + "}"
-        try:
-            record, _ = json.JSONDecoder().raw_decode(head[max(0, head.find("{")) :])
-        except ValueError:
-            continue
-        return list(record) if isinstance(record, dict) else []
-    return []
+    head = first.limit(1).select(F.json_object_keys("record")).first()
+    keys = (head[0] if head else None) or []
+    ordered = [k for k in keys if k in names]
+    ordered += [c for c in names if c not in ordered]
+    df = df.select(*[col(c) for c in ordered], *([ROW] if found is not None else []))
+    df = _named_dates(infer_types(df))
+    return df if found is not None else with_row_order(df)
 
 
 def _is_date_name(name: str) -> bool:

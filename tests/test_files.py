@@ -205,8 +205,8 @@ def test_long_records_that_span_lines_are_listed_whole(spark, tmp_path):
     text = 'a,b\n"first\nline",1\n"one\ntwo, three",4,5\nlast,6\n'
     table = read(spark, tmp_path, text, multi_line=True)
     assert data(table) == [("first\nline", 1), ("last", 6)]
-    assert table.malformed_count == 1 and table.malformed_line_numbers == []
-    assert table.malformed.first()["line_number"] is None
+    assert table.malformed_count == 1 and table.malformed_line_numbers == [3]  # the third record, header included
+    assert table.malformed.first()["line"] == '"one\ntwo, three",4,5'
 
 
 def test_csv_tables_go_straight_to_every_operation(spark, tmp_path):
