@@ -23,10 +23,10 @@ from gristmill.constants import (
     PERIODS,
     STRONG_CORRELATION,
 )
-from gristmill.functions import dates
 from gristmill.naming import ROW, IdNames, col, data_columns, is_number, is_text, is_time, metric_columns
-from gristmill.operators.cells import COLUMN, cells, settled
+from gristmill.operators.cells import COLUMN, cells
 from gristmill.operators.columns import as_double, values_of
+from gristmill.operators.date_texts import DateTexts, date_facts
 from gristmill.operators.quantiles import exact_quantiles
 from gristmill.operators.rules import is_date_text
 from gristmill.operators.store import keep
@@ -94,48 +94,55 @@ def strength(r: Column) -> Column:
     return F.concat_ws(" ", label, F.when(r >= 0, "positive").otherwise("negative"))
 
 
+class Dates:
+    """The date columns of a table: typed ones, and text columns that look like and mostly parse as dates.
+
+    Markers count as text here. One scan tells which text columns look like dates; only their distinct texts are parsed.
+    """
+
+    def __init__(self, df: DataFrame):
+        types = {f.name: f.dataType for f in df.schema.fields}
+        names = data_columns(df)
+        self.facts = _looks(df, [n for n in names if is_text(types[n])])
+        likely = {n: col(n) for n, f in self.facts.items() if f["filled"] and f["date_like"] / f["filled"] >= DATE_LIKE_SHARE}
+        self.texts = DateTexts(df, likely, self.facts) if likely else None
+        for n, f in self.facts.items():
+            f["parsed"] = self.texts.counts(n)["parsed"] if n in likely else None
+            f["is_date"] = n in likely and is_date_text(f["filled"], f["date_like"], f["parsed"])
+        self.columns = [n for n in names if is_time(types[n]) or (n in self.facts and self.facts[n]["is_date"])]
+
+
 def date_columns(df: DataFrame) -> list[str]:
     """Typed date columns, and text columns that look like and mostly parse as dates."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    names = data_columns(df)
-    texts = [n for n in names if is_text(types[n])]
-    facts = date_shares(df, texts)
-    return [n for n in names if is_time(types[n]) or (n in facts and facts[n]["is_date"])]
+    return Dates(df).columns
 
 
 def date_shares(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
-    """Per text column: filled cells, cells that look like a date, cells that parse as one.
+    """Per text column: filled cells, cells that look like a date, cells that parse as one where enough look so."""
+    return Dates(df.select(*[col(n) for n in names])).facts if names else {}
 
-    Markers count as text here. Cells are parsed only where enough of them look like dates.
-    """
+
+def _looks(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
+    facts = {n: {"filled": 0, "date_like": 0, "date_kinds": 0, "other_bytes": 0} for n in names}
     if not names:
-        return {}
+        return facts
     value = F.col("value")
     long = cells(df, [[col(n)] for n in names], ["value"]).filter(value.isNotNull())
-    looks = long.groupBy(COLUMN).agg(
-        F.count(value).alias("filled"), F.count_if(dates.looks_like_date(value)).alias("date_like")
-    )
-    facts = {n: {"filled": 0, "date_like": 0, "parsed": None} for n in names}
-    for r in looks.collect():
-        facts[names[r[COLUMN]]].update(filled=r["filled"], date_like=r["date_like"])
-    likely = [n for n, f in facts.items() if f["filled"] and f["date_like"] / f["filled"] >= DATE_LIKE_SHARE]
-    if likely:
-        long = cells(df, [[col(n)] for n in likely], ["value"]).filter(value.isNotNull())
-        parsed = dates.with_days(long, {"day": value}).groupBy(COLUMN).agg(F.count("day").alias("parsed"))
-        for r in parsed.collect():
-            facts[likely[r[COLUMN]]]["parsed"] = r["parsed"]
-    for f in facts.values():
-        f["is_date"] = f["parsed"] is not None and is_date_text(f["filled"], f["date_like"], f["parsed"])
+    found = {k: e.alias(k) for k, e in {"filled": F.count(value), **date_facts(value, F.lit(True))}.items()}
+    for r in long.groupBy(COLUMN).agg(*found.values()).collect():
+        facts[names[r[COLUMN]]] = {k: r[k] for k in found}
     return facts
 
 
-def moments(df: DataFrame, date_column: str) -> DataFrame:
-    """The table with the moment of each row in ``_at``."""
+def moments(df: DataFrame, date_column: str, texts: DateTexts | None = None) -> DataFrame:
+    """The table with the moment of each row in ``_gm_at``; texts are those of Dates, if known."""
     field = next(f for f in df.schema.fields if f.name == date_column)
     if is_time(field.dataType):
         return df.withColumn("_gm_at", col(date_column).cast("timestamp_ntz"))
-    df = dates.with_days(df, {"_gm_day": col(date_column)})
-    return settled(df, {"_gm_at": dates.with_clock(F.col("_gm_day"), col(date_column))}).drop("_gm_day")
+    if texts is None:
+        facts = _looks(df, [date_column])
+        texts = DateTexts(df, {date_column: col(date_column)}, facts)
+    return texts.with_moment(df, date_column, "_gm_at")
 
 
 def daily(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -175,15 +182,18 @@ TREND_SCHEMA = (
 )
 
 
-def trends(df: DataFrame, ids: IdNames, dated: Sequence[str] | None = None) -> DataFrame:
+def trends(df: DataFrame, ids: IdNames, found: Dates | None = None) -> DataFrame:
     """One row per metric: its average in the first and in the last period of the first date column."""
     spark = df.sparkSession
     none = spark.createDataFrame([], TREND_SCHEMA)
     metrics = metric_columns(df, ids)
-    dated = date_columns(df) if dated is None else list(dated)
-    if not dated or not metrics:
+    if not metrics:
+        return none
+    found = found or Dates(df)
+    dated = found.columns
+    if not dated:
         return none
-    days = daily(moments(df, dated[0]), metrics)
+    days = daily(moments(df, dated[0], found.texts), metrics)
     span = date_span(days)
     if span is None:
         return none

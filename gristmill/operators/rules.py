@@ -17,6 +17,7 @@ from gristmill.functions import dates, numbers, text
 from gristmill.functions.text import is_digest
 from gristmill.naming import ROW, IdNames, col, data_columns, is_number, is_text, is_time
 from gristmill.operators.cells import COLUMN, cells, spell_out, value_counts
+from gristmill.operators.date_texts import DateTexts, date_facts
 from gristmill.operators.skew import byte_size, fits, hot_keys, lookup
 from gristmill.operators.store import keep
 
@@ -44,6 +45,7 @@ class Rules:
     spellings: DataFrame | None = None
     spellings_small: bool = True
     hot_values: DataFrame | None = None
+    date_texts: DateTexts | None = None
 
     def by_name(self, name: str) -> ColumnRules:
         return next(c for c in self.columns if c.name == name)
@@ -68,7 +70,7 @@ def text_facts(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
         "blank": F.count_if(value.isNotNull() & ~filled),
         "filled": F.count_if(filled),
         "trimmed": F.count_if(filled & (value != stripped)),
-        "date_like": F.count_if(filled & dates.looks_like_date(stripped)),
+        **date_facts(stripped, filled),
         "numbers": F.count_if(filled & number),
         "whole": F.count_if(filled & number & numbers.is_whole_text(stripped)),
         "codes": F.count_if(filled & number & numbers.is_code(stripped)),
@@ -84,20 +86,6 @@ def text_facts(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
     return {n: found.get(n, empty) for n in names}
 
 
-def date_facts(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
-    """How many cells parse as dates, and how many are not written as yyyy-MM-dd yet."""
-    if not names:
-        return {}
-    long = cells(df, [[text.tidy(col(n))] for n in names], ["value"]).filter("value is not null")
-    long = dates.with_days(long, {"iso": F.col("value")}, iso=True)
-    rows = (
-        long.groupBy(COLUMN)
-        .agg(F.count("iso").alias("parsed"), F.count_if(F.col("iso") != F.col("value")).alias("rewritten"))
-        .collect()
-    )
-    return {names[r[COLUMN]]: {"parsed": r["parsed"], "rewritten": r["rewritten"]} for r in rows}
-
-
 def is_date_text(filled: int, date_like: int, parsed: int) -> bool:
     return filled > 0 and date_like / filled >= DATE_LIKE_SHARE and parsed / filled >= DATE_PARSED_SHARE
 
@@ -113,7 +101,9 @@ def decide(df: DataFrame, ids: IdNames, keep_timestamps: bool = False) -> Rules:
     texts = [n for n in names if is_text(types[n])]
     flags = [n for n in names if types[n].typeName() == "boolean"]
     facts = text_facts(df, texts)
-    parsed = date_facts(df, [n for n in _maybe_dates(facts) if n not in ids])
+    likely = {n: text.tidy(col(n)) for n in _maybe_dates(facts) if n not in ids}
+    date_texts = DateTexts(df, likely, facts) if likely else None
+    parsed = {n: date_texts.counts(n) for n in likely}
     flag_nulls = df.agg(*[F.count_if(col(n).isNull()).alias(n) for n in flags]).first().asDict() if flags else {}
 
     columns = []
@@ -128,7 +118,7 @@ def decide(df: DataFrame, ids: IdNames, keep_timestamps: bool = False) -> Rules:
             columns.append(ColumnRules(name, "time"))
         else:
             columns.append(ColumnRules(name, "as_is"))
-    rules = Rules(columns)
+    rules = Rules(columns, date_texts=date_texts)
     _decide_casing(df, rules, facts, parsed)
     return rules
 
@@ -152,14 +142,12 @@ def _decide_text(name: str, facts: dict, parsed: dict | None, is_id: bool) -> Co
     return rules
 
 
-def _before_casing(df: DataFrame, columns: Sequence[ColumnRules]) -> DataFrame:
+def _before_casing(df: DataFrame, columns: Sequence[ColumnRules], date_texts: DateTexts | None) -> DataFrame:
     """Text columns after markers, trimming, dates and categories."""
     df = df.withColumns({c.name: text.tidy(col(c.name)) for c in columns})
-    dated = [c for c in columns if c.date]
+    dated = [c.name for c in columns if c.date]
     if dated:
-        days = {f"_gm_day{i}": col(c.name) for i, c in enumerate(dated)}
-        iso = {c.name: F.coalesce(F.col(d), col(c.name)) for c, d in zip(dated, days)}
-        df = dates.with_days(df, days, iso=True).withColumns(iso).drop(*days)
+        df = date_texts.rewrite(df, dated)
     grouped = [c for c in columns if c.group is not None]
     if grouped:
         spelled = {c.name: text.category(col(c.name), CATEGORY_GROUPS[c.group]) for c in grouped}
@@ -179,7 +167,7 @@ def _decide_casing(df: DataFrame, rules: Rules, facts: dict, parsed: dict) -> No
     ]
     if not open_:
         return
-    staged = _before_casing(df.select(ROW, *[col(c.name) for c in open_]), open_)
+    staged = _before_casing(df.select(ROW, *[col(c.name) for c in open_]), open_, rules.date_texts)
     names = [c.name for c in open_]
     table = spelling_changes(staged, names)
     measures = (F.sum("n").alias("n"), F.bool_or(is_digest(F.col("best"))).alias("long"), byte_size(table).alias("size"))
@@ -230,7 +218,7 @@ def apply(df: DataFrame, rules: Rules) -> DataFrame:
     texts = [c for c in rules.columns if c.kind == "text"]
     originals = F.struct(*[col(c.name) for c in rules.columns]).alias(BEFORE)
     out = df.select(*[col(c.name) for c in rules.columns], originals, ROW)
-    out = _before_casing(out, texts) if texts else out
+    out = _before_casing(out, texts, rules.date_texts) if texts else out
     plain = {}
     for c in rules.columns:
         if c.kind == "number":

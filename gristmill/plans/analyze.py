@@ -29,12 +29,16 @@ class AnalysisResult:
         return metrics.correlations(self._df, self._ids)
 
     @cached_property
+    def _dates(self) -> metrics.Dates:
+        return metrics.Dates(self._df)
+
+    @property
     def date_columns(self) -> list[str]:
-        return metrics.date_columns(self._df)
+        return self._dates.columns
 
     @cached_property
     def trends(self) -> DataFrame:
-        return metrics.trends(self._df, self._ids, self.date_columns)
+        return metrics.trends(self._df, self._ids, self._dates)
 
     @cached_property
     def group_comparisons(self) -> DataFrame:
