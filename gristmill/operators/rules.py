@@ -43,7 +43,8 @@ class Rules:
 
     columns: list[ColumnRules]
     spellings: DataFrame | None = None
-    spellings_small: bool = True
+    # Columns whose spellings are too large to be broadcast, and their frequent values.
+    respelled_apart: list[str] = field(default_factory=list)
     hot_values: DataFrame | None = None
     date_texts: DateTexts | None = None
 
@@ -177,18 +178,24 @@ def _decide_casing(df: DataFrame, rules: Rules, facts: dict, parsed: dict) -> No
         c.spellings = number in found
     if not found:
         return
-    size = sum(r["size"] for r in found.values())
+    sizes = {number: r["size"] for number, r in found.items()}
     if any(r["long"] for r in found.values()):
         table = whole_spellings(staged, names, table)
-        size = table.agg(byte_size(table)).first()[0]
+        sizes = {r[COLUMN]: r["size"] for r in table.groupBy(COLUMN).agg(byte_size(table).alias("size")).collect()}
     named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col(COLUMN) + 1)
     rules.spellings = table.select(named.alias("_gm_name"), F.col("key").alias("_gm_key"), F.col("best").alias("_gm_best"))
-    rules.spellings_small = fits(size)
-    if not rules.spellings_small:
-        respelled = [c.name for c in open_ if c.spellings]
-        named = F.element_at(F.array(*[F.lit(n) for n in respelled]), F.col(COLUMN) + 1)
-        counts = value_counts(staged, respelled).select(named.alias("_gm_name"), F.col("key").alias("_gm_key"), "n")
-        rules.hot_values = hot_keys(counts, ["_gm_name", "_gm_key"], df.count())
+    # Columns with few spellings are broadcast, smallest first, as long as they fit together.
+    total = 0
+    for number in sorted(sizes, key=sizes.get):
+        total += sizes[number]
+        if not fits(total):
+            rules.respelled_apart.append(names[number])
+    if rules.respelled_apart:
+        apart = rules.respelled_apart
+        named = F.element_at(F.array(*[F.lit(n) for n in apart]), F.col(COLUMN) + 1)
+        counts = value_counts(staged, apart).select(named.alias("_gm_name"), F.col("key").alias("_gm_key"), "n")
+        rows = facts[apart[0]]["nulls"] + facts[apart[0]]["blank"] + facts[apart[0]]["filled"]
+        rules.hot_values = hot_keys(counts, ["_gm_name", "_gm_key"], rows)
 
 
 def spelling_changes(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -229,14 +236,40 @@ def apply(df: DataFrame, rules: Rules) -> DataFrame:
             plain[c.name] = dates.iso_text(col(c.name))
     out = out.withColumns(plain) if plain else out
     for c in texts:
-        if c.spellings:
+        if c.spellings and c.name not in rules.respelled_apart:
             table = rules.spellings.filter(F.col("_gm_name") == c.name).select("_gm_key", "_gm_best")
-            hot = rules.hot_values
-            if hot is not None:
-                hot = hot.filter(F.col("_gm_name") == c.name).select("_gm_key", "_gm_salts")
             out = out.withColumn("_gm_key", text.compact(col(c.name)))
-            out = lookup(out, table, ["_gm_key"], hot, "left", small=rules.spellings_small)
+            out = lookup(out, table, ["_gm_key"], how="left", small=True)
             out = out.withColumn(c.name, F.coalesce("_gm_best", col(c.name))).drop("_gm_key", "_gm_best")
+    if rules.respelled_apart:
+        out = _respelled_apart(out, rules)
     cast = {c.name: numbers.to_number(col(c.name), c.number_type) for c in texts if c.number_type}
     out = out.withColumns(cast) if cast else out
     return out.select(*[col(c.name) for c in rules.columns], BEFORE, ROW)
+
+
+def _respelled_apart(df: DataFrame, rules: Rules) -> DataFrame:
+    """df with the spellings of all columns whose spellings are too large to be broadcast.
+
+    Only cells leave, as (row, column, key); those that change come back together as one list per row, in one join for
+    all columns. That join is broadcast where few rows change. Rows that share a place in the row order share a list, so
+    each cell takes the entry of its own key.
+    """
+    names = rules.respelled_apart
+    long = cells(df, [[text.compact(col(n))] for n in names], ["_gm_key"], carried=[ROW]).filter("_gm_key is not null")
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col(COLUMN) + 1)
+    found = lookup(long.withColumn("_gm_name", named), rules.spellings, ["_gm_name", "_gm_key"], rules.hot_values)
+    entry = F.struct(F.col(COLUMN).alias("i"), F.col("_gm_key").alias("key"), F.col("_gm_best").alias("best"))
+    changed = keep(found.groupBy(F.col(ROW).alias("_gm_of")).agg(F.collect_set(entry).alias("_gm_changes")))
+    few = fits(changed.agg(F.coalesce(F.sum(F.aggregate("_gm_changes", F.lit(16).cast("bigint"), _entry_bytes)), F.lit(0))).first()[0])
+    out = df.join(F.broadcast(changed) if few else changed, F.col(ROW) == F.col("_gm_of"), "left")
+
+    def best(i: int, name: str) -> Column:
+        own = F.filter("_gm_changes", lambda x: (x["i"] == i) & (x["key"] == text.compact(col(name))))
+        return F.coalesce(F.get(own, F.lit(0))["best"], col(name))
+
+    return out.withColumns({n: best(i, n) for i, n in enumerate(names)}).drop("_gm_of", "_gm_changes")
+
+
+def _entry_bytes(total: Column, entry: Column) -> Column:
+    return total + 16 + F.octet_length(entry["key"]) + F.octet_length(entry["best"])

@@ -181,3 +181,15 @@ def test_rules_change_nothing_the_second_time(frame, rows_of):
 def test_odd_column_names(frame, rows_of):
     result = g.clean(frame([(" a", "x"), ("a", None)], "`First Name` string, `a.1,(b)=;` string"))
     assert rows_of(result.cleaned) == [("a", "x"), ("a", "Unknown")]
+
+
+def test_large_spellings_of_all_columns_come_back_in_one_join(spark, tiny_limits):
+    long = "x" * 60
+    rows = [("Abc" if k % 3 else "ABC", long + ("Y" if k % 5 else "y"), None if k % 7 == 0 else "plain", k // 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, _row bigint")  # two rows share each place
+    result = g.clean(df)
+    assert sorted(result.rules.respelled_apart) == ["a", "b"]
+    assert result.counts  # decided before the plan is looked at
+    got = [(r["a"], r["b"], r["c"], r["_row"]) for r in result.repaired.collect()]
+    wanted = [("Abc", long + "Y", c, row) for _, _, c, row in rows]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
