@@ -1,38 +1,89 @@
-"""Connected components of links between rows, by alternating large and small stars."""
+"""Connected components of links between rows.
+
+Each task joins what is connected within its rows and keeps one link per node, to the smallest node there: a spanning
+forest. Then, in rounds, every node's links meet in one task, which does the same. A node with many links has them dealt
+out over salts; its smallest neighbour goes to each of them, so all its neighbours learn of it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import stable
+from gristmill.llm.common import ship, stable
+
+#: A node's links are dealt out beyond this many and beyond twice a task's share.
+HOT_LINKS = 256
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number that each of the numbers below n reaches by links a, b."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        while True:
+            jumped = new[new]
+            if (jumped == new).all():
+                break
+            new = jumped
+        if (new == root).all():
+            return root
+        root = new
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
-    """Every node and its smaller neighbours, joined to the smallest of these."""
-    root = pairs.groupBy("a").agg(F.min("b").alias("m"))
-    others = pairs.join(root, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return others.unionByName(root.select("a", F.col("m").alias("b"))).distinct()
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of a task as (node, smallest node that it reaches in the task)."""
+    held = [batch for batch in batches if batch.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    ends = pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks]).combine_chunks()
+    coded = ends.dictionary_encode()
+    nodes = coded.dictionary
+    order = np.asarray(pa.compute.array_sort_indices(nodes))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    codes = place[np.asarray(coded.indices)]
+    root = _roots(codes[: table.num_rows], codes[table.num_rows :], len(order))
+    node = np.flatnonzero(root != np.arange(len(root)))
+    in_order = nodes.take(pa.array(order))
+    yield from pa.table({"a": in_order.take(pa.array(node)), "b": in_order.take(pa.array(root[node]))}).to_batches()
 
 
 def components(links: DataFrame) -> DataFrame:
     """Per linked node its root, the smallest node it reaches. links has columns a and b; returns node, root.
 
-    Each round joins every node's larger neighbours, then its smaller ones, to the smallest; the links become stars
-    in a number of rounds that grows with the logarithm of the longest path. A first pass over smaller neighbours
-    leaves about one link per node, however many links there were. Nulls and self-links are left out.
+    Rounds go on until every node has one link, to its root; their number grows with the logarithm of the longest path.
+    Nulls and self-links are left out. A task holds its share of the links.
     """
-    pairs = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = stable(_small_star(pairs.distinct()))
+    ship(links.sparkSession)
+    pairs = links.where(F.col("a") != F.col("b")).select("a", "b")
+    schema = pairs.schema
+    pairs = stable(pairs.mapInArrow(_forest, schema))
+    tasks = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     before = None
     while True:
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = stable(_small_star(large.distinct()))
         now = pairs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if now == before or not now["n"]:
+        if not now["n"] or now == before:
             break
         before = now
+        limit = max(HOT_LINKS, 4 * now["n"] // tasks)
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        counted = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("least")).where(F.col("n") > limit)
+        # Fewer than one hot node per task, since each has more than half a task's share of the links.
+        hot = F.broadcast(counted.select("a", F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("salts"), "least"))
+        salt = F.pmod(F.xxhash64("b"), F.coalesce(F.col("salts"), F.lit(1))).cast("int").alias("salt")
+        dealt = both.join(hot.select("a", "salts"), "a", "left").select("a", "b", salt)
+        least = hot.select("a", F.col("least").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        met = dealt.unionByName(least).repartition("a", "salt").select("a", "b")
+        pairs = stable(met.mapInArrow(_forest, schema).distinct())
     nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())

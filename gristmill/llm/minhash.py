@@ -293,20 +293,24 @@ def linked(members: DataFrame, payload: DataFrame, compare: Compare) -> DataFram
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, value: the whole shingle sets of the texts whose text_key is in wanted (key, text_key)."""
-    marks = bitmap(wanted.select(F.shiftrightunsigned(F.xxhash64("text_key"), 64 - FILTER_BITS).alias("pos")), FILTER_BITS)
+    """key, value: the whole shingle sets of the rows (doc_id, text_key) in wanted, one for each key.
+
+    Of a text's copies only the row with the named id is worked on; rows that repeat an id and a text meet as one.
+    """
+    row = F.xxhash64("doc_id", "text_key")
+    marks = bitmap(wanted.select(F.shiftrightunsigned(row, 64 - FILTER_BITS).alias("pos")), FILTER_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(marks)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(marked(shared.value, np.asarray(batch.column("pos")))))
+            batch = batch.filter(pa.array(marked(shared.value, np.asarray(batch.column("row")).view(np.uint64) >> np.uint64(64 - FILTER_BITS))))
             for first, last, data, offsets in slices(batch.column("text")):
                 values = [b"" if s is None else s.tobytes() for s in _sets(data, offsets)]
-                yield pa.RecordBatch.from_arrays([batch.column("text_key").slice(first, last - first), pa.array(values, pa.binary())], ["text_key", "value"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, last - first), pa.array(values, pa.binary())], ["row", "value"])
 
-    placed = docs.select("text_key", "text", F.shiftrightunsigned(F.xxhash64("text_key"), 64 - FILTER_BITS).alias("pos"))
-    computed = placed.mapInArrow(run, "text_key binary, value binary").join(wanted, "text_key")
-    return computed.groupBy("key").agg(F.first("value").alias("value"))  # copies of a text have one set
+    computed = docs.select("text", row.alias("row")).mapInArrow(run, "row long, value binary")
+    once = computed.groupBy("row").agg(F.first("value").alias("value"))  # equal rows have one set
+    return once.join(wanted.select("key", row.alias("row")), "row").select("key", "value")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,7 +326,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int | None
     data = texts(docs, id_col, text_col, text_key(docs[text_col].cast("string")).alias("text_key"))
     rows = stable(signatures(data))
     classes = stable(
-        rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min(F.struct("text_key", "signature")).alias("one")).select("key", "rep", "n", "one.text_key", "one.signature")
+        rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min(F.struct("text_key", "doc_id", "signature")).alias("one"))
+        .select("key", "rep", "n", "one.text_key", "one.doc_id", "one.signature")
     )
     posted = postings(classes, matches)
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
@@ -330,8 +335,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int | None
     members = posted.join(lists.select("token"), "token").select(F.col("token").alias("grp"), "key", F.lit(1).cast("long").alias("size"))
     candidates = linked(members, classes.select("key", F.col("signature").alias("value")), agreeing(matches))
     clusters = stable(components(candidates))
-    in_cluster = clusters.join(classes, clusters["node"] == classes["key"]).select(F.col("root").alias("grp"), "key", F.col("n").alias("size"), "text_key")
-    sets = stable(full_sets(data, in_cluster.select("key", "text_key")))
+    in_cluster = clusters.join(classes, clusters["node"] == classes["key"]).select(F.col("root").alias("grp"), "key", F.col("n").alias("size"), "text_key", "doc_id")
+    sets = stable(full_sets(data, in_cluster.select("key", "doc_id", "text_key")))
     links = linked(in_cluster.select("grp", "key", "size"), sets, similar(percent))
     roots = components(links)
     reps = roots.join(classes, roots["node"] == classes["key"]).select("key", "root", "rep")
