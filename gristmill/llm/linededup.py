@@ -14,9 +14,11 @@ without its first line, since all longer runs are unions of these.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -36,6 +38,19 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """For a slice of texts: where lines begin, their ids, their words, and the first line of each text (one more entry)."""
     starts, ends, at = word_spans(data, offsets, NOT_SPACE)
     n = len(starts)
+    begin = np.flatnonzero(_opens(data, starts, ends, at))
+    end = np.concatenate([begin[1:], [n]]) if len(begin) else begin
+    words = span_hashes(data, starts, ends)
+    factors = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _FACTOR)]), dtype=np.uint64)
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _UNFACTOR)]), dtype=np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * factors[:n], dtype=np.uint64)])
+    ids = mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
+    return starts[begin], ids, end - begin, np.searchsorted(begin, at)
+
+
+def _opens(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which words open a line."""
+    n = len(starts)
     opens = np.zeros(n, bool)
     opens[at[:-1][np.diff(at) > 0]] = True
     if n > 1:
@@ -46,14 +61,13 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first = data[starts]
     second = data[np.minimum(starts + 1, max(len(data) - 1, 0))] if n else first
     opens |= (first >= 65) & (first <= 90) | (first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (ends > starts + 1)
-    begin = np.flatnonzero(opens)
-    end = np.concatenate([begin[1:], [n]]) if len(begin) else begin
-    words = span_hashes(data, starts, ends)
-    factors = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _FACTOR)]), dtype=np.uint64)
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _UNFACTOR)]), dtype=np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * factors[:n], dtype=np.uint64)])
-    ids = mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
-    return starts[begin], ids, end - begin, np.searchsorted(begin, at)
+    return opens
+
+
+def line_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the lines of a slice of texts begin."""
+    starts, ends, at = word_spans(data, offsets, NOT_SPACE)
+    return starts[_opens(data, starts, ends, at)]
 
 
 def sequences(docs: DataFrame) -> DataFrame:
@@ -257,29 +271,52 @@ def later_copies(sequences_: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     return later.groupBy("id", "sub", "pos").agg(F.max("u").alias("n")).groupBy("id", "sub").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
 
 
-def cut_text(text: str, runs: list[dict]) -> tuple[str, int]:
-    """A text without the given runs of lines, and how many lines these are."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    begin, _, words, _ = lines(data, np.array([0, len(data)]))
-    drop = np.zeros(len(begin), bool)
-    for r in runs:
-        drop[r["pos"] : r["pos"] + r["n"]] = True
-    edges = np.concatenate([begin, [len(data)]]) if len(begin) else np.array([len(data)])
-    kept = [data[: edges[0]].tobytes()] + [data[edges[j] : edges[j + 1]].tobytes() for j in np.flatnonzero(~drop).tolist()]
-    return b"".join(kept).decode(), int(drop.sum())
+class Units(NamedTuple):
+    """What runs are counted in: where units begin, the first of each text (one more entry), words per text, lines' begins."""
 
+    begin: np.ndarray
+    at: np.ndarray
+    n_words: np.ndarray
+    line_begin: np.ndarray
 
-def _size(text: str) -> tuple[int, int]:
-    """Words and lines of a text."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    _, _, words, _ = lines(data, np.array([0, len(data)]))
-    return int(words.sum()), len(words)
 
+def line_units(data: np.ndarray, offsets: np.ndarray) -> Units:
+    begin, _, words, at = lines(data, offsets)
+    total = np.concatenate([[0], np.cumsum(words)])
+    return Units(begin, at, total[at[1:]] - total[at[:-1]], begin)
 
-Cut = Callable[[str, list[dict]], tuple[str, int]]
 
+def cut(data: np.ndarray, offsets: np.ndarray, units: Units, text: np.ndarray, pos: np.ndarray, n: np.ndarray, whole: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The texts of a slice without runs of units, and how many lines of each lose words.
 
-def without_runs(docs: DataFrame, runs: DataFrame, cut_runs: Cut, size: Callable[[str], tuple[int, int]], min_words: int, id_col: str, text_col: str) -> DataFrame:
+    Runs are n units from pos on of the texts numbered in text; whole marks the texts of which nothing is left.
+    """
+    change = np.zeros(len(units.begin) + 1, np.int64)
+    np.add.at(change, units.at[text] + pos, 1)
+    np.add.at(change, units.at[text] + pos + n, -1)
+    drop = np.cumsum(change[:-1]) > 0
+    stop = np.append(units.begin, len(data))[1:]
+    full = np.flatnonzero(np.diff(units.at) > 0)
+    stop[units.at[full + 1] - 1] = offsets[full + 1]
+    bytes_ = np.zeros(len(data) + 1, np.int32)
+    np.add.at(bytes_, units.begin[drop], 1)
+    np.add.at(bytes_, stop[drop], -1)
+    gone = np.flatnonzero(whole)
+    np.add.at(bytes_, offsets[gone], 1)
+    np.add.at(bytes_, offsets[gone + 1], -1)
+    stay = np.cumsum(bytes_[:-1]) == 0
+    place = np.concatenate([[0], np.cumsum(stay)])[offsets]
+    left = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(place.astype(np.int64)), pa.py_buffer(data[stay].tobytes())])
+    touched = np.unique(np.searchsorted(units.line_begin, units.begin[drop], "right") - 1)
+    line_text = np.searchsorted(offsets, units.line_begin, "right") - 1
+    n_cut = np.bincount(line_text[touched], minlength=len(offsets) - 1)
+    return left, np.where(whole, np.bincount(line_text, minlength=len(offsets) - 1), n_cut)
+
+
+Measure = Callable[[np.ndarray, np.ndarray], Units]
+
+
+def without_runs(docs: DataFrame, runs: DataFrame, measure: Measure, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """docs without the given runs (id, sub, runs) and without later whole copies of at least min_words words; and n_cut."""
     key = text_key(docs[text_col].cast("string"))
     data = texts(docs, id_col, text_col, key.alias("text_key"))
@@ -296,29 +333,37 @@ def without_runs(docs: DataFrame, runs: DataFrame, cut_runs: Cut, size: Callable
     changed = stable(changed)
     marks = bitmap(changed.select(F.shiftrightunsigned("sub", 64 - KEY_BITS).alias("pos")), KEY_BITS)
     own_id = F.coalesce(docs[id_col].cast("long"), F.lit(_LAST))
-    same, maybe = split_rows(docs.drop("n_cut"), marks, KEY_BITS, own=own_id, sub=F.xxhash64(key), text=docs[text_col].cast("string"))
-    maybe = maybe.join(changed, "sub", "left").select("row", "own", "text", "first", "runs", "copied")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs = docs.drop("n_cut")
+    same, maybe = split_rows(docs, marks, KEY_BITS, own=own_id, sub=F.xxhash64(key))
+    # Lists of runs as two lists of numbers, which arrive as plain arrays.
+    listed = changed.select("sub", "first", "copied", F.col("runs.pos").alias("pos"), F.col("runs.n").alias("n"))
+    maybe = maybe.join(listed, "sub", "left").select("row", "own", "first", "copied", "pos", "n")
+    field = docs.columns.index(text_col)
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, first, runs_, copied = (batch.column(c).to_pylist() for c in ("own", "first", "runs", "copied"))
-            new, n_cut = [], []
-            for i, text in enumerate(map(pa.StringScalar.as_py, batch.column("text"))):
-                n = 0
-                if text and copied[i] and own[i] != first[i]:
-                    n_words, n_lines = size(text)
-                    if n_words >= min_words:
-                        text, n = "", n_lines
-                elif text and runs_[i]:
-                    text, n = cut_runs(text, runs_[i])
-                new.append(text)
-                n_cut.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string()), pa.array(n_cut, pa.int32())], ["row", "text", "n_cut"])
+            row = batch.column("row")
+            text = row.field(field)
+            copied = np.asarray(batch.column("copied").fill_null(False)) & (np.asarray(batch.column("own")) != np.asarray(batch.column("first").fill_null(0)))
+            new, counts = [], []
+            for top, end, data, offsets in slices(text):
+                units = measure(data, offsets)
+                later = copied[top:end]
+                pos, n = (batch.column(c).slice(top, end - top) for c in ("pos", "n"))
+                sizes = np.where(later, 0, np.asarray(pa.compute.list_value_length(pos).fill_null(0)))
+                of = np.repeat(np.arange(end - top), np.asarray(pa.compute.list_value_length(pos).fill_null(0)))
+                mine = (sizes > 0)[of]
+                left, n_cut = cut(data, offsets, units, of[mine], np.asarray(pos.flatten())[mine], np.asarray(n.flatten())[mine], later & (units.n_words >= min_words))
+                new.append(left)
+                counts.append(n_cut)
+            texts_ = pa.concat_arrays(new) if new else pa.array([], pa.large_string())
+            texts_ = pa.compute.if_else(text.is_null(), pa.scalar(None, pa.large_string()), texts_).cast(text.type)
+            rows = pa.StructArray.from_arrays([texts_ if i == field else row.field(i) for i in range(row.type.num_fields)], fields=list(row.type))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(np.concatenate([*counts, np.zeros(0, int)]).astype(np.int32))], ["row", "n_cut"])
 
     fields = {f.name: f for f in maybe.schema.fields}
-    done = maybe.mapInArrow(cut, StructType([fields["row"], fields["text"], StructField("n_cut", IntegerType())]))
-    done = done.withColumn("row", F.col("row").withField(f"`{text_col}`", F.col("text")))
-    return same.select("row.*", F.lit(0).alias("n_cut")).unionByName(done.select("row.*", "n_cut"))
+    found = maybe.mapInArrow(done, StructType([fields["row"], StructField("n_cut", IntegerType())]))
+    return same.select("row.*", F.lit(0).alias("n_cut")).unionByName(found.select("row.*", "n_cut"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,4 +379,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     all_sequences = sequences(data).groupBy("text_key").agg(F.min(ordered).alias("id"), F.first("ids").alias("ids"), F.first("words").alias("words"))
     distinct = stable(all_sequences.withColumn("sub", F.xxhash64("text_key")))
     runs = stable(later_copies(distinct, min_words))
-    return without_runs(docs, runs, cut_text, _size, min_words, id_col, text_col)
+    return without_runs(docs, runs, line_units, min_words, id_col, text_col)

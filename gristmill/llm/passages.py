@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import KEY_BITS, NOT_SPACE, bitmap, marked, mix, slices, span_hashes, stable, text_key, texts, word_spans
-from gristmill.llm.linededup import FILTER_BITS, MIN_WORDS, _FACTOR, _LAST, _UNFACTOR, lines, without_runs
+from gristmill.llm.linededup import FILTER_BITS, MIN_WORDS, Units, _FACTOR, _LAST, _UNFACTOR, line_begins, without_runs
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,28 +148,9 @@ def later_copies(docs: DataFrame, copies: DataFrame, min_words: int = MIN_WORDS)
     return later.groupBy("id", "sub").agg(F.collect_list(cut).alias("runs"))
 
 
-def cut_text(text: str, runs: list[dict]) -> tuple[str, int]:
-    """A text without the given runs of words, and how many lines lose words by that."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    offsets = np.array([0, len(data)])
-    starts, _, _ = words(data, offsets)
-    change = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(change, [r["pos"] for r in runs], 1)
-    np.add.at(change, [r["pos"] + r["n"] for r in runs], -1)
-    drop = np.cumsum(change[:-1]) > 0
-    edges = np.concatenate([starts, [len(data)]])
-    turns = np.flatnonzero(np.diff(np.concatenate([[False], drop, [False]]).astype(np.int8)))
-    turns = edges[turns].tolist()  # from, to, from, to, ...
-    kept = [data[a:b].tobytes() for a, b in zip([0, *turns[1::2]], [*turns[::2], len(data)], strict=True)]
-    touched = np.searchsorted(lines(data, offsets)[0], starts[drop], "right")
-    return b"".join(kept).decode(), len(np.unique(touched))
-
-
-def size(text: str) -> tuple[int, int]:
-    """Words and lines of a text."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    offsets = np.array([0, len(data)])
-    return len(words(data, offsets)[0]), len(lines(data, offsets)[0])
+def word_units(data: np.ndarray, offsets: np.ndarray) -> Units:
+    starts, _, at = words(data, offsets)
+    return Units(starts, at, np.diff(at), line_begins(data, offsets))
 
 
 def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,4 +168,4 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     copies = stable(keys.join(stable(several), "key").where("own != id").select(F.col("own").alias("id"), F.xxhash64("key").alias("sub")))
     searched = data.where("text is not null").select(ordered.alias("id"), F.xxhash64("key").alias("sub"), "text")
     runs = stable(later_copies(searched, copies, min_words))
-    return without_runs(docs, runs, cut_text, size, min_words, id_col, text_col)
+    return without_runs(docs, runs, word_units, min_words, id_col, text_col)
