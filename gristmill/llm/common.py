@@ -6,6 +6,7 @@ import gc
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -178,6 +179,13 @@ def stable(df: DataFrame) -> DataFrame:
     return kept
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder: for many rows cheaper than stable(), but nothing deletes it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def repeated(df: DataFrame, n: str) -> DataFrame:
     """Each row as often as its column n says, without it; in runs, so that no long array is held."""
     runs = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / 65_536))).alias("_run"))

@@ -1,8 +1,10 @@
 """Connected components of links between rows.
 
-Each task joins what is connected within its rows and keeps one link per node, to the smallest node there: a spanning
-forest. Then, in rounds, every node's links meet in one task, which does the same. A node with many links has them dealt
-out over salts; its smallest neighbour goes to each of them, so all its neighbours learn of it.
+Links point from the larger node to the smaller. A gathering pass brings each node's smaller neighbours into one task,
+which joins what is connected within its rows and keeps one link per node, to the smallest there: a spanning forest. So
+about one link per node is left. A spreading pass does the same with the links of both directions, so that a node's
+neighbours learn of its smallest one. A node with many links has them dealt out over salts; its smallest neighbour goes
+to each of them.
 """
 
 from __future__ import annotations
@@ -58,6 +60,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pa.table({"a": in_order.take(pa.array(node)), "b": in_order.take(pa.array(root[node]))}).to_batches()
 
 
+def _gathered(links: DataFrame) -> DataFrame:
+    """Links after a gathering pass; there are at most as many as before."""
+    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return stable(down.repartition("a").mapInArrow(_forest, links.schema).distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
     """Per linked node its root, the smallest node it reaches. links has columns a and b; returns node, root.
 
@@ -65,9 +73,8 @@ def components(links: DataFrame) -> DataFrame:
     Nulls and self-links are left out. A task holds its share of the links.
     """
     ship(links.sparkSession)
-    pairs = links.where(F.col("a") != F.col("b")).select("a", "b")
+    pairs = _gathered(links.where(F.col("a") != F.col("b")).select("a", "b"))
     schema = pairs.schema
-    pairs = stable(pairs.mapInArrow(_forest, schema))
     tasks = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     before = None
     while True:
@@ -78,12 +85,12 @@ def components(links: DataFrame) -> DataFrame:
         limit = max(HOT_LINKS, 4 * now["n"] // tasks)
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         counted = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("least")).where(F.col("n") > limit)
-        # Fewer than one hot node per task, since each has more than half a task's share of the links.
+        # Fewer than one hot node per task, since each has more than a task's share of the links.
         hot = F.broadcast(counted.select("a", F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("salts"), "least"))
         salt = F.pmod(F.xxhash64("b"), F.coalesce(F.col("salts"), F.lit(1))).cast("int").alias("salt")
         dealt = both.join(hot.select("a", "salts"), "a", "left").select("a", "b", salt)
         least = hot.select("a", F.col("least").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         met = dealt.unionByName(least).repartition("a", "salt").select("a", "b")
-        pairs = stable(met.mapInArrow(_forest, schema).distinct())
+        pairs = _gathered(met.mapInArrow(_forest, schema))
     nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import KEY_BITS, NOT_SPACE, bitmap, marked, mix, slices, span_hashes, stable, text_key, texts, word_spans
+from gristmill.llm.common import KEY_BITS, NOT_SPACE, bitmap, marked, mix, slices, span_hashes, stable, text_key, texts, word_spans, written
 from gristmill.llm.linededup import FILTER_BITS, MIN_WORDS, Units, _FACTOR, _LAST, _UNFACTOR, line_begins, without_runs
 
 
@@ -140,7 +140,7 @@ def later_copies(docs: DataFrame, copies: DataFrame, min_words: int = MIN_WORDS)
 
         return docs.mapInArrow(found_in, "h long, id long, sub long, pos int")
 
-    rows = stable(run(False).unionByName(run(True).join(copies, ["id", "sub"], "left_anti")))
+    rows = written(run(False).unionByName(run(True).join(copies, ["id", "sub"], "left_anti")))
     first = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "sub", "pos")).alias("first")).where("n > 1").drop("n")
     # Written first, so that the join shuffles both sides itself and Spark can split a window of many places.
     later = rows.join(stable(first), "h").where(F.struct("id", "sub", "pos") != F.col("first"))
