@@ -1,21 +1,24 @@
-"""Exact quantiles, however many values there are."""
+"""Exact quantiles, however many values and columns there are: two passes over the table."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.operators.cells import COLUMN, cells
+from gristmill.operators.order import POSITION_BITS
+from gristmill.operators.store import keep
+
 # Up to this many values percentile() is used: it holds a map of all distinct values in one task.
 SMALL_ROWS = 1_000_000
-# Values of one column sorted inside one task at the end of the narrowing.
-SMALL_BRACKET = 50_000
 # Values of all columns held in one task at once; columnar files are read once all the same.
 _VALUES_AT_ONCE = 5_000_000
-_RANKS_AT_ONCE = 20
-_ACCURACY = 10_000
+# Size of a sketch, and the share of ranks by which it may be off; a miss costs one more pass, no digit.
+_SKETCH = 4_096
+_MARGIN = 0.004
 
 
 def exact_quantiles(
@@ -24,17 +27,17 @@ def exact_quantiles(
     probabilities: Sequence[float],
     counts: Mapping[str, int] | None = None,
     small_rows: int | None = None,
-    small_bracket: int | None = None,
+    margin: float = _MARGIN,
 ) -> dict[str, list[float] | None]:
     """Linearly interpolated quantiles per column; None for a column without values.
 
-    ``counts`` gives the number of values per column if the caller knows it already.
+    ``counts`` gives the number of values per column if the caller knows it already. ``margin`` is the share of ranks
+    on both sides of a wanted one whose values the second pass looks at.
     """
     if not values:
         return {}
     small_rows = SMALL_ROWS if small_rows is None else small_rows
-    small_bracket = SMALL_BRACKET if small_bracket is None else small_bracket
-    work = df.select(*[v.alias(f"q{i}") for i, v in enumerate(values.values())])
+    work = df.select(*[v.cast("double").alias(f"q{i}") for i, v in enumerate(values.values())])
     columns = work.columns
     if counts is None:
         counts = work.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
@@ -54,7 +57,7 @@ def exact_quantiles(
             if counts[c]
             for r in {math.floor(p * (counts[c] - 1)), math.ceil(p * (counts[c] - 1))}
         }
-        values_at = _values_at(work, list(ranks), counts, small_bracket)
+        values_at = _values_at(work, list(ranks), counts, margin)
         found = {c: _interpolate(c, counts[c], probabilities, values_at) for c in columns}
     return {name: found[c] for name, c in zip(values, columns)}
 
@@ -85,79 +88,99 @@ def _interpolate(c: str, n: int, probabilities: Sequence[float], values_at: dict
     return result
 
 
-def _values_at(work: DataFrame, ranks: list, counts: dict, small_bracket: int) -> dict:
-    """The value at each (column, rank), by narrowing an interval around it.
+def _values_at(work: DataFrame, ranks: list, counts: dict, margin: float) -> dict:
+    """The value at each (column, rank).
 
-    Sketches propose two bounds per rank, exact counts around the bounds then decide, so the
-    outcome never depends on how good a sketch is. Every pass is one map-side combined
-    aggregate with one output row; a value that fills the interval ends the search at once.
+    Mergeable sketches of all columns propose two bounds around each rank. One exact pass counts the values between all
+    bounds and keeps those around the ranks, counted by value; the ranks are then found among the few that were kept.
+    The outcome does not depend on how good a sketch is: a rank outside its bounds is looked for once more, between the
+    bounds that the counts then name.
     """
+    columns = work.columns
+    asked: dict[str, list] = {}
+    for c, rank in ranks:
+        share = rank / counts[c]
+        asked.setdefault(c, []).extend([max(0.0, share - margin), min(1.0, share + margin)])
+    sketched = work.agg(*[F.kll_sketch_agg_double(c, F.lit(_SKETCH)).alias(c) for c in asked])
+    row = sketched.select(*[F.kll_sketch_get_quantile_double(c, F.array(*[F.lit(q) for q in qs])).alias(c) for c, qs in asked.items()]).first()
+    bounds = {c: sorted(set(row[c])) for c in asked}
+    # Intervals whose values are kept: those between the two bounds of a rank.
+    wanted = {c: set() for c in asked}
+    for c in asked:
+        for low, high in zip(row[c][::2], row[c][1::2]):
+            wanted[c].update(range(2 * bounds[c].index(low) + 2, 2 * bounds[c].index(high) + 1, 2))
     found: dict = {}
-    # (column, rank) -> open interval (low, high) and the rows at or below low / below high
-    open_: dict = {t: (None, None, 0, counts[t[0]]) for t in ranks}
-
-    def inside(c: str, low, high) -> Column:
-        test = F.col(c).isNotNull()
-        if low is not None:
-            test &= F.col(c) > F.lit(low)
-        if high is not None:
-            test &= F.col(c) < F.lit(high)
-        return test
-
-    while open_:
-        done = {t: s for t, s in open_.items() if s[3] - s[2] <= small_bracket}
-        done = dict(list(done.items())[:_RANKS_AT_ONCE])
-        if done:
-            row = work.agg(
-                *[
-                    F.get(F.sort_array(F.collect_list(F.when(inside(t[0], s[0], s[1]), F.col(t[0])))), t[1] - s[2]).alias(
-                        f"v{i}"
-                    )
-                    for i, (t, s) in enumerate(done.items())
-                ]
-            ).first()
-            for i, t in enumerate(done):
-                found[t] = row[i]
-                del open_[t]
-            continue
-
-        # Ranks looked for in the same interval share one sketch.
-        intervals: dict[tuple, list] = {}
-        for (c, rank), (low, high, _, _) in open_.items():
-            intervals.setdefault((c, low, high), []).append(rank)
-        sketches = []
-        for i, ((c, low, high), inner) in enumerate(intervals.items()):
-            around = []
-            for rank in inner:
-                _, _, below, upto = open_[c, rank]
-                share, margin = (rank - below) / (upto - below), 2 / _ACCURACY
-                around += [F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin))]
-            value = F.when(inside(c, low, high), F.col(c))
-            sketches.append(F.percentile_approx(value, F.array(*around), _ACCURACY).alias(f"s{i}"))
-        bounds = {}
-        for ((c, _, _), inner), found_at in zip(intervals.items(), work.agg(*sketches).first()):
-            for j, rank in enumerate(inner):
-                bounds[c, rank] = (found_at[2 * j], found_at[2 * j + 1])
-
-        tests = sorted({(c, bound) for (c, _), pair in bounds.items() for bound in pair})
-        tallies = []
-        for i, (c, bound) in enumerate(tests):
-            tallies.append(F.count_if(F.col(c) < F.lit(bound)).alias(f"u{i}"))
-            tallies.append(F.count_if(F.col(c) <= F.lit(bound)).alias(f"t{i}"))
-        row = list(work.agg(*tallies).first())
-        tally = {test: row[2 * i : 2 * i + 2] for i, test in enumerate(tests)}
-
-        for t, (a, z) in bounds.items():
-            low, high, below, upto = open_[t]
-            (under_a, upto_a), (under_z, upto_z) = tally[t[0], a], tally[t[0], z]
-            rank = t[1]
-            if under_a <= rank < upto_a or under_z <= rank < upto_z:
-                found[t] = a if rank < upto_a else z
-                del open_[t]
-            elif rank < under_a:
-                open_[t] = (low, a, below, under_a)
-            elif rank < under_z:
-                open_[t] = (a, z, upto_a, under_z)
+    left = list(ranks)
+    while left:
+        table = keep(_between(work, bounds, wanted))
+        totals: dict[str, dict[int, int]] = {c: {} for c in asked}
+        for r in table.groupBy(COLUMN, "place").agg(F.sum("n").alias("n")).collect():
+            totals[columns[r[COLUMN]]][r["place"]] = r["n"]
+        inside, missed = {}, []
+        for c, rank in left:
+            before = 0
+            for place, n in sorted(totals[c].items()):
+                if rank < before + n:
+                    break
+                before += n
+            if place % 2:  # a bound itself
+                found[c, rank] = bounds[c][place // 2]
+            elif place in wanted[c]:
+                inside[c, rank] = (place, rank - before)
             else:
-                open_[t] = (z, high, upto_z, upto)
+                missed.append((c, rank, place))
+        found |= _within(table, columns, inside)
+        left = [(c, rank) for c, rank, _ in missed]
+        wanted = {c: {place for m, _, place in missed if m == c} for c in asked}
     return found
+
+
+def _between(work: DataFrame, bounds: dict[str, list], wanted: dict[str, set]) -> DataFrame:
+    """(column, place, value, n): counted values by their place among a column's bounds b0 < b1 < ...
+
+    Values equal to bk have place 2k + 1, those between it and the next place 2k + 2. Only wanted places keep values.
+    """
+    rows, numbers = [], []
+    for c, own in bounds.items():
+        place = F.when(F.col(c).isNotNull(), _place(F.col(c), own))
+        rows.append([place, F.when(place.isin(sorted(wanted[c])), F.col(c))])
+        numbers.append(work.columns.index(c))
+    long = cells(work, rows, ["place", "value"], numbers=numbers).filter("place is not null")
+    return long.groupBy(COLUMN, "place", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _place(value: Column, bounds: list) -> Column:
+    def passed(k: Column, bound: Column) -> Column:
+        return k + (value >= bound).cast("int") + (value > bound).cast("int")
+
+    return F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), passed)
+
+
+def _within(table: DataFrame, columns: Sequence[str], inside: dict) -> dict:
+    """The values at places of wanted intervals: {(column, rank): (place, values of the interval before it)}.
+
+    Values are ranged and sorted; the driver sees one sum per range and interval, and one row per rank.
+    """
+    if not inside:
+        return {}
+    spark = table.sparkSession
+    keys = [COLUMN, "place", "value"]
+    sought = {(columns.index(c), place) for (c, _), (place, _) in inside.items()}
+    sought = F.broadcast(spark.createDataFrame(sorted(sought), f"{COLUMN} int, place int"))
+    ranged = table.join(sought, [COLUMN, "place"]).repartitionByRange(*keys).sortWithinPartitions(*keys).select(*keys, "n")
+    placed = keep(ranged.withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", POSITION_BITS).alias("part")
+    sums = placed.groupBy(COLUMN, "place", part).agg(F.sum("n").alias("n")).orderBy(COLUMN, "place", "part").collect()
+    targets = []
+    for (c, rank), (place, offset) in inside.items():
+        for r in sums:
+            if (r[COLUMN], r["place"]) == (columns.index(c), place):
+                if offset < r["n"]:
+                    targets.append((r[COLUMN], place, r["part"], offset, rank))
+                    break
+                offset -= r["n"]
+    wanted = F.broadcast(spark.createDataFrame(targets, f"{COLUMN} int, place int, part bigint, offset bigint, rank bigint"))
+    upto = F.sum("n").over(Window.partitionBy(COLUMN, "place", "part").orderBy("at"))
+    running = placed.withColumn("part", part).withColumn("upto", upto)
+    hit = running.join(wanted, [COLUMN, "place", "part"]).filter((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("n")))
+    return {(columns[r[COLUMN]], r["rank"]): r["value"] for r in hit.select(COLUMN, "rank", "value").collect()}

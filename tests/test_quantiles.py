@@ -7,8 +7,8 @@ from gristmill.operators.quantiles import exact_quantiles
 PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
-def narrowed(df, columns, probs=PROBS, bracket=20):
-    return exact_quantiles(df, {c: F.col(c) for c in columns}, probs, small_rows=10, small_bracket=bracket)
+def narrowed(df, columns, probs=PROBS, **options):
+    return exact_quantiles(df, {c: F.col(c) for c in columns}, probs, small_rows=10, **options)
 
 
 def test_narrowing_equals_sorting(spark):
@@ -50,3 +50,23 @@ def test_both_ways_agree_to_the_last_digit(spark):
     probabilities = [i / 100 for i in range(100)]
     small = exact_quantiles(df, {"v": F.col("v")}, probabilities, small_rows=10_000)["v"]
     assert narrowed(df, ["v"], probabilities)["v"] == small
+
+
+def test_ranks_outside_their_bounds_are_found_all_the_same(spark):
+    rng = np.random.default_rng(8)
+    values = rng.normal(size=30_000)
+    df = spark.createDataFrame([(float(v), float(v) // 1) for v in values], "v double, w double").repartition(3)
+    exact = {c: exact_quantiles(df, {c: F.col(c)}, PROBS)[c] for c in ("v", "w")}
+    assert narrowed(df, ["v", "w"], margin=0.0) == exact  # bounds without any room
+    assert narrowed(df, ["v", "w"], margin=0.3) == exact
+
+
+def test_two_reads_for_any_number_of_columns(spark, tmp_path):
+    spark.range(5000, numPartitions=3).select(*[(F.rand(i) * 100).alias(f"c{i}") for i in range(12)]).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    reads = spark.sparkContext.accumulator(0)
+    counts = {f"c{i}": 5000 for i in range(12)}
+    seen = df.mapInArrow(lambda batches: (reads.add(b.num_rows) or b for b in batches), df.schema)
+    found = exact_quantiles(seen, {c: F.col(c) for c in counts}, [0.25, 0.5, 0.75], counts, small_rows=10, margin=0.05)
+    assert reads.value == 2 * 5000
+    assert found == exact_quantiles(df, {c: F.col(c) for c in counts}, [0.25, 0.5, 0.75], counts)
