@@ -554,6 +554,8 @@ def oracle_sql() -> dict[str, str]:
         "gather_ordered": f"""{THREE} SELECT cust_id, CAST(total - rows + 1 AS BIGINT) AS first_place, CAST(total AS BIGINT) AS last_place, rows,
           (SELECT count(*) FROM ocs WHERE cust_id IS NULL) AS null_key_rows
           FROM (SELECT cust_id, count(*) AS rows, sum(count(*)) OVER (ORDER BY cust_id NULLS LAST) AS total FROM ocs GROUP BY cust_id)""",
+        "gather_many_keys": """SELECT count(*) AS rows, count(o_orderstatus) AS met, 'k7' AS join_key, CAST(1 AS DOUBLE) AS score,
+          true AS few_counted FROM orders""",
         "gather_file_notes": f"""SELECT 'customers.csv' AS name, count(*) AS malformed_rows_skipped,
           CAST(NULL AS VARCHAR) AS encoding_note FROM ({_LINES}) WHERE k % 50 = 5 AND k % 33 <> 4""",
     }

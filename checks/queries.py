@@ -31,7 +31,7 @@ from gristmill.naming import ROW, IdNames
 from gristmill.operators import metrics
 from gristmill.operators.order import number_rows
 from gristmill.operators.store import shared_folder
-from gristmill.plans.gather import overlap_scores, shared_columns
+from gristmill.plans.gather import choose_key, overlap_scores, possible_keys, shared_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -805,6 +805,20 @@ def gather_ordered(spark, sf_dir):
     return counted.withColumn("null_key_rows", F.lit(result.summary.first()["null_key_rows"]))
 
 
+@query
+def gather_many_keys(spark, sf_dir):
+    """Forty shared columns, of which few can be the key: only those are counted exactly."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    first = orders.select(*[key.alias(f"k{j}") for j in range(40)], "o_totalprice")
+    second = orders.select(*[F.when(key % (abs(j - 7) + 1) == 0, key).otherwise(-key).alias(f"k{j}") for j in range(40)], "o_orderstatus")
+    tables = [first, second]
+    counted = len(possible_keys(tables, shared_columns(tables)))
+    chosen, score = choose_key(tables)
+    rows = g.gather({"first": first, "second": second}).joined.agg(F.count(F.lit(1)).alias("rows"), F.count("o_orderstatus").alias("met"))
+    return rows.select("rows", "met", F.lit(chosen).alias("join_key"), F.lit(score).alias("score"), F.lit(counted <= 3).alias("few_counted"))
+
+
 @query
 def gather_file_notes(spark, sf_dir):
     """What was noticed while CSV inputs were read, of inputs with something to tell."""

@@ -151,3 +151,19 @@ def test_keys_of_different_types(spark):
     moments = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-05 00:00:00' AS d, 7 AS n")
     assert scores([days, moments])["d"] == 0.75
     assert g.gather({"a": days, "b": moments}).joined.count() == 2
+
+
+@pytest.mark.parametrize("bits", [14, 5])
+def test_sketches_of_many_columns_lead_to_the_exact_choice(spark, monkeypatch, bits):
+    from gristmill.plans import gather as plan
+
+    monkeypatch.setattr(plan, "SKETCH_BITS", bits)
+    ids = spark.range(3000)
+    shifts = [(37 * j + 11) % 20 for j in range(40)]  # columns 20 apart tie
+    tables = [ids.selectExpr(*[f"cast(id + {t * 30 * s} as string) k{j}" for j, s in enumerate(shifts)], "null as none") for t in range(3)]
+    columns = shared_columns(tables)
+    possible = plan.possible_keys(tables, columns)
+    best = [f"k{j}" for j, s in enumerate(shifts) if s == 0]
+    assert set(best) <= set(possible) and (len(possible) <= 3 or bits == 5)
+    exact = dict(overlap_scores(tables, columns).collect())
+    assert choose_key(tables) == (best[0], exact[best[0]]) == (best[0], 1.0)
