@@ -21,6 +21,9 @@ from gristmill.llm.common import ship, stable
 
 #: A node's links are dealt out beyond this many and beyond twice a task's share.
 HOT_LINKS = 256
+#: Links in a task. Rounds are many and links are short, so a few full tasks are better than many with little to do.
+LINKS_PER_TASK = 20_000
+LEAST_TASKS = 4
 
 
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -60,10 +63,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pa.table({"a": in_order.take(pa.array(node)), "b": in_order.take(pa.array(root[node]))}).to_batches()
 
 
-def _gathered(links: DataFrame) -> DataFrame:
+def _tasks(n: int) -> int:
+    return max(LEAST_TASKS, -(-n // LINKS_PER_TASK))
+
+
+def _gathered(links: DataFrame, tasks: int) -> DataFrame:
     """Links after a gathering pass; there are at most as many as before."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return stable(down.repartition("a").mapInArrow(_forest, links.schema).distinct())
+    return stable(down.repartition("a").coalesce(tasks).mapInArrow(_forest, links.schema).distinct().coalesce(tasks))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -73,15 +80,16 @@ def components(links: DataFrame) -> DataFrame:
     Nulls and self-links are left out. A task holds its share of the links.
     """
     ship(links.sparkSession)
-    pairs = _gathered(links.where(F.col("a") != F.col("b")).select("a", "b"))
+    links = links.where(F.col("a") != F.col("b")).select("a", "b")
+    pairs = _gathered(links, _tasks(links.count()))
     schema = pairs.schema
-    tasks = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     before = None
     while True:
         now = pairs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if not now["n"] or now == before:
             break
         before = now
+        tasks = _tasks(now["n"])
         limit = max(HOT_LINKS, 4 * now["n"] // tasks)
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         counted = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("least")).where(F.col("n") > limit)
@@ -90,7 +98,7 @@ def components(links: DataFrame) -> DataFrame:
         salt = F.pmod(F.xxhash64("b"), F.coalesce(F.col("salts"), F.lit(1))).cast("int").alias("salt")
         dealt = both.join(hot.select("a", "salts"), "a", "left").select("a", "b", salt)
         least = hot.select("a", F.col("least").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        met = dealt.unionByName(least).repartition("a", "salt").select("a", "b")
-        pairs = _gathered(met.mapInArrow(_forest, schema))
+        met = dealt.unionByName(least).repartition("a", "salt").coalesce(tasks).select("a", "b")
+        pairs = _gathered(met.mapInArrow(_forest, schema), tasks)
     nodes = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
