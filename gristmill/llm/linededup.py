@@ -346,7 +346,7 @@ def without_runs(docs: DataFrame, runs: DataFrame, measure: Measure, min_words:
             text = row.field(field)
             copied = np.asarray(batch.column("copied").fill_null(False)) & (np.asarray(batch.column("own")) != np.asarray(batch.column("first").fill_null(0)))
             new, counts = [], []
-            for top, end, data, offsets in slices(text):
+            for top, end, data, offsets in slices(text, 1 << 19):
                 units = measure(data, offsets)
                 later = copied[top:end]
                 pos, n = (batch.column(c).slice(top, end - top) for c in ("pos", "n"))

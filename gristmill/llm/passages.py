@@ -21,6 +21,10 @@ from gristmill.llm.common import KEY_BITS, NOT_SPACE, bitmap, marked, mix, slice
 from gristmill.llm.linededup import FILTER_BITS, MIN_WORDS, Units, _FACTOR, _LAST, _UNFACTOR, line_begins, without_runs
 
 
+#: Texts are searched in slices of about so many bytes: a task needs some thirty times as much for one.
+SEARCHED_BYTES = 1 << 19
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of a slice, and the first word of each text (one more entry).
 
@@ -94,7 +98,7 @@ def _searched(batches: Iterator[pa.RecordBatch], copied: np.ndarray, wanted: boo
     for batch in batches:
         batch = batch.filter(pa.array(marked(copied, np.asarray(batch.column("sub")).view(np.uint64) >> np.uint64(64 - KEY_BITS)) == wanted))
         ids, subs = np.asarray(batch.column("id")), np.asarray(batch.column("sub"))
-        for top, end, data, offsets in slices(batch.column("text")):
+        for top, end, data, offsets in slices(batch.column("text"), SEARCHED_BYTES):
             yield ids[top:end], subs[top:end], data, offsets
 
 
