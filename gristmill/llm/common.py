@@ -115,6 +115,13 @@ def slices(column: pa.Array, most: int = 0) -> Iterator[tuple[int, int, np.ndarr
         first = last
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, so that copies of one are small against the batch that Spark sent."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def binary_rows(values: np.ndarray) -> pa.Array:
     """Rows of a two-dimensional array as binary values."""
     values = np.ascontiguousarray(values)
@@ -313,7 +320,7 @@ def split_rows(docs: DataFrame, marks: np.ndarray, bits: int, **more: Column) ->
 
     def where(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in few_rows(batches):
                 sub = np.asarray(batch.column("sub")).view(np.uint64)
                 yield batch.filter(pa.array(marked(shared.value, sub >> np.uint64(64 - bits)) == wanted))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from gristmill.llm.common import KEY_BITS, NOT_SPACE, bitmap, marked, mix, slices, span_hashes, split_rows, stable, text_key, texts, word_spans
+from gristmill.llm.common import KEY_BITS, NOT_SPACE, bitmap, few_rows, marked, mix, slices, span_hashes, split_rows, stable, text_key, texts, word_spans
 
 #: A run of fewer words is left alone.
 MIN_WORDS = 50
@@ -341,7 +341,7 @@ def without_runs(docs: DataFrame, runs: DataFrame, measure: Measure, min_words:
     field = docs.columns.index(text_col)
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             row = batch.column("row")
             text = row.field(field)
             copied = np.asarray(batch.column("copied").fill_null(False)) & (np.asarray(batch.column("own")) != np.asarray(batch.column("first").fill_null(0)))

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import KEY_BITS, NOT_SPACE, bitmap, marked, mix, slices, span_hashes, stable, text_key, texts, word_spans, written
+from gristmill.llm.common import KEY_BITS, NOT_SPACE, bitmap, few_rows, marked, mix, slices, span_hashes, stable, text_key, texts, word_spans, written
 from gristmill.llm.linededup import FILTER_BITS, MIN_WORDS, Units, _FACTOR, _LAST, _UNFACTOR, line_begins, without_runs
 
 
@@ -95,7 +95,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, min_words: int, hashed: bool
 
 def _searched(batches: Iterator[pa.RecordBatch], copied: np.ndarray, wanted: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of the texts that may have copies, or of the others: ids, subs, bytes and offsets."""
-    for batch in batches:
+    for batch in few_rows(batches, 2048):
         batch = batch.filter(pa.array(marked(copied, np.asarray(batch.column("sub")).view(np.uint64) >> np.uint64(64 - KEY_BITS)) == wanted))
         ids, subs = np.asarray(batch.column("id")), np.asarray(batch.column("sub"))
         for top, end, data, offsets in slices(batch.column("text"), SEARCHED_BYTES):
