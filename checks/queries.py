@@ -713,7 +713,7 @@ def csv_record_numbers(spark, sf_dir):
     records.repartition(4, "part").sortWithinPartitions("part", "c_custkey").drop("c_custkey").write.partitionBy("part").text(path)
     read = g.read_csv(spark, [f"{path}/part={i}" for i in range(4)], names=["no", "name", "segment"], multi_line=True)
     part = F.regexp_extract("file", r"part=(\d)", 1).cast("int").alias("part")
-    return read.malformed.select(part, F.col("line_number").cast("bigint").alias("record_number"), "line", F.lit(read.df.count()).alias("rows"))
+    return read.malformed.select(part, F.col("line_number").cast("bigint").alias("record_number"), "line", F.lit(read.df.count()).cast("bigint").alias("rows"))
 
 
 @query
@@ -741,7 +741,7 @@ def csv_no_rows(spark, sf_dir):
     cleaned, profiled_ = g.clean(read), g.profile(read)
     counts = cleaned.cleaned.agg(F.count(F.lit(1)).alias("rows"))
     warned = F.lit(bool(cleaned.warning and profiled_.warning)).alias("warned")
-    return counts.select("rows", F.lit(",".join(c for c in read.df.columns if c != ROW)).alias("names"), warned, F.lit(profiled_.row_count).alias("profiled"))
+    return counts.select("rows", F.lit(",".join(c for c in read.df.columns if c != ROW)).alias("names"), warned, F.lit(profiled_.row_count).cast("bigint").alias("profiled"))
 
 
 @query
@@ -802,7 +802,7 @@ def gather_ordered(spark, sf_dir):
     read = g.read_parquet(spark, written["gathered"])
     places = number_rows(read, [ROW], "place").groupBy("cust_id")
     counted = places.agg(F.min("place").alias("first_place"), F.max("place").alias("last_place"), F.count(F.lit(1)).alias("rows"))
-    return counted.withColumn("null_key_rows", F.lit(result.summary.first()["null_key_rows"]))
+    return counted.withColumn("null_key_rows", F.lit(result.summary.first()["null_key_rows"]).cast("bigint"))
 
 
 @query
