@@ -1,167 +1,225 @@
-"""Repeated runs of lines, found with a suffix array over the sequences of line ids, and cut from all but their first place.
+"""Passages of MIN_WORDS words and more that occur a second time, cut from all but their first place.
 
-A line ends at a line break, after a sentence, or before a word with a capital: so a passage that was pasted into the
-middle of other text is still a run of whole lines. Line ids are 64-bit hashes of the lines' words.
+Found with a suffix array over the sequences of line ids. A line begins at a word whose hash, with that of the next word,
+is a multiple of LINE_WORDS: so lines are short, and a passage has the same lines wherever it was pasted, inside longer
+lines as well. Line ids are 64-bit hashes of the lines' words.
 
 The array is built by prefix doubling: the rank of 2^k lines and that of the next 2^k are sorted as pairs, which ranks
-2^(k+1) lines. Pairs that occur once end no repeated run and are dropped, so rounds shrink. The suffixes that share
-their first u lines are an LCP interval; its name is the two ranks of 2^k lines, 2^k <= u < 2^(k+1), that begin and end
-these u lines. An interval's first place is kept, its later ones are cut. Runs count from MIN_WORDS words on; from each
-start the interval depths that matter are those from the first with so many words to the first that would reach them
-without its first line, since all longer runs are unions of these.
+2^(k+1) lines. Pairs that occur once end no repeated run and are dropped. The suffixes that share their first u lines are
+an LCP interval; its name is the two ranks of 2^k lines, 2^k <= u < 2^(k+1), that begin and end these u lines. From each
+word, the interval that matters is that of the whole lines among its next MIN_WORDS words; it is grown word by word, by a
+hash of the words before its first and after its last line, to MIN_WORDS words. The first place of a grown interval is
+kept, the later ones are cut; longer passages are unions of these. Lines that occur once, as a bitmap of fixed size tells,
+take no part, nor do windows that hold one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from gristmill.llm.common import KEY_BITS, NOT_SPACE, bitmap, few_rows, marked, mix, slices, span_hashes, split_rows, stable, text_key, texts, word_spans
+from gristmill.llm.common import NOT_SPACE, bitmap, few_rows, marked, mix, ship, slices, span_hashes, stable, text_key, texts, word_spans, written
 
-#: A run of fewer words is left alone.
+#: A passage of fewer words is left alone.
 MIN_WORDS = 50
+#: Words in a line, on average.
+LINE_WORDS = 8
 FILTER_BITS = 27
+#: Texts are searched in slices of about so many bytes: a task needs some thirty times as much for one.
+SEARCHED_BYTES = 1 << 19
 _LAST = (1 << 63) - 1
 
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
 _UNFACTOR = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
 
 
-def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a slice of texts: where lines begin, their ids, their words, and the first line of each text (one more entry)."""
-    starts, ends, at = word_spans(data, offsets, NOT_SPACE)
-    n = len(starts)
-    begin = np.flatnonzero(_opens(data, starts, ends, at))
-    end = np.concatenate([begin[1:], [n]]) if len(begin) else begin
-    words = span_hashes(data, starts, ends)
-    factors = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _FACTOR)]), dtype=np.uint64)
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _UNFACTOR)]), dtype=np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * factors[:n], dtype=np.uint64)])
-    ids = mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
-    return starts[begin], ids, end - begin, np.searchsorted(begin, at)
-
-
-def _opens(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which words open a line."""
-    n = len(starts)
-    opens = np.zeros(n, bool)
-    opens[at[:-1][np.diff(at) > 0]] = True
-    if n > 1:
-        breaks = np.cumsum((data == 10) | (data == 13))
-        opens[1:] |= breaks[starts[1:]] > breaks[ends[:-1] - 1]
-        last = data[ends[:-1] - 1]
-        opens[1:] |= (last == 46) | (last == 33) | (last == 63)
-    first = data[starts]
-    second = data[np.minimum(starts + 1, max(len(data) - 1, 0))] if n else first
-    opens |= (first >= 65) & (first <= 90) | (first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (ends > starts + 1)
-    return opens
-
-
-def line_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where the lines of a slice of texts begin."""
-    starts, ends, at = word_spans(data, offsets, NOT_SPACE)
-    return starts[_opens(data, starts, ends, at)]
-
-
-def sequences(docs: DataFrame) -> DataFrame:
-    """For doc_id, text_key, text: doc_id, text_key, ids and words of the lines as binary."""
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a slice, and the first word of each text (one more entry).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, offsets in slices(batch.column("text")):
-                _, ids, words, at = lines(data, offsets)
-                words = words.astype(np.int32)
-                cuts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-                arrays = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (ids, words)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, last - first) for c in ("doc_id", "text_key")), *arrays], ["doc_id", "text_key", "ids", "words"])
-
-    return docs.mapInArrow(run, "doc_id long, text_key binary, ids binary, words binary")
+    Words are parted by white space. Han, kana, Thai and Lao have none, so each of their characters is a word.
+    """
+    wide = (data >= 0xE3) & (data <= 0xE9)
+    thai = data[:-1] == 0xE0
+    wide[:-1] |= thai & (data[1:] >= 0xB8) & (data[1:] <= 0xBB)
+    if not wide.any():
+        return word_spans(data, offsets, NOT_SPACE)
+    n = len(data)
+    inside = NOT_SPACE[data]
+    cut = np.zeros(n + 4, bool)  # between a byte and the one before
+    cut[0] = cut[n] = True
+    cut[offsets] = True
+    cut[:n] |= wide
+    cut[3 : n + 3] |= wide
+    starts, ends = inside & cut[:n], inside & cut[1 : n + 1]
+    starts[1:] |= inside[1:] & ~inside[:-1]
+    ends[:-1] |= inside[:-1] & ~inside[1:]
+    found = np.flatnonzero(starts)
+    return found, np.flatnonzero(ends) + 1, np.searchsorted(found, offsets)
+
+
+class Lines:
+    """The lines of a slice of texts, and the windows of min_words words with the whole lines in each."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_words: int) -> None:
+        starts, ends, self.at = words(data, offsets)
+        n = len(starts)
+        hashes = span_hashes(data, starts, ends)
+        factors = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _FACTOR)]), dtype=np.uint64)
+        self._back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _UNFACTOR)]), dtype=np.uint64)
+        self._sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * factors[:n], dtype=np.uint64)])
+        opens = np.zeros(n, bool)
+        opens[:-1] = mix(hashes[:-1] + hashes[1:] * _FACTOR) % np.uint64(LINE_WORDS) == 0
+        opens[self.at[1:][self.at[1:] > 0] - 1] = False  # the next word is another text's
+        self.begin = np.flatnonzero(opens)
+        self.first = np.searchsorted(self.begin, self.at)  # the first line of each text
+        # Whole lines that fit into a window; the line from the last begin of a text on never does.
+        a, b = self.begin[:-1], self.begin[1:]
+        last = np.zeros(len(self.begin), bool)
+        ends_of = self.first[1:][np.diff(self.first) > 0] - 1
+        last[ends_of] = True
+        self.whole = ~last[:-1] & (b - a <= min_words - 2)
+        self.ids = self._run(a, b)
+        # Windows: the first word, and the begins in it from low to high. A begin shows if the next word is inside, too.
+        size = np.diff(self.at)
+        fits = np.zeros(n + 1, np.int32)
+        text = np.flatnonzero(size >= min_words)
+        np.add.at(fits, self.at[text], 1)
+        np.add.at(fits, self.at[text + 1] - min_words + 1, -1)
+        self.word = np.flatnonzero(np.cumsum(fits[:-1]) > 0)
+        count = np.concatenate([[0], np.cumsum(opens)])
+        self.low = count[self.word]
+        high = count[self.word + min_words - 1]
+        self.lines = np.maximum(high - self.low - 1, 0)
+        self._bare = high == self.low
+        self._high = high
+        self._min_words = min_words
+
+    def _run(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the words from a to b."""
+        return mix((self._sums[b] - self._sums[a]) * self._back[a] + (b - a).astype(np.uint64))
+
+    def edges(self, window: np.ndarray) -> np.ndarray:
+        """Hashes of the words of some windows before their first and after their last whole line."""
+        a = self.word[window]
+        end = a + self._min_words
+        if not len(self.begin):
+            return self._run(a, end)
+        bare = self._bare[window]
+        left = np.where(bare, end, self.begin[np.minimum(self.low[window], len(self.begin) - 1)])
+        right = np.where(bare, end, self.begin[np.maximum(self._high[window] - 1, 0)])
+        return mix(self._run(a, left) * _FACTOR + self._run(right, end))
+
+    def places(self) -> np.ndarray:
+        """Places in the bitmap: those of the whole lines, and of windows without one."""
+        return _place(np.concatenate([self.ids[self.whole], self.edges(np.flatnonzero(self.lines == 0))]))
+
+    def repeated(self, marks: np.ndarray) -> np.ndarray:
+        """Windows that hold no line that occurs only once."""
+        single = np.concatenate([[0], np.cumsum(~marked(marks, _place(self.ids)))])
+        low, some = self.low, self.lines > 0
+        keep = np.zeros(len(self.word), bool)
+        keep[some] = single[low[some]] == single[(low + self.lines)[some]]
+        bare = np.flatnonzero(~some)
+        keep[bare] = marked(marks, _place(self.edges(bare)))
+        return np.flatnonzero(keep)
 
 
 def _place(ids: np.ndarray) -> np.ndarray:
     return (ids >> np.uint64(64 - FILTER_BITS)).astype(np.int32)
 
 
-def _repeated_places(sequences_: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that holds all lines that occur twice, and others by chance."""
+def _top_levels(low: np.ndarray, lines: np.ndarray, n: int) -> np.ndarray:
+    """For n lines the highest level at which a rank can matter to windows of so many lines, -1 if to none."""
+    top = np.full(n, -1, np.int32)
+    level = 0
+    while True:
+        long = lines >= 1 << level
+        if not long.any():
+            return top
+        marks = np.zeros(n + 1, np.int32)
+        np.add.at(marks, low[long], 1)
+        np.add.at(marks, (low + lines)[long] - (1 << level) + 1, -1)
+        top[np.cumsum(marks[:-1]) > 0] = level
+        level += 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), np.uint64)
-            places, n = np.unique(_place(ids), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(n.astype(np.int32))], ["pos", "n"])
 
-    counted = sequences_.select("ids").mapInArrow(run, "pos int, n int").groupBy("pos").agg(F.sum("n").alias("n"))
-    return bitmap(counted.where("n > 1").select(F.col("pos").cast("long").alias("pos")), FILTER_BITS)
+def _searched(batches: Iterator[pa.RecordBatch], copied: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of the texts that the bitmap does not hold: ids, subs, bytes and offsets."""
+    for batch in few_rows(batches, 2048):
+        if copied is not None:
+            own = np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            batch = batch.filter(pa.array(~marked(copied, own)))
+        ids, subs = np.asarray(batch.column("id")), np.asarray(batch.column("sub"))
+        for top, end, data, offsets in slices(batch.column("text"), SEARCHED_BYTES):
+            yield ids[top:end], subs[top:end], data, offsets
 
 
-def _stretches(active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs of True."""
-    change = np.diff(np.concatenate([[0], active.astype(np.int8), [0]]))
-    return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+class Texts:
+    """The texts to search: those of docs that a bitmap of copies does not hold, and the strays, which it holds by chance."""
 
+    def __init__(self, docs: DataFrame, copied: Broadcast, strays: DataFrame) -> None:
+        self.context = docs.sparkSession.sparkContext
+        self._parts: list[tuple[DataFrame, Broadcast | None]] = [(docs, copied)]
+        if not strays.isEmpty():
+            self._parts.append((docs.join(strays, ["id", "sub"], "left_semi"), None))
 
-def _depths(w: np.ndarray, end: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lines from which a run of min_words words can start, and the ends of its shortest and longest depth that matter.
+    def each(self, run: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """run on the slices of all texts."""
 
-    w: words of lines; end: for each line the end of its stretch.
-    """
-    total = np.concatenate([[0], np.cumsum(w)])
-    least = np.searchsorted(total, total[:-1] + min_words)
-    most = np.minimum(np.searchsorted(total, total[1:] + min_words), end)
-    start = np.flatnonzero(least <= end)
-    return start, least[start], np.maximum(most[start], least[start])
-
-
-def _top_levels(w: np.ndarray, end: np.ndarray, min_words: int) -> np.ndarray:
-    """Per line the highest level at which its rank can matter."""
-    start, _, most = _depths(w, end, min_words)
-    top = np.zeros(len(w), np.int32)
-    level = 1
-    while True:
-        long = most - start >= 1 << level
-        if not long.any():
-            return top
-        marks = np.zeros(len(w) + 1, np.int32)
-        np.add.at(marks, start[long], 1)
-        np.add.at(marks, most[long] - (1 << level) + 1, -1)
-        top[np.cumsum(marks[:-1]) > 0] = level
-        level += 1
+        def part(docs: DataFrame, copied: Broadcast | None) -> DataFrame:
+            return docs.mapInArrow(lambda batches: run(_searched(batches, copied and copied.value)), schema)
 
+        found = [part(*p) for p in self._parts]
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
-def candidates(sequences_: DataFrame, marks: np.ndarray, min_words: int) -> DataFrame:
-    """Level 0: id, sub, pos, r (the line's id), w (its words), top (the last level that needs it).
 
-    Of lines in stretches of repeated lines with min_words words in all.
-    """
-    shared = sequences_.sparkSession.sparkContext.broadcast(marks)
+def _repeated_places(searched: Texts, min_words: int) -> np.ndarray:
+    """A bitmap of fixed size that holds all lines that occur twice, and others by chance."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, sub = np.asarray(batch.column("id")), np.asarray(batch.column("sub"))
-            parts: list[tuple[np.ndarray, ...]] = []
-            for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.uint64)
-                words = np.frombuffer(batch.column("words")[i].as_py(), np.int32)
-                total = np.concatenate([[0], np.cumsum(words)])
-                a, b = _stretches(marked(shared.value, _place(ids)))
-                enough = total[b] - total[a] >= min_words
-                pos = np.concatenate([np.arange(x, y) for x, y in zip(a[enough], b[enough], strict=True)]) if enough.any() else np.zeros(0, int)
-                if len(pos):
-                    end = np.repeat(np.cumsum(b[enough] - a[enough]), b[enough] - a[enough])
-                    top = _top_levels(words[pos], end, min_words)
-                    parts.append((np.full(len(pos), doc[i]), np.full(len(pos), sub[i]), pos.astype(np.int32), ids[pos].view(np.int64), words[pos], top))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["id", "sub", "pos", "r", "w", "top"])
-
-    return sequences_.select("id", "sub", "ids", "words").mapInArrow(run, "id long, sub long, pos int, r long, w int, top int")
+    def run(slices_: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        for _, _, data, offsets in slices_:
+            places, n = np.unique(Lines(data, offsets, min_words).places(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(n.astype(np.int32))], ["pos", "n"])
+
+    counted = searched.each(run, "pos int, n int").groupBy("pos").agg(F.sum("n").alias("n"))
+    return bitmap(counted.where("n > 1").select(F.col("pos").cast("long").alias("pos")), FILTER_BITS)
+
+
+def candidates(searched: Texts, marks: Broadcast, min_words: int) -> DataFrame:
+    """Windows that may occur twice (level -1: pos is a word, line its first whole line, n its lines, r its edges' hash)
+    and the lines in them (level 0: pos is the line, r its id, n the last level that needs it)."""
+
+    def run(slices_: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        for ids, subs, data, offsets in slices_:
+            found = Lines(data, offsets, min_words)
+            window = found.repeated(marks.value)
+            if not len(window):
+                continue
+            low, lines = found.low[window], found.lines[window]
+            some = lines > 0
+            top = _top_levels(low[some], lines[some], len(found.begin))
+            line = np.flatnonzero(top >= 0)
+            of_window = np.searchsorted(found.at, found.word[window], "right") - 1
+            of_line = np.searchsorted(found.first, line, "right") - 1
+            of = np.concatenate([of_window, of_line])
+            arrays = [
+                ids[of],
+                subs[of],
+                np.repeat(np.array([-1, 0], np.int32), [len(window), len(line)]),
+                np.concatenate([found.word[window] - found.at[of_window], line - found.first[of_line]]).astype(np.int32),
+                np.concatenate([low - found.first[of_window], np.zeros(len(line), int)]).astype(np.int32),
+                np.concatenate([lines, top[line]]).astype(np.int32),
+                np.concatenate([found.edges(window), found.ids[line]]).view(np.int64),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["id", "sub", "level", "pos", "line", "n", "r"])
+
+    return searched.each(run, "id long, sub long, level int, pos int, line int, n int, r long")
 
 
 def by_text(rows: DataFrame, *order: str) -> DataFrame:
@@ -214,169 +272,168 @@ def doubled(rows: DataFrame, level: int) -> DataFrame:
     return pairs.join(ranked, ["r", "r2"]).select("id", "sub", "pos", F.col("rank").alias("r"), "top")
 
 
-def intervals(levels: DataFrame, min_words: int) -> DataFrame:
-    """For rows of all levels (id, sub, level, pos, r, w): u, a, b (an LCP interval), id, sub, pos (a suffix in it)."""
+def intervals(rows: DataFrame) -> DataFrame:
+    """For windows (level -1) and ranks of all levels: u, a, b (an LCP interval), e (its edges), id, sub, pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, f in whole_texts(batches):
-            level = f["level"]
-            base = level == 0
-            text, pos, w = owner[base], f["pos"][base].astype(np.int64), f["w"][base].astype(np.int64)
-            if not len(pos):
-                continue
-            key = text << 32 | pos
-            every_key = owner << 32 | f["pos"]
-            by_level = [np.flatnonzero(level == k) for k in range(int(level.max()) + 1)]
-            ranks = {}
-            for k, rows in enumerate(by_level):
-                order = rows[np.argsort(every_key[rows], kind="stable")]
-                ranks[k] = every_key[order], f["r"][order]
-            n = len(pos)
-            last = np.concatenate([np.flatnonzero(np.diff(key) != 1), [n - 1]])
-            start, least, most = _depths(w, last[np.searchsorted(last, np.arange(n))] + 1, min_words)
-            depths = most - least + 1
-            i = np.repeat(start, depths)
-            u = np.repeat(least - start, depths) + (np.arange(depths.sum()) - np.repeat(np.cumsum(depths) - depths, depths))
-            k = np.floor(np.log2(np.maximum(u, 1) + 0.5)).astype(int)
-            a, b, found = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), np.zeros(len(i), bool)
-            for one in np.unique(k).tolist():
-                pick = np.flatnonzero(k == one)
-                if one not in ranks:
-                    continue
-                keys, r = ranks[one]
-                x, y = _find(keys, key[i[pick]]), _find(keys, key[i[pick]] + u[pick] - (1 << one))
+            window = np.flatnonzero(f["level"] < 0)
+            u = f["n"][window]
+            line = owner[window] << 32 | f["line"][window]
+            level = np.floor(np.log2(np.maximum(u, 1) + 0.5)).astype(int)
+            a, b, found = np.zeros(len(window), np.int64), np.zeros(len(window), np.int64), u == 0
+            for k in np.unique(level[u > 0]).tolist():
+                ranks = np.flatnonzero(f["level"] == k)  # in the order of texts and places
+                keys, r = owner[ranks] << 32 | f["pos"][ranks], f["r"][ranks]
+                pick = np.flatnonzero((level == k) & (u > 0))
+                x, y = _find(keys, line[pick]), _find(keys, line[pick] + u[pick] - (1 << k))
                 both = (x >= 0) & (y >= 0)
                 a[pick[both]], b[pick[both]] = r[x[both]], r[y[both]]
                 found[pick[both]] = True
-            i = i[found]
-            row = np.flatnonzero(base)[i]
-            arrays = [u[found].astype(np.int32), a[found], b[found], f["id"][row], f["sub"][row], pos[i].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["u", "a", "b", "id", "sub", "pos"])
+            row = window[found]
+            arrays = [u[found], a[found], b[found], f["r"][row], f["id"][row], f["sub"][row], f["pos"][row]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["u", "a", "b", "e", "id", "sub", "pos"])
 
-    return by_text(levels, "pos", "level").mapInArrow(run, "u int, a long, b long, id long, sub long, pos int")
+    return by_text(rows, "level", "pos").mapInArrow(run, "u int, a long, b long, e long, id long, sub long, pos int")
 
 
-def later_copies(sequences_: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """For distinct texts (id, sub, ids, words): id, sub, runs (array of first line and number of lines) to cut."""
-    level = stable(candidates(sequences_, _repeated_places(sequences_), min_words))
-    every = level.select("id", "sub", F.lit(0).alias("level"), "pos", "r", "w")
+def later_copies(searched: Texts, repeats: bool, min_words: int = MIN_WORDS) -> DataFrame:
+    """id, sub, runs (array of first word and number of words) to cut. repeats: rows repeat an id and a text."""
+    marks = searched.context.broadcast(_repeated_places(searched, min_words))  # of fixed size
+    rows = written(candidates(searched, marks, min_words))
+    if repeats:
+        rows = written(rows.distinct())
+    level = rows.where("level = 0").select("id", "sub", "pos", "r", F.col("n").alias("top"))
     top = level.agg(F.max("top")).first()[0] or 0
+    every = rows
     for k in range(top):
-        level = stable(doubled(level, k))
-        every = every.unionByName(level.select("id", "sub", F.lit(k + 1).alias("level"), "pos", "r", F.lit(0).alias("w")))
-    suffixes = stable(intervals(every, min_words))
-    first = suffixes.groupBy("u", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "sub", "pos")).alias("first")).where("n > 1").drop("n")
-    # Written first, so that the join shuffles both sides itself and Spark can split an interval of many suffixes.
-    later = suffixes.join(stable(first), ["u", "a", "b"]).where(F.struct("id", "sub", "pos") != F.col("first"))
-    return later.groupBy("id", "sub", "pos").agg(F.max("u").alias("n")).groupBy("id", "sub").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
+        level = written(doubled(level, k))
+        every = every.unionByName(level.select("id", "sub", F.lit(k + 1).alias("level"), "pos", F.lit(0).alias("line"), F.lit(0).alias("n"), "r"))
+    places = written(intervals(every))
+    of = F.struct("id", "sub", "pos")
+    first = places.groupBy("u", "a", "b", "e").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("first")).where("n > 1").drop("n")
+    # Written first, so that the join shuffles both sides itself and Spark can split an interval of many places.
+    later = places.join(stable(first), ["u", "a", "b", "e"]).where(of != F.col("first"))
+    return later.groupBy("id", "sub").agg(F.array_sort(F.collect_list("pos")).alias("runs"))
 
 
-class Units(NamedTuple):
-    """What runs are counted in: where units begin, the first of each text (one more entry), words per text, lines' begins."""
+def cut(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, pos: np.ndarray, whole: np.ndarray, min_words: int) -> tuple[pa.Array, np.ndarray]:
+    """The texts of a slice without windows of min_words words, and how many words of each go.
 
-    begin: np.ndarray
-    at: np.ndarray
-    n_words: np.ndarray
-    line_begin: np.ndarray
-
-
-def line_units(data: np.ndarray, offsets: np.ndarray) -> Units:
-    begin, _, words, at = lines(data, offsets)
-    total = np.concatenate([[0], np.cumsum(words)])
-    return Units(begin, at, total[at[1:]] - total[at[:-1]], begin)
-
-
-def cut(data: np.ndarray, offsets: np.ndarray, units: Units, text: np.ndarray, pos: np.ndarray, n: np.ndarray, whole: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The texts of a slice without runs of units, and how many lines of each lose words.
-
-    Runs are n units from pos on of the texts numbered in text; whole marks the texts of which nothing is left.
+    Windows begin at word pos of the texts numbered in text; texts marked in whole lose all their words if they have min_words.
     """
-    change = np.zeros(len(units.begin) + 1, np.int64)
-    np.add.at(change, units.at[text] + pos, 1)
-    np.add.at(change, units.at[text] + pos + n, -1)
+    begin, _, at = words(data, offsets)
+    size = np.diff(at)
+    gone = np.flatnonzero(whole & (size >= min_words))
+    change = np.zeros(len(begin) + 1, np.int64)
+    np.add.at(change, at[text] + pos, 1)
+    np.add.at(change, at[text] + pos + min_words, -1)
+    np.add.at(change, at[gone], 1)
+    np.add.at(change, at[gone + 1], -1)
     drop = np.cumsum(change[:-1]) > 0
-    stop = np.append(units.begin, len(data))[1:]
-    full = np.flatnonzero(np.diff(units.at) > 0)
-    stop[units.at[full + 1] - 1] = offsets[full + 1]
+    stop = np.append(begin, len(data))[1:]
+    full = np.flatnonzero(size > 0)
+    stop[at[full + 1] - 1] = offsets[full + 1]
     bytes_ = np.zeros(len(data) + 1, np.int32)
-    np.add.at(bytes_, units.begin[drop], 1)
+    np.add.at(bytes_, begin[drop], 1)
     np.add.at(bytes_, stop[drop], -1)
-    gone = np.flatnonzero(whole)
-    np.add.at(bytes_, offsets[gone], 1)
+    np.add.at(bytes_, offsets[gone], 1)  # with the blanks before the first word
     np.add.at(bytes_, offsets[gone + 1], -1)
     stay = np.cumsum(bytes_[:-1]) == 0
     place = np.concatenate([[0], np.cumsum(stay)])[offsets]
     left = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(place.astype(np.int64)), pa.py_buffer(data[stay].tobytes())])
-    touched = np.unique(np.searchsorted(units.line_begin, units.begin[drop], "right") - 1)
-    line_text = np.searchsorted(offsets, units.line_begin, "right") - 1
-    n_cut = np.bincount(line_text[touched], minlength=len(offsets) - 1)
-    return left, np.where(whole, np.bincount(line_text, minlength=len(offsets) - 1), n_cut)
-
-
-Measure = Callable[[np.ndarray, np.ndarray], Units]
-
-
-def without_runs(docs: DataFrame, runs: DataFrame, measure: Measure, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """docs without the given runs (id, sub, runs) and without later whole copies of at least min_words words; and n_cut."""
+    n_cut = np.concatenate([[0], np.cumsum(drop)])[at]
+    return left, np.diff(n_cut).astype(np.int32)
+
+
+def _without(batch: pa.RecordBatch, field: int, whole: np.ndarray, runs: pa.Array | None, min_words: int) -> pa.RecordBatch:
+    """Rows (column row) without their runs and, where whole says so, without all their words; and n_cut."""
+    row = batch.column("row")
+    text = row.field(field)
+    sizes = np.zeros(len(text), int) if runs is None else np.asarray(pa.compute.list_value_length(runs).fill_null(0))
+    touched = np.flatnonzero(whole | (sizes > 0))
+    n_cut = np.zeros(len(text), np.int32)
+    if len(touched):
+        pos = np.zeros(0, int) if runs is None else np.asarray(runs.flatten())
+        edge = np.concatenate([[0], np.cumsum(sizes)])
+        new = []
+        for top, end, data, offsets in slices(text.take(pa.array(touched)), SEARCHED_BYTES):
+            mine = touched[top:end]
+            of = np.repeat(np.arange(len(mine)), sizes[mine])
+            some = np.concatenate([pos[edge[i] : edge[i + 1]] for i in mine.tolist()]) if len(of) else np.zeros(0, int)
+            left, n_cut[mine] = cut(data, offsets, of, some, whole[mine], min_words)
+            new.append(left)
+        mask = np.zeros(len(text), bool)
+        mask[touched] = True
+        changed = pa.concat_arrays(new).cast(text.type)
+        texts_ = pa.compute.replace_with_mask(text, pa.array(mask & ~np.asarray(text.is_null())), changed.filter(pa.array(~np.asarray(text.is_null())[touched])))
+        row = pa.StructArray.from_arrays([texts_ if i == field else row.field(i) for i in range(row.type.num_fields)], fields=list(row.type))
+    return pa.RecordBatch.from_arrays([row, pa.array(n_cut)], ["row", "n_cut"])
+
+
+def _bits(own: Column) -> Column:
+    return F.shiftrightunsigned(own, 64 - FILTER_BITS)
+
+
+def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of docs, the text without later copies of passages of at least min_words words; and n_cut.
+
+    n_cut counts the words that were cut. Texts are in the order of their ids, nulls last, then of a hash of the text. A
+    text whose id is not the smallest with that text is a copy as a whole and becomes empty if it has min_words words.
+    Rows that repeat an id and a text are one text, each gets the same result. Null texts stay null, empty tables give
+    empty ones, and no other column is looked at. Columns of docs named n_cut are replaced.
+    """
+    context = docs.sparkSession.sparkContext
     key = text_key(docs[text_col].cast("string"))
-    data = texts(docs, id_col, text_col, key.alias("text_key"))
+    data = texts(docs, id_col, text_col, key.alias("key"))
     ordered = F.coalesce(F.col("doc_id"), F.lit(_LAST))
-    # Whole copies: rows whose id is not the first with their text.
-    keys = data.select(ordered.alias("own"), "text_key").distinct()
-    copies = keys.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("id")).where("n > 1").select("text_key", "id")
-    changed = (
-        runs.select("sub", F.col("id").alias("first"), "runs", F.lit(False).alias("whole"))
-        .unionByName(copies.select(F.xxhash64("text_key").alias("sub"), F.col("id").alias("first"), F.lit(None).cast("array<struct<pos: int, n: int>>").alias("runs"), F.lit(True).alias("whole")))
-        .groupBy("sub")
-        .agg(F.min("first").alias("first"), F.first("runs", ignorenulls=True).alias("runs"), F.max("whole").alias("copied"))
-    )
-    changed = stable(changed)
-    marks = bitmap(changed.select(F.shiftrightunsigned("sub", 64 - KEY_BITS).alias("pos")), KEY_BITS)
-    own_id = F.coalesce(docs[id_col].cast("long"), F.lit(_LAST))
+    keys = written(data.groupBy(ordered.alias("id"), "key").agg(F.count(F.lit(1)).alias("rows")).withColumn("sub", F.xxhash64("key")))
+    repeats = (keys.agg(F.max("rows")).first()[0] or 0) > 1
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
+    # Whole copies are told by their text alone: only the first of each text is searched.
+    copies = written(keys.join(stable(several), "key").where("id != first").select("id", "sub"))
+    own = F.xxhash64("id", "sub")
+    copied = context.broadcast(bitmap(copies.select(_bits(own).alias("pos")), FILTER_BITS))  # of fixed size
+
+    def by_chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = marked(copied.value, np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - FILTER_BITS))
+            yield batch.filter(pa.array(held)).select(["id", "sub"])
+
+    held = keys.select("id", "sub", own.alias("own")).mapInArrow(by_chance, "id long, sub long")
+    strays = written(held.join(copies, ["id", "sub"], "left_anti"))
+    searched = data.where("text is not null").select(ordered.alias("id"), F.xxhash64("key").alias("sub"), "text").withColumn("own", own)
+    runs = written(later_copies(Texts(searched, copied, strays), repeats, min_words))
+
+    # A row in the bitmap of copies that is neither a stray nor has runs is a copy: its row stays where it is.
+    doubtful = runs.select("id", "sub").unionByName(strays)
+    doubt = context.broadcast(bitmap(doubtful.select(_bits(own).alias("pos")), FILTER_BITS))
+    ship(docs.sparkSession)
     docs = docs.drop("n_cut")
-    same, maybe = split_rows(docs, marks, KEY_BITS, own=own_id, sub=F.xxhash64(key))
-    # Lists of runs as two lists of numbers, which arrive as plain arrays.
-    listed = changed.select("sub", "first", "copied", F.col("runs.pos").alias("pos"), F.col("runs.n").alias("n"))
-    maybe = maybe.join(listed, "sub", "left").select("row", "own", "first", "copied", "pos", "n")
     field = docs.columns.index(text_col)
+    id_, sub = F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)), F.xxhash64(key)
+    whole_rows = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            place = np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            sure = ~marked(doubt.value, place)
+            yield _without(batch.filter(pa.array(sure)), field, marked(copied.value, place[sure]), None, min_words)
+
+    def doubted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            place = np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            yield batch.filter(pa.array(marked(doubt.value, place))).select(["row", "id", "sub"])
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
-            row = batch.column("row")
-            text = row.field(field)
-            copied = np.asarray(batch.column("copied").fill_null(False)) & (np.asarray(batch.column("own")) != np.asarray(batch.column("first").fill_null(0)))
-            new, counts = [], []
-            for top, end, data, offsets in slices(text, 1 << 19):
-                units = measure(data, offsets)
-                later = copied[top:end]
-                pos, n = (batch.column(c).slice(top, end - top) for c in ("pos", "n"))
-                sizes = np.where(later, 0, np.asarray(pa.compute.list_value_length(pos).fill_null(0)))
-                of = np.repeat(np.arange(end - top), np.asarray(pa.compute.list_value_length(pos).fill_null(0)))
-                mine = (sizes > 0)[of]
-                left, n_cut = cut(data, offsets, units, of[mine], np.asarray(pos.flatten())[mine], np.asarray(n.flatten())[mine], later & (units.n_words >= min_words))
-                new.append(left)
-                counts.append(n_cut)
-            texts_ = pa.concat_arrays(new) if new else pa.array([], pa.large_string())
-            texts_ = pa.compute.if_else(text.is_null(), pa.scalar(None, pa.large_string()), texts_).cast(text.type)
-            rows = pa.StructArray.from_arrays([texts_ if i == field else row.field(i) for i in range(row.type.num_fields)], fields=list(row.type))
-            yield pa.RecordBatch.from_arrays([rows, pa.array(np.concatenate([*counts, np.zeros(0, int)]).astype(np.int32))], ["row", "n_cut"])
-
-    fields = {f.name: f for f in maybe.schema.fields}
-    found = maybe.mapInArrow(done, StructType([fields["row"], StructField("n_cut", IntegerType())]))
-    return same.select("row.*", F.lit(0).alias("n_cut")).unionByName(found.select("row.*", "n_cut"))
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of docs, the text without later copies of runs of at least min_words words; and n_cut, the lines cut.
-
-    Texts are in the order of their ids, nulls last, then of a hash of the text. A text whose id is not the smallest
-    with that text is a copy as a whole and becomes empty if it has min_words words. Rows that repeat an id and a text
-    are one text, each gets the same result. Null texts stay null. Columns of docs named n_cut are replaced.
-    """
-    key = text_key(docs[text_col].cast("string"))
-    data = texts(docs, id_col, text_col, key.alias("text_key"))
-    ordered = F.coalesce(F.col("doc_id"), F.lit(_LAST))
-    all_sequences = sequences(data).groupBy("text_key").agg(F.min(ordered).alias("id"), F.first("ids").alias("ids"), F.first("words").alias("words"))
-    distinct = stable(all_sequences.withColumn("sub", F.xxhash64("text_key")))
-    runs = stable(later_copies(distinct, min_words))
-    return without_runs(docs, runs, line_units, min_words, id_col, text_col)
+            yield _without(batch, field, np.asarray(batch.column("copy").fill_null(False)), batch.column("runs"), min_words)
+
+    row = StructField("row", docs.select(whole_rows).schema["row"].dataType)
+    result = StructType([row, StructField("n_cut", IntegerType())])
+    one_pass = docs.select(whole_rows, F.xxhash64(id_, sub).alias("own")).mapInArrow(clear, result)
+    some = docs.select(whole_rows, id_.alias("id"), sub.alias("sub"), F.xxhash64(id_, sub).alias("own"))
+    some = some.mapInArrow(doubted, StructType([row, *keys.select("id", "sub").schema.fields]))
+    changed = runs.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "sub", F.lit(None).cast("array<int>").alias("runs"), F.lit(True).alias("copy")))
+    joined = some.join(changed, ["id", "sub"], "left").select("row", "runs", "copy")
+    return one_pass.unionByName(joined.mapInArrow(done, result)).select("row.*", "n_cut")

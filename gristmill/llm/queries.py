@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import common, decontaminate, extract, fim, language, minhash, packing, passages, periodic, quality, secret_scan, sharding, topk, toxicity
+from gristmill.llm import common, decontaminate, extract, fim, language, linededup, minhash, packing, periodic, quality, secret_scan, sharding, topk, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -70,7 +70,7 @@ def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = passages.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = linededup.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_cut", "text")
 
 

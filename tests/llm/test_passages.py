@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from gristmill.llm import passages
+from gristmill.llm import linededup
 
 WORD = re.compile(r"[฀-໿　-鿿]|[^ \t\n\v\f\r฀-໿　-鿿]+")
 
@@ -58,7 +59,7 @@ def test_equals_brute_force(documents, seed, min_words):
     rows += [(100 + i, rows[i][1]) for i in range(4)] + [(None, rows[5][1]), (None, None), (200, ""), (201, None), (202, "short"), (203, "short"), rows[7]]
     rows.append((300, "again and again " * 400))
     table = documents(rows)
-    found = passages.dedup_passages(table, min_words)
+    found = linededup.dedup_passages(table, min_words)
     assert found.columns == [*table.columns, "n_cut"]
     got = found.collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(brute(rows, min_words), key=repr)
@@ -72,7 +73,7 @@ def test_passage_that_starts_and_ends_inside_a_line_goes(documents, kind):
     gap = "" if kind == "han" else " "
     passage = made(rng, kind, 51)
     rows = [(i, gap.join([made(rng, kind, 20), f"own{i}", passage, f"end{i}", made(rng, kind, 20)])) for i in range(4)]
-    got = {r.doc_id: r.text for r in passages.dedup_passages(documents(rows)).collect()}
+    got = {r.doc_id: r.text for r in linededup.dedup_passages(documents(rows)).collect()}
     assert got[0] == rows[0][1]
     assert all(got[i] == rows[i][1].replace(passage + gap, "") for i in range(1, 4))
 
@@ -81,8 +82,36 @@ def test_texts_of_a_slice_do_not_meet(documents):
     a = [f"a{i}" for i in range(30)]
     b = [f"b{i}" for i in range(30)]
     rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a + b))]
-    assert sorted((r.doc_id, r.text) for r in passages.dedup_passages(documents(rows)).collect()) == rows
+    assert sorted((r.doc_id, r.text) for r in linededup.dedup_passages(documents(rows)).collect()) == rows
 
 
 def test_empty(documents):
-    assert passages.dedup_passages(documents([])).count() == 0
+    assert linededup.dedup_passages(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["prose", "lower", "cyrillic", "han"])
+def test_a_passage_has_the_same_lines_wherever_it_is(kind):
+    rng = random.Random(4)
+    gap = "" if kind == "han" else " "
+    passage = made(rng, kind, 120)
+    found = []
+    for n in (0, 1, 30, 61):
+        text = (made(rng, kind, n) + gap + passage + gap + made(rng, kind, n)).encode()
+        data = np.frombuffer(text, np.uint8)
+        found.append(set(linededup.Lines(data, np.array([0, len(data)]), 50).ids.tolist()))
+    assert len(set.intersection(*found)) >= len(found[0]) - 1 >= 3
+
+
+def test_ranks_of_doubled_lines_follow_the_order_of_suffixes(spark):
+    rng = random.Random(3)
+    texts = [[rng.randrange(3) for _ in range(40)] for _ in range(6)]
+    rows = [(i, i, p, r, 4) for i, t in enumerate(texts) for p, r in enumerate(t)]
+    level = spark.createDataFrame(rows, "id long, sub long, pos int, r long, top int")
+    for k in range(3):
+        level = linededup.doubled(level, k)
+        size = 2 << k
+        places = {(i, p): tuple(texts[i][p : p + size]) for i, _, p, *_ in rows if p + size <= 40}
+        counts = {v: list(places.values()).count(v) for v in places.values()}
+        got = {(r.id, r.pos): r.r for r in level.collect()}
+        assert set(got) == {at for at, v in places.items() if counts[v] > 1}
+        assert [places[at] for at in sorted(got, key=lambda at: (got[at], places[at]))] == sorted(places[at] for at in got)
