@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import common, decontaminate, minhash, packing, passages, queries, toxicity
+from gristmill.llm import common, decontaminate, linededup, minhash, packing, queries, toxicity
 
 #: Near-duplicates share so many of their shingles of five words; op10's SQL asks for 85 instead.
 NEAR_PERCENT = 80
@@ -27,7 +27,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of passages; those of which nothing is left go. n_chars is that of the new text."""
-    cut = passages.dedup_passages(docs)
+    cut = linededup.dedup_passages(docs)
     left = cut.where((F.col("n_cut") == 0) | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
