@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from gristmill.llm.common import NOT_SPACE, bitmap, few_rows, marked, mix, ship, slices, span_hashes, stable, text_key, texts, word_spans, written
+from gristmill.llm.common import KEY_BITS, NOT_SPACE, bitmap, few_rows, marked, mix, ship, slices, span_hashes, text_key, texts, word_spans, written
 
 #: A passage of fewer words is left alone.
 MIN_WORDS = 50
@@ -153,7 +153,7 @@ def _searched(batches: Iterator[pa.RecordBatch], copied: np.ndarray | None) -> I
     """Slices of the texts that the bitmap does not hold: ids, subs, bytes and offsets."""
     for batch in few_rows(batches, 2048):
         if copied is not None:
-            own = np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            own = np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - KEY_BITS)
             batch = batch.filter(pa.array(~marked(copied, own)))
         ids, subs = np.asarray(batch.column("id")), np.asarray(batch.column("sub"))
         for top, end, data, offsets in slices(batch.column("text"), SEARCHED_BYTES):
@@ -265,15 +265,15 @@ def doubled(rows: DataFrame, level: int) -> DataFrame:
             arrays = [f["id"][ok], f["sub"][ok], f["pos"][ok], f["r"][ok], f["r"][other[ok]], f["top"][ok]]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["id", "sub", "pos", "r", "r2", "top"])
 
-    pairs = stable(by_text(rows.where(F.col("top") >= level), "pos").mapInArrow(run, "id long, sub long, pos int, r long, r2 long, top int"))
+    pairs = written(by_text(rows.where(F.col("top") >= level), "pos").mapInArrow(run, "id long, sub long, pos int, r long, r2 long, top int"))
     several = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r", "r2")
     # Numbers that follow the order of the pairs: the partitions are ranges, numbered in order.
-    ranked = stable(several.repartitionByRange("r", "r2").sortWithinPartitions("r", "r2").withColumn("rank", F.monotonically_increasing_id()))
+    ranked = written(several.repartitionByRange("r", "r2").sortWithinPartitions("r", "r2").withColumn("rank", F.monotonically_increasing_id()))
     return pairs.join(ranked, ["r", "r2"]).select("id", "sub", "pos", F.col("rank").alias("r"), "top")
 
 
 def intervals(rows: DataFrame) -> DataFrame:
-    """For windows (level -1) and ranks of all levels: u, a, b (an LCP interval), e (its edges), id, sub, pos."""
+    """For windows (level -1) and ranks of all levels: h (names an LCP interval and its edges), id, sub, pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, f in whole_texts(batches):
@@ -291,10 +291,13 @@ def intervals(rows: DataFrame) -> DataFrame:
                 a[pick[both]], b[pick[both]] = r[x[both]], r[y[both]]
                 found[pick[both]] = True
             row = window[found]
-            arrays = [u[found], a[found], b[found], f["r"][row], f["id"][row], f["sub"][row], f["pos"][row]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["u", "a", "b", "e", "id", "sub", "pos"])
+            h = f["r"][row].view(np.uint64)
+            for part in (a[found], b[found], u[found].astype(np.int64)):
+                h = mix(h + part.view(np.uint64) * _FACTOR)
+            arrays = [h.view(np.int64), f["id"][row], f["sub"][row], f["pos"][row]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["h", "id", "sub", "pos"])
 
-    return by_text(rows, "level", "pos").mapInArrow(run, "u int, a long, b long, e long, id long, sub long, pos int")
+    return by_text(rows, "level", "pos").mapInArrow(run, "h long, id long, sub long, pos int")
 
 
 def later_copies(searched: Texts, repeats: bool, min_words: int = MIN_WORDS) -> DataFrame:
@@ -311,9 +314,9 @@ def later_copies(searched: Texts, repeats: bool, min_words: int = MIN_WORDS) ->
         every = every.unionByName(level.select("id", "sub", F.lit(k + 1).alias("level"), "pos", F.lit(0).alias("line"), F.lit(0).alias("n"), "r"))
     places = written(intervals(every))
     of = F.struct("id", "sub", "pos")
-    first = places.groupBy("u", "a", "b", "e").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("first")).where("n > 1").drop("n")
+    first = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("first")).where("n > 1").drop("n")
     # Written first, so that the join shuffles both sides itself and Spark can split an interval of many places.
-    later = places.join(stable(first), ["u", "a", "b", "e"]).where(of != F.col("first"))
+    later = places.join(written(first), "h").where(of != F.col("first"))
     return later.groupBy("id", "sub").agg(F.array_sort(F.collect_list("pos")).alias("runs"))
 
 
@@ -372,7 +375,7 @@ def _without(batch: pa.RecordBatch, field: int, whole: np.ndarray, runs: pa.Arra
 
 
 def _bits(own: Column) -> Column:
-    return F.shiftrightunsigned(own, 64 - FILTER_BITS)
+    return F.shiftrightunsigned(own, 64 - KEY_BITS)
 
 
 def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -391,13 +394,13 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     repeats = (keys.agg(F.max("rows")).first()[0] or 0) > 1
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
     # Whole copies are told by their text alone: only the first of each text is searched.
-    copies = written(keys.join(stable(several), "key").where("id != first").select("id", "sub"))
+    copies = written(keys.join(several, "key").where("id != first").select("id", "sub"))
     own = F.xxhash64("id", "sub")
-    copied = context.broadcast(bitmap(copies.select(_bits(own).alias("pos")), FILTER_BITS))  # of fixed size
+    copied = context.broadcast(bitmap(copies.select(_bits(own).alias("pos")), KEY_BITS))  # of fixed size
 
     def by_chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = marked(copied.value, np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - FILTER_BITS))
+            held = marked(copied.value, np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - KEY_BITS))
             yield batch.filter(pa.array(held)).select(["id", "sub"])
 
     held = keys.select("id", "sub", own.alias("own")).mapInArrow(by_chance, "id long, sub long")
@@ -407,7 +410,7 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 
     # A row in the bitmap of copies that is neither a stray nor has runs is a copy: its row stays where it is.
     doubtful = runs.select("id", "sub").unionByName(strays)
-    doubt = context.broadcast(bitmap(doubtful.select(_bits(own).alias("pos")), FILTER_BITS))
+    doubt = context.broadcast(bitmap(doubtful.select(_bits(own).alias("pos")), KEY_BITS))
     ship(docs.sparkSession)
     docs = docs.drop("n_cut")
     field = docs.columns.index(text_col)
@@ -416,13 +419,13 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 
     def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
-            place = np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            place = np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - KEY_BITS)
             sure = ~marked(doubt.value, place)
             yield _without(batch.filter(pa.array(sure)), field, marked(copied.value, place[sure]), None, min_words)
 
     def doubted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
-            place = np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            place = np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - KEY_BITS)
             yield batch.filter(pa.array(marked(doubt.value, place))).select(["row", "id", "sub"])
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
