@@ -1,16 +1,19 @@
 """Passages of MIN_WORDS words and more that occur a second time, cut from all but their first place.
 
 Found with a suffix array over the sequences of line ids. A line begins at a word whose hash, with that of the next word,
-is a multiple of LINE_WORDS: so lines are short, and a passage has the same lines wherever it was pasted, inside longer
-lines as well. Line ids are 64-bit hashes of the lines' words.
+is below those of the REACH words on either side: lines are longer than REACH words, and a passage has the same lines
+wherever it was pasted, inside longer lines as well. Line ids are 64-bit hashes of the lines' words.
 
 The array is built by prefix doubling: the rank of 2^k lines and that of the next 2^k are sorted as pairs, which ranks
 2^(k+1) lines. Pairs that occur once end no repeated run and are dropped. The suffixes that share their first u lines are
-an LCP interval; its name is the two ranks of 2^k lines, 2^k <= u < 2^(k+1), that begin and end these u lines. From each
-word, the interval that matters is that of the whole lines among its next MIN_WORDS words; it is grown word by word, by a
-hash of the words before its first and after its last line, to MIN_WORDS words. The first place of a grown interval is
-kept, the later ones are cut; longer passages are unions of these. Lines that occur once, as a bitmap of fixed size tells,
-take no part, nor do windows that hold one.
+an LCP interval; its name is the two ranks of 2^k lines, 2^k <= u < 2^(k+1), that begin and end these u lines.
+
+Windows of MIN_WORDS words that see the same lines and lie in the same longer run, their cover, stand or fall together.
+A later place of a repeated cover is cut as a whole. Where an interval has as many places as its cover, the run goes on at
+every place and nothing more is to be told there. What is left are the ends of maximal repeated runs: there, each window is
+grown word by word from the interval's lines, by a hash of the words before its first and after its last line, and all but
+the first place of a grown interval are cut. Longer passages are unions of these. Lines that occur once, as a bitmap of
+fixed size tells, take no part, nor do windows that see one.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from gristmill.llm.common import KEY_BITS, NOT_SPACE, bitmap, few_rows, marked,
 
 #: A passage of fewer words is left alone.
 MIN_WORDS = 50
-#: Words in a line, on average.
-LINE_WORDS = 8
+#: A line begins at a word that no other within so many words on either side may begin one; 2 * REACH + 1 words on average.
+REACH = 5
 FILTER_BITS = 27
 #: Texts are searched in slices of about so many bytes: a task needs some thirty times as much for one.
 SEARCHED_BYTES = 1 << 19
@@ -63,8 +66,33 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found, np.flatnonzero(ends) + 1, np.searchsorted(found, offsets)
 
 
+def _openings(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Words at which a line begins: REACH words before and REACH + 1 after them, all of their text, decide on it."""
+    n = len(hashes)
+    opens = np.zeros(n, bool)
+    if n < 2 * REACH + 2:
+        return opens
+    value = mix(hashes[:-1] + hashes[1:] * _FACTOR)
+    inner = value[REACH : n - 1 - REACH]
+    lowest = np.ones(len(inner), bool)
+    for j in range(1, REACH + 1):
+        lowest &= inner < value[REACH - j : n - 1 - REACH - j]
+        lowest &= inner < value[REACH + j : n - 1 - REACH + j]
+    opens[REACH : n - 1 - REACH] = lowest
+    edge = np.zeros(n + 1, np.int32)  # words too near to an end of their text
+    first, last = at[:-1], at[1:]
+    np.add.at(edge, first, 1)
+    np.add.at(edge, np.minimum(first + REACH, last), -1)
+    np.add.at(edge, np.maximum(last - REACH - 1, first), 1)
+    np.add.at(edge, last, -1)
+    return opens & (np.cumsum(edge[:-1]) == 0)
+
+
 class Lines:
-    """The lines of a slice of texts, and the windows of min_words words with the whole lines in each."""
+    """The lines of a slice of texts, and the windows of min_words words with the whole lines that each sees.
+
+    A window sees a line if the words that decide on its begin and end are in the window.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, min_words: int) -> None:
         starts, ends, self.at = words(data, offsets)
@@ -73,31 +101,25 @@ class Lines:
         factors = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _FACTOR)]), dtype=np.uint64)
         self._back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _UNFACTOR)]), dtype=np.uint64)
         self._sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * factors[:n], dtype=np.uint64)])
-        opens = np.zeros(n, bool)
-        opens[:-1] = mix(hashes[:-1] + hashes[1:] * _FACTOR) % np.uint64(LINE_WORDS) == 0
-        opens[self.at[1:][self.at[1:] > 0] - 1] = False  # the next word is another text's
+        opens = _openings(hashes, self.at)
         self.begin = np.flatnonzero(opens)
         self.first = np.searchsorted(self.begin, self.at)  # the first line of each text
-        # Whole lines that fit into a window; the line from the last begin of a text on never does.
-        a, b = self.begin[:-1], self.begin[1:]
-        last = np.zeros(len(self.begin), bool)
+        # The words from the last begin of a text on are no line.
+        self.whole = np.ones(max(len(self.begin) - 1, 0), bool)
         ends_of = self.first[1:][np.diff(self.first) > 0] - 1
-        last[ends_of] = True
-        self.whole = ~last[:-1] & (b - a <= min_words - 2)
-        self.ids = self._run(a, b)
-        # Windows: the first word, and the begins in it from low to high. A begin shows if the next word is inside, too.
+        self.whole[ends_of[ends_of < len(self.whole)]] = False
+        self.ids = self._run(self.begin[:-1], self.begin[1:])
+        # Windows: the first word, and the lines seen from low to high.
         size = np.diff(self.at)
         fits = np.zeros(n + 1, np.int32)
         text = np.flatnonzero(size >= min_words)
         np.add.at(fits, self.at[text], 1)
         np.add.at(fits, self.at[text + 1] - min_words + 1, -1)
         self.word = np.flatnonzero(np.cumsum(fits[:-1]) > 0)
-        count = np.concatenate([[0], np.cumsum(opens)])
-        self.low = count[self.word]
-        high = count[self.word + min_words - 1]
-        self.lines = np.maximum(high - self.low - 1, 0)
-        self._bare = high == self.low
-        self._high = high
+        self._count = np.concatenate([[0], np.cumsum(opens)])
+        self.low = self._count[np.minimum(self.word + REACH, n)]
+        seen = self._count[np.maximum(self.word + min_words - 1 - REACH, 0)] - self.low
+        self.lines = np.maximum(seen - 1, 0)
         self._min_words = min_words
 
     def _run(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,29 +127,54 @@ class Lines:
         return mix((self._sums[b] - self._sums[a]) * self._back[a] + (b - a).astype(np.uint64))
 
     def edges(self, window: np.ndarray) -> np.ndarray:
-        """Hashes of the words of some windows before their first and after their last whole line."""
+        """Hashes of the words of some windows before their first and after their last line; of all if they see none."""
         a = self.word[window]
         end = a + self._min_words
         if not len(self.begin):
             return self._run(a, end)
-        bare = self._bare[window]
-        left = np.where(bare, end, self.begin[np.minimum(self.low[window], len(self.begin) - 1)])
-        right = np.where(bare, end, self.begin[np.maximum(self._high[window] - 1, 0)])
+        low, lines = self.low[window], self.lines[window]
+        left = np.where(lines == 0, end, self.begin[np.minimum(low, len(self.begin) - 1)])
+        right = np.where(lines == 0, end, self.begin[np.minimum(low + lines, len(self.begin) - 1)])
         return mix(self._run(a, left) * _FACTOR + self._run(right, end))
 
     def places(self) -> np.ndarray:
-        """Places in the bitmap: those of the whole lines, and of windows without one."""
+        """Places in the bitmap: those of the whole lines, and of windows that see none."""
         return _place(np.concatenate([self.ids[self.whole], self.edges(np.flatnonzero(self.lines == 0))]))
 
-    def repeated(self, marks: np.ndarray) -> np.ndarray:
-        """Windows that hold no line that occurs only once."""
+    def groups(self, marks: np.ndarray) -> dict[str, np.ndarray]:
+        """Windows that see no line that occurs only once, those that follow each other with equal lines and cover as one.
+
+        window: the first of each group, n: how many; low, lines: what they see; cover, covered: the lines around them,
+        none if the text ends before or if one occurs only once; head: the first group that sees these lines.
+        """
         single = np.concatenate([[0], np.cumsum(~marked(marks, _place(self.ids)))])
         low, some = self.low, self.lines > 0
         keep = np.zeros(len(self.word), bool)
         keep[some] = single[low[some]] == single[(low + self.lines)[some]]
         bare = np.flatnonzero(~some)
         keep[bare] = marked(marks, _place(self.edges(bare)))
-        return np.flatnonzero(keep)
+        kept = np.flatnonzero(keep)
+        a = self.word[kept]
+        start, stop = self._count[a + 1] - 1, self._count[a + self._min_words]  # the begins around the window
+        low, lines = low[kept], self.lines[kept]
+        new = np.ones(len(kept), bool)
+        same = (np.diff(kept) == 1) & (np.diff(a) == 1) & (lines[1:] > 0)
+        for x in (low, lines, start, stop):
+            same &= np.diff(x) == 0
+        new[1:] = ~same
+        top = np.flatnonzero(new)
+        low, lines, start, stop = low[top], lines[top], start[top], stop[top]
+        text = np.searchsorted(self.at, a[top], "right") - 1
+        inside = (start >= self.first[text]) & (stop < self.first[text + 1])
+        inside[inside] = single[start[inside]] == single[stop[inside]]
+        inside &= lines > 0
+        head = np.ones(len(top), bool)
+        head[1:] = (np.diff(low) != 0) | (np.diff(lines) != 0) | (lines[1:] == 0)
+        count = np.diff(np.append(top, len(kept)))
+        return {
+            "all": kept, "window": kept[top], "n": count, "text": text, "low": low, "lines": lines,
+            "cover": np.where(inside, start, 0), "covered": np.where(inside, stop - start, 0), "head": head,
+        }
 
 
 def _place(ids: np.ndarray) -> np.ndarray:
@@ -192,34 +239,43 @@ def _repeated_places(searched: Texts, min_words: int) -> np.ndarray:
 
 
 def candidates(searched: Texts, marks: Broadcast, min_words: int) -> DataFrame:
-    """Windows that may occur twice (level -1: pos is a word, line its first whole line, n its lines, r its edges' hash)
-    and the lines in them (level 0: pos is the line, r its id, n the last level that needs it)."""
+    """Groups of windows that may occur twice and the lines in and around them.
+
+    Groups have level -1: pos is their first word, line and n the lines they see, cover and covered the lines around,
+    r is 1 in heads, edges has the hash of each window's edges. Lines have level 0: pos is the line, r its id, n the last
+    level that needs it.
+    """
+    names = ["id", "sub", "level", "pos", "line", "n", "cover", "covered", "r", "edges"]
 
     def run(slices_: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         for ids, subs, data, offsets in slices_:
             found = Lines(data, offsets, min_words)
-            window = found.repeated(marks.value)
+            g = found.groups(marks.value)
+            window, of = g["window"], g["text"]
             if not len(window):
                 continue
-            low, lines = found.low[window], found.lines[window]
+            first = found.first[of]
+            low, lines = np.concatenate([g["low"], g["cover"]]), np.concatenate([g["lines"], g["covered"]])
             some = lines > 0
             top = _top_levels(low[some], lines[some], len(found.begin))
             line = np.flatnonzero(top >= 0)
-            of_window = np.searchsorted(found.at, found.word[window], "right") - 1
             of_line = np.searchsorted(found.first, line, "right") - 1
-            of = np.concatenate([of_window, of_line])
+            none = np.zeros(len(line), np.int32)
             arrays = [
-                ids[of],
-                subs[of],
                 np.repeat(np.array([-1, 0], np.int32), [len(window), len(line)]),
-                np.concatenate([found.word[window] - found.at[of_window], line - found.first[of_line]]).astype(np.int32),
-                np.concatenate([low - found.first[of_window], np.zeros(len(line), int)]).astype(np.int32),
-                np.concatenate([lines, top[line]]).astype(np.int32),
-                np.concatenate([found.edges(window), found.ids[line]]).view(np.int64),
+                np.concatenate([found.word[window] - found.at[of], line - found.first[of_line]]).astype(np.int32),
+                np.concatenate([g["low"] - first, none]).astype(np.int32),
+                np.concatenate([g["lines"], top[line]]).astype(np.int32),
+                np.concatenate([np.where(g["covered"] > 0, g["cover"] - first, 0), none]).astype(np.int32),
+                np.concatenate([g["covered"], none]).astype(np.int32),
+                np.concatenate([g["head"].astype(np.int64), found.ids[line].view(np.int64)]),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["id", "sub", "level", "pos", "line", "n", "r"])
+            text = np.concatenate([of, of_line])
+            cuts = np.concatenate([[0], np.cumsum(g["n"]), np.full(len(line), len(g["all"]))]).astype(np.int32)
+            edges = pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.edges(g["all"]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(subs[text]), *[pa.array(a) for a in arrays], edges], names)
 
-    return searched.each(run, "id long, sub long, level int, pos int, line int, n int, r long")
+    return searched.each(run, "id long, sub long, level int, pos int, line int, n int, cover int, covered int, r long, edges array<long>")
 
 
 def by_text(rows: DataFrame, *order: str) -> DataFrame:
@@ -227,22 +283,36 @@ def by_text(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition("id", "sub").sortWithinPartitions("id", "sub", *order)
 
 
-def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
-    """Sorted rows cut only between texts: the number of each row's text in the cut, and the columns."""
-    rest: dict[str, np.ndarray] = {}
+def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray], pa.Table]]:
+    """Sorted rows cut only between texts: the number of each row's text in the cut, the columns of numbers, the rows."""
+
+    def cut_(rows: pa.Table, new: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], pa.Table]:
+        columns = {n: rows.column(n).to_numpy() for n in rows.column_names if not pa.types.is_nested(rows.schema.field(n).type)}
+        return np.cumsum(np.concatenate([[0], new])).astype(np.int64), columns, rows
+
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        columns = {n: np.asarray(batch.column(n)) for n in batch.schema.names}
-        if rest:
-            columns = {n: np.concatenate([rest[n], c]) for n, c in columns.items()}
-        new = (np.diff(columns["id"]) != 0) | (np.diff(columns["sub"]) != 0)
-        cuts = np.flatnonzero(new) + 1
-        last = int(cuts[-1]) if len(cuts) else 0
-        if last:
-            yield np.cumsum(np.concatenate([[0], new[: last - 1]])).astype(np.int64), {n: c[:last] for n, c in columns.items()}
-        rest = {n: c[last:] for n, c in columns.items()}
-    if rest and len(rest["id"]):
-        new = (np.diff(rest["id"]) != 0) | (np.diff(rest["sub"]) != 0)
-        yield np.cumsum(np.concatenate([[0], new])).astype(np.int64), rest
+        if not batch.num_rows:
+            continue
+        ids, subs = (np.asarray(batch.column(n)) for n in ("id", "sub"))
+        cuts = np.flatnonzero((np.diff(ids) != 0) | (np.diff(subs) != 0)) + 1
+        if held and last != (ids[0], subs[0]):
+            cuts = np.concatenate([[0], cuts])
+        last = (ids[-1], subs[-1])
+        if len(cuts):
+            held.append(batch.slice(0, int(cuts[-1])))
+            rows = pa.Table.from_batches(held)
+            if rows.num_rows:
+                i, s_ = rows.column("id").to_numpy(), rows.column("sub").to_numpy()
+                yield cut_(rows, (np.diff(i) != 0) | (np.diff(s_) != 0))
+            held = []
+            batch = batch.slice(int(cuts[-1]))
+        held.append(batch)
+    if held:
+        rows = pa.Table.from_batches(held)
+        i, s_ = rows.column("id").to_numpy(), rows.column("sub").to_numpy()
+        yield cut_(rows, (np.diff(i) != 0) | (np.diff(s_) != 0))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -258,7 +328,7 @@ def doubled(rows: DataFrame, level: int) -> DataFrame:
     step = 1 << level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for owner, f in whole_texts(batches):
+        for owner, f, _ in whole_texts(batches):
             keys = owner << 32 | f["pos"]
             other = _find(keys, keys + step)
             ok = np.flatnonzero((other >= 0) & (f["top"] > level))
@@ -273,64 +343,96 @@ def doubled(rows: DataFrame, level: int) -> DataFrame:
 
 
 def intervals(rows: DataFrame) -> DataFrame:
-    """For windows (level -1) and ranks of all levels: h (names an LCP interval and its edges), id, sub, pos."""
+    """For groups of windows (level -1) and ranks of all levels: the groups with a, the name of the LCP interval of the
+    lines they see, and c, that of their cover and their place in it, 0 if there is no such interval."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for owner, f in whole_texts(batches):
+        for owner, f, rows_ in whole_texts(batches):
             window = np.flatnonzero(f["level"] < 0)
-            u = f["n"][window]
-            line = owner[window] << 32 | f["line"][window]
-            level = np.floor(np.log2(np.maximum(u, 1) + 0.5)).astype(int)
-            a, b, found = np.zeros(len(window), np.int64), np.zeros(len(window), np.int64), u == 0
-            for k in np.unique(level[u > 0]).tolist():
-                ranks = np.flatnonzero(f["level"] == k)  # in the order of texts and places
-                keys, r = owner[ranks] << 32 | f["pos"][ranks], f["r"][ranks]
-                pick = np.flatnonzero((level == k) & (u > 0))
-                x, y = _find(keys, line[pick]), _find(keys, line[pick] + u[pick] - (1 << k))
-                both = (x >= 0) & (y >= 0)
-                a[pick[both]], b[pick[both]] = r[x[both]], r[y[both]]
-                found[pick[both]] = True
-            row = window[found]
-            h = f["r"][row].view(np.uint64)
-            for part in (a[found], b[found], u[found].astype(np.int64)):
-                h = mix(h + part.view(np.uint64) * _FACTOR)
-            arrays = [h.view(np.int64), f["id"][row], f["sub"][row], f["pos"][row]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["h", "id", "sub", "pos"])
-
-    return by_text(rows, "level", "pos").mapInArrow(run, "h long, id long, sub long, pos int")
+            ranks = {}
+            for k in np.unique(f["level"][f["level"] >= 0]).tolist():
+                at = np.flatnonzero(f["level"] == k)  # in the order of texts and places
+                ranks[k] = (owner[at] << 32 | f["pos"][at], f["r"][at])
+
+            def name(low: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                line = owner[window] << 32 | low
+                level = np.floor(np.log2(np.maximum(u, 1) + 0.5)).astype(int)
+                h, found = np.zeros(len(window), np.uint64), np.zeros(len(window), bool)
+                for k in np.unique(level[u > 0]).tolist():
+                    if k not in ranks:
+                        continue
+                    keys, r = ranks[k]
+                    pick = np.flatnonzero((level == k) & (u > 0))
+                    x, y = _find(keys, line[pick]), _find(keys, line[pick] + u[pick] - (1 << k))
+                    both = (x >= 0) & (y >= 0)
+                    mine = pick[both]
+                    h[mine] = mix(mix(r[x[both]].view(np.uint64) * _FACTOR + u[mine].astype(np.uint64)) + r[y[both]].view(np.uint64))
+                    found[mine] = True
+                return h, found
+
+            u, m = f["n"][window], f["covered"][window]
+            a, found = name(f["line"][window], u)
+            c, around = name(f["cover"][window], m)
+            before = (f["line"][window] - f["cover"][window]).astype(np.uint64)
+            c = np.where(around, mix(c + mix(before * _FACTOR + u.astype(np.uint64))), np.uint64(0))
+            taken = rows_.take(pa.array(window))
+            bare = u == 0  # one window each, which its edges name
+            if bare.any():
+                only = taken.column("edges").combine_chunks().filter(pa.array(bare)).flatten()
+                a[bare] = mix(np.asarray(only).view(np.uint64) + _FACTOR)
+            ok = pa.array(found | bare)
+            taken = taken.select(["id", "sub", "pos", "cover", "r", "edges"]).filter(ok)
+            for new, values in (("a", a), ("c", c)):
+                taken = taken.append_column(new, pa.array(values.view(np.int64)).filter(ok))
+            yield from taken.to_batches()
+
+    return by_text(rows, "level", "pos").mapInArrow(run, "id long, sub long, pos int, cover int, r long, edges array<long>, a long, c long")
 
 
 def later_copies(searched: Texts, repeats: bool, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, sub, runs (array of first word and number of words) to cut. repeats: rows repeat an id and a text."""
+    """id, sub, runs (array of first words and numbers of windows) to cut. repeats: rows repeat an id and a text."""
     marks = searched.context.broadcast(_repeated_places(searched, min_words))  # of fixed size
     rows = written(candidates(searched, marks, min_words))
     if repeats:
-        rows = written(rows.distinct())
+        rows = written(rows.dropDuplicates(["id", "sub", "level", "pos"]))
     level = rows.where("level = 0").select("id", "sub", "pos", "r", F.col("n").alias("top"))
     top = level.agg(F.max("top")).first()[0] or 0
     every = rows
     for k in range(top):
         level = written(doubled(level, k))
-        every = every.unionByName(level.select("id", "sub", F.lit(k + 1).alias("level"), "pos", F.lit(0).alias("line"), F.lit(0).alias("n"), "r"))
-    places = written(intervals(every))
-    of = F.struct("id", "sub", "pos")
-    first = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("first")).where("n > 1").drop("n")
+        every = every.unionByName(level.select("id", "sub", F.lit(k + 1).alias("level"), "pos", "r"), allowMissingColumns=True)
+    every = every.fillna(0, ["line", "n", "cover", "covered"])
+    groups = written(intervals(every))
+    of = F.struct("id", "sub", "cover")
+    # An interval has as many places as heads; a cover is the same lines around them.
+    covers = written(groups.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("heads"), F.min(of).alias("first")))
+    total = covers.groupBy("a").agg(F.sum("heads").alias("places")).where("places > 1")
     # Written first, so that the join shuffles both sides itself and Spark can split an interval of many places.
-    later = places.join(written(first), "h").where(of != F.col("first"))
-    return later.groupBy("id", "sub").agg(F.array_sort(F.collect_list("pos")).alias("runs"))
-
-
-def cut(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, pos: np.ndarray, whole: np.ndarray, min_words: int) -> tuple[pa.Array, np.ndarray]:
+    fates = written(covers.join(total, "a").select("a", "c", "n", "places", "first"))
+    later = (F.col("c") != 0) & (of != F.col("first"))
+    settled = (F.col("c") != 0) & (F.col("n") == F.col("places"))
+    told = groups.join(fates, ["a", "c"]).withColumn("later", later).where(F.col("later") | ~settled)
+    told = written(told.select("id", "sub", "pos", "later", F.size("edges").alias("n"), "a", F.when(~F.col("later"), F.col("edges")).alias("edges")))
+    ends = told.where("not later").select("id", "sub", "pos", "a", F.posexplode("edges").alias("i", "edge"))
+    ends = written(ends.select(F.xxhash64("a", "edge").alias("h"), "id", "sub", (F.col("pos") + F.col("i")).alias("pos")))
+    place = F.struct("id", "sub", "pos")
+    first = written(ends.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
+    single = ends.join(first, "h").where(place != F.col("first")).select("id", "sub", "pos", F.lit(1).alias("n"))
+    gone = told.where("later").select("id", "sub", "pos", "n").unionByName(single)
+    return gone.groupBy("id", "sub").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("runs"))
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, pos: np.ndarray, n: np.ndarray, whole: np.ndarray, min_words: int) -> tuple[pa.Array, np.ndarray]:
     """The texts of a slice without windows of min_words words, and how many words of each go.
 
-    Windows begin at word pos of the texts numbered in text; texts marked in whole lose all their words if they have min_words.
+    n windows begin at word pos and the next words of the texts numbered in text; texts marked in whole lose all their words if they have min_words.
     """
     begin, _, at = words(data, offsets)
     size = np.diff(at)
     gone = np.flatnonzero(whole & (size >= min_words))
     change = np.zeros(len(begin) + 1, np.int64)
     np.add.at(change, at[text] + pos, 1)
-    np.add.at(change, at[text] + pos + min_words, -1)
+    np.add.at(change, at[text] + pos + n - 1 + min_words, -1)
     np.add.at(change, at[gone], 1)
     np.add.at(change, at[gone + 1], -1)
     drop = np.cumsum(change[:-1]) > 0
@@ -357,14 +459,14 @@ def _without(batch: pa.RecordBatch, field: int, whole: np.ndarray, runs: pa.Arra
     touched = np.flatnonzero(whole | (sizes > 0))
     n_cut = np.zeros(len(text), np.int32)
     if len(touched):
-        pos = np.zeros(0, int) if runs is None else np.asarray(runs.flatten())
+        pos, n = (np.zeros(0, int) if runs is None else np.asarray(runs.flatten().field(k)) for k in (0, 1))
         edge = np.concatenate([[0], np.cumsum(sizes)])
         new = []
         for top, end, data, offsets in slices(text.take(pa.array(touched)), SEARCHED_BYTES):
             mine = touched[top:end]
             of = np.repeat(np.arange(len(mine)), sizes[mine])
-            some = np.concatenate([pos[edge[i] : edge[i + 1]] for i in mine.tolist()]) if len(of) else np.zeros(0, int)
-            left, n_cut[mine] = cut(data, offsets, of, some, whole[mine], min_words)
+            some = np.concatenate([np.arange(edge[i], edge[i + 1]) for i in mine.tolist()]) if len(of) else np.zeros(0, int)
+            left, n_cut[mine] = cut(data, offsets, of, pos[some], n[some], whole[mine], min_words)
             new.append(left)
         mask = np.zeros(len(text), bool)
         mask[touched] = True
@@ -437,6 +539,6 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     one_pass = docs.select(whole_rows, F.xxhash64(id_, sub).alias("own")).mapInArrow(clear, result)
     some = docs.select(whole_rows, id_.alias("id"), sub.alias("sub"), F.xxhash64(id_, sub).alias("own"))
     some = some.mapInArrow(doubted, StructType([row, *keys.select("id", "sub").schema.fields]))
-    changed = runs.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "sub", F.lit(None).cast("array<int>").alias("runs"), F.lit(True).alias("copy")))
+    changed = runs.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "sub", F.lit(None).cast("array<struct<pos:int,n:int>>").alias("runs"), F.lit(True).alias("copy")))
     joined = some.join(changed, ["id", "sub"], "left").select("row", "runs", "copy")
     return one_pass.unionByName(joined.mapInArrow(done, result)).select("row.*", "n_cut")
