@@ -142,10 +142,10 @@ class Lines:
         return _place(np.concatenate([self.ids[self.whole], self.edges(np.flatnonzero(self.lines == 0))]))
 
     def groups(self, marks: np.ndarray) -> dict[str, np.ndarray]:
-        """Windows that see no line that occurs only once, those that follow each other with equal lines and cover as one.
+        """Windows that see no line that occurs only once, those of equal lines as one group.
 
-        window: the first of each group, n: how many; low, lines: what they see; cover, covered: the lines around them,
-        none if the text ends before or if one occurs only once; head: the first group that sees these lines.
+        all: the windows; window: the first of each group, n: how many; low, lines: what they see; cover, covered: the
+        lines around all of them, none if the text ends before or if one occurs only once.
         """
         single = np.concatenate([[0], np.cumsum(~marked(marks, _place(self.ids)))])
         low, some = self.low, self.lines > 0
@@ -154,27 +154,18 @@ class Lines:
         bare = np.flatnonzero(~some)
         keep[bare] = marked(marks, _place(self.edges(bare)))
         kept = np.flatnonzero(keep)
-        a = self.word[kept]
-        start, stop = self._count[a + 1] - 1, self._count[a + self._min_words]  # the begins around the window
         low, lines = low[kept], self.lines[kept]
         new = np.ones(len(kept), bool)
-        same = (np.diff(kept) == 1) & (np.diff(a) == 1) & (lines[1:] > 0)
-        for x in (low, lines, start, stop):
-            same &= np.diff(x) == 0
-        new[1:] = ~same
+        new[1:] = (np.diff(low) != 0) | (np.diff(lines) != 0) | (lines[1:] == 0)
         top = np.flatnonzero(new)
-        low, lines, start, stop = low[top], lines[top], start[top], stop[top]
-        text = np.searchsorted(self.at, a[top], "right") - 1
-        inside = (start >= self.first[text]) & (stop < self.first[text + 1])
+        n = np.diff(np.append(top, len(kept)))
+        low, lines, word = low[top], lines[top], self.word[kept[top]]
+        start, stop = self._count[word + 1] - 1, self._count[word + n - 1 + self._min_words]  # the begins around the windows
+        text = np.searchsorted(self.at, word, "right") - 1
+        inside = (start >= self.first[text]) & (stop < self.first[text + 1]) & (lines > 0)
         inside[inside] = single[start[inside]] == single[stop[inside]]
-        inside &= lines > 0
-        head = np.ones(len(top), bool)
-        head[1:] = (np.diff(low) != 0) | (np.diff(lines) != 0) | (lines[1:] == 0)
-        count = np.diff(np.append(top, len(kept)))
-        return {
-            "all": kept, "window": kept[top], "n": count, "text": text, "low": low, "lines": lines,
-            "cover": np.where(inside, start, 0), "covered": np.where(inside, stop - start, 0), "head": head,
-        }
+        cover, covered = np.where(inside, start, 0), np.where(inside, stop - start, 0)
+        return {"all": kept, "window": kept[top], "n": n, "text": text, "low": low, "lines": lines, "cover": cover, "covered": covered}
 
 
 def _place(ids: np.ndarray) -> np.ndarray:
@@ -242,7 +233,7 @@ def candidates(searched: Texts, marks: Broadcast, min_words: int) -> DataFrame:
     """Groups of windows that may occur twice and the lines in and around them.
 
     Groups have level -1: pos is their first word, line and n the lines they see, cover and covered the lines around,
-    r is 1 in heads, edges has the hash of each window's edges. Lines have level 0: pos is the line, r its id, n the last
+    edges has the hash of each window's edges. Lines have level 0: pos is the line, r its id, n the last
     level that needs it.
     """
     names = ["id", "sub", "level", "pos", "line", "n", "cover", "covered", "r", "edges"]
@@ -268,7 +259,7 @@ def candidates(searched: Texts, marks: Broadcast, min_words: int) -> DataFrame:
                 np.concatenate([g["lines"], top[line]]).astype(np.int32),
                 np.concatenate([np.where(g["covered"] > 0, g["cover"] - first, 0), none]).astype(np.int32),
                 np.concatenate([g["covered"], none]).astype(np.int32),
-                np.concatenate([g["head"].astype(np.int64), found.ids[line].view(np.int64)]),
+                np.concatenate([np.zeros(len(window), np.int64), found.ids[line].view(np.int64)]),
             ]
             text = np.concatenate([of, of_line])
             cuts = np.concatenate([[0], np.cumsum(g["n"]), np.full(len(line), len(g["all"]))]).astype(np.int32)
@@ -381,12 +372,12 @@ def intervals(rows: DataFrame) -> DataFrame:
                 only = taken.column("edges").combine_chunks().filter(pa.array(bare)).flatten()
                 a[bare] = mix(np.asarray(only).view(np.uint64) + _FACTOR)
             ok = pa.array(found | bare)
-            taken = taken.select(["id", "sub", "pos", "cover", "r", "edges"]).filter(ok)
+            taken = taken.select(["id", "sub", "pos", "cover", "edges"]).filter(ok)
             for new, values in (("a", a), ("c", c)):
                 taken = taken.append_column(new, pa.array(values.view(np.int64)).filter(ok))
             yield from taken.to_batches()
 
-    return by_text(rows, "level", "pos").mapInArrow(run, "id long, sub long, pos int, cover int, r long, edges array<long>, a long, c long")
+    return by_text(rows, "level", "pos").mapInArrow(run, "id long, sub long, pos int, cover int, edges array<long>, a long, c long")
 
 
 def later_copies(searched: Texts, repeats: bool, min_words: int = MIN_WORDS) -> DataFrame:
@@ -404,9 +395,9 @@ def later_copies(searched: Texts, repeats: bool, min_words: int = MIN_WORDS) ->
     every = every.fillna(0, ["line", "n", "cover", "covered"])
     groups = written(intervals(every))
     of = F.struct("id", "sub", "cover")
-    # An interval has as many places as heads; a cover is the same lines around them.
-    covers = written(groups.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("heads"), F.min(of).alias("first")))
-    total = covers.groupBy("a").agg(F.sum("heads").alias("places")).where("places > 1")
+    # Each place of an interval is one group.
+    covers = written(groups.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("first")))
+    total = covers.groupBy("a").agg(F.sum("n").alias("places")).where("places > 1")
     # Written first, so that the join shuffles both sides itself and Spark can split an interval of many places.
     fates = written(covers.join(total, "a").select("a", "c", "n", "places", "first"))
     later = (F.col("c") != 0) & (of != F.col("first"))
