@@ -50,7 +50,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def _power(kind: str, n: int) -> np.ndarray:
     have = _powers[kind]
     if len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = 1 << max(n - 1, 1).bit_length()  # slices of one size need one array of about twice it
         steps = np.full(size, _BASE if kind == "up" else _INVERSE, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
@@ -176,14 +176,19 @@ def stable(df: DataFrame) -> DataFrame:
     Several jobs may read them, and they outlive lost executors. Spark deletes the files with their
     last reader where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    spark = df.sparkSession
-    shared_folder(spark)
+    shared_folder(df.sparkSession)
     kept = df.checkpoint()
-    # Jobs in many rounds leave shuffle files and checkpoints that nobody reads any more. Spark removes
-    # them once the driver has collected what referred to them.
+    tidy(df.sparkSession)
+    return kept
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints that nobody reads any more, which jobs in many rounds leave.
+
+    It does so once the driver has collected what referred to them.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return kept
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -193,6 +198,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that one operator reads again and again, deleted together once nothing does."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self._folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self._folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def delete(self) -> None:
+        """Only when every table made from these has been written, too."""
+        jvm, context = self._spark.sparkContext._jvm, self._spark.sparkContext._jsc
+        path = jvm.org.apache.hadoop.fs.Path(self._folder)
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+        tidy(self._spark)
+
+
 def repeated(df: DataFrame, n: str) -> DataFrame:
     """Each row as often as its column n says, without it; in runs, so that no long array is held."""
     runs = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / 65_536))).alias("_run"))

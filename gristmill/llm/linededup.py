@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from gristmill.llm.common import KEY_BITS, NOT_SPACE, bitmap, few_rows, marked, mix, ship, slices, span_hashes, text_key, texts, word_spans, written
+from gristmill.llm.common import KEY_BITS, NOT_SPACE, Scratch, bitmap, few_rows, marked, mix, ship, slices, span_hashes, text_key, texts, tidy, word_spans, written
 
 #: A passage of fewer words is left alone.
 MIN_WORDS = 50
@@ -35,7 +35,7 @@ MIN_WORDS = 50
 REACH = 5
 FILTER_BITS = 27
 #: Texts are searched in slices of about so many bytes: a task needs some thirty times as much for one.
-SEARCHED_BYTES = 1 << 19
+SEARCHED_BYTES = 1 << 18
 _LAST = (1 << 63) - 1
 
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
@@ -189,7 +189,7 @@ def _top_levels(low: np.ndarray, lines: np.ndarray, n: int) -> np.ndarray:
 
 def _searched(batches: Iterator[pa.RecordBatch], copied: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of the texts that the bitmap does not hold: ids, subs, bytes and offsets."""
-    for batch in few_rows(batches, 2048):
+    for batch in few_rows(batches, 1024):
         if copied is not None:
             own = np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - KEY_BITS)
             batch = batch.filter(pa.array(~marked(copied, own)))
@@ -202,7 +202,7 @@ class Texts:
     """The texts to search: those of docs that a bitmap of copies does not hold, and the strays, which it holds by chance."""
 
     def __init__(self, docs: DataFrame, copied: Broadcast, strays: DataFrame) -> None:
-        self.context = docs.sparkSession.sparkContext
+        self.spark, self.context = docs.sparkSession, docs.sparkSession.sparkContext
         self._parts: list[tuple[DataFrame, Broadcast | None]] = [(docs, copied)]
         if not strays.isEmpty():
             self._parts.append((docs.join(strays, ["id", "sub"], "left_semi"), None))
@@ -314,7 +314,7 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def doubled(rows: DataFrame, level: int) -> DataFrame:
+def doubled(rows: DataFrame, level: int, write: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """From ranks of 2^level lines (id, sub, pos, r, top) those of twice as many, of pairs that occur more than once."""
     step = 1 << level
 
@@ -326,10 +326,10 @@ def doubled(rows: DataFrame, level: int) -> DataFrame:
             arrays = [f["id"][ok], f["sub"][ok], f["pos"][ok], f["r"][ok], f["r"][other[ok]], f["top"][ok]]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["id", "sub", "pos", "r", "r2", "top"])
 
-    pairs = written(by_text(rows.where(F.col("top") >= level), "pos").mapInArrow(run, "id long, sub long, pos int, r long, r2 long, top int"))
+    pairs = write(by_text(rows.where(F.col("top") >= level), "pos").mapInArrow(run, "id long, sub long, pos int, r long, r2 long, top int"))
     several = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r", "r2")
     # Numbers that follow the order of the pairs: the partitions are ranges, numbered in order.
-    ranked = written(several.repartitionByRange("r", "r2").sortWithinPartitions("r", "r2").withColumn("rank", F.monotonically_increasing_id()))
+    ranked = write(several.repartitionByRange("r", "r2").sortWithinPartitions("r", "r2").withColumn("rank", F.monotonically_increasing_id()))
     return pairs.join(ranked, ["r", "r2"]).select("id", "sub", "pos", F.col("rank").alias("r"), "top")
 
 
@@ -383,34 +383,39 @@ def intervals(rows: DataFrame) -> DataFrame:
 def later_copies(searched: Texts, repeats: bool, min_words: int = MIN_WORDS) -> DataFrame:
     """id, sub, runs (array of first words and numbers of windows) to cut. repeats: rows repeat an id and a text."""
     marks = searched.context.broadcast(_repeated_places(searched, min_words))  # of fixed size
-    rows = written(candidates(searched, marks, min_words))
+    lines, found = Scratch(searched.spark), Scratch(searched.spark)
+    rows = lines.write(candidates(searched, marks, min_words))
     if repeats:
-        rows = written(rows.dropDuplicates(["id", "sub", "level", "pos"]))
+        rows = lines.write(rows.dropDuplicates(["id", "sub", "level", "pos"]))
     level = rows.where("level = 0").select("id", "sub", "pos", "r", F.col("n").alias("top"))
     top = level.agg(F.max("top")).first()[0] or 0
     every = rows
     for k in range(top):
-        level = written(doubled(level, k))
+        level = lines.write(doubled(level, k, lines.write))
         every = every.unionByName(level.select("id", "sub", F.lit(k + 1).alias("level"), "pos", "r"), allowMissingColumns=True)
     every = every.fillna(0, ["line", "n", "cover", "covered"])
-    groups = written(intervals(every))
+    groups = found.write(intervals(every))
+    lines.delete()
     of = F.struct("id", "sub", "cover")
     # Each place of an interval is one group.
-    covers = written(groups.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("first")))
+    covers = found.write(groups.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("first")))
     total = covers.groupBy("a").agg(F.sum("n").alias("places")).where("places > 1")
     # Written first, so that the join shuffles both sides itself and Spark can split an interval of many places.
-    fates = written(covers.join(total, "a").select("a", "c", "n", "places", "first"))
+    fates = found.write(covers.join(total, "a").select("a", "c", "n", "places", "first"))
     later = (F.col("c") != 0) & (of != F.col("first"))
     settled = (F.col("c") != 0) & (F.col("n") == F.col("places"))
     told = groups.join(fates, ["a", "c"]).withColumn("later", later).where(F.col("later") | ~settled)
-    told = written(told.select("id", "sub", "pos", "later", F.size("edges").alias("n"), "a", F.when(~F.col("later"), F.col("edges")).alias("edges")))
+    told = found.write(told.select("id", "sub", "pos", "later", F.size("edges").alias("n"), "a", F.when(~F.col("later"), F.col("edges")).alias("edges")))
+    tidy(searched.spark)
     ends = told.where("not later").select("id", "sub", "pos", "a", F.posexplode("edges").alias("i", "edge"))
-    ends = written(ends.select(F.xxhash64("a", "edge").alias("h"), "id", "sub", (F.col("pos") + F.col("i")).alias("pos")))
+    ends = ends.select(F.xxhash64("a", "edge").alias("h"), "id", "sub", (F.col("pos") + F.col("i")).alias("pos"))
     place = F.struct("id", "sub", "pos")
-    first = written(ends.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
+    first = found.write(ends.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
     single = ends.join(first, "h").where(place != F.col("first")).select("id", "sub", "pos", F.lit(1).alias("n"))
     gone = told.where("later").select("id", "sub", "pos", "n").unionByName(single)
-    return gone.groupBy("id", "sub").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("runs"))
+    runs = written(gone.groupBy("id", "sub").agg(F.collect_list(F.struct("pos", "n")).alias("runs")))
+    found.delete()
+    return runs
 
 
 def cut(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, pos: np.ndarray, n: np.ndarray, whole: np.ndarray, min_words: int) -> tuple[pa.Array, np.ndarray]:
@@ -499,7 +504,7 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     held = keys.select("id", "sub", own.alias("own")).mapInArrow(by_chance, "id long, sub long")
     strays = written(held.join(copies, ["id", "sub"], "left_anti"))
     searched = data.where("text is not null").select(ordered.alias("id"), F.xxhash64("key").alias("sub"), "text").withColumn("own", own)
-    runs = written(later_copies(Texts(searched, copied, strays), repeats, min_words))
+    runs = later_copies(Texts(searched, copied, strays), repeats, min_words)
 
     # A row in the bitmap of copies that is neither a stray nor has runs is a copy: its row stays where it is.
     doubtful = runs.select("id", "sub").unionByName(strays)
