@@ -716,6 +716,15 @@ def csv_record_numbers(spark, sf_dir):
     return read.malformed.select(part, F.col("line_number").cast("bigint").alias("record_number"), "line", F.lit(read.df.count()).cast("bigint").alias("rows"))
 
 
+def write_array(records: DataFrame, path: str) -> None:
+    """One file that holds one array of all records (column record): written in turn, each held on its own."""
+    last = records.count() - 1
+    placed = records.coalesce(1).withColumn("at", F.monotonically_increasing_id())
+    before = F.when(F.col("at") == 0, "[").otherwise(" ")
+    after = F.when(F.col("at") == last, "]").otherwise(",")
+    placed.select(F.concat(before, "record", after).alias("value")).write.text(path)
+
+
 @query
 def json_one_array(spark, sf_dir):
     """All orders as one array in one file, with braces in texts and nested records; many tasks read it."""
@@ -723,8 +732,7 @@ def json_one_array(spark, sf_dir):
     note = F.concat(F.lit('}{"'), "o_orderpriority", F.lit("]\\"))
     nested = F.struct(F.col("o_custkey").alias("no"), F.array(F.struct(F.col("o_orderstatus").alias("status"), note.alias("note"))).alias("notes"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", nested.alias("customer"))
-    array = orders.agg(F.sort_array(F.collect_list(F.to_json(F.struct(*orders.columns)))).alias("records"))
-    array.select(F.concat(F.lit("["), F.array_join("records", ",\n "), F.lit("]")).alias("value")).write.text(path)
+    write_array(orders.select(F.to_json(F.struct(*orders.columns)).alias("record")), path)
     with settings(spark, {"spark.sql.files.maxPartitionBytes": "1m"}):
         read = g.read_json(spark, path)
         first = F.get("customer.notes", F.lit(0))
@@ -759,10 +767,10 @@ def first_seen_over_files(spark, sf_dir):
 def read_json_array(spark, sf_dir):
     """Files that hold an array of records each; columns come in the order of the first record."""
     path = scratch(spark)
-    record = F.to_json(F.struct("s_suppkey", "s_name", "s_acctbal", "s_nationkey"))
-    grouped = table(spark, sf_dir, "supplier").groupBy(F.pmod("s_suppkey", F.lit(8)).alias("part"))
-    arrays = grouped.agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ",\n"), F.lit("]")).alias("value"))
-    arrays.repartition(8, "part").write.partitionBy("part").text(path)
+    record = F.to_json(F.struct("s_suppkey", "s_name", "s_acctbal", "s_nationkey")).alias("record")
+    suppliers = table(spark, sf_dir, "supplier")
+    for i in range(8):
+        write_array(suppliers.filter(F.pmod("s_suppkey", F.lit(8)) == i).select(record), f"{path}/part={i}")
     read = g.read_json(spark, [f"{path}/part={i}" for i in range(8)])
     names = F.lit(",".join(c for c in read.columns if c != ROW)).alias("names")
     return read.select("s_suppkey", "s_name", "s_acctbal", "s_nationkey", names)
