@@ -697,7 +697,7 @@ def csv_line_breaks(spark, sf_dir):
     path = scratch(spark)
     documents = table(spark, sf_dir, "documents")
     kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"', "quoteAll": True}
-    documents.coalesce(2).write.options(**kept).csv(path, header=True)
+    documents.write.options(**kept).csv(path, header=True)
     with settings(spark, {"spark.sql.files.maxPartitionBytes": "1m"}):
         read = g.read_csv(spark, path, multi_line=True).df
         return read.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "lang", "source", "n_chars")
