@@ -30,7 +30,7 @@ from gristmill.functions import text
 from gristmill.naming import ROW, IdNames
 from gristmill.operators import metrics
 from gristmill.operators.order import number_rows
-from gristmill.operators.store import shared_folder
+from gristmill.operators.store import keep, shared_folder
 from gristmill.plans.gather import choose_key, overlap_scores, possible_keys, shared_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,7 +131,7 @@ def standardize_casing(spark, sf_dir):
 @query
 def casing_first_seen(spark, sf_dir):
     """Spellings of whole texts that occur equally often: the first one in row order stays."""
-    docs = dealt_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = keep(dealt_out(table(spark, sf_dir, "documents").select("doc_id", "text")))
     twice = docs.withColumn("copy", F.lit(0)).unionByName(
         docs.select("doc_id", loud(F.col("text")).alias("text"), F.lit(1).alias("copy"))
     )

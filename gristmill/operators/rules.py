@@ -241,13 +241,22 @@ def apply(df: DataFrame, rules: Rules) -> DataFrame:
             out = out.withColumn("_gm_key", text.compact(col(c.name)))
             out = lookup(out, table, ["_gm_key"], how="left", small=True)
             out = out.withColumn(c.name, F.coalesce("_gm_best", col(c.name))).drop("_gm_key", "_gm_best")
-    if rules.respelled_apart:
+    if len(rules.respelled_apart) == 1:
+        out = _respelled_alone(out, rules, rules.respelled_apart[0])
+    elif rules.respelled_apart:
         out = _respelled_apart(out, rules)
     cast = {c.name: numbers.to_number(col(c.name), c.number_type) for c in texts if c.number_type}
     out = out.withColumns(cast) if cast else out
     return out.select(*[col(c.name) for c in rules.columns], BEFORE, ROW)
 
 
+def _respelled_alone(df: DataFrame, rules: Rules, name: str) -> DataFrame:
+    """df with the spellings of the only column whose spellings are too large to be broadcast: rows and texts move once."""
+    keyed = df.withColumns({"_gm_name": F.lit(name), "_gm_key": text.compact(col(name))})
+    found = lookup(keyed, rules.spellings, ["_gm_name", "_gm_key"], rules.hot_values, how="left")
+    return found.withColumn(name, F.coalesce("_gm_best", col(name))).drop("_gm_name", "_gm_key", "_gm_best")
+
+
 def _respelled_apart(df: DataFrame, rules: Rules) -> DataFrame:
     """df with the spellings of all columns whose spellings are too large to be broadcast.
 

@@ -193,3 +193,14 @@ def test_large_spellings_of_all_columns_come_back_in_one_join(spark, tiny_limits
     got = [(r["a"], r["b"], r["c"], r["_row"]) for r in result.repaired.collect()]
     wanted = [("Abc", long + "Y", c, row) for _, _, c, row in rows]
     assert sorted(got, key=repr) == sorted(wanted, key=repr)
+
+
+def test_large_spellings_of_one_column_move_its_rows_once(spark, tiny_limits):
+    long = "x" * 60
+    rows = [(None if k % 11 == 0 else long + ("Y" if k % 5 else "y"), k // 2) for k in range(60)]
+    result = g.clean(spark.createDataFrame(rows, "a string, _row bigint"))
+    assert result.rules.respelled_apart == ["a"]
+    got = [(r["a"], r["_row"]) for r in result.repaired.collect()]
+    assert sorted(got, key=repr) == sorted([(a and long + "Y", row) for a, row in rows], key=repr)
+    plan = result.repaired._jdf.queryExecution().toString()
+    assert "_gm_best" in plan and "_gm_of" not in plan  # the texts are joined to the rows, not first gathered by row
