@@ -35,12 +35,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fitted_toxicity(spark: SparkSession, documents: DataFrame, sf_dir: str) -> toxicity.Model:
-    """A classifier from labelled documents outside the held-out fold."""
+    """A classifier from all labelled documents outside the held-out fold."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    learned = documents.where(remainder(F.col("doc_id"), 5) != 0)
-    hashed = common.labelled(learned, F.col("text"), F.col("doc_id")).withColumnRenamed("label", "doc_id")
-    rows = hashed.join(labels, "doc_id").select(F.col("toxic").alias("label"), "h", "n")
-    return toxicity.fit(common.bounded_sample(rows, learned, toxicity.SAMPLE_ROWS, toxicity.SAMPLE_BYTES))
+    learned = documents.where(remainder(F.col("doc_id"), 5) != 0).select("doc_id", "text")
+    # Only texts that may have a label are shuffled, as a bitmap of fixed size tells.
+    sub = F.xxhash64(F.col("doc_id").cast("long"))
+    marks = common.bitmap(labels.select(F.shiftrightunsigned(sub, 64 - common.KEY_BITS).alias("pos")), common.KEY_BITS)
+    _, maybe = common.split_rows(learned, marks, common.KEY_BITS, sub=sub)
+    found = maybe.select("row.*").join(labels.hint("merge"), "doc_id")
+    return toxicity.fit_all(found.select("doc_id", "text", F.col("toxic").alias("label")))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,3 +39,38 @@ def test_one_label_or_none(documents):
         model = toxicity.fit(sample)
         assert [r.predicted for r in toxicity.score(documents([(1, "a b")]), model).collect()] == [predicted]
     assert toxicity.score(documents([]), toxicity.fit([])).count() == 0
+
+
+def test_all_labelled_rows_are_learned_from(spark, documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 12)
+    monkeypatch.setattr(toxicity, "LEARNER_ROWS", 700)
+    seen, passed = [], toxicity._passed
+
+    def counted(rows, *more):
+        seen.append(rows.count())
+        return passed(rows, *more)
+
+    monkeypatch.setattr(toxicity, "_passed", counted)
+    bad = [f"{a}{b}" for a in ("vile", "nasty", "gross", "fouly") for b in ("stuff", "thing", "pile", "heap")]
+
+    def text(i):
+        return f"{made(i, False)} {bad[i % 16] if i % 3 == 0 else 'plain'} {made(i + 50_000, False)}"
+
+    rows = [(i, text(i), int(i % 3 == 0)) for i in range(2_000)] + [(9_000, None, 1), (9_001, "", 0), (None, "the", 0), (9_002, "the", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    few = toxicity.fit([(t, label) for _, t, label in rows[:24]])
+    model = toxicity.fit_all(table)
+    # Each pass goes over all rows but the quarter kept back.
+    assert len(seen) == len(toxicity.PASSES) and min(seen) > 0.7 * 2_000
+    asked = [(i, text(20_000 + i)) for i in range(600)]
+    right = [
+        np.mean([r.predicted == int((20_000 + r.doc_id) % 3 == 0) for r in toxicity.score(documents(asked), m).collect()])
+        for m in (few, model)
+    ]
+    assert right[1] > 0.95 and right[1] > right[0]
+
+
+def test_all_rows_of_one_label_or_none(spark, documents):
+    for rows, predicted in (([], 0), ([(1, "a b", 1)], 1), ([(1, "a b", 0)], 0)):
+        model = toxicity.fit_all(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+        assert [r.predicted for r in toxicity.score(documents([(1, "a b")]), model).collect()] == [predicted]
