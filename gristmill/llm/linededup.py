@@ -23,17 +23,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from gristmill.llm.common import KEY_BITS, NOT_SPACE, Scratch, bitmap, few_rows, marked, mix, ship, slices, span_hashes, text_key, texts, tidy, word_spans, written
+from gristmill.llm.common import KEY_BITS, NOT_SPACE, Scratch, bitmap, few_rows, in_order, marked, mix, slices, span_hashes, text_key, texts, tidy, word_spans, written
 
 #: A passage of fewer words is left alone.
 MIN_WORDS = 50
 #: A line begins at a word that no other within so many words on either side may begin one; 2 * REACH + 1 words on average.
 REACH = 5
 FILTER_BITS = 27
+#: The bitmap of lines is put together in pieces of 2^PIECE_BITS places, from lists of about HELD_PLACES places in all.
+PIECE_BITS = 19
+HELD_PLACES = 1 << 18
 #: Texts are searched in slices of about so many bytes: a task needs some thirty times as much for one.
 SEARCHED_BYTES = 1 << 18
 _LAST = (1 << 63) - 1
@@ -187,12 +190,9 @@ def _top_levels(low: np.ndarray, lines: np.ndarray, n: int) -> np.ndarray:
         level += 1
 
 
-def _searched(batches: Iterator[pa.RecordBatch], copied: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of the texts that the bitmap does not hold: ids, subs, bytes and offsets."""
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of texts: ids, subs, bytes and offsets."""
     for batch in few_rows(batches, 1024):
-        if copied is not None:
-            own = np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - KEY_BITS)
-            batch = batch.filter(pa.array(~marked(copied, own)))
         ids, subs = np.asarray(batch.column("id")), np.asarray(batch.column("sub"))
         for top, end, data, offsets in slices(batch.column("text"), SEARCHED_BYTES):
             yield ids[top:end], subs[top:end], data, offsets
@@ -201,42 +201,104 @@ def _searched(batches: Iterator[pa.RecordBatch], copied: np.ndarray | None) -> I
 class Texts:
     """The texts to search: those of docs that a bitmap of copies does not hold, and the strays, which it holds by chance."""
 
-    def __init__(self, docs: DataFrame, copied: Broadcast, strays: DataFrame) -> None:
+    def __init__(self, docs: DataFrame, copied: DataFrame, strays: DataFrame) -> None:
         self.spark, self.context = docs.sparkSession, docs.sparkSession.sparkContext
-        self._parts: list[tuple[DataFrame, Broadcast | None]] = [(docs, copied)]
+        self._parts = [_with_bits(docs, copied).where("not copied")]
         if not strays.isEmpty():
-            self._parts.append((docs.join(strays, ["id", "sub"], "left_semi"), None))
+            self._parts.append(docs.join(strays, ["id", "sub"], "left_semi"))
 
     def each(self, run: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
         """run on the slices of all texts."""
+        found = [p.select("id", "sub", "text").mapInArrow(lambda batches: run(_searched(batches)), schema) for p in self._parts]
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
-        def part(docs: DataFrame, copied: Broadcast | None) -> DataFrame:
-            return docs.mapInArrow(lambda batches: run(_searched(batches, copied and copied.value)), schema)
 
-        found = [part(*p) for p in self._parts]
-        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Rows of binary values: the next counts[i] entries of values for row i."""
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    cuts = (np.concatenate([[0], np.cumsum(counts)]) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray, kind: type, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """What _packed made binary rows of, without nulls: the values and how many belong to each row."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    _, cuts, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros((0, width) if width > 1 else 0, kind), np.zeros(len(column), int)
+    cuts = np.frombuffer(cuts, np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]].view(kind)
+    return values.reshape(-1, width) if width > 1 else values, np.diff(cuts) // (np.dtype(kind).itemsize * width)
 
 
 def _repeated_places(searched: Texts, min_words: int) -> np.ndarray:
-    """A bitmap of fixed size that holds all lines that occur twice, and others by chance."""
+    """A bitmap of fixed size that holds all lines that occur twice, and others by chance.
+
+    Places travel as sorted lists for each piece of the bitmap, the sign bit marks those that a list found twice.
+    """
+    most = (1 << PIECE_BITS) - 1
+
+    def lists(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        places, n = np.unique(np.concatenate(held), return_counts=True)
+        parts = places >> PIECE_BITS
+        found, counts = np.unique(parts, return_counts=True)
+        marked_ = (places & most) | np.where(n > 1, -1 << 31, 0)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), _packed(marked_.astype(np.int32), counts)], ["part", "places"])
 
     def run(slices_: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
         for _, _, data, offsets in slices_:
-            places, n = np.unique(Lines(data, offsets, min_words).places(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(n.astype(np.int32))], ["pos", "n"])
+            held.append(Lines(data, offsets, min_words).places())
+            size += len(held[-1])
+            if size >= HELD_PLACES:
+                yield from lists(held)
+                held, size = [], 0
+        if size:
+            yield from lists(held)
 
-    counted = searched.each(run, "pos int, n int").groupBy("pos").agg(F.sum("n").alias("n"))
-    return bitmap(counted.where("n > 1").select(F.col("pos").cast("long").alias("pos")), FILTER_BITS)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = None
+        once, twice = np.zeros(most + 1, bool), np.zeros(most + 1, bool)
+
+        def piece() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "marks": [np.packbits(twice).tobytes()]})
+
+        for batch in batches:
+            parts = batch.column("part").to_numpy()
+            values, counts = _unpacked(batch.column("places"), np.int32)
+            edge = np.concatenate([[0], np.cumsum(counts)])
+            for k in range(len(parts)):
+                if parts[k] != part:
+                    if part is not None:
+                        yield piece()
+                    part = int(parts[k])
+                    once[:] = twice[:] = False
+                mine = values[edge[k] : edge[k + 1]]
+                at = mine & most
+                twice[at] |= once[at] | (mine < 0)
+                once[at] = True
+        if part is not None:
+            yield piece()
+
+    marks = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    size = 1 << PIECE_BITS - 3
+    for r in in_order(searched.each(run, "part int, places binary"), "part").mapInArrow(pieces, "part int, marks binary").collect():
+        marks[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["marks"], np.uint8)
+    return marks
+
+
+#: Columns of a group of windows in candidates().
+_GROUP = ("pos", "low", "lines", "cover", "covered", "n")
 
 
 def candidates(searched: Texts, marks: Broadcast, min_words: int) -> DataFrame:
-    """Groups of windows that may occur twice and the lines in and around them.
+    """A row for each text that has groups of windows that may occur twice, with the lines in and around them.
 
-    Groups have level -1: pos is their first word, line and n the lines they see, cover and covered the lines around,
-    edges has the hash of each window's edges. Lines have level 0: pos is the line, r its id, n the last
-    level that needs it.
+    groups: for each group its first word, the lines it sees, the lines around, how many windows. edges: the hash of each
+    window's edges. lines: place and the last level that needs it, for each line; line_ids its id. most is the last level of all.
     """
-    names = ["id", "sub", "level", "pos", "line", "n", "cover", "covered", "r", "edges"]
+    names = ["id", "sub", "most", "groups", "edges", "lines", "line_ids"]
 
     def run(slices_: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         for ids, subs, data, offsets in slices_:
@@ -251,22 +313,26 @@ def candidates(searched: Texts, marks: Broadcast, min_words: int) -> DataFrame:
             top = _top_levels(low[some], lines[some], len(found.begin))
             line = np.flatnonzero(top >= 0)
             of_line = np.searchsorted(found.first, line, "right") - 1
-            none = np.zeros(len(line), np.int32)
+            cover = np.where(g["covered"] > 0, g["cover"] - first, 0)
+            groups = np.stack([found.word[window] - found.at[of], g["low"] - first, g["lines"], cover, g["covered"], g["n"]], axis=1)
+            places = np.stack([line - found.first[of_line], top[line]], axis=1)
+            most = np.full(len(ids), -1, np.int32)
+            np.maximum.at(most, of_line, top[line])
+            text, n_groups = np.unique(of, return_counts=True)
+            n_lines = np.bincount(of_line, minlength=len(ids))[text]
+            n_edges = np.bincount(of, g["n"], len(ids)).astype(np.int64)[text]
             arrays = [
-                np.repeat(np.array([-1, 0], np.int32), [len(window), len(line)]),
-                np.concatenate([found.word[window] - found.at[of], line - found.first[of_line]]).astype(np.int32),
-                np.concatenate([g["low"] - first, none]).astype(np.int32),
-                np.concatenate([g["lines"], top[line]]).astype(np.int32),
-                np.concatenate([np.where(g["covered"] > 0, g["cover"] - first, 0), none]).astype(np.int32),
-                np.concatenate([g["covered"], none]).astype(np.int32),
-                np.concatenate([np.zeros(len(window), np.int64), found.ids[line].view(np.int64)]),
+                pa.array(ids[text]),
+                pa.array(subs[text]),
+                pa.array(most[text]),
+                _packed(groups.astype(np.int32), n_groups),
+                _packed(found.edges(g["all"]), n_edges),
+                _packed(places.astype(np.int32), n_lines),
+                _packed(found.ids[line], n_lines),
             ]
-            text = np.concatenate([of, of_line])
-            cuts = np.concatenate([[0], np.cumsum(g["n"]), np.full(len(line), len(g["all"]))]).astype(np.int32)
-            edges = pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.edges(g["all"]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(subs[text]), *[pa.array(a) for a in arrays], edges], names)
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return searched.each(run, "id long, sub long, level int, pos int, line int, n int, cover int, covered int, r long, edges array<long>")
+    return searched.each(run, "id long, sub long, most int, groups binary, edges binary, lines binary, line_ids binary")
 
 
 def by_text(rows: DataFrame, *order: str) -> DataFrame:
@@ -278,7 +344,7 @@ def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
     """Sorted rows cut only between texts: the number of each row's text in the cut, the columns of numbers, the rows."""
 
     def cut_(rows: pa.Table, new: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], pa.Table]:
-        columns = {n: rows.column(n).to_numpy() for n in rows.column_names if not pa.types.is_nested(rows.schema.field(n).type)}
+        columns = {n: rows.column(n).to_numpy() for n in rows.column_names if pa.types.is_integer(rows.schema.field(n).type)}
         return np.cumsum(np.concatenate([[0], new])).astype(np.int64), columns, rows
 
     held: list[pa.RecordBatch] = []
@@ -314,6 +380,35 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+_PAIRS = "id long, sub long, pos int, r long, r2 long, top int"
+
+
+def _pairs_of_lines(rows: DataFrame) -> DataFrame:
+    """Pairs of a line's id and that of the next, from the rows of candidates()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, n = _unpacked(batch.column("lines"), np.int32, 2)
+            ids, _ = _unpacked(batch.column("line_ids"), np.int64)
+            text = np.repeat(np.arange(len(n)), n)
+            pos, top = lines[:, 0], lines[:, 1]
+            ok = np.flatnonzero((np.diff(text) == 0) & (np.diff(pos) == 1) & (top[:-1] > 0))
+            own = pa.array(text[ok])
+            arrays = [batch.column("id").take(own), batch.column("sub").take(own), *[pa.array(a) for a in (pos[ok], ids[ok], ids[ok + 1], top[ok])]]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "sub", "pos", "r", "r2", "top"])
+
+    return rows.where("most > 0").select("id", "sub", "lines", "line_ids").mapInArrow(run, _PAIRS)
+
+
+def _ranked(pairs: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs that occur more than once, each with the rank of the two (id, sub, pos, r, top)."""
+    pairs = write(pairs)
+    several = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r", "r2")
+    # Numbers that follow the order of the pairs: the partitions are ranges, numbered in order.
+    ranked = write(several.repartitionByRange("r", "r2").sortWithinPartitions("r", "r2").withColumn("rank", F.monotonically_increasing_id()))
+    return pairs.join(ranked, ["r", "r2"]).select("id", "sub", "pos", F.col("rank").alias("r"), "top")
+
+
 def doubled(rows: DataFrame, level: int, write: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """From ranks of 2^level lines (id, sub, pos, r, top) those of twice as many, of pairs that occur more than once."""
     step = 1 << level
@@ -326,33 +421,58 @@ def doubled(rows: DataFrame, level: int, write: Callable[[DataFrame], DataFrame]
             arrays = [f["id"][ok], f["sub"][ok], f["pos"][ok], f["r"][ok], f["r"][other[ok]], f["top"][ok]]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["id", "sub", "pos", "r", "r2", "top"])
 
-    pairs = write(by_text(rows.where(F.col("top") >= level), "pos").mapInArrow(run, "id long, sub long, pos int, r long, r2 long, top int"))
-    several = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r", "r2")
-    # Numbers that follow the order of the pairs: the partitions are ranges, numbered in order.
-    ranked = write(several.repartitionByRange("r", "r2").sortWithinPartitions("r", "r2").withColumn("rank", F.monotonically_increasing_id()))
-    return pairs.join(ranked, ["r", "r2"]).select("id", "sub", "pos", F.col("rank").alias("r"), "top")
+    return _ranked(by_text(rows.where(F.col("top") >= level), "pos").mapInArrow(run, _PAIRS), write)
+
 
+def numbered(keys: DataFrame, write: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """The texts id, sub with their numbers t, from 0 and without gaps, in the order of id and sub."""
+    spark = keys.sparkSession
+    # The partitions are ranges, numbered in order; the upper bits of the new column are that number.
+    places = write(keys.select("id", "sub").repartitionByRange("id", "sub").sortWithinPartitions("id", "sub").withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    bases, total = [], 0
+    for r in sorted(places.groupBy(part.alias("part")).count().collect()):  # one row for each partition
+        bases.append((r["part"], total))
+        total += r["count"]
+    if total >= 1 << 31:
+        raise ValueError("more than 2^31 texts")
+    base = F.broadcast(spark.createDataFrame(bases, "part long, base long"))
+    return places.withColumn("part", part).join(base, "part").select("id", "sub", (F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("t"))
 
-def intervals(rows: DataFrame) -> DataFrame:
-    """For groups of windows (level -1) and ranks of all levels: the groups with a, the name of the LCP interval of the
-    lines they see, and c, that of their cover and their place in it, 0 if there is no such interval."""
+
+def intervals(rows: DataFrame, ranks: DataFrame, numbers: DataFrame) -> DataFrame:
+    """For the rows of candidates(), ranks of all levels from 1 on and the numbers of the texts: the groups of windows.
+
+    Each has a, the name of the LCP interval of the lines it sees, and c, that of its cover and its place in it, 0 if there
+    is no such interval. place and cover_place are its first word and its cover's first line after the number of the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, f, rows_ in whole_texts(batches):
-            window = np.flatnonzero(f["level"] < 0)
-            ranks = {}
-            for k in np.unique(f["level"][f["level"] >= 0]).tolist():
+            texts_ = np.flatnonzero(f["level"] == -1)
+            if not len(texts_):
+                continue
+            number = np.zeros(owner[-1] + 1, np.int64)
+            number[owner[f["level"] == -2]] = f["r"][f["level"] == -2]
+            taken = rows_.select(["groups", "edges", "lines", "line_ids"]).take(pa.array(texts_))
+            groups, n_groups = _unpacked(taken.column("groups"), np.int32, len(_GROUP))
+            g = {name: groups[:, k].astype(np.int64) for k, name in enumerate(_GROUP)}
+            lines, n_lines = _unpacked(taken.column("lines"), np.int32, 2)
+            edges, _ = _unpacked(taken.column("edges"), np.uint64)
+            own = np.repeat(owner[texts_], n_groups)
+            names = {0: (np.repeat(owner[texts_], n_lines) << 32 | lines[:, 0], _unpacked(taken.column("line_ids"), np.int64)[0])}
+            for k in np.unique(f["level"][f["level"] > 0]).tolist():
                 at = np.flatnonzero(f["level"] == k)  # in the order of texts and places
-                ranks[k] = (owner[at] << 32 | f["pos"][at], f["r"][at])
+                names[k] = (owner[at] << 32 | f["pos"][at], f["r"][at])
 
             def name(low: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                line = owner[window] << 32 | low
+                line = own << 32 | low
                 level = np.floor(np.log2(np.maximum(u, 1) + 0.5)).astype(int)
-                h, found = np.zeros(len(window), np.uint64), np.zeros(len(window), bool)
+                h, found = np.zeros(len(own), np.uint64), np.zeros(len(own), bool)
                 for k in np.unique(level[u > 0]).tolist():
-                    if k not in ranks:
+                    if k not in names:
                         continue
-                    keys, r = ranks[k]
+                    keys, r = names[k]
                     pick = np.flatnonzero((level == k) & (u > 0))
                     x, y = _find(keys, line[pick]), _find(keys, line[pick] + u[pick] - (1 << k))
                     both = (x >= 0) & (y >= 0)
@@ -361,59 +481,62 @@ def intervals(rows: DataFrame) -> DataFrame:
                     found[mine] = True
                 return h, found
 
-            u, m = f["n"][window], f["covered"][window]
-            a, found = name(f["line"][window], u)
-            c, around = name(f["cover"][window], m)
-            before = (f["line"][window] - f["cover"][window]).astype(np.uint64)
+            u = g["lines"]
+            a, found = name(g["low"], u)
+            c, around = name(g["cover"], g["covered"])
+            before = (g["low"] - g["cover"]).astype(np.uint64)
             c = np.where(around, mix(c + mix(before * _FACTOR + u.astype(np.uint64))), np.uint64(0))
-            taken = rows_.take(pa.array(window))
+            cuts = np.concatenate([[0], np.cumsum(g["n"])])
             bare = u == 0  # one window each, which its edges name
-            if bare.any():
-                only = taken.column("edges").combine_chunks().filter(pa.array(bare)).flatten()
-                a[bare] = mix(np.asarray(only).view(np.uint64) + _FACTOR)
-            ok = pa.array(found | bare)
-            taken = taken.select(["id", "sub", "pos", "cover", "edges"]).filter(ok)
-            for new, values in (("a", a), ("c", c)):
-                taken = taken.append_column(new, pa.array(values.view(np.int64)).filter(ok))
-            yield from taken.to_batches()
+            a[bare] = mix(edges[cuts[:-1][bare]] + _FACTOR)
+            text = number[own] << 32
+            every = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(edges.view(np.int64)))
+            arrays = [pa.array(x) for x in (text + g["pos"], text + g["cover"], a.view(np.int64), c.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*arrays, every], ["place", "cover_place", "a", "c", "edges"]).filter(pa.array(found | bare))
+
+    every = rows.select("id", "sub", F.lit(-1).alias("level"), "groups", "edges", "lines", "line_ids")
+    every = every.unionByName(numbers.select("id", "sub", F.lit(-2).alias("level"), F.col("t").alias("r")), allowMissingColumns=True)
+    every = every.unionByName(ranks, allowMissingColumns=True).withColumns({n: F.coalesce(n, F.lit(0)) for n in ("pos", "r")})
+    return by_text(every, "level", "pos").mapInArrow(run, "place long, cover_place long, a long, c long, edges array<long>")
 
-    return by_text(rows, "level", "pos").mapInArrow(run, "id long, sub long, pos int, cover int, edges array<long>, a long, c long")
 
+def later_copies(searched: Texts, keys: DataFrame, repeats: bool, min_words: int = MIN_WORDS) -> DataFrame:
+    """id, sub, runs (array of first words and numbers of windows) to cut.
 
-def later_copies(searched: Texts, repeats: bool, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, sub, runs (array of first words and numbers of windows) to cut. repeats: rows repeat an id and a text."""
+    keys has id and sub of all texts. repeats: rows repeat an id and a text.
+    """
     marks = searched.context.broadcast(_repeated_places(searched, min_words))  # of fixed size
     lines, found = Scratch(searched.spark), Scratch(searched.spark)
     rows = lines.write(candidates(searched, marks, min_words))
     if repeats:
-        rows = lines.write(rows.dropDuplicates(["id", "sub", "level", "pos"]))
-    level = rows.where("level = 0").select("id", "sub", "pos", "r", F.col("n").alias("top"))
-    top = level.agg(F.max("top")).first()[0] or 0
-    every = rows
+        rows = lines.write(rows.dropDuplicates(["id", "sub"]))
+    top = rows.agg(F.max("most")).first()[0] or 0
+    ranks = searched.spark.createDataFrame([], "id long, sub long, level int, pos int, r long")
+    level = None
     for k in range(top):
-        level = lines.write(doubled(level, k, lines.write))
-        every = every.unionByName(level.select("id", "sub", F.lit(k + 1).alias("level"), "pos", "r"), allowMissingColumns=True)
-    every = every.fillna(0, ["line", "n", "cover", "covered"])
-    groups = found.write(intervals(every))
+        level = lines.write(_ranked(_pairs_of_lines(rows), lines.write) if level is None else doubled(level, k, lines.write))
+        ranks = ranks.unionByName(level.select("id", "sub", F.lit(k + 1).alias("level"), "pos", "r"))
+    numbers = found.write(numbered(keys, lines.write))
+    groups = found.write(intervals(rows, ranks, numbers))
     lines.delete()
-    of = F.struct("id", "sub", "cover")
     # Each place of an interval is one group.
-    covers = found.write(groups.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("first")))
+    covers = found.write(groups.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min("cover_place").alias("first")))
     total = covers.groupBy("a").agg(F.sum("n").alias("places")).where("places > 1")
     # Written first, so that the join shuffles both sides itself and Spark can split an interval of many places.
     fates = found.write(covers.join(total, "a").select("a", "c", "n", "places", "first"))
-    later = (F.col("c") != 0) & (of != F.col("first"))
+    later = (F.col("c") != 0) & (F.col("cover_place") != F.col("first"))
     settled = (F.col("c") != 0) & (F.col("n") == F.col("places"))
     told = groups.join(fates, ["a", "c"]).withColumn("later", later).where(F.col("later") | ~settled)
-    told = found.write(told.select("id", "sub", "pos", "later", F.size("edges").alias("n"), "a", F.when(~F.col("later"), F.col("edges")).alias("edges")))
+    told = found.write(told.select("place", "later", F.size("edges").alias("n"), "a", F.when(~F.col("later"), F.col("edges")).alias("edges")))
     tidy(searched.spark)
-    ends = told.where("not later").select("id", "sub", "pos", "a", F.posexplode("edges").alias("i", "edge"))
-    ends = ends.select(F.xxhash64("a", "edge").alias("h"), "id", "sub", (F.col("pos") + F.col("i")).alias("pos"))
-    place = F.struct("id", "sub", "pos")
-    first = found.write(ends.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
-    single = ends.join(first, "h").where(place != F.col("first")).select("id", "sub", "pos", F.lit(1).alias("n"))
-    gone = told.where("later").select("id", "sub", "pos", "n").unionByName(single)
-    runs = written(gone.groupBy("id", "sub").agg(F.collect_list(F.struct("pos", "n")).alias("runs")))
+    ends = told.where("not later").select("place", "a", F.posexplode("edges").alias("i", "edge"))
+    ends = ends.select(F.xxhash64("a", "edge").alias("h"), (F.col("place") + F.col("i")).alias("place"))
+    first = found.write(ends.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where("n > 1").drop("n"))
+    single = ends.join(first, "h").where("place != first").select("place", F.lit(1).alias("n"))
+    gone = told.where("later").select("place", "n").unionByName(single)
+    run = F.struct(F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"), "n")
+    runs = gone.groupBy(F.shiftright("place", 32).alias("t")).agg(F.collect_list(run).alias("runs"))
+    runs = written(runs.join(numbers, "t").select("id", "sub", "runs"))
     found.delete()
     return runs
 
@@ -476,6 +599,29 @@ def _bits(own: Column) -> Column:
     return F.shiftrightunsigned(own, 64 - KEY_BITS)
 
 
+def _bitmap_of(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the texts id, sub."""
+    return bitmap(keys.select(_bits(F.xxhash64("id", "sub")).alias("pos")), KEY_BITS)
+
+
+def _pieces(spark: SparkSession, **marks: np.ndarray) -> DataFrame:
+    """Bitmaps of 2^KEY_BITS places as a table of fixed size, 2^16 places of each as whole numbers of 64 bits in a row."""
+    words_ = {n: np.packbits(np.unpackbits(m), bitorder="little").view(np.int64) for n, m in marks.items()}
+    n = 1 << KEY_BITS - 16
+    cuts = pa.array(np.arange(n + 1, dtype=np.int32) << 10)
+    lists = [pa.ListArray.from_arrays(cuts, pa.array(w)) for w in words_.values()]
+    return spark.createDataFrame(pa.table([pa.array(np.arange(n, dtype=np.int64)), *lists], ["_part", *words_]))
+
+
+def _with_bits(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    """rows, which have the hash own of their id and sub, with what each of the bitmaps says, without own."""
+    names = [n for n in pieces.columns if n != "_part"]
+    at = _bits(rows["own"])
+    word, bit = F.shiftright(at, 6).bitwiseAND(1023).cast("int"), at.bitwiseAND(63).cast("int")
+    found = rows.join(F.broadcast(pieces), F.shiftright(at, 16) == pieces["_part"])
+    return found.select(*[rows[c] for c in rows.columns if c != "own"], *[(F.getbit(pieces[n][word], bit) == 1).alias(n) for n in names])
+
+
 def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of docs, the text without later copies of passages of at least min_words words; and n_cut.
 
@@ -484,7 +630,7 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     Rows that repeat an id and a text are one text, each gets the same result. Null texts stay null, empty tables give
     empty ones, and no other column is looked at. Columns of docs named n_cut are replaced.
     """
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     key = text_key(docs[text_col].cast("string"))
     data = texts(docs, id_col, text_col, key.alias("key"))
     ordered = F.coalesce(F.col("doc_id"), F.lit(_LAST))
@@ -493,48 +639,34 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
     # Whole copies are told by their text alone: only the first of each text is searched.
     copies = written(keys.join(several, "key").where("id != first").select("id", "sub"))
-    own = F.xxhash64("id", "sub")
-    copied = context.broadcast(bitmap(copies.select(_bits(own).alias("pos")), KEY_BITS))  # of fixed size
-
-    def by_chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = marked(copied.value, np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - KEY_BITS))
-            yield batch.filter(pa.array(held)).select(["id", "sub"])
-
-    held = keys.select("id", "sub", own.alias("own")).mapInArrow(by_chance, "id long, sub long")
-    strays = written(held.join(copies, ["id", "sub"], "left_anti"))
-    searched = data.where("text is not null").select(ordered.alias("id"), F.xxhash64("key").alias("sub"), "text").withColumn("own", own)
-    runs = later_copies(Texts(searched, copied, strays), repeats, min_words)
+    own = F.xxhash64("id", "sub").alias("own")
+    copied = _bitmap_of(copies)
+    held = _pieces(spark, copied=copied)
+    strays = written(_with_bits(keys.select("id", "sub", own), held).where("copied").join(copies, ["id", "sub"], "left_anti").select("id", "sub"))
+    searched = data.where("text is not null").select(ordered.alias("id"), F.xxhash64("key").alias("sub"), "text").select("*", own)
+    runs = later_copies(Texts(searched, held, strays), keys, repeats, min_words)
 
     # A row in the bitmap of copies that is neither a stray nor has runs is a copy: its row stays where it is.
-    doubtful = runs.select("id", "sub").unionByName(strays)
-    doubt = context.broadcast(bitmap(doubtful.select(_bits(own).alias("pos")), KEY_BITS))
-    ship(docs.sparkSession)
+    doubt = _bitmap_of(runs.select("id", "sub").unionByName(strays))
     docs = docs.drop("n_cut")
     field = docs.columns.index(text_col)
     id_, sub = F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)), F.xxhash64(key)
     whole_rows = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    row = StructField("row", docs.select(whole_rows).schema["row"].dataType)
+    result = StructType([row, StructField("n_cut", IntegerType())])
 
-    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few_rows(batches):
-            place = np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - KEY_BITS)
-            sure = ~marked(doubt.value, place)
-            yield _without(batch.filter(pa.array(sure)), field, marked(copied.value, place[sure]), None, min_words)
-
-    def doubted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emptied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
-            place = np.asarray(batch.column("own")).view(np.uint64) >> np.uint64(64 - KEY_BITS)
-            yield batch.filter(pa.array(marked(doubt.value, place))).select(["row", "id", "sub"])
+            yield _without(batch, field, np.ones(batch.num_rows, bool), None, min_words)
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
             yield _without(batch, field, np.asarray(batch.column("copy").fill_null(False)), batch.column("runs"), min_words)
 
-    row = StructField("row", docs.select(whole_rows).schema["row"].dataType)
-    result = StructType([row, StructField("n_cut", IntegerType())])
-    one_pass = docs.select(whole_rows, F.xxhash64(id_, sub).alias("own")).mapInArrow(clear, result)
-    some = docs.select(whole_rows, id_.alias("id"), sub.alias("sub"), F.xxhash64(id_, sub).alias("own"))
-    some = some.mapInArrow(doubted, StructType([row, *keys.select("id", "sub").schema.fields]))
+    rows = docs.select(whole_rows, id_.alias("id"), sub.alias("sub")).select("*", own)
+    rows = _with_bits(rows, _pieces(spark, copied=copied, doubt=doubt))
+    same = rows.where("not doubt and not copied").select("row.*", F.lit(0).alias("n_cut"))
+    empty = rows.where("not doubt and copied").select("row").mapInArrow(emptied, result).select("row.*", "n_cut")
     changed = runs.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "sub", F.lit(None).cast("array<struct<pos:int,n:int>>").alias("runs"), F.lit(True).alias("copy")))
-    joined = some.join(changed, ["id", "sub"], "left").select("row", "runs", "copy")
-    return one_pass.unionByName(joined.mapInArrow(done, result)).select("row.*", "n_cut")
+    joined = rows.where("doubt").select("row", "id", "sub").join(changed, ["id", "sub"], "left").select("row", "runs", "copy")
+    return same.union(empty).union(joined.mapInArrow(done, result).select("row.*", "n_cut"))

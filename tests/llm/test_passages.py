@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from gristmill.llm import linededup
+from gristmill.llm.common import KEY_BITS, marked
 
 WORD = re.compile(r"[฀-໿　-鿿]|[^ \t\n\v\f\r฀-໿　-鿿]+")
 
@@ -115,3 +116,57 @@ def test_ranks_of_doubled_lines_follow_the_order_of_suffixes(spark):
         got = {(r.id, r.pos): r.r for r in level.collect()}
         assert set(got) == {at for at, v in places.items() if counts[v] > 1}
         assert [places[at] for at in sorted(got, key=lambda at: (got[at], places[at]))] == sorted(places[at] for at in got)
+
+
+def test_candidates_are_one_row_a_text(spark):
+    rng = random.Random(6)
+    passage = made(rng, "lower", 200)
+    rows = [(i, i + 100, f"{made(rng, 'lower', 20)} {passage}", i) for i in range(5)]
+    docs = spark.createDataFrame(rows, "id long, sub long, text string, own long")
+    none = linededup._pieces(spark, copied=np.zeros((1 << KEY_BITS) // 8, np.uint8))
+    searched = linededup.Texts(docs, none, docs.select("id", "sub").limit(0))
+    marks = spark.sparkContext.broadcast(linededup._repeated_places(searched, 50))
+    found = linededup.candidates(searched, marks, 50).collect()
+    assert sorted((r.id, r.sub) for r in found) == [(i, i + 100) for i in range(5)]
+    # 151 windows of the passage, and those that hang over its begin but see the same lines.
+    assert all(len(r.edges) >= 8 * 151 and len(r.groups) < 4 * 6 * 100 and len(r.line_ids) == len(r.lines) for r in found)
+
+
+def test_places_of_lines_that_occur_twice_are_marked(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HELD_PLACES", 40)
+    rng = random.Random(7)
+    passage = made(rng, "lower", 300)
+    rows = [(i, i, f"{made(rng, 'prose', 200)} {passage if i % 2 else ''}", i) for i in range(6)]
+    docs = spark.createDataFrame(rows, "id long, sub long, text string, own long").repartition(3)
+    none = linededup._pieces(spark, copied=np.zeros((1 << KEY_BITS) // 8, np.uint8))
+    marks = linededup._repeated_places(linededup.Texts(docs, none, docs.select("id", "sub").limit(0)), 50)
+    counts = {}
+    for _, _, text, _ in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        for at in linededup.Lines(data, np.array([0, len(data)]), 50).places().tolist():
+            counts[at] = counts.get(at, 0) + 1
+    twice = {at for at, n in counts.items() if n > 1}
+    assert len(twice) > 10 and len(counts) > len(twice) + 50
+    assert {at for at in counts if marked(marks, np.array([at]))[0]} == twice
+    assert int(np.unpackbits(marks).sum()) == len(twice)
+
+
+def test_texts_are_numbered_in_order_without_gaps(spark):
+    rng = random.Random(8)
+    keys = [(rng.randrange(-50, 50), rng.randrange(-(1 << 63), 1 << 63)) for _ in range(500)]
+    found = linededup.numbered(spark.createDataFrame(keys, "id long, sub long").repartition(7)).collect()
+    assert [(r.id, r.sub) for r in sorted(found, key=lambda r: r.t)] == sorted(keys)
+    assert sorted(r.t for r in found) == list(range(500))
+
+
+def test_bits_of_rows_are_those_of_the_bitmap(spark):
+    rng = random.Random(9)
+    own = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(300)]
+    place = np.array(own, np.int64).view(np.uint64) >> np.uint64(64 - KEY_BITS)
+    marks = np.zeros((1 << KEY_BITS) // 8, np.uint8)
+    for at in place[::3].astype(int).tolist():
+        marks[at >> 3] |= 128 >> (at & 7)
+    rows = spark.createDataFrame(list(enumerate(own)), "i int, own long")
+    found = linededup._with_bits(rows, linededup._pieces(spark, some=marks, every=~marks)).orderBy("i").collect()
+    want = marked(marks, place).tolist()
+    assert [(r.i, r.some, r.every) for r in found] == [(i, w, not w) for i, w in enumerate(want)]
