@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about so many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 21
+#: In the stages of the pipeline; a Python worker serves all of them and keeps what the largest took.
+SHORT_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C17)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C17, -1, 1 << 64))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import ALNUM, LOWER, bitmap, marked, repeated, shingle_hashes, slices, span_hashes, stable, text_key, texts, word_spans
+from gristmill.llm.common import ALNUM, LOWER, SHORT_BYTES, bitmap, marked, repeated, shingle_hashes, slices, span_hashes, stable, text_key, texts, word_spans
 
 WINDOW = 13
 SHINGLE = 5
@@ -35,7 +35,7 @@ def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column("item").to_pylist()
-            for first, _, data, offsets in slices(batch.column("text")):
+            for first, _, data, offsets in slices(batch.column("text"), SHORT_BYTES):
                 low = LOWER[data]
                 starts, ends, at = word_spans(low, offsets, ALNUM)
                 hashes = span_hashes(low, starts, ends)
@@ -83,7 +83,7 @@ def occurrences(docs: DataFrame, shingles: DataFrame, marks: np.ndarray, widths:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column("text")):
+            for _, _, data, offsets in slices(batch.column("text"), SHORT_BYTES):
                 *_, found = _shingles(data, offsets, widths)
                 keys = np.concatenate([np.zeros(0, np.uint64), *[k[marked(shared.value, _places(k))] for _, _, k in found]])
                 if len(keys):
@@ -114,7 +114,7 @@ def probes(docs: DataFrame, marks: np.ndarray, widths: list[int], window: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("key")
-            for first, last, data, offsets in slices(batch.column("text")):
+            for first, last, data, offsets in slices(batch.column("text"), SHORT_BYTES):
                 low, starts, ends, at, found = _shingles(data, offsets, widths)
                 n = last - first
                 nothing = [pa.nulls(n, t) for t in types[3:]]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from gristmill.llm.common import KEY_BITS, NOT_SPACE, Scratch, bitmap, few_rows, in_order, marked, mix, slices, span_hashes, text_key, texts, tidy, word_spans, written
+from gristmill.llm.common import KEY_BITS, NOT_SPACE, SHORT_BYTES, Scratch, bitmap, few_rows, in_order, marked, mix, slices, span_hashes, text_key, texts, tidy, word_spans, written
 
 #: A passage of fewer words is left alone.
 MIN_WORDS = 50
@@ -37,8 +37,6 @@ FILTER_BITS = 27
 #: The bitmap of lines is put together in pieces of 2^PIECE_BITS places, from lists of about HELD_PLACES places in all.
 PIECE_BITS = 19
 HELD_PLACES = 1 << 18
-#: Texts are searched in slices of about so many bytes: a task needs some thirty times as much for one.
-SEARCHED_BYTES = 1 << 18
 _LAST = (1 << 63) - 1
 
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
@@ -194,7 +192,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
     """Slices of texts: ids, subs, bytes and offsets."""
     for batch in few_rows(batches, 1024):
         ids, subs = np.asarray(batch.column("id")), np.asarray(batch.column("sub"))
-        for top, end, data, offsets in slices(batch.column("text"), SEARCHED_BYTES):
+        for top, end, data, offsets in slices(batch.column("text"), SHORT_BYTES):
             yield ids[top:end], subs[top:end], data, offsets
 
 
@@ -203,9 +201,10 @@ class Texts:
 
     def __init__(self, docs: DataFrame, copied: DataFrame, strays: DataFrame) -> None:
         self.spark, self.context = docs.sparkSession, docs.sparkSession.sparkContext
-        self._parts = [_with_bits(docs, copied).where("not copied")]
+        told = _with_bits(docs, copied)
+        self._parts = [told.where("not copied")]
         if not strays.isEmpty():
-            self._parts.append(docs.join(strays, ["id", "sub"], "left_semi"))
+            self._parts.append(told.where("copied").join(strays, ["id", "sub"], "left_semi"))
 
     def each(self, run: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
         """run on the slices of all texts."""
@@ -581,7 +580,7 @@ def _without(batch: pa.RecordBatch, field: int, whole: np.ndarray, runs: pa.Arra
         pos, n = (np.zeros(0, int) if runs is None else np.asarray(runs.flatten().field(k)) for k in (0, 1))
         edge = np.concatenate([[0], np.cumsum(sizes)])
         new = []
-        for top, end, data, offsets in slices(text.take(pa.array(touched)), SEARCHED_BYTES):
+        for top, end, data, offsets in slices(text.take(pa.array(touched)), SHORT_BYTES):
             mine = touched[top:end]
             of = np.repeat(np.arange(len(mine)), sizes[mine])
             some = np.concatenate([np.arange(edge[i], edge[i + 1]) for i in mine.tolist()]) if len(of) else np.zeros(0, int)
@@ -668,5 +667,6 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     same = rows.where("not doubt and not copied").select("row.*", F.lit(0).alias("n_cut"))
     empty = rows.where("not doubt and copied").select("row").mapInArrow(emptied, result).select("row.*", "n_cut")
     changed = runs.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "sub", F.lit(None).cast("array<struct<pos:int,n:int>>").alias("runs"), F.lit(True).alias("copy")))
-    joined = rows.where("doubt").select("row", "id", "sub").join(changed, ["id", "sub"], "left").select("row", "runs", "copy")
+    # Whole rows pass by what changes in them, unsorted.
+    joined = rows.where("doubt").select("row", "id", "sub").join(changed.hint("shuffle_hash"), ["id", "sub"], "left").select("row", "runs", "copy")
     return same.union(empty).union(joined.mapInArrow(done, result).select("row.*", "n_cut"))

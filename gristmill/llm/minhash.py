@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import (
-    LOWER, NOT_SPACE, bitmap, binary_rows, in_order, marked, mix, shingle_hashes, slices, sorted_groups, span_hashes, split_rows, stable, text_key, texts, without, word_spans,
+    LOWER, NOT_SPACE, SHORT_BYTES, bitmap, binary_rows, in_order, marked, mix, shingle_hashes, slices, sorted_groups, span_hashes, split_rows, stable, text_key, texts, without, word_spans,
 )
 from gristmill.llm.components import components
 
@@ -77,7 +77,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in slices(batch.column("text")):
+            for first, last, data, offsets in slices(batch.column("text"), SHORT_BYTES):
                 sets = list(_sets(data, offsets))
                 sizes = np.array([0 if s is None else len(s) for s in sets])
                 full = sizes > 0
@@ -304,7 +304,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(marked(shared.value, np.asarray(batch.column("row")).view(np.uint64) >> np.uint64(64 - FILTER_BITS))))
-            for first, last, data, offsets in slices(batch.column("text")):
+            for first, last, data, offsets in slices(batch.column("text"), SHORT_BYTES):
                 values = [b"" if s is None else s.tobytes() for s in _sets(data, offsets)]
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, last - first), pa.array(values, pa.binary())], ["row", "value"])
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import LOWER, NOT_SPACE, slices, span_hashes, stable, texts, word_spans
+from gristmill.llm.common import LOWER, NOT_SPACE, SHORT_BYTES, slices, span_hashes, stable, texts, word_spans
 
 CAPACITY = 2048
 #: A bin with no more free places than this goes to no further round.
@@ -201,7 +201,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for first, _, data, offsets in slices(batch.column("text")):
+            for first, _, data, offsets in slices(batch.column("text"), SHORT_BYTES):
                 all_ids, begin = tokens.encode(data, offsets)
                 for i in range(len(offsets) - 1):
                     ids = all_ids[begin[i] : begin[i + 1]].astype("<u4").tobytes() + b"\0\0\0\0"
