@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -73,3 +74,15 @@ def test_round_trip(documents, odd_rows, prose, monkeypatch, at_once):
 
 def test_empty(documents):
     assert packing.pack(documents([]), PATH).count() == 0
+
+
+def test_numbers_of_hashes():
+    rng = random.Random(5)
+    keys = [rng.randrange(1 << 64) for _ in range(3000)] + [(i << 32) + 7 for i in range(50)]
+    known = packing.Numbers(16)
+    for i, k in enumerate(keys):
+        assert known.add(k) == i
+    asked = np.array([*keys, 5, 1 << 63], np.uint64)
+    assert known.find(asked).tolist() == [*range(len(keys)), -1, -1]
+    # A dict of as many whole numbers takes some 100 bytes for each.
+    assert len(known) == len(keys) and known.keys.nbytes + known.numbers.nbytes <= 48 * len(keys)
